@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import _shared as S
+from . import idplanes, mixing, packing, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,3 +41,38 @@ agg AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (removed) AS n_remov
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN agg ON d.doc_id = agg.doc_id
 """
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix by sources, weighing 1, 2, 3 in turn, takes of each document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query
+def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written as byte planes and read back from the files."""
+    root = S.shared_root(spark)
+    manifest = S.materialised(idplanes.write_ids(table(spark, sf_dir, "documents"), f"{root}/ids", tokenizer_file()), f"{root}/manifest")
+    return idplanes.read_ids(spark, f"{root}/ids", manifest)
+
+
+@query
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back from the archives by the salvage reader."""
+    root = S.shared_root(spark)
+    files = S.materialised(warc.write_archives(table(spark, sf_dir, "pages"), f"{root}/warc"), f"{root}/manifest")
+    rows = warc.read_archives(files, f"{root}/warc").filter("kind = 'record'")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
