@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _shared as S
-from . import idplanes, mixing, packing, substring, warc
+from . import fingerprint, idplanes, jaccard, mixing, packing, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,3 +76,15 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = S.materialised(warc.write_archives(table(spark, sf_dir, "pages"), f"{root}/warc"), f"{root}/manifest")
     rows = warc.read_archives(files, f"{root}/warc").filter("kind = 'record'")
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch, its edited text's, and the likeness to the edit and to the next document."""
+    return fingerprint.compare_versions(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets are 75 % alike or more."""
+    return jaccard.similar(table(spark, sf_dir, "documents"))
