@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _shared as S
-from . import fingerprint, idplanes, jaccard, mixing, packing, substring, warc
+from . import fingerprint, idplanes, jaccard, mixing, packing, substring, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets are 75 % alike or more."""
     return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each byte in a 200-byte string that also starts elsewhere goes."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
