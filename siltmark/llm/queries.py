@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _shared as S
-from . import fingerprint, idplanes, jaccard, mixing, packing, substring, suffix, warc
+from . import ann, fingerprint, idplanes, jaccard, mixing, packing, substring, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -94,3 +94,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each byte in a 200-byte string that also starts elsewhere goes."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows found of each embedding whose vec_id is divisible by 100."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
