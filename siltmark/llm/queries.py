@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _shared as S
-from . import ann, fingerprint, idplanes, jaccard, mixing, packing, substring, suffix, warc
+from . import ann, fingerprint, idplanes, jaccard, mixing, packing, substring, suffix, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,3 +100,9 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows found of each embedding whose vec_id is divisible by 100."""
     return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of every document's categories and whether it is rejected as toxic."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("rejected", "toxic")
