@@ -21,10 +21,12 @@ from . import _shared as S
 #: Labelled texts to fit on at most (an expected number: a seeded hash of the key picks them).
 TRAIN_ROWS = 20_000
 #: Word features of a category's model, and texts a feature must occur in.
-FEATURES, LEAST_TEXTS = 1500, 4
+FEATURES, LEAST_TEXTS, LEAST_CHI = 1500, 3, 20
 FOLDS, STEPS, RIDGE = 5, 250, 1e-4
 #: Weight of the rarer class against the other: their ratio to this power.
 BALANCE = 0.3
+#: Weight of the standardised figures beside word features, which weigh 1.
+FIGURES = 0.3
 #: Words a worker keeps the features of.
 KEPT_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -34,7 +36,7 @@ DENSE = ("words", "mean_length", "symbols", "digits", "distinct", "upper")
 def word_features(word: str) -> list[str]:
     """A word and its beginnings, which inflected forms share."""
     out = [f"w:{word}"]
-    for n in (4, 5):
+    for n in (3, 4, 5):
         if len(word) >= n:
             out.append(f"{n}:{word[:n]}")
     return out
@@ -183,14 +185,14 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, str], root: str
             a, n = F.col(f"n{k}"), F.col("n")
             det = a * (F.lit(neg) - (n - a)) - (n - a) * (F.lit(pos) - a)
             chi = det * det * (pos + neg) / (n * (F.lit(pos + neg) - n + 1e-9) * pos * neg)
-            for r in counts.select("feature", chi.alias("chi")).filter("chi > 10").orderBy(F.desc("chi"), "feature").limit(FEATURES).collect():
+            for r in counts.select("feature", chi.alias("chi")).filter(f"chi > {LEAST_CHI}").orderBy(F.desc("chi"), "feature").limit(FEATURES).collect():
                 chosen.setdefault(r.feature, len(chosen))
     rows = sample.mapInArrow(_Features(chosen, len(names)), "key long, " + ", ".join(f"y{k} int" for k in range(len(names))) + ", found array<int>, dense array<double>").orderBy("key").toArrow()
     found = rows.column("found").to_pylist()
     figures = np.array(rows.column("dense").to_pylist(), float).reshape(len(found), len(DENSE))
     y = np.array([rows.column(f"y{k}").to_pylist() for k in range(len(names))], float).reshape(len(names), -1)
     fold = folds_of(np.array(rows.column("key").to_pylist(), np.int64))
-    center, scale = (figures.mean(0), figures.std(0) + 1e-9) if len(found) else (np.zeros(len(DENSE)), np.ones(len(DENSE)))
+    center, scale = (figures.mean(0), (figures.std(0) + 1e-9) / FIGURES) if len(found) else (np.zeros(len(DENSE)), np.ones(len(DENSE)))
     chain = Chain(names, chosen, center, scale)
     x, out = (figures - center) / scale, np.zeros((len(found), 0))
     for k in range(len(names)):

