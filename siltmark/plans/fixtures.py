@@ -1,0 +1,203 @@
+"""Queries over a small repository held here, for operators that the driver's tables have no input for. Their SQL states the rows expected by hand."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..catalog import query
+from ..functions import columns as C
+from ..operators import findings, graph, ops, ranking, repos, review, rules, search
+from ..sources import readers
+
+FILES = (
+    ("shop/main.py", 'import os\nfrom fastapi import FastAPI\nfrom shop.api import orders\nfrom shop.settings import DEBUG\nimport shop.missing\n\napp = FastAPI()\napp.include_router(orders.router)\n\n@app.get("/health")\ndef health():\n    return {"ok": True}\n'),
+    ("shop/settings.py", 'import os\nDEBUG = os.getenv("SHOP_DEBUG")\nURL = os.environ["SHOP_URL"]\n'),
+    ("shop/api/__init__.py", ""),
+    ("shop/api/orders.py", 'from . import helpers\nfrom ..db import session\nfrom fastapi import APIRouter\nrouter = APIRouter()\n\n@router.post("/orders/{order_id}/lines")\ndef add(order_id, line):\n    if line and order_id:\n        return helpers.save(order_id)\n    return None\n\n@router.get("/orders/{order_id}/lines")\ndef show(order_id):\n    return session.get(order_id)\n'),
+    ("shop/api/helpers.py", 'import logging\nfrom shop.models import order\npassword = "correct horse"\ndef save(x):\n    return eval("x")\n'),
+    ("shop/db.py", "session = None\n"),
+    ("shop/models/order.py", "class Order: pass\n"),
+    ("web/app/page.tsx", 'import { Cart } from "@/cart/list";\nimport React from "react";\nimport { gone } from "./gone";\n'),
+    ("src/cart/list.ts", 'import { price } from "../money";\nexport const Cart = 1;\n'),
+    ("src/money/index.ts", 'export { price } from "../cart/list";\n'),
+    ("tests/test_orders.py", "from shop.api import orders\n\ndef test_one():\n    assert orders\n"),
+    ("package.json", '{"dependencies": {"react": "1", "next": "2"}, "devDependencies": {"vitest": "1", "react": "1"}, "scripts": {"test": "vitest"}}'),
+    ("requirements.txt", "# web\nFastAPI==0.1\nsqlalchemy>=2\n-r other.txt\npsycopg2 ~= 2.9\nplain\n"),
+    ("pyproject.toml", '[project]\nname = "shop"\ndependencies = ["httpx>=1", "uvicorn[standard]"]\n'),
+    (".github/workflows/ci.yml", "on: push\njobs:\n  a:\n    steps:\n      - run: pytest -q\n      - run: |\n          ruff check .\n"),
+    ("docker-compose.yml", "services:\n  db:\n    image: postgres\n  cache:\n    image: redis\nvolumes:\n  x: {}\n"),
+    ("node_modules/x/index.js", "module.exports = 1\n"),
+    ("README.md", "# Shop\n"),
+)
+
+
+def files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, p, c) for p, c in FILES], "repo_id int, path string, content string")
+
+
+def values(columns: str, *rows: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})"
+
+
+@query(values("path, role, language, skip", "('shop/main.py','entrypoint','python',false)", "('shop/settings.py','config','python',false)", "('shop/api/__init__.py','service','python',false)", "('shop/api/orders.py','service','python',false)", "('shop/api/helpers.py','service','python',false)", "('shop/db.py','module','python',false)", "('shop/models/order.py','module','python',false)", "('web/app/page.tsx','entrypoint','typescript',false)", "('src/cart/list.ts','module','typescript',false)", "('src/money/index.ts','entrypoint','typescript',false)", "('tests/test_orders.py','test','python',false)", "('package.json','config','json',false)", "('requirements.txt','unknown','unknown',false)", "('pyproject.toml','config','toml',false)", "('.github/workflows/ci.yml','infra','yaml',false)", "('docker-compose.yml','infra','yaml',false)", "('node_modules/x/index.js','entrypoint','javascript',true)", "('README.md','unknown','markdown',false)"))
+def file_roles(spark, sf):
+    """Role, language and skip flag by path."""
+    p = F.col("path")
+    return files(spark).select("path", C.role(p).alias("role"), C.language(p, F.col("content")).alias("language"), C.should_skip(p).alias("skip"))
+
+
+def edges(spark: SparkSession) -> DataFrame:
+    f = files(spark).filter(~C.should_skip(F.col("path"))).withColumn("language", C.language(F.col("path"), F.col("content")))
+    index = graph.module_keys(f.filter(F.col("language").isin("python", "typescript")))
+    raw = F.when(F.col("language") == "python", graph.python_imports(F.col("content"))).when(F.col("language") == "typescript", graph.script_imports(F.col("content")))
+    imports = f.select("repo_id", F.col("path").alias("source"), "language", F.explode(raw).alias("raw"))
+    external = spark.createDataFrame([(x,) for x in ("os", "fastapi", "react", "logging")], "root string")
+    return graph.resolve(imports, index, external)
+
+
+@query(
+    values(
+        "source, raw, target, reason",
+        "('shop/main.py','shop.api','shop/api/__init__.py',NULL)", "('shop/main.py','shop.api.orders','shop/api/orders.py',NULL)", "('shop/main.py','shop.settings','shop/settings.py',NULL)", "('shop/main.py','shop.missing',NULL,'package_import')",
+        "('shop/api/orders.py','.','shop/api/__init__.py',NULL)", "('shop/api/orders.py','.helpers','shop/api/helpers.py',NULL)", "('shop/api/orders.py','..db','shop/db.py',NULL)", "('shop/api/orders.py','..db.session',NULL,'file_not_scanned')",
+        "('shop/api/helpers.py','shop.models',NULL,'package_import')", "('shop/api/helpers.py','shop.models.order','shop/models/order.py',NULL)",
+        "('web/app/page.tsx','@/cart/list','src/cart/list.ts',NULL)", "('web/app/page.tsx','./gone',NULL,'file_not_scanned')", "('src/cart/list.ts','../money','src/money/index.ts',NULL)", "('src/money/index.ts','../cart/list','src/cart/list.ts',NULL)",
+        "('tests/test_orders.py','shop.api','shop/api/__init__.py',NULL)", "('tests/test_orders.py','shop.api.orders','shop/api/orders.py',NULL)",
+    )
+)
+def import_edges(spark, sf):
+    """Imports resolved to files, or why not."""
+    return edges(spark).select("source", "raw", "target", "reason")
+
+
+@query(values("path, depth", "('shop/main.py',0)", "('web/app/page.tsx',0)", "('src/money/index.ts',0)", "('shop/api/__init__.py',1)", "('shop/api/orders.py',1)", "('shop/settings.py',1)", "('shop/api/helpers.py',2)", "('shop/db.py',2)", "('src/cart/list.ts',1)"))
+def critical_path(spark, sf):
+    """Files within two imports of an entrypoint."""
+    starts = files(spark).filter(~C.should_skip(F.col("path")) & (C.role(F.col("path")) == "entrypoint"))
+    return graph.reach(edges(spark), starts, ["repo_id"]).select("path", "depth")
+
+
+@query(values("repo_id, graph_confidence, confirmed, unresolved", "(1, 0.75, 12, 4)"))
+def graph_confidence(spark, sf):
+    """Confirmed share of imports."""
+    return graph.confidence(edges(spark), ["repo_id"])
+
+
+@query(values("file, line, method, route, n_params", "('shop/api/orders.py',6,'POST','/orders/{order_id}/lines',1)", "('shop/api/orders.py',12,'GET','/orders/{order_id}/lines',1)", "('shop/main.py',10,'GET','/health',0)"))
+def route_table(spark, sf):
+    """Routes of a framework's sources."""
+    return repos.routes(files(spark), "fastapi").select("file", "line", "method", "route", F.size("params").alias("n_params"))
+
+
+@query(values("path, deps", "('package.json','next,react,vitest')", "('requirements.txt','fastapi,plain,psycopg2,sqlalchemy')", "('pyproject.toml','httpx,uvicorn')"))
+def manifest_dependencies(spark, sf):
+    """Dependencies of three kinds of manifests."""
+    t, p = F.col("content"), F.col("path")
+    deps = F.when(p == "package.json", repos.package_json_dependencies(t)).when(p == "requirements.txt", repos.requirements(t)).when(p == "pyproject.toml", repos.pyproject_dependencies(t))
+    return files(spark).select("path", F.array_join(F.array_sort(deps), ",").alias("deps")).filter("deps is not null")
+
+
+@query(values("category, name, confidence, first_evidence", "('frontend','Next.js',0.95,'''next'' in package.json')", "('frontend','React',0.95,'''react'' in package.json')", "('frontend','TypeScript',0.9,'src/cart/list.ts')", "('backend','FastAPI',0.95,'''fastapi'' in python deps')", "('database','SQLAlchemy',0.95,'''sqlalchemy'' in python deps')", "('database','PostgreSQL',0.9,'''psycopg2'' in python deps')", "('infra','Docker Compose',0.95,'docker-compose.yml')", "('infra','GitHub Actions',0.95,'.github/workflows/ci.yml')", "('testing','JS Testing',0.9,'''vitest'' in package.json')"))
+def stack_items(spark, sf):
+    """Stack by dependencies and paths."""
+    f = files(spark).filter(~C.should_skip(F.col("path")))
+    t, p = F.col("content"), F.col("path")
+    r = f.groupBy("repo_id").agg(F.array_sort(F.collect_list("path")).alias("paths"), F.flatten(F.collect_list(F.when(p == "package.json", repos.package_json_dependencies(t)))).alias("npm"), F.flatten(F.collect_list(F.when(p == "requirements.txt", repos.requirements(t)))).alias("python"))
+    return repos.stack(r).select("category", "name", F.col("confidence").cast("double").alias("confidence"), F.col("evidence")[0].alias("first_evidence"))
+
+
+@query(values("kind, name", "('run','pytest -q')", "('run','ruff check .')", "('service','db')", "('service','cache')", "('env','SHOP_DEBUG')", "('env','SHOP_URL')"))
+def configuration(spark, sf):
+    """Workflow commands, compose services and environment variables."""
+    t, p = F.col("content"), F.col("path")
+    each = lambda kind, test, names: files(spark).filter(test).select(F.lit(kind).alias("kind"), F.explode(F.transform(names, lambda x: F.trim(F.regexp_replace(x, "\n", "")))).alias("name"))
+    return each("run", F.contains(p, F.lit("workflows")), repos.workflow_runs(t)).unionByName(each("service", p == "docker-compose.yml", repos.compose_services(t))).unionByName(each("env", C.extension(p) == ".py", repos.env_vars(t)))
+
+
+@query(values("rule_id, severity", "('HYGIENE-LICENSE-001','medium')", "('DEPS-LOCKFILE-001','high')", "('DX-FORMAT-001','low')", "('DX-LINT-001','medium')", "('PY-TYPING-001','medium')", "('PY-TYPECFG-001','medium')", "('SEC-SECRETS-001','critical')", "('SEC-BANDIT-GROUPED-001','high')", "('OPS-HEALTH-001','medium')", "('OPS-LOGGING-001','low')", "('TESTING-RATIO-001','medium')"))
+def rule_findings(spark, sf):
+    """Static review of the repository's facts (2.8)."""
+    issues = spark.createDataFrame([(1, [("gitleaks", "critical", "key", "shop/settings.py"), ("bandit", "high", "B307", "shop/api/helpers.py"), ("bandit", "low", "B101", "tests/test_orders.py")])], "repo_id int, issues array<struct<tool:string, severity:string, code:string, file:string>>")
+    f = repos.facts(files(spark)).join(issues, "repo_id").withColumn("frameworks", F.array(F.lit("FastAPI")))
+    return rules.review(f).select("rule_id", "severity")
+
+
+@query(values("tool, code, file, line, severity", "('ruff','S101','a.py',3,'high')", "('ruff','E501','b.py',1,'low')", "('bandit','B307','a.py',9,'critical')", "('gitleaks','aws-key','c.env',2,'critical')", "('pip-audit','CVE-1','lib',NULL,'critical')"))
+def tool_issues(spark, sf):
+    """Four tools' JSON as one table."""
+    raw = {
+        "ruff": '[{"code":"S101","message":"m","filename":"a.py","location":{"row":3}},{"code":"E501","message":"m","filename":"b.py","location":{"row":1}}]',
+        "bandit": '{"results":[{"test_id":"B307","issue_text":"t","filename":"a.py","line_number":9,"issue_severity":"HIGH","issue_confidence":"HIGH"}]}',
+        "gitleaks": '[{"RuleID":"aws-key","Description":"d","File":"c.env","StartLine":2}]',
+        "pip-audit": '{"dependencies":[{"name":"lib","version":"1","vulns":[{"id":"CVE-1","description":"Remote code execution"}]},{"name":"ok","version":"1","vulns":[]}]}',
+    }
+    out = None
+    for tool, text in raw.items():
+        df = readers.tool_issues(spark.createDataFrame([(1, text), (2, "not json")], "repo_id int, raw_json string"), tool)
+        out = df if out is None else out.unionByName(df)
+    return out.select("tool", "code", "file", "line", "severity")
+
+
+@query(values("section, score, level, confidence", "('setup',65,'high',0.75)", "('setup_none',35,'medium',0.0)", "('debug',15,'low',0.9)", "('change',55,'high',0.7)"))
+def risk_sections(spark, sf):
+    """Scores of the three risk sections (S-A28 to S-A31)."""
+    t, f, n = F.lit(True), F.lit(False), lambda x: F.lit(x)
+    rows = [("setup", repos.setup_risk(n(3), f, n(1), n(3), n(2))), ("setup_none", repos.setup_risk(n(0), f, n(0), n(0), n(0))), ("debug", repos.debug_readiness(t, t, t, f, t, n(1))), ("change", repos.change_risk(f, f, t, f, n(6), n(3), n(1)))]
+    out = [spark.range(1).select(F.lit(name).alias("section"), r["score"].cast("int").alias("score"), r["level"].alias("level"), r["confidence"].cast("double").alias("confidence")) for name, r in rows]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+@query(values("file, line, pattern", "('shop/api/helpers.py',3,'hardcoded_secret')", "('shop/api/helpers.py',5,'eval_exec')"))
+def source_findings(spark, sf):
+    """Line findings of sources (C17)."""
+    return findings.line_findings(files(spark), key="path", text="content").select(F.col("path").alias("file"), F.col("line").cast("int").alias("line"), "pattern")
+
+
+@query(values("path, complexity", "('shop/api/orders.py',1.75)", "('shop/db.py',0.0)", "('tests/test_orders.py',1.0)"))
+def complexity(spark, sf):
+    """Mean complexity of def blocks."""
+    return files(spark).filter(F.col("path").isin("shop/api/orders.py", "shop/db.py", "tests/test_orders.py")).select("path", C.python_complexity(F.col("content")).alias("complexity"))
+
+
+@query(values("url, owner, repo", "('https://github.com/a/b','a','b')", "('git@host.org:a/b.git','a','b')", "('https://gitlab.com/x/y.git/','x','y')", "('nothing',NULL,NULL)"))
+def repo_urls(spark, sf):
+    """Owner and repository of addresses."""
+    urls = ("https://github.com/a/b", "git@host.org:a/b.git", "https://gitlab.com/x/y.git/", "nothing")
+    return spark.createDataFrame([(u,) for u in urls], "url string").select("url", C.repo_of_url(F.col("url")).alias("r")).select("url", "r.owner", "r.repo")
+
+
+@query(values("mean_held, critical_held, noise_held", "(true, false, false)"))
+def ranking_gate(spark, sf):
+    """Regression gate of two runs."""
+    run = lambda *r: spark.createDataFrame(r, "query string, ndcg double, precision double")
+    name = lambda *r: spark.createDataFrame([(x,) for x in r], "query string")
+    return ranking.gate(run(("a", 0.5, 0.3), ("b", 0.9, 0.6)), run(("a", 0.9, 0.6), ("b", 0.7, 0.6)), "query", name("b"), name("a"), name("a", "b"))
+
+
+@query(values("overall, label, badge, depth", "(0.835, 'Moderate', 'High', 'security_augmented')"))
+def confidences(spark, sf):
+    """Blended confidence, badge and depth (S-A11, S-A23, S-A25)."""
+    b = findings.blended_confidence(F.lit(0.9), F.lit(0.7), F.lit(0.92))
+    badge = review.confidence_badge(F.lit(1.0), F.lit(0.5), F.lit(0.75), F.lit(0.8))
+    return spark.range(1).select(b["overall"].alias("overall"), b["label"].alias("label"), badge["label"].alias("badge"), review.depth_of(F.array(F.lit("ruff"), F.lit("bandit"))).alias("depth"))
+
+
+@query(values("id, composite_delta, n_findings_resolved", "(1, 10, 2)"))
+def score_comparison(spark, sf):
+    """Deltas of two scorecards (S-A10)."""
+    card = lambda v, n: spark.createDataFrame([(1, v, v, v, v, v, v, v, n, 0, 0)], "id int, security int, performance int, reliability int, maintainability int, test_coverage int, documentation int, composite int, n_findings int, n_critical int, n_high int")
+    return findings.compare_scores(card(60, 5), card(70, 3), "id").select("id", "composite_delta", "n_findings_resolved")
+
+
+@query(values("sentence", "('nothing backs this')"))
+def untraced_sentences(spark, sf):
+    """Sentences without a source."""
+    s = spark.createDataFrame([("The score is 70 overall",), ("nothing backs this",)], "sentence string")
+    return search.untraced(s, spark.createDataFrame([("score is 70",)], "trace string"), "sentence", "trace")
+
+
+@query(values("status, n", "('watch', 1)", "('active', 1)", "('steady', 1)"))
+def overall_status(spark, sf):
+    """Status of the service."""
+    rows = spark.createDataFrame([(3, False, 0, 0), (0, False, 1, 0), (1, False, 0, 0)], "failed int, attention boolean, running int, queued int")
+    return rows.groupBy(ops.overall_status(*map(F.col, rows.columns)).alias("status")).agg(F.count(F.lit(1)).alias("n"))
