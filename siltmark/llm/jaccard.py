@@ -27,23 +27,29 @@ SKETCH = 1 << 20
 BLOCK_SETS = 2000
 #: Sets of a leaf of the signature tree.
 LEAF = 32
-SEQ = 19  # bits of a row in its batch
+SEQ = 18  # bits of a row in its batch
+TOKEN, LOW = np.uint64(46), np.uint64((1 << 46) - 1)
+#: Share of a set, in percent, that its longer prefix has beyond the shortest one that must meet a partner's.
+BEYOND = 15
 
 
-def shingles(w: S.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct n-word shingles of each row, sorted, and their number by row. Short rows: their whole sequence."""
+def shingle_hashes(w: S.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of all n-word shingles; rows with fewer words have their whole sequence."""
     h = w.hashes()
     at, g = w.windows(h, n)
-    row = w.row[at]
     short = np.flatnonzero((w.count > 0) & (w.count < n))
     whole = S.span_hash(S.prefix_hash(h, S.BASES[1]), w.first[short], w.first[short + 1], S.BASES[1])
-    row, g = np.concatenate((row, short)), np.concatenate((g, S.mix(whole + w.count[short].astype(np.uint64))))
+    return np.concatenate((w.row[at], short)), np.concatenate((g, S.mix(whole + w.count[short].astype(np.uint64))))
+
+
+def set_sizes(w: S.Words, n: int) -> np.ndarray:
+    """Number of distinct shingles of each row, by all 64 bits."""
+    row, g = shingle_hashes(w, n)
     order = np.lexsort((g, row))
     row, g = row[order], g[order]
     new = np.ones(len(g), bool)
     new[1:] = (row[1:] != row[:-1]) | (g[1:] != g[:-1])
-    row, g = row[new], g[new]
-    return row, g, np.bincount(row, minlength=len(w.count)).astype(np.int64)
+    return np.bincount(row[new], minlength=len(w.count)).astype(np.int64)
 
 
 def sequence_keys(w: S.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +102,7 @@ def _answer_classes(p, asked):
 
 
 class _Sets:
-    """The sets of the rows that stand for their classes."""
+    """The sets of the rows that stand for their classes, as sorted row << 46 | token, tokens being 46 bits of hash."""
 
     def __init__(self, base: _Base, classes: str):
         self.base, self.classes = base, classes
@@ -109,9 +115,13 @@ class _Sets:
             stands[a:b] = S.unbits(told[p], b - a)
         chosen = np.zeros(len(w.count), bool)
         chosen[first[stands]] = True
-        row, g, n = shingles(w, self.base.n)
+        row, g = shingle_hashes(w, self.base.n)
         keep = chosen[row]
-        return row[keep], g[keep], n
+        x = np.sort(row[keep].astype(np.uint64) << TOKEN | g[keep] >> np.uint64(64 - 46))
+        if len(x):
+            x = x[np.append(True, x[1:] != x[:-1])]
+        row = (x >> TOKEN).astype(np.int64)
+        return row, x & LOW, np.bincount(row, minlength=len(w.count)).astype(np.int64)
 
 
 class _Count:
@@ -124,7 +134,7 @@ class _Count:
         counts = np.zeros(SKETCH, np.int64)
         for batch, t in S.batches(it):
             _, g, _ = self.sets.sets(batch, t)
-            counts += np.bincount((g & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            counts += np.bincount((g % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         if counts.any():
             for k, x in enumerate(np.split(counts, self.pieces)):
                 yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counts": pa.array([x.tobytes()], pa.binary())})
@@ -142,66 +152,88 @@ class _Prefix:
         self.sets, self.frequent, self.percent, self.parts = sets, frequent, percent, parts
 
     def keys(self, batch, t):
+        """Rows, tokens and sizes of the sets; the longer prefixes' (token, owner), sorted, which are of the shortest, and where each token starts."""
         row, g, n = self.sets.sets(batch, t)
-        late = np.unpackbits(self.frequent, count=SKETCH)[(g & np.uint64(SKETCH - 1)).astype(np.int64)]
-        order = np.lexsort((g, late, row))
-        r = row[order]
-        first = S.runs(r)
-        rank = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
-        pick = order[rank < prefix_length(n, self.percent)[r]]
-        pick = pick[np.lexsort((row[pick], g[pick]))]
-        tok, owner = g[pick], row[pick]
-        start = S.runs(tok)
-        return row, g, n, tok, owner, start
+        late = np.unpackbits(self.frequent, count=SKETCH)[(g % np.uint64(SKETCH)).astype(np.int64)].astype(np.int64)
+        # frequent tokens rank after the others of their set
+        before = np.cumsum(late) - late
+        at = np.arange(len(row))
+        head = np.searchsorted(row, np.arange(len(n)))
+        lates = np.bincount(row, late, len(n)).astype(np.int64)
+        late_before = before - before[np.minimum(head, max(0, len(row) - 1))][row] if len(row) else before
+        inside = at - head[row]
+        rank = np.where(late > 0, (n - lates)[row] + late_before, inside - late_before)
+        need = prefix_length(n, self.percent)
+        pick = np.flatnonzero(rank < (need + beyond(n))[row])
+        x = g[pick] << np.uint64(SEQ) | row[pick].astype(np.uint64)
+        order = np.argsort(x)
+        x, short = x[order], (rank[pick] < need[row[pick]])[order]
+        tok, owner = x >> np.uint64(SEQ), (x & np.uint64((1 << SEQ) - 1)).astype(np.int64)
+        return row, g, n, tok, owner, short, S.runs(tok)
+
+    def spread(self, tok):
+        return tok << np.uint64(64 - 46)
 
     def __call__(self, batch, t):
-        *_, tok, owner, start = self.keys(batch, t)
+        *_, tok, owner, _, start = self.keys(batch, t)
         multi = np.diff(np.append(start, len(tok))) > 1
         u = tok[start]
-        for p, a, b in S.slices(u, self.parts):
-            yield p, batch.to_bytes(8, "little") + u[a:b].tobytes() + owner[start][a:b].astype(np.uint32).tobytes() + S.bits(multi[a:b])
+        for p, a, b in S.slices(self.spread(u), self.parts):
+            yield p, batch.to_bytes(8, "little") + owner[start][a:b].astype(np.uint32).tobytes() + np.ascontiguousarray(u[a:b].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() + S.bits(multi[a:b])
+
+
+def beyond(n: np.ndarray) -> np.ndarray:
+    """Tokens of a set's prefix beyond the shortest."""
+    return n * BEYOND // 100
 
 
 def _answer_tokens(p, asked):
-    """For each token that two classes have, the smallest class that has it; others 0 bits."""
+    """For each token whether two classes have it, and for those the smallest class that does."""
     toks, nodes, multi, sizes = [], [], [], []
     for x in asked:
         raw = bytes(x)
-        batch, n = int.from_bytes(raw[:8], "little"), (len(raw) - 8) * 8 // 97
-        while 12 * n + (n + 7) // 8 < len(raw) - 8:
+        batch, n = int.from_bytes(raw[:8], "little"), (len(raw) - 8) * 8 // 81
+        while 10 * n + (n + 7) // 8 < len(raw) - 8:
             n += 1
-        toks.append(np.frombuffer(raw, np.uint64, n, 8))
-        nodes.append(batch << SEQ | np.frombuffer(raw, np.uint32, n, 8 + 8 * n).astype(np.int64))
-        multi.append(S.unbits(raw[8 + 12 * n :], n))
+        h = np.zeros((n, 8), np.uint8)
+        h[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 8 + 4 * n).reshape(n, 6)
+        toks.append(h.reshape(-1).view(np.uint64))
+        nodes.append(batch << SEQ | np.frombuffer(raw, np.uint32, n, 8).astype(np.int64))
+        multi.append(S.unbits(raw[8 + 10 * n :], n))
         sizes.append(n)
     tok, node, more = np.concatenate(toks), np.concatenate(nodes), np.concatenate(multi)
-    order = np.lexsort((node, tok))
+    order = np.argsort(tok)
     first = S.runs(tok[order])
     length = np.diff(np.append(first, len(tok)))
-    live = (length > 1) | np.logical_or.reduceat(more[order], first)
-    least = node[order][first]
-    out_live, out_least = np.empty(len(tok), bool), np.empty(len(tok), np.int64)
-    out_live[order], out_least[order] = np.repeat(live, length), np.repeat(least, length)
+    live = np.empty(len(tok), bool)
+    live[order] = np.repeat((length > 1) | np.logical_or.reduceat(more[order], first), length)
+    least = np.empty(len(tok), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(node[order], first), length)
     cut = np.cumsum(sizes)[:-1]
-    return [S.bits(a) + b[a].tobytes() for a, b in zip(np.split(out_live, cut), np.split(out_least, cut), strict=True)]
+    return [S.bits(a) + b[a].tobytes() for a, b in zip(np.split(live, cut), np.split(least, cut), strict=True)]
 
 
 class _Groups:
-    """Each set with the smallest classes its tokens were told of; asks how many sets each of those has."""
+    """Each set that may have a partner with the smallest classes its tokens were told of; asks how many sets each of those has."""
 
     def __init__(self, prefix: _Prefix, told: str, parts: int):
         self.prefix, self.told, self.parts = prefix, told, parts
 
     def keys(self, batch, t):
-        row, g, n, tok, owner, start = self.prefix.keys(batch, t)
+        row, g, n, tok, owner, short, start = self.prefix.keys(batch, t)
         u, told = tok[start], S.replies(self.told, batch)
         least = np.full(len(u), -1, np.int64)
-        for p, a, b in S.slices(u, self.prefix.parts):
+        for p, a, b in S.slices(self.prefix.spread(u), self.prefix.parts):
             k = (b - a + 7) // 8
             live = S.unbits(told[p][:k], b - a)
             least[a:b][live] = np.frombuffer(told[p][k:], np.int64)
         pivot = np.repeat(least, np.diff(np.append(start, len(tok))))
-        pair = np.unique(np.stack([pivot[pivot >= 0], owner[pivot >= 0]]), axis=1) if (pivot >= 0).any() else np.zeros((2, 0), np.int64)
+        # a partner is no smaller than the share asked for of this set, so at least so many of the longer prefix are shared
+        shared = np.bincount(owner[pivot >= 0], minlength=len(n))
+        partner = (n * self.prefix.percent + 99) // 100
+        enough = shared >= 1 + beyond(partner)
+        use = (pivot >= 0) & short & enough[owner]
+        pair = np.unique(np.stack([pivot[use], owner[use]]), axis=1) if use.any() else np.zeros((2, 0), np.int64)
         return row, g, n, pair[0], pair[1]
 
     def __call__(self, batch, t):
@@ -244,7 +276,7 @@ class _Send:
                 total[order[a:b]] = np.frombuffer(told[p], np.int64)
             total = np.repeat(total, np.diff(np.append(first, len(pivot))))
             at = np.searchsorted(row, np.arange(len(n) + 1))
-            packed = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+            packed = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
             out = [[], [], [], [], [], []]
             for q, o, m in zip(pivot.tolist(), owner.tolist(), total.tolist(), strict=True):
                 if m < 2:
@@ -379,7 +411,7 @@ def _joiner(percent: int):
                 raw = np.frombuffer(col[r].as_buffer(), np.uint8).reshape(-1, 6)
                 wide = np.zeros((len(raw), 8), np.uint8)
                 wide[:, :6] = raw
-                sets.append(np.sort(wide.reshape(-1).view(np.uint64)))
+                sets.append(wide.reshape(-1).view(np.uint64))
             i, j = divmod(int(blocks[rows[0]]), 1 << 20)
             for x, y in links(sets, percent, own[rows] if i != j else None):
                 a_out.append(node[rows[x]])
@@ -398,7 +430,7 @@ class _Rows:
     def __call__(self, it):
         for batch, t in S.batches(it):
             w, ids, null, k1, k2, _ = self.base.keys(batch, t)
-            n = shingles(w, self.base.n)[2]
+            n = set_sizes(w, self.base.n)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, mask=null), "k1": pa.array(k1.view(np.int64)), "k2": pa.array(k2.view(np.int64)), "node": pa.array(batch << SEQ | np.arange(len(ids))), "n_shingles": pa.array(n)})
 
 
@@ -420,7 +452,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     pieces = staged.select("batch", "data").mapInArrow(_Count(sets), "piece int, counts binary").groupBy("piece").applyInArrow(_typed(_sum_counts), "piece int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(pieces, key=lambda r: r.piece)]) if pieces else np.zeros(SKETCH, np.int64)
     frequent = np.packbits(counts > 4 * counts.mean() + 32)
-    prefix = _Prefix(sets, frequent, percent, S.parts_for(spark, total / 2))
+    prefix = _Prefix(sets, frequent, percent, S.parts_for(spark, total / 1.5))
     told = S.exchange(staged, prefix, _answer_tokens, prefix.parts, f"{root}/tokens")
     groups = _Groups(prefix, told, base.parts)
     sizes = S.exchange(staged, groups, _answer_sizes, groups.parts, f"{root}/sizes")
