@@ -362,8 +362,8 @@ def links(sets: list[np.ndarray], percent: int, across: np.ndarray | None = None
         if across is None or across[0] != across[1]:
             return [(0, 1)] if 100 * n.min() >= percent * n.max() and alike(0, 1) else []
         return []
-    words = max(4, 1 << int(np.ceil(np.log2(max(1, np.median(n)) * 8 / 64))))
-    words = min(words, 4096)
+    # about eight bits a token, in words of 64
+    words = min(4096, max(4, 1 << int(np.ceil(np.log2(max(1.0, np.median(n) / 8))))))
     bitmaps = np.zeros((len(sets), words), np.uint64)
     for k, s in enumerate(sets):
         bit = s % np.uint64(words * 64)

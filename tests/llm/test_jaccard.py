@@ -107,3 +107,9 @@ def test_links_equal_all_pairs():
             for x in both:
                 got[x] = both
         assert got == want
+
+
+def test_links_of_tiny_sets():
+    a, b = np.array([1, 2, 3], np.uint64), np.array([1, 2, 3, 4], np.uint64)
+    assert len(jaccard.links([a, b, np.array([9], np.uint64), a], 75)) == 2
+    assert jaccard.links([np.array([k], np.uint64) for k in range(5)], 75) == []
