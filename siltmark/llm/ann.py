@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import _shared as S
 
 #: Neighbours of a node in the graph; reverse neighbours that take part in a round, by a seeded choice.
-DEGREE, REVERSE = 20, 20
+DEGREE, REVERSE = 20, 40
 #: Random directions of the first graph, and how far along each a row looks.
-DIRECTIONS, REACH = 4, 12
+DIRECTIONS, REACH = 3, 12
 #: Rounds of descent at most; they end when fewer than this share of edges is new.
-ROUNDS, STILL = 8, 0.002
+ROUNDS, STILL = 6, 0.01
 #: Candidates that a query holds, and steps of its walk at most.
-BEAM, STEPS = 80, 12
+BEAM, STEPS = 80, 5
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -78,51 +78,116 @@ def _side_by_side(reach: int, degree: int):
     return pairs
 
 
-def _nearest(edges: DataFrame, degree: int) -> DataFrame:
-    """Each node's nearest distinct neighbours."""
-    one = edges.groupBy("u", "w").agg(F.min("d").alias("d"), F.max("old").alias("old"))
-    w = Window.partitionBy("u").orderBy("d", "w")
-    return one.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= degree).drop("r")
-
-
-def _meet(t: pa.Table) -> pa.Table:
-    """Pairs of the neighbours that meet at a node, nearer than the farthest that either has; not two old ones."""
-    order = np.argsort(np.asarray(t.column("x").combine_chunks()), kind="stable")
-    t = t.take(pa.array(order))
-    at, u, old, far = (np.asarray(t.column(c).combine_chunks()) for c in ("x", "u", "old", "far"))
-    v = matrix(t.column("v"))
-    first = S.runs(at)
-    size = np.diff(np.append(first, len(at)))
-    out_u, out_w, out_d = [], [], []
-    for m in np.unique(size).tolist():
-        if m < 2:
+def _rows_of(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column as (flat values, offsets)."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    col = col.cast(pa.large_list(col.type.value_type))
+    flat, off = np.asarray(col.flatten()), np.asarray(col.offsets)
+    return flat, off - off[0] if len(off) else np.zeros(1, np.int64)
+
+
+def _messages(it):
+    """Each node to itself and to its neighbours: (x, u, v, far, old)."""
+    for rb in it:
+        if not rb.num_rows:
             continue
-        starts = first[size == m]
-        step = max(1, (1 << 22) // (m * m * max(1, v.shape[1] // 16)))
-        i, j = np.triu_indices(m, 1)
-        for k in range(0, len(starts), step):
-            rows = starts[k : k + step, None] + np.arange(m)
-            x = v[rows]
-            sq = (x * x).sum(2)
-            d2 = sq[:, i] + sq[:, j] - 2 * np.einsum("gik,gjk->gij", x, x)[:, i, j]
-            d = np.sqrt(np.maximum(d2, 0))
-            a, b = u[rows][:, i], u[rows][:, j]
-            ok = (a != b) & ~(old[rows][:, i] & old[rows][:, j])
-            for p, q, limit in ((a, b, far[rows][:, i]), (b, a, far[rows][:, j])):
-                use = ok & (d < limit)
-                out_u.append(p[use])
-                out_w.append(q[use])
-                out_d.append(d[use])
-    cat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
-    return pa.table({"u": cat(out_u, pa.int64()), "w": cat(out_w, pa.int64()), "d": cat(out_d, pa.float64())})
-
-
-def _meet_typed(t: pa.Table) -> pa.Table:
-    return _meet(t)
+        ids, far = np.asarray(rb.column("id")), np.asarray(rb.column("far"))
+        w, off = _rows_of(rb.column("w"))
+        old, _ = _rows_of(rb.column("old"))
+        of = np.repeat(np.arange(len(ids)), np.diff(off))
+        row = np.concatenate((of, np.arange(len(ids))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((w, ids))), pa.array(ids[row]), rb.column("v").take(pa.array(row)), pa.array(far[row]), pa.array(np.concatenate((old.astype(bool), np.zeros(len(ids), bool))))], names=["x", "u", "v", "far", "old"])
+
+
+def _meeting(seed: int):
+    def meet(t: pa.Table) -> pa.Table:
+        """Pairs of those that meet at a node, nearer than the farthest that either has; not two old ones."""
+        at, u, old, far = (np.asarray(t.column(c).combine_chunks()) for c in ("x", "u", "old", "far"))
+        v = matrix(t.column("v"))
+        # the node itself first, then new ones, then by a seeded choice
+        h = S.mix(u.astype(np.uint64) ^ S.mix(at.astype(np.uint64) + np.uint64(seed)))
+        order = np.lexsort((h, old, u != at, at))
+        first = S.runs(at[order])
+        size = np.diff(np.append(first, len(order)))
+        rank = np.arange(len(order)) - np.repeat(first, size)
+        order = order[rank <= REVERSE]
+        at, u, old, far, v = at[order], u[order], old[order], far[order], v[order]
+        first = S.runs(at)
+        size = np.diff(np.append(first, len(at)))
+        out_u, out_w, out_d = [], [], []
+        for m in np.unique(size).tolist():
+            if m < 2:
+                continue
+            starts = first[size == m]
+            step = max(1, (1 << 22) // (m * m * max(1, v.shape[1] // 16)))
+            i, j = np.triu_indices(m, 1)
+            for k in range(0, len(starts), step):
+                rows = starts[k : k + step, None] + np.arange(m)
+                x = v[rows]
+                sq = (x * x).sum(2)
+                d = np.sqrt(np.maximum(sq[:, i] + sq[:, j] - 2 * np.einsum("gik,gjk->gij", x, x)[:, i, j], 0))
+                a, b = u[rows][:, i], u[rows][:, j]
+                ok = (a != b) & ~(old[rows][:, i] & old[rows][:, j])
+                for p, q, limit in ((a, b, far[rows][:, i]), (b, a, far[rows][:, j])):
+                    use = ok & (d < limit)
+                    out_u.append(p[use])
+                    out_w.append(q[use])
+                    out_d.append(d[use])
+        cat = lambda z, kind: pa.array(np.concatenate(z) if z else [], kind)
+        return pa.table({"u": cat(out_u, pa.int64()), "w": cat(out_w, pa.int64()), "d": cat(out_d, pa.float64())})
+
+    return meet
+
+
+GRAPH = "id long, v array<float>, far double, w array<long>, d array<double>, old array<boolean>, fresh int"
+
+
+def _merging(degree: int):
+    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Nodes with their nearest distinct neighbours of those they had, which are old now, and new ones."""
+        ids = np.asarray(left.column("id").combine_chunks())
+        w, off = _rows_of(left.column("w"))
+        d, _ = _rows_of(left.column("d"))
+        row = {k: n for n, k in enumerate(ids.tolist())}
+        u2 = np.asarray(right.column("u").combine_chunks())
+        at2 = np.fromiter((row.get(k, -1) for k in u2.tolist()), np.int64, len(u2))
+        at = np.concatenate((np.repeat(np.arange(len(ids)), np.diff(off)), at2))
+        w = np.concatenate((w, np.asarray(right.column("w").combine_chunks()))).astype(np.int64)
+        d = np.concatenate((d, np.asarray(right.column("d").combine_chunks()))).astype(np.float64)
+        new = np.arange(len(at)) >= len(at) - len(u2)
+        keep = np.flatnonzero(at >= 0)
+        keep = keep[np.lexsort((new[keep], w[keep], at[keep]))]  # an edge that is there already stays old
+        same = np.zeros(len(keep), bool)
+        same[1:] = (at[keep][1:] == at[keep][:-1]) & (w[keep][1:] == w[keep][:-1])
+        keep = keep[~same]
+        keep = keep[np.lexsort((w[keep], d[keep], at[keep]))]
+        first = S.runs(at[keep])
+        rank = np.arange(len(keep)) - np.repeat(first, np.diff(np.append(first, len(keep))))
+        keep = keep[rank < degree]
+        n = np.bincount(at[keep], minlength=len(ids))
+        ends = np.cumsum(n)
+        far = np.full(len(ids), np.inf)
+        full = n >= degree
+        far[full] = d[keep][ends[full] - 1]
+        offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (w[keep], d[keep], ~new[keep])]
+        fresh = np.bincount(at[keep], new[keep], len(ids)).astype(np.int32)
+        return pa.table([left.column("id"), left.column("v"), pa.array(far), *lists, pa.array(fresh)], names=["id", "v", "far", "w", "d", "old", "fresh"])
+
+    return merge
+
+
+def _dealt(df: DataFrame, column: str, parts: int) -> DataFrame:
+    return df.withColumn("p", F.pmod(F.xxhash64(column), F.lit(parts)).cast("int"))
+
+
+def _merged(graph: DataFrame, found: DataFrame, degree: int, parts: int, path: str) -> DataFrame:
+    both = _dealt(graph, "id", parts).groupBy("p").cogroup(_dealt(found.select(F.col("u").alias("u"), F.col("w").alias("w"), F.col("d").alias("d")), "u", parts).groupBy("p"))
+    return S.materialised(both.applyInArrow(_merging(degree), GRAPH), path)
 
 
 def build_graph(nodes: DataFrame, root: str, dim: int, degree: int = DEGREE, seed: int = 7) -> DataFrame:
-    """nodes (id, v) to the edges (u, w, d) of the neighbour graph, each node's nearest found."""
+    """nodes (id, v) to rows (id, v, far, w, d, old, fresh): each node's nearest neighbours w found, at distances d."""
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = min(parts, 1 + nodes.count() // 512)  # a short line is not cut: rows at a cut see one side only
@@ -131,51 +196,65 @@ def build_graph(nodes: DataFrame, root: str, dim: int, degree: int = DEGREE, see
         lined = nodes.mapInArrow(_along(k, seed, dim), "id long, v array<float>, at double").repartitionByRange(lines, "at").sortWithinPartitions("at", "id")
         found = lined.select("id", "v").mapInArrow(_side_by_side(REACH, degree), "u long, w long, d double")
         first = found if first is None else first.unionByName(found)
-    graph = S.materialised(_nearest(first.withColumn("old", F.lit(False)), degree), f"{root}/graph0")
+    none = nodes.select("id", "v", F.lit(float("inf")).alias("far"), F.array().cast("array<long>").alias("w"), F.array().cast("array<double>").alias("d"), F.array().cast("array<boolean>").alias("old"), F.lit(0).alias("fresh"))
+    graph = _merged(none, first, degree, parts, f"{root}/graph0")
     for k in range(1, ROUNDS + 1):
-        far = graph.groupBy("u").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("n")).select(F.col("u").alias("id"), F.when(F.col("n") < degree, float("inf")).otherwise(F.col("far")).alias("far"))
-        back = graph.select(F.col("w").alias("x"), "u", "old", F.xxhash64("u", "w", F.lit(seed + k)).alias("h"))
-        back = back.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy("old", "h", "u"))).filter(F.col("r") <= REVERSE).select("x", "u", "old")
-        beside = graph.select(F.col("u").alias("x"), F.col("w").alias("u"), "old").unionByName(back).groupBy("x", "u").agg(F.min("old").alias("old"))
-        met = beside.join(nodes.join(far, "id", "left").select(F.col("id").alias("u"), "v", F.coalesce("far", F.lit(float("inf"))).alias("far")), "u")
-        met = met.withColumn("p", F.pmod(F.xxhash64("x"), F.lit(2 * parts)).cast("int"))
-        better = met.groupBy("p").applyInArrow(_meet_typed, "u long, w long, d double").groupBy("u", "w").agg(F.min("d").alias("d"))
-        # edges that have met once are old
-        both = graph.withColumn("old", F.lit(True)).unionByName(better.withColumn("old", F.lit(False)))
-        graph = S.materialised(_nearest(both, degree), f"{root}/graph{k}")
+        met = _dealt(graph.mapInArrow(_messages, "x long, u long, v array<float>, far double, old boolean"), "x", parts)
+        graph = _merged(graph, met.groupBy("p").applyInArrow(_meeting(seed + k), "u long, w long, d double"), degree, parts, f"{root}/graph{k}")
         S.remove(f"{root}/graph{k - 1}")
-        new, total = graph.agg(F.sum((~F.col("old")).cast("long")), F.count(F.lit(1))).first()
-        if (new or 0) <= STILL * max(1, total):
+        new, total = graph.agg(F.sum("fresh"), F.sum(F.size("w"))).first()
+        if (new or 0) <= STILL * max(1, total or 0):
             break
-    return graph.select("u", "w", "d")
-
-
-def _distance(it):
-    for rb in it:
-        if rb.num_rows:
-            a, b = matrix(rb.column("qv")), matrix(rb.column("v"))
-            yield pa.RecordBatch.from_arrays([rb.column("q"), rb.column("id"), pa.array(np.sqrt(((a - b) ** 2).sum(1)))], names=["q", "id", "d"])
-
-
-def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, root: str, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
+    return graph
+
+
+def _walking(beam: int):
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Queries (q, qv, ids, d, done) and what their open candidates led to (q, id, v): the beam's nearest."""
+        qs, qv = np.asarray(left.column("q").combine_chunks()), matrix(left.column("qv"))
+        row = {k: n for n, k in enumerate(qs.tolist())}
+        ids, off = _rows_of(left.column("ids"))
+        d, _ = _rows_of(left.column("d"))
+        at2 = np.fromiter((row.get(k, -1) for k in np.asarray(right.column("qq").combine_chunks()).tolist()), np.int64, right.num_rows)
+        d2 = np.sqrt(((qv[at2] - matrix(right.column("v"))) ** 2).sum(1)) if right.num_rows else np.zeros(0)
+        at = np.concatenate((np.repeat(np.arange(len(qs)), np.diff(off)), at2))
+        ids = np.concatenate((ids, np.asarray(right.column("id").combine_chunks()))).astype(np.int64)
+        d = np.concatenate((d, d2)).astype(np.float64)
+        new = np.arange(len(at)) >= len(at) - len(at2)
+        keep = np.lexsort((new, ids, at))  # a candidate that is there already stays expanded
+        same = np.zeros(len(keep), bool)
+        same[1:] = (at[keep][1:] == at[keep][:-1]) & (ids[keep][1:] == ids[keep][:-1])
+        keep = keep[~same]
+        keep = keep[np.lexsort((ids[keep], d[keep], at[keep]))]
+        first = S.runs(at[keep])
+        rank = np.arange(len(keep)) - np.repeat(first, np.diff(np.append(first, len(keep))))
+        keep = keep[rank < beam]
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(at[keep], minlength=len(qs))))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[keep], d[keep], ~new[keep])]
+        return pa.table([left.column("q"), left.column("qv"), *lists], names=["q", "qv", "ids", "d", "done"])
+
+    return walk
+
+
+def search(graph: DataFrame, queries: DataFrame, root: str, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
     """queries (q, qv, start) to (q, id, d): the beam's nodes nearest to qv by a greedy walk from start."""
-    edges = graph.select("u", "w").unionByName(graph.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct()
-    edges = edges.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.xxhash64("u", "w")))).filter(F.col("r") <= 4 * DEGREE).drop("r")
-    edges = S.materialised(edges, f"{root}/edges")
-
-    def measured(pairs):
-        return pairs.join(queries.select("q", "qv"), "q").join(nodes, "id").select("q", "id", "qv", "v").mapInArrow(_distance, "q long, id long, d double")
-
-    held = S.materialised(measured(queries.select("q", F.col("start").alias("id"))).withColumn("done", F.lit(False)), f"{root}/beam0")
+    parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    walk = _walking(beam)
+    def next_(held, reached, path):
+        both = _dealt(held, "q", parts).groupBy("p").cogroup(_dealt(reached.select(F.col("q").alias("qq"), F.col("id").alias("id"), F.col("v").alias("v")), "qq", parts).groupBy("p"))
+        return S.materialised(both.applyInArrow(walk, "q long, qv array<float>, ids array<long>, d array<double>, done array<boolean>"), path)
+
+    vectors = graph.select("id", "v")
+    held = queries.select("q", "qv", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("d"), F.array().cast("array<boolean>").alias("done"))
+    start = queries.select("q", F.col("start").alias("id"))
+    held = next_(held, start.join(vectors, "id").select("q", "id", "v"), f"{root}/beam0")
     for k in range(1, steps + 1):
-        open_ = held.filter("not done")
+        open_ = held.select("q", F.explode(F.arrays_zip("ids", "done")).alias("c")).filter("not c.done").select("q", F.col("c.ids").alias("id"))
         if open_.isEmpty():
             break
-        reached = open_.join(edges, open_.id == edges.u).select("q", F.col("w").alias("id")).distinct().join(held.select("q", "id"), ["q", "id"], "left_anti")
-        both = held.withColumn("done", F.lit(True)).unionByName(measured(reached).withColumn("done", F.lit(False)))
-        w = Window.partitionBy("q").orderBy("d", "id")
-        held = S.materialised(both.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= beam).drop("r"), f"{root}/beam{k}")
-    return held.select("q", "id", "d")
+        reached = open_.join(graph.select("id", "w"), "id").select("q", F.explode("w").alias("id")).distinct().join(vectors, "id").select("q", "id", "v")
+        held = next_(held, reached, f"{root}/beam{k}")
+    return held.select("q", F.explode(F.arrays_zip("ids", "d")).alias("c")).select("q", F.col("c.ids").alias("id"), F.col("c.d").alias("d"))
 
 
 def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = 10, every: int = 100, seed: int = 7) -> DataFrame:
@@ -200,7 +279,7 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", top
     graph = build_graph(nodes.select("id", "v"), root, dim, seed=seed)
     queries = good.filter(F.col("id") % every == 0).select(F.col("id").alias("row"), "h").distinct().join(nodes.select("h", F.col("id").alias("q")), "h").select("row", "q")
     walks = queries.select("q").distinct().join(nodes.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q").withColumn("start", F.col("q"))
-    found = search(graph, nodes.select("id", "v"), S.materialised(walks, f"{root}/walks"), root)
+    found = S.materialised(search(graph, S.materialised(walks, f"{root}/walks"), root), f"{root}/found")
     # the nodes' smallest keys, salted so that a vector of a third of all rows is no one task's
     members = good.select("h", F.col("id").alias("vec_id"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
     for by in (["h", "salt"], ["h"]):
