@@ -55,7 +55,7 @@ def remove(uri: str) -> None:
 
 def materialised(df: DataFrame, path: str) -> DataFrame:
     """Writes df to path and reads it again: cuts lineage, and lets what df was made from be deleted."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

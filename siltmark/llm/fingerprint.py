@@ -81,10 +81,10 @@ def likeness(pairs: DataFrame, root: str) -> DataFrame:
     sides are alike.
     """
     first = pairs.withColumn("r", F.expr(peel(subtract("sa", "sb"), CELLS, 100)))
-    first = first.select("row", "pair", F.size("a").alias("na"), F.size("b").alias("nb"), F.expr("r.pos").alias("pos"), F.expr("r.neg").alias("neg"), F.expr("r.done").alias("done"), F.expr("if(r.done, null, a)").alias("a"), F.expr("if(r.done, null, b)").alias("b"))
+    first = first.select("row", "pair", F.size("a").alias("na"), F.size("b").alias("nb"), F.expr("r.pos").alias("pos"), F.expr("r.neg").alias("neg"), F.expr("r.done").alias("done"), F.expr("if(r.done, null, concat(a, b))").alias("ab"))
     first = S.materialised(first, f"{root}/first")
     # larger: a sketch a block, each tried with more cells and another salt until it can be peeled
-    open_ = first.filter("not done").withColumn("u", F.explode(F.expr(f"concat({signed('a', 1)}, {signed('b', -1)})")))
+    open_ = first.filter("not done").withColumn("u", F.explode(F.expr("transform(ab, (d, i) -> named_struct('s', if(i < na, 1, -1), 'd', d))")))
     open_ = open_.withColumn("block", F.expr(f"pmod(xxhash64(u.d, 55), cast(ceil((na + nb) / {BLOCK_DIGESTS}.0) as int))"))
     blocks = open_.groupBy("row", "pair", "block").agg(F.collect_list("u").alias("us"))
     exact = "named_struct('pos', size(array_except(transform(filter(us, u -> u.s = 1), u -> u.d), transform(filter(us, u -> u.s = -1), u -> u.d))), 'neg', size(array_except(transform(filter(us, u -> u.s = -1), u -> u.d), transform(filter(us, u -> u.s = 1), u -> u.d))), 'done', true)"
@@ -136,7 +136,10 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text", e
     cut = f"cast(length(text) div {edited_share} as int)"
     rows = rows.withColumn("edited", F.expr(f"concat(left(text, length(text) - {cut}), left(next_text, {cut}))"))
     made = rows.select("row", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("e"), F.expr(digests("next_text")).alias("x"))
+    # one array, in which what the three texts share is near itself and so compresses
+    made = made.select("row", "doc_id", "n_chars", "edited_sha256", F.size("a").alias("na"), F.size("e").alias("ne"), F.concat("a", "e", "x").alias("d"))
     made = S.materialised(made, f"{root}/digests")
+    made = made.select("row", "doc_id", "n_chars", "edited_sha256", F.expr("slice(d, 1, na)").alias("a"), F.expr("slice(d, na + 1, ne)").alias("e"), F.expr("slice(d, na + ne + 1, size(d))").alias("x"))
     cells = {c: sketch(signed(c, 1), CELLS, 100) for c in "aex"}
     made = made.select("*", *(F.expr(q).alias(f"s{c}") for c, q in cells.items()))
     pairs = made.select("row", "a", "sa", F.explode(F.array(F.struct(F.lit(0).alias("pair"), F.col("e").alias("b"), F.col("se").alias("sb")), F.struct(F.lit(1).alias("pair"), F.col("x").alias("b"), F.col("sx").alias("sb")))).alias("p"))
