@@ -214,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, str], root: str
 
 
 class _Score:
-    def __init__(self, chain: Chain, column: str, columns: list[str]):
-        self.chain, self.column, self.columns = chain, column, columns
+    def __init__(self, chain: Chain, column: str, columns: list[str], made: str):
+        self.chain, self.column, self.columns, self.made = chain, column, columns, made
 
     def __call__(self, it):
         make = Featurizer(self.chain.chosen)
@@ -224,7 +224,7 @@ class _Score:
                 part = rb.slice(a, 2000)
                 rows = [make(x) for x in part.column(self.column).to_pylist()]
                 p = self.chain.scores([r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in self.columns), pa.array(list(p), pa.list_(pa.float64()))], names=[*self.columns, "_p"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in self.columns), pa.array(list(p), pa.list_(pa.float64()))], names=[*self.columns, self.made])
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -232,8 +232,11 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | N
     keep = docs.columns if keep is None else keep
     need = list(dict.fromkeys([*keep, text]))
     kinds = dict(docs.dtypes)
-    out = docs.select(*need).mapInArrow(_Score(chain, text, keep), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_p array<double>"]))
-    return out.select(*keep, *(F.col("_p")[k].alias(f"p_{c}") for k, c in enumerate(chain.categories)))
+    made = "_p"
+    while made in keep:
+        made += "_"
+    out = docs.select(*need).mapInArrow(_Score(chain, text, keep, made), ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"{made} array<double>"]))
+    return out.select(*keep, *(F.col(made)[k].alias(f"p_{c}") for k, c in enumerate(chain.categories)))
 
 
 #: The categories that the labels have, in the chain's order: what makes a text unusable, then whether it is toxic.
