@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from siltmark.llm import idplanes, packing, tokens
 from siltmark.llm.queries import QUERIES, tokenizer_file
 
-ODD = ["", " ", "a", "I'll've", "x<|endoftext|>y <|startoftext|>", "é ́e", " a b　c\x1cd\x85e", "ÀÉ ΑΣ İ ß ﬁ", "1234 5.6,7", "日本語 テスト", "a" * 5000, "\U0001f600\U0001f600 !!", "tab\tnew\nline\r\x0b\x0c"]
+ODD = ["", " ", "a", "I'll've", "x<|endoftext|>y <|startoftext|>", "é ́e", " a b　c\x1cd\x85e", "ÀÉ ΑΣ İ ß ﬁ", "1234 5.6,7", "日本語 テスト", "a" * 5000, "\U0001f600\U0001f600 !!", "tab\tnew\nline\r\x0b\x0c", "a\x01b \x01 \x01\x01 c"]
 
 
 def library(texts):
