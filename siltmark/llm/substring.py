@@ -157,7 +157,7 @@ class _Cut:
         edge[w.end[kept] + 1] -= 1  # the space after a kept word stays too
         mask = np.cumsum(edge[:-1], dtype=np.int8) > 0
         data = w.data.copy()
-        data[WHITE_AT(data)] = 0x20
+        data[S.WHITE[data]] = 0x20
         out = data[mask].tobytes()
         ends = np.concatenate(([0], np.cumsum(mask)))[w.row_start]
         texts = [out[a : max(a, b - 1)] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -167,10 +167,6 @@ class _Cut:
         return pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols.values()], names=list(cols))
 
 
-def WHITE_AT(data):
-    return S.WHITE[data]
-
-
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, keep_text: bool = False) -> DataFrame:
     """Removes each word covered by a window of ``window`` words that also starts in a document with a smaller key.
 
