@@ -59,10 +59,6 @@ def materialised(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def count_rows(df: DataFrame) -> int:
-    return df.count()
-
-
 # ---------------------------------------------------------------- batches
 
 
@@ -118,6 +114,7 @@ def batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     for rb in it:
         for b, data in zip(rb.column("batch"), rb.column("data"), strict=True):
             yield b.as_py(), unpack(data.as_buffer())
+        pa.default_memory_pool().release_unused()  # a worker outlives its tasks
 
 
 def column_bytes(t: pa.Table, name: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,6 +173,7 @@ def _resolver(resolve: Callable) -> Callable:
         t = t.sort_by("batch")
         p = t.column("p")[0].as_py()
         out = resolve(p, [x.as_buffer() for x in t.column("request")])
+        pa.default_memory_pool().release_unused()
         return pa.table({"batch": t.column("batch"), "p": t.column("p"), "reply": pa.array(out, pa.binary())})
 
     return answer

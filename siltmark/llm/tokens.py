@@ -14,7 +14,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Words that one Python worker keeps; beyond that it starts anew. Bounds memory, not results.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 700_000
 #: Bytes of text that are put together at once.
 SLICE_BYTES = 2 << 20
 

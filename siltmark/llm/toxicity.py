@@ -28,7 +28,7 @@ BALANCE = 0.3
 #: Weight of the standardised figures beside word features, which weigh 1.
 FIGURES = 0.3
 #: Words a worker keeps the features of.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 DENSE = ("words", "mean_length", "symbols", "digits", "distinct", "upper")
 
@@ -220,8 +220,8 @@ class _Score:
     def __call__(self, it):
         make = Featurizer(self.chain.chosen)
         for rb in it:
-            for a in range(0, rb.num_rows, 2000):
-                part = rb.slice(a, 2000)
+            for a in range(0, rb.num_rows, 500):
+                part = rb.slice(a, 500)
                 rows = [make(x) for x in part.column(self.column).to_pylist()]
                 p = self.chain.scores([r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in self.columns), pa.array(list(p), pa.list_(pa.float64()))], names=[*self.columns, self.made])
