@@ -2,8 +2,9 @@
 
 A graph of each vector's nearest neighbours found so far is begun from rows that lie side by side along random
 directions, and refined by iterative joins: each vector's neighbours, forward and reverse, meet, and pairs of them
-become neighbours where they are nearer than what they have. Queries walk the graph greedily: the nearest candidates
-found so far are expanded by their neighbours until none is left to expand. Equal vectors are one node.
+become neighbours where they are nearer than what they have. Queries walk the graph greedily, both ways along its
+edges: the nearest candidates found so far are expanded by their neighbours until none is left to expand; a query holds
+the more candidates the more nodes there are. Equal vectors are one node.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ DEGREE, REVERSE = 20, 40
 DIRECTIONS, REACH = 3, 12
 #: Rounds of descent at most; they end when fewer than this share of edges is new.
 ROUNDS, STILL = 6, 0.01
-#: Candidates that a query holds, and steps of its walk at most.
-BEAM, STEPS = 80, 5
+#: Candidates that a query holds at least.
+BEAM = 80
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -208,55 +209,137 @@ def build_graph(nodes: DataFrame, root: str, dim: int, degree: int = DEGREE, see
     return graph
 
 
+def _place(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The partition that a node's row is dealt to."""
+    return (S.mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def _placed(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """df with p, the partition of the node named by a column."""
+
+    def place(it):
+        for rb in it:
+            yield rb.append_column("p", pa.array(_place(np.asarray(rb.column(column)), parts)))
+
+    return df.mapInArrow(place, df.withColumn("p", F.lit(0)).schema)
+
+
+def _both_ways(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Nodes (id, v, w) with those that list them (of, by, d), the nearest REVERSE, after those they list."""
+    ids = np.asarray(left.column("id").combine_chunks())
+    w, off = _rows_of(left.column("w"))
+    order = np.argsort(ids)
+    of, by, d = (np.asarray(right.column(c).combine_chunks()) for c in ("of", "by", "d"))
+    at = order[np.searchsorted(ids[order], of)] if len(of) else of
+    keep = np.lexsort((by, d, at))
+    first = S.runs(at[keep])
+    rank = np.arange(len(keep)) - np.repeat(first, np.diff(np.append(first, len(keep))))
+    keep = keep[rank < REVERSE]
+    at, w = np.concatenate((np.repeat(np.arange(len(ids)), np.diff(off)), at[keep])), np.concatenate((w, by[keep])).astype(np.int64)
+    keep = np.lexsort((w, at))
+    new = np.ones(len(keep), bool)
+    new[1:] = (at[keep][1:] != at[keep][:-1]) | (w[keep][1:] != w[keep][:-1])
+    keep = keep[new]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(at[keep], minlength=len(ids))))).astype(np.int32))
+    return pa.table([left.column("id"), left.column("v"), pa.ListArray.from_arrays(offsets, pa.array(w[keep])), left.column("p")], names=["id", "v", "w", "p"])
+
+
+def _asking(parts: int):
+    def ask(it):
+        """Each query to the partitions of the nodes it asks for, once to each: (p, q, qv, far, ask)."""
+        for rb in it:
+            nodes, off = _rows_of(rb.column("ask"))
+            if not len(nodes):
+                continue
+            of, p = np.repeat(np.arange(rb.num_rows), np.diff(off)), _place(nodes, parts)
+            order = np.lexsort((p, of))
+            of, p, nodes = of[order], p[order], nodes[order]
+            first = S.runs(of * parts + p)
+            row = pa.array(of[first])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)).astype(np.int32)), pa.array(nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(p[first]), *(rb.column(c).take(row) for c in ("q", "qv", "far")), lists], names=["p", "q", "qv", "far", "ask"])
+
+    return ask
+
+
+def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of the nodes asked for, those nearer than the query's farthest candidate, with their neighbours: (q, id, d, w)."""
+    ids, v = np.asarray(left.column("id").combine_chunks()), matrix(left.column("v"))
+    q, qv, far = np.asarray(right.column("q").combine_chunks()), matrix(right.column("qv")), np.asarray(right.column("far").combine_chunks())
+    nodes, off = _rows_of(right.column("ask"))
+    of, order = np.repeat(np.arange(len(q)), np.diff(off)), np.argsort(ids)
+    at = order[np.searchsorted(ids[order], nodes)] if len(nodes) else nodes.astype(np.int64)
+    d = np.zeros(len(at))
+    for a in range(0, len(at), 1 << 16):
+        z = slice(a, a + (1 << 16))
+        d[z] = np.sqrt(((qv[of[z]] - v[at[z]]) ** 2).sum(1))
+    ok = np.flatnonzero(d < far[of])
+    w = left.column("w").combine_chunks()
+    w = pa.concat_arrays(w.chunks) if isinstance(w, pa.ChunkedArray) else w
+    return pa.table([pa.array(q[of[ok]], pa.int64()), pa.array(ids[at[ok]], pa.int64()), pa.array(d[ok]), w.take(pa.array(at[ok]))], names=["q", "id", "d", "w"])
+
+
 def _walking(beam: int):
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Queries (q, qv, ids, d, done) and what their open candidates led to (q, id, v): the beam's nearest."""
-        qs, qv = np.asarray(left.column("q").combine_chunks()), matrix(left.column("qv"))
+        """Queries (q, qv, far, ids, d, ask) and the answers (q, id, d, w): the beam's nearest, and the neighbours of the new ones to ask for."""
+        qs = np.asarray(left.column("q").combine_chunks())
         row = {k: n for n, k in enumerate(qs.tolist())}
         ids, off = _rows_of(left.column("ids"))
         d, _ = _rows_of(left.column("d"))
-        at2 = np.fromiter((row.get(k, -1) for k in np.asarray(right.column("qq").combine_chunks()).tolist()), np.int64, right.num_rows)
-        d2 = np.sqrt(((qv[at2] - matrix(right.column("v"))) ** 2).sum(1)) if right.num_rows else np.zeros(0)
+        at2 = np.fromiter((row[k] for k in np.asarray(right.column("q").combine_chunks()).tolist()), np.int64, right.num_rows)
         at = np.concatenate((np.repeat(np.arange(len(qs)), np.diff(off)), at2))
+        had = len(at) - len(at2)
         ids = np.concatenate((ids, np.asarray(right.column("id").combine_chunks()))).astype(np.int64)
-        d = np.concatenate((d, d2)).astype(np.float64)
-        new = np.arange(len(at)) >= len(at) - len(at2)
-        keep = np.lexsort((new, ids, at))  # a candidate that is there already stays expanded
-        same = np.zeros(len(keep), bool)
-        same[1:] = (at[keep][1:] == at[keep][:-1]) & (ids[keep][1:] == ids[keep][:-1])
-        keep = keep[~same]
-        keep = keep[np.lexsort((ids[keep], d[keep], at[keep]))]
+        d = np.concatenate((d, np.asarray(right.column("d").combine_chunks()))).astype(np.float64)
+        keep = np.lexsort((ids, d, at))
         first = S.runs(at[keep])
         rank = np.arange(len(keep)) - np.repeat(first, np.diff(np.append(first, len(keep))))
         keep = keep[rank < beam]
-        offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(at[keep], minlength=len(qs))))).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[keep], d[keep], ~new[keep])]
-        return pa.table([left.column("q"), left.column("qv"), *lists], names=["q", "qv", "ids", "d", "done"])
+        n = np.bincount(at[keep], minlength=len(qs))
+        ends, far = np.cumsum(n), np.full(len(qs), np.inf)
+        far[n >= beam] = d[keep][ends[n >= beam] - 1]
+        # neighbours of what is new in the beam, each once, that are not in it
+        new = keep[keep >= had] - had
+        w, woff = _rows_of(right.column("w"))
+        size = np.diff(woff)[new] if len(new) else np.zeros(0, np.int64)
+        start = np.repeat(woff[:-1][new] if len(new) else size, size)
+        ask = w[start + np.arange(len(start)) - np.repeat(np.cumsum(size) - size, size)].astype(np.int64) if len(start) else np.zeros(0, np.int64)
+        of = np.concatenate((at[keep], np.repeat(at[new + had], size)))
+        ask = np.concatenate((ids[keep], ask))
+        order = np.lexsort((np.arange(len(ask)), ask, of))  # what is in the beam comes first of its equals
+        once = np.ones(len(order), bool)
+        once[1:] = (of[order][1:] != of[order][:-1]) | (ask[order][1:] != ask[order][:-1])
+        order = order[once & (order >= len(keep))]
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(k, minlength=len(qs))))).astype(np.int32)), pa.array(x)) for k, x in ((at[keep], ids[keep]), (at[keep], d[keep]), (of[order], ask[order]))]
+        return pa.table([left.column("q"), left.column("qv"), pa.array(far), *lists], names=["q", "qv", "far", "ids", "d", "ask"])
 
     return walk
 
 
-def search(graph: DataFrame, queries: DataFrame, root: str, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """queries (q, qv, start) to (q, id, d): the beam's nodes nearest to qv by a greedy walk from start."""
+def search(graph: DataFrame, queries: DataFrame, root: str, beam: int) -> DataFrame:
+    """queries (q, qv, start) to (q, id, d): the beam's nodes nearest to qv by a greedy walk from start, until none is open."""
     parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    walk = _walking(beam)
-    def next_(held, reached, path):
-        both = _dealt(held, "q", parts).groupBy("p").cogroup(_dealt(reached.select(F.col("q").alias("qq"), F.col("id").alias("id"), F.col("v").alias("v")), "qq", parts).groupBy("p"))
-        return S.materialised(both.applyInArrow(walk, "q long, qv array<float>, ids array<long>, d array<double>, done array<boolean>"), path)
-
-    vectors = graph.select("id", "v")
-    held = queries.select("q", "qv", F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("d"), F.array().cast("array<boolean>").alias("done"))
-    start = queries.select("q", F.col("start").alias("id"))
-    held = next_(held, start.join(vectors, "id").select("q", "id", "v"), f"{root}/beam0")
-    for k in range(1, steps + 1):
-        open_ = held.select("q", F.explode(F.arrays_zip("ids", "done")).alias("c")).filter("not c.done").select("q", F.col("c.ids").alias("id"))
-        if open_.isEmpty():
-            break
-        reached = open_.join(graph.select("id", "w"), "id").select("q", F.explode("w").alias("id")).distinct().join(vectors, "id").select("q", "id", "v")
-        held = next_(held, reached, f"{root}/beam{k}")
+    listed = _placed(graph.select(F.explode(F.arrays_zip("w", "d")).alias("c"), F.col("id").alias("by")).select(F.col("c.w").alias("of"), "by", F.col("c.d").alias("d")), "of", parts)
+    nodes = _placed(graph.select("id", "v", "w"), "id", parts).groupBy("p").cogroup(listed.groupBy("p")).applyInArrow(_both_ways, "id long, v array<float>, w array<long>, p int")
+    nodes = S.materialised(nodes, f"{root}/both")
+    held = queries.select("q", "qv", F.lit(float("inf")).alias("far"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("d"), F.array("start").alias("ask"))
+    k = 0
+    while not held.filter(F.size("ask") > 0).isEmpty():
+        asked = held.mapInArrow(_asking(parts), "p int, q long, qv array<float>, far double, ask array<long>")
+        told = nodes.groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(_answer, "q long, id long, d double, w array<long>")
+        both = _placed(held, "q", parts).groupBy("p").cogroup(_placed(told, "q", parts).groupBy("p"))
+        held = S.materialised(both.applyInArrow(_walking(beam), "q long, qv array<float>, far double, ids array<long>, d array<double>, ask array<long>"), f"{root}/beam{k}")
+        if k:
+            S.remove(f"{root}/beam{k - 1}")
+        k += 1
     return held.select("q", F.explode(F.arrays_zip("ids", "d")).alias("c")).select("q", F.col("c.ids").alias("id"), F.col("c.d").alias("d"))
 
 
+def beam_for(nodes: int) -> int:
+    """Candidates that a query holds: neighbours grow harder to find as nodes grow more."""
+    return max(BEAM, int(2 * nodes**0.5))
+
+
 def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = 10, every: int = 100, seed: int = 7) -> DataFrame:
     """The top nearest rows, by Euclidean distance in doubles, of each row whose key is divisible by ``every``.
 
@@ -279,7 +362,7 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", top
     graph = build_graph(nodes.select("id", "v"), root, dim, seed=seed)
     queries = good.filter(F.col("id") % every == 0).select(F.col("id").alias("row"), "h").distinct().join(nodes.select("h", F.col("id").alias("q")), "h").select("row", "q")
     walks = queries.select("q").distinct().join(nodes.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q").withColumn("start", F.col("q"))
-    found = S.materialised(search(graph, S.materialised(walks, f"{root}/walks"), root), f"{root}/found")
+    found = S.materialised(search(graph, S.materialised(walks, f"{root}/walks"), root, beam_for(nodes.count())), f"{root}/found")
     # the nodes' smallest keys, salted so that a vector of a third of all rows is no one task's
     members = good.select("h", F.col("id").alias("vec_id"), F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
     for by in (["h", "salt"], ["h"]):

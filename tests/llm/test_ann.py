@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
+from siltmark.llm import _shared as S
 from siltmark.llm import ann
 from siltmark.llm.queries import QUERIES
 
@@ -58,3 +59,17 @@ def test_edges(spark):
     assert ann.nearest(spark.createDataFrame([(0, [1.0], 1, 2.0, 3)], schema)).count() == 0
     twice = ann.nearest(spark.createDataFrame([(0, [1.0], 1, 2.0, 3)] * 2 + [(1, [2.0], 1, 2.0, 3)], schema)).collect()
     assert [(r.vec_id, r.score) for r in sorted(twice, key=lambda r: r.rank)][:2] == [(0, 0.0), (1, 1.0)]
+
+
+def test_walk_goes_on_until_no_candidate_is_open(spark):
+    nodes = spark.createDataFrame([(k, [float(k), 1.0], [k + 1] if k < 30 else [], [1.0] if k < 30 else []) for k in range(31)], "id long, v array<float>, w array<long>, d array<double>")
+    queries = spark.createDataFrame([(0, [30.0, 1.0], 0)], "q long, qv array<float>, start long")
+    got = ann.search(nodes, queries, S.shared_root(spark), beam=4).collect()
+    assert sorted((r.d, r.id) for r in got) == [(0.0, 30), (1.0, 29), (2.0, 28), (3.0, 27)]
+
+
+def test_recall_of_many_random_vectors(spark):
+    ids, x = np.arange(20_000), np.random.default_rng(5).standard_normal((20_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = ann.nearest(spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<float>")).collect()
+    assert recall(got, brute(ids, x.astype(np.float64))) >= 0.95
