@@ -87,55 +87,98 @@ def _rows_of(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
+def _members(seed: int):
+    def members(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Nodes with those they list and a choice of those that list them (of, by, old), and the partitions all those are in."""
+        ids, parts = np.asarray(left.column("id").combine_chunks()), left.column("parts")[0].as_py() if left.num_rows else 1
+        w, off = _rows_of(left.column("w"))
+        old, _ = _rows_of(left.column("old"))
+        of, by, old2 = (np.asarray(right.column(c).combine_chunks()) for c in ("of", "by", "old"))
+        order = np.argsort(ids)
+        at2 = order[np.searchsorted(ids[order], of)] if len(of) else of.astype(np.int64)
+        at = np.repeat(np.arange(len(ids)), np.diff(off))
+        # every node that lists this one meets it, so its partition needs this vector, chosen or not
+        own = np.arange(len(ids))
+        to = np.unique(np.concatenate((own, at, at2)) * parts + _place(np.concatenate((ids, w, by)).astype(np.int64), parts))
+        # new ones first, then by a seeded choice
+        keep = np.lexsort((S.mix(by.astype(np.uint64) ^ S.mix(of.astype(np.uint64) + np.uint64(seed))), old2, at2))
+        first = S.runs(at2[keep])
+        rank = np.arange(len(keep)) - np.repeat(first, np.diff(np.append(first, len(keep))))
+        keep = keep[rank < REVERSE]
+        at, w, old = np.concatenate((at, at2[keep])), np.concatenate((w, by[keep])).astype(np.int64), np.concatenate((old, old2[keep])).astype(bool)
+        keep = np.lexsort((old, w, at))
+        new = np.ones(len(keep), bool)
+        new[1:] = (at[keep][1:] != at[keep][:-1]) | (w[keep][1:] != w[keep][:-1])
+        keep = keep[new]
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(k, minlength=len(ids))))).astype(np.int32)), pa.array(x)) for k, x in ((at[keep], w[keep]), (at[keep], old[keep]), (to // parts, (to % parts).astype(np.int32)))]
+        return pa.table([left.column("id"), left.column("v"), left.column("far"), left.column("p"), *lists], names=["id", "v", "far", "p", "w", "old", "to"])
+
+    return members
+
+
 def _messages(it):
-    """Each node to itself and to its neighbours: (x, u, v, far, old)."""
+    """Each node's vector to each partition where it takes part, once, and to its own with its members: (p, id, v, far, w, old)."""
     for rb in it:
         if not rb.num_rows:
             continue
-        ids, far = np.asarray(rb.column("id")), np.asarray(rb.column("far"))
-        w, off = _rows_of(rb.column("w"))
-        old, _ = _rows_of(rb.column("old"))
-        of = np.repeat(np.arange(len(ids)), np.diff(off))
-        row = np.concatenate((of, np.arange(len(ids))))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((w, ids))), pa.array(ids[row]), rb.column("v").take(pa.array(row)), pa.array(far[row]), pa.array(np.concatenate((old.astype(bool), np.zeros(len(ids), bool))))], names=["x", "u", "v", "far", "old"])
+        to, off = _rows_of(rb.column("to"))
+        of = np.repeat(np.arange(rb.num_rows), np.diff(off))
+        row = pa.array(of)
+        away = pa.array(to != np.asarray(rb.column("p"))[of])
+        lists = (pa.compute.if_else(away, pa.scalar(None, rb.column(c).type), rb.column(c).take(row)) for c in ("w", "old"))
+        yield pa.RecordBatch.from_arrays([pa.array(to), *(rb.column(c).take(row) for c in ("id", "v", "far")), *lists], names=["p", "id", "v", "far", "w", "old"])
 
 
-def _meeting(seed: int):
+def _meeting(degree: int):
     def meet(t: pa.Table) -> pa.Table:
-        """Pairs of those that meet at a node, nearer than the farthest that either has; not two old ones."""
-        at, u, old, far = (np.asarray(t.column(c).combine_chunks()) for c in ("x", "u", "old", "far"))
-        v = matrix(t.column("v"))
-        # the node itself first, then new ones, then by a seeded choice
-        h = S.mix(u.astype(np.uint64) ^ S.mix(at.astype(np.uint64) + np.uint64(seed)))
-        order = np.lexsort((h, old, u != at, at))
-        first = S.runs(at[order])
-        size = np.diff(np.append(first, len(order)))
-        rank = np.arange(len(order)) - np.repeat(first, size)
-        order = order[rank <= REVERSE]
-        at, u, old, far, v = at[order], u[order], old[order], far[order], v[order]
-        first = S.runs(at)
-        size = np.diff(np.append(first, len(at)))
-        out_u, out_w, out_d = [], [], []
-        for m in np.unique(size).tolist():
-            if m < 2:
-                continue
-            starts = first[size == m]
-            step = max(1, (1 << 22) // (m * m * max(1, v.shape[1] // 16)))
-            i, j = np.triu_indices(m, 1)
-            for k in range(0, len(starts), step):
-                rows = starts[k : k + step, None] + np.arange(m)
-                x = v[rows]
-                sq = (x * x).sum(2)
-                d = np.sqrt(np.maximum(sq[:, i] + sq[:, j] - 2 * np.einsum("gik,gjk->gij", x, x)[:, i, j], 0))
-                a, b = u[rows][:, i], u[rows][:, j]
-                ok = (a != b) & ~(old[rows][:, i] & old[rows][:, j])
-                for p, q, limit in ((a, b, far[rows][:, i]), (b, a, far[rows][:, j])):
-                    use = ok & (d < limit)
-                    out_u.append(p[use])
-                    out_w.append(q[use])
-                    out_d.append(d[use])
-        cat = lambda z, kind: pa.array(np.concatenate(z) if z else [], kind)
-        return pa.table({"u": cat(out_u, pa.int64()), "w": cat(out_w, pa.int64()), "d": cat(out_d, pa.float64())})
+        """Of all pairs of a node and its members, not two old ones, the nearest of each that are nearer than its farthest."""
+        t = t.sort_by("id")
+        ids, far, v = np.asarray(t.column("id").combine_chunks()), np.array(t.column("far").combine_chunks()), matrix(t.column("v"))
+        here = t.filter(pa.compute.is_valid(t.column("w")))
+        w, off = _rows_of(here.column("w"))
+        old, _ = _rows_of(here.column("old"))
+        size = np.diff(off)
+        # a node is its own first member; what it lists anew meets it, what it lists since earlier has met it
+        wide = 1 + int(size.max(initial=0))
+        who, used, stale = np.zeros((len(size), wide), np.int64), np.zeros((len(size), wide), bool), np.ones((len(size), wide), bool)
+        who[:, 0], used[:, 0] = np.searchsorted(ids, np.asarray(here.column("id").combine_chunks())), True
+        at = np.repeat(np.arange(len(size)), size)
+        nth = 1 + np.arange(len(w)) - np.repeat(off[:-1], size)
+        who[at, nth], used[at, nth], stale[at, nth] = np.searchsorted(ids, w), True, old.astype(bool)
+        sq = (v * v).sum(1)
+        held, more, waiting = np.zeros((2, 0), np.int64), [], 0
+        dist = np.zeros(0)
+        order = np.argsort(size, kind="stable")
+        k = 0
+        while k < len(order) or more:
+            if k < len(order):
+                step = max(1, min(256, (1 << 20) // int(1 + size[order[min(len(order) - 1, k + 256)]]) ** 2))
+                rows = order[k : k + step]
+                k += step
+                m = 1 + int(size[rows].max())
+                a, x = who[rows, :m], v[who[rows, :m]]
+                near = sq[a][:, :, None] + sq[a][:, None, :] - 2 * np.matmul(x, x.transpose(0, 2, 1))
+                slack = 1e-9 * sq[a][:, :, None] + far[a][:, :, None] ** 2
+                ok = (near <= slack) & used[rows, :m, None] & used[rows, None, :m] & ~(stale[rows, :m, None] & stale[rows, None, :m])
+                g, i, j = np.nonzero(ok)
+                more.append(a[g, i] * len(ids) + a[g, j])
+                waiting += len(g)
+            if waiting > 1 << 20 or k >= len(order):
+                pair = np.unique(np.concatenate(more))
+                i, j = pair // len(ids), pair % len(ids)
+                d = np.concatenate([np.sqrt(((v[i[z : z + 65536]] - v[j[z : z + 65536]]) ** 2).sum(1)) for z in range(0, max(1, len(i)), 65536)])
+                use = (i != j) & (d < far[i])
+                held, dist = np.concatenate((held, np.stack((i[use], j[use]))), axis=1), np.concatenate((dist, d[use]))
+                first = np.unique(held[0] * len(ids) + held[1], return_index=True)[1]
+                held, dist = held[:, first], dist[first]
+                by = np.lexsort((held[1], dist, held[0]))
+                start = S.runs(held[0][by])
+                rank = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by))))
+                last = by[rank == degree - 1]
+                far[held[0][last]] = np.minimum(far[held[0][last]], dist[last])  # nothing farther can stay
+                by = by[rank < degree]
+                held, dist, more, waiting = held[:, by], dist[by], [], 0
+        return pa.table({"u": pa.array(ids[held[0]], pa.int64()), "w": pa.array(ids[held[1]], pa.int64()), "d": pa.array(dist)})
 
     return meet
 
@@ -187,6 +230,15 @@ def _merged(graph: DataFrame, found: DataFrame, degree: int, parts: int, path: s
     return S.materialised(both.applyInArrow(_merging(degree), GRAPH), path)
 
 
+def descend(graph: DataFrame, degree: int, seed: int, parts: int, path: str) -> DataFrame:
+    """A round: at each node, it, all that it lists and REVERSE of those that list it meet."""
+    listed = _placed(graph.select(F.explode(F.arrays_zip("w", "old")).alias("c"), F.col("id").alias("by")).select(F.col("c.w").alias("of"), "by", F.col("c.old").alias("old")), "of", parts)
+    nodes = _placed(graph.select("id", "v", "far", "w", "old", F.lit(parts).alias("parts")), "id", parts)
+    both = nodes.groupBy("p").cogroup(listed.groupBy("p")).applyInArrow(_members(seed), "id long, v array<float>, far double, p int, w array<long>, old array<boolean>, to array<int>")
+    met = both.mapInArrow(_messages, "p int, id long, v array<float>, far double, w array<long>, old array<boolean>")
+    return _merged(graph, met.groupBy("p").applyInArrow(_meeting(degree), "u long, w long, d double"), degree, parts, path)
+
+
 def build_graph(nodes: DataFrame, root: str, dim: int, degree: int = DEGREE, seed: int = 7) -> DataFrame:
     """nodes (id, v) to rows (id, v, far, w, d, old, fresh): each node's nearest neighbours w found, at distances d."""
     spark = nodes.sparkSession
@@ -200,8 +252,7 @@ def build_graph(nodes: DataFrame, root: str, dim: int, degree: int = DEGREE, see
     none = nodes.select("id", "v", F.lit(float("inf")).alias("far"), F.array().cast("array<long>").alias("w"), F.array().cast("array<double>").alias("d"), F.array().cast("array<boolean>").alias("old"), F.lit(0).alias("fresh"))
     graph = _merged(none, first, degree, parts, f"{root}/graph0")
     for k in range(1, ROUNDS + 1):
-        met = _dealt(graph.mapInArrow(_messages, "x long, u long, v array<float>, far double, old boolean"), "x", parts)
-        graph = _merged(graph, met.groupBy("p").applyInArrow(_meeting(seed + k), "u long, w long, d double"), degree, parts, f"{root}/graph{k}")
+        graph = descend(graph, degree, seed + k, parts, f"{root}/graph{k}")
         S.remove(f"{root}/graph{k - 1}")
         new, total = graph.agg(F.sum("fresh"), F.sum(F.size("w"))).first()
         if (new or 0) <= STILL * max(1, total or 0):

@@ -73,3 +73,12 @@ def test_recall_of_many_random_vectors(spark):
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     got = ann.nearest(spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<float>")).collect()
     assert recall(got, brute(ids, x.astype(np.float64))) >= 0.95
+
+
+def test_neighbours_that_a_node_lists_meet_each_other_and_those_that_list_it(spark):
+    at = {0: 0.0, 1: 10.0, 2: 11.0, 3: 50.0, 4: 60.0, 5: 9.0}
+    lists = {0: [1, 2], 1: [3, 4], 2: [3, 4], 3: [4], 4: [3], 5: [0]}  # 0 lists 1 and 2; 5 lists 0
+    rows = [(k, [at[k], 1.0], float("inf"), w, [abs(at[k] - at[x]) for x in w], [False] * len(w), 0) for k, w in lists.items()]
+    got = {r.id: r.w for r in ann.descend(spark.createDataFrame(rows, ann.GRAPH), 4, 7, 4, f"{S.shared_root(spark)}/round").collect()}
+    assert 2 in got[1] and 1 in got[2]
+    assert {1, 2} <= set(got[5]) and 5 in got[1]
