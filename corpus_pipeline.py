@@ -21,11 +21,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of near-duplicates; repeated rows of it stay one row."""
-    found = jaccard.similar(docs.select("doc_id", "text"))
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return named.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    """The smallest row, by doc_id and then text, of each component of near-duplicates; equal doc_id with other text is another row."""
+    root = S.shared_root(spark)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = docs.filter("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    rows = S.materialised(once.select("doc_id", "text", "rest.*").withColumn("row", F.monotonically_increasing_id()), f"{root}/rows")
+    found = jaccard.similar(rows.select("row", "text"), key="row").select("row", "component_id")
+    keys = rows.select("row", "doc_id", F.sha2("text", 256).alias("digest"))
+    kept = found.join(keys, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "row")).alias("least")).select(F.col("least.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,11 @@ def test_empty_and_null_documents_pass(spark, tmp_path):
     assert cp.run(spark, sf).count() >= 1
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{sf}/documents.parquet")
     assert cp.run(spark, sf).count() == 0
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (3, a), (4, ""), (4, ""), (5, None), (None, a)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in cp.one_of_each_group(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (3, c), (4, ""), (5, None), (None, a)], key=str)
