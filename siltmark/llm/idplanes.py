@@ -6,7 +6,8 @@ File layout (integers little-endian)::
 
 A chunk holds ``chunk_ids`` consecutive ids (the last fewer); its planes are stored one after the other, and an all-zero
 plane has length 0. The footer's chunk index gives each chunk's offset, number of ids and plane lengths, so that any
-range of ids is read without the rest. The document index holds key, first id and number of ids of each document.
+range of ids is read without the rest. The document index holds key, first id, number of ids and a mark of a null key of
+each document.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import _shared as S
 from .tokens import encoded
 
-MAGIC = b"SMPLANE1"
+MAGIC = b"SMPLANE2"
 CHUNK_IDS = 1 << 16
 
 
@@ -64,10 +65,10 @@ class Writer:
         self.out.write(data)
         return len(data)
 
-    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """Documents with their numbers of ids and their ids one after the other."""
+    def add(self, keys: np.ndarray, counts: np.ndarray, ids: np.ndarray, null: np.ndarray | None = None) -> None:
+        """Documents with their numbers of ids and their ids one after the other; null marks keys that are null."""
         starts = self.n_ids + np.cumsum(counts) - counts
-        self.docs.append(np.stack([keys, starts, counts]).astype("<i8"))
+        self.docs.append(np.stack([keys, starts, counts, np.zeros(len(keys), np.int64) if null is None else null]).astype("<i8"))
         self.n_ids += len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
@@ -86,7 +87,7 @@ class Writer:
     def close(self) -> None:
         if self.n_held:
             self._chunk(np.concatenate(self.held))
-        docs = np.concatenate(self.docs, axis=1) if self.docs else np.zeros((3, 0), "<i8")
+        docs = np.concatenate(self.docs, axis=1) if self.docs else np.zeros((4, 0), "<i8")
         index = self.z.compress(docs.tobytes())
         foot = {"mode": self.mode, "chunk_ids": self.chunk_ids, "n_ids": self.n_ids, "n_docs": docs.shape[1], "docs": [self.at, len(index)], "chunks": self.chunks}
         self._put(index)
@@ -113,8 +114,8 @@ class Reader:
         return self.src.read(n)
 
     def documents(self) -> np.ndarray:
-        """3 rows: key, first id, number of ids."""
-        return np.frombuffer(self.z.decompress(self._at(*self.foot["docs"])), "<i8").reshape(3, -1)
+        """4 rows: key, first id, number of ids, whether the key is null."""
+        return np.frombuffer(self.z.decompress(self._at(*self.foot["docs"])), "<i8").reshape(4, -1)
 
     def chunk(self, k: int) -> np.ndarray:
         if self._kept[0] != k:
@@ -146,23 +147,21 @@ class _Write:
         writer, first = None, None
         part = TaskContext.get().partitionId()
         for rb in it:
-            keys = np.asarray(pa.compute.fill_null(rb.column(0), np.iinfo(np.int64).min)).astype(np.int64)
+            keys, null = np.asarray(pa.compute.fill_null(rb.column(0), 0)).astype(np.int64), np.asarray(rb.column(0).is_null())
             for at, ids, counts in encoded(self.tokenizer, rb.column(1)):
                 if self.end_id is not None:
                     ends = np.cumsum(counts)
                     ids, counts = np.insert(ids, ends, self.end_id), counts + 1
                 if writer is None:
-                    # an attempt writes under a name of its own; the last to end gives the same bytes the final name
+                    # an attempt writes under a name of its own, and the manifest names the attempt that counts
                     fs.create_dir(top)
-                    temp = f"{top}/.{part:08d}-{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(temp)
-                    writer, first = Writer(out, self.mode, self.chunk_ids), keys[0]
-                writer.add(keys[at : at + len(counts)], counts, ids)
+                    name = f"part-{part:08d}-{uuid.uuid4().hex}.ids"
+                    out = fs.open_output_stream(f"{top}/{name}")
+                    writer, first = Writer(out, self.mode, self.chunk_ids), rb.column(0)[0].as_py()
+                writer.add(keys[at : at + len(counts)], counts, ids, null[at : at + len(counts)])
         if writer is not None:
             writer.close()
             out.close()
-            name = f"part-{part:08d}.ids"
-            fs.move(temp, f"{top}/{name}")
             yield pa.RecordBatch.from_pydict({"file": pa.array([name]), "part": pa.array([part], pa.int64()), "first_key": pa.array([first], pa.int64()), "n_ids": pa.array([writer.n_ids], pa.int64())})
 
 
@@ -172,14 +171,13 @@ class _Read:
 
     def __call__(self, it):
         fs, top = S.open_fs(self.root)
-        none = np.iinfo(np.int64).min
         for rb in it:
             for name, base in zip(rb.column("file").to_pylist(), rb.column("base").to_pylist(), strict=True):
                 with fs.open_input_file(f"{top}/{name}") as src:
                     r = Reader(src)
-                    keys, starts, counts = r.documents()
+                    keys, starts, counts, null = r.documents()
                     crc = [zlib.crc32(r.ids(a, n).tobytes()) for a, n in zip(starts.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, mask=keys == none), "start": pa.array(starts + base), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, mask=null > 0), "start": pa.array(starts + base), "n_tokens": pa.array(counts), "ids_crc32": pa.array(crc, pa.int64())})
 
 
 def write_ids(docs: DataFrame, root: str, tokenizer: str, end_id: int | None = 1, key: str = "doc_id", text: str = "text", mode: str = "byte", chunk_ids: int = CHUNK_IDS) -> DataFrame:

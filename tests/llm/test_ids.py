@@ -4,6 +4,7 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -23,17 +24,24 @@ def library(texts):
 
 def test_encoder_equals_library():
     enc = tokens.Encoder(tokenizer_file())
-    ids, counts = enc.encode([t.encode() for t in ODD])
+    ids, counts = enc.encode(pa.array(ODD))
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library(ODD)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet=st.characters(codec="utf-8"), max_size=40), max_size=5))
 def test_encoder_equals_library_on_any_text(texts):
-    ids, counts = tokens.encoder(tokenizer_file()).encode([t.encode() for t in texts])
+    ids, counts = tokens.encoder(tokenizer_file()).encode(pa.array(texts, pa.string()))
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts))][: len(texts)] == library(texts)
 
 
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="white space"):
+        tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @pytest.mark.parametrize("mode", ["byte", "bit"])
 @pytest.mark.parametrize("n", [0, 1, 7, 100, 1000])
 def test_planes_round_trip(mode, n):
@@ -50,7 +58,7 @@ def test_planes_round_trip(mode, n):
             return len(self.getvalue())
 
     r = idplanes.Reader(Src(out.getvalue()))
-    keys, starts, lens = r.documents()
+    keys, starts, lens, _ = r.documents()
     assert keys.tolist() == list(range(5)) and lens.tolist() == counts.tolist()
     assert np.concatenate([r.ids(a, k) for a, k in zip(starts.tolist(), lens.tolist())]).tolist() == ids.tolist()
     with pytest.raises(ValueError):
@@ -126,3 +134,38 @@ def test_plan_uses_each_piece_once(counts):
         for n, k in pattern:
             used[n] += k * times
     assert used.tolist() == counts
+
+
+EDGES = [(3, "b a", "x"), (None, "null key", "x"), (-(1 << 63), "least key", "x"), (3, None, "x"), (5, "", "x"), (3, "b a", "x"), (9, "Word " * 60_000, "x"), (9, "a" * 40_000, "x")]
+
+
+def test_id_files_with_odd_rows(spark, tmp_path):
+    """Null, least and repeated keys, null, empty and very long texts, a column with a clashing name."""
+    docs = spark.createDataFrame(EDGES, "doc_id long, text string, k string").repartition(3)
+    root = f"file://{tmp_path}/ids"
+    got = idplanes.read_ids(spark, root, idplanes.write_ids(docs, root, tokenizer_file())).collect()
+    order = sorted(EDGES, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want, at = [], 0
+    for key, text, _ in order:
+        ids = [*library([text or ""])[0], 1]
+        want.append((key, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
+
+
+def test_id_files_of_no_documents(spark, tmp_path):
+    root = f"file://{tmp_path}/none"
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert idplanes.read_ids(spark, root, idplanes.write_ids(empty, root, tokenizer_file())).collect() == []
+
+
+def test_packing_of_odd_rows(spark):
+    rows = packing.pack(spark.createDataFrame(EDGES, "doc_id long, text string, rank string"), tokenizer_file()).collect()
+    lens = sorted((len(library([t or ""])[0]) + 1 for _, t, _ in EDGES), reverse=True)
+    assert sum(r.length for r in rows) == sum(lens) and len(rows) == sum(-(-n // 2048) for n in lens)
+    for seq in {r.sequence_id for r in rows}:
+        at = 0
+        for r in sorted((r for r in rows if r.sequence_id == seq), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
