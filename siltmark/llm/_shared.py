@@ -6,7 +6,8 @@ share it, so a lost executor costs a re-run of its tasks only. Nothing is kept i
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,23 +19,26 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text in one staged batch. A batch sends one row to each exchange partition, so on very large inputs raise
-#: it (512 MB at 100 TB) to keep these rows from becoming tiny.
-BATCH_BYTES = 4 << 20
+#: Bytes of text in one staged batch, at least and at most, and rows at most. A batch sends one row to each exchange
+#: partition, so batches grow with the square root of the input and these rows do not become tiny.
+BATCH_BYTES, MOST_BYTES, BATCH_ROWS = 4 << 20, 512 << 20, 1 << 18
 #: Bytes of requests that one exchange partition should hold.
 PART_BYTES = 12 << 20
 
 M64 = (1 << 64) - 1
+_LIBC = ctypes.CDLL(None)
 
 
 # ---------------------------------------------------------------- shared folder
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A new folder's URI below spark.checkpoint.dir; a temporary folder is set as that only where it is unset."""
+    """A new folder's URI below spark.checkpoint.dir; a folder of the warehouse is set as that only where it is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="siltmark-")
+        # unset: the warehouse, which executors share too
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_state"
+        top = "file://" + top[5:] if top.startswith("file:/") and not top.startswith("file://") else top
         spark.conf.set("spark.checkpoint.dir", top)
     if "://" not in top and not top.startswith("file:"):
         top = "file://" + top
@@ -62,59 +66,84 @@ def materialised(df: DataFrame, path: str) -> DataFrame:
 # ---------------------------------------------------------------- batches
 
 
-def stage(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, weight: str = "text") -> DataFrame:
-    """Writes df as batches, one row each: (batch, n_rows, n_bytes, data), data being an Arrow stream of all columns.
+def batch_bytes(df: DataFrame, least: int = BATCH_BYTES) -> int:
+    """Bytes of a batch for so much input as the plan's statistics tell: 4 MB at 0.5 GB, 60 MB at 100 GB, 512 MB from 8 TB."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(MOST_BYTES, int(180 * min(known, 1 << 50) ** 0.5))) if known < 1 << 60 else least
+
+
+def stage(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, weight: str = "text", derive: Callable[[pa.Table], bytes] | None = None) -> DataFrame:
+    """Writes df as batches, one row each: (batch, n_rows, n_bytes, data[, keys]), data being an Arrow stream of all columns.
 
     ``weight`` is the column that a batch's size is counted by. A batch is written once, so that each later pass sees
-    the same rows in the same order under the same number.
+    the same rows in the same order under the same number. ``derive`` makes keys of a batch's table, which later passes
+    find in the table's metadata instead of making them anew.
     """
-    schema = "batch long, n_rows long, n_bytes long, data binary"
-    out = df.mapInArrow(_Pack(batch_bytes, weight), schema)
+    schema = "batch long, n_rows long, n_bytes long, data binary" + ", keys binary" * bool(derive)
+    out = df.mapInArrow(_Pack(batch_bytes, weight, derive), schema)
     out.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
 class _Pack:
-    def __init__(self, batch_bytes: int, weight: str):
-        self.batch_bytes, self.weight = batch_bytes, weight
+    def __init__(self, batch_bytes: int, weight: str, derive: Callable[[pa.Table], bytes] | None):
+        self.batch_bytes, self.weight, self.derive = batch_bytes, weight, derive
 
     def __call__(self, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, seq, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
+        first, seq, held, size, rows = TaskContext.get().partitionId() << 24, 0, [], 0, 0
         for rb in it:
             lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(rb.column(self.weight)), 0)).astype(np.int64) + 16
             at, ends = 0, np.cumsum(lens)
             while at < rb.num_rows:
                 before = int(ends[at - 1]) if at else 0
                 to = int(np.searchsorted(ends, before + self.batch_bytes - size, "left")) + 1
-                to = min(to, rb.num_rows)
+                to = min(to, rb.num_rows, at + BATCH_ROWS - rows)
                 held.append(rb.slice(at, to - at))
-                size += int(ends[to - 1]) - before
+                size, rows = size + int(ends[to - 1]) - before, rows + to - at
                 at = to
-                if size >= self.batch_bytes:
+                if size >= self.batch_bytes or rows >= BATCH_ROWS:
                     yield self._row(first + seq, held, size)
-                    seq, held, size = seq + 1, [], 0
+                    seq, held, size, rows = seq + 1, [], 0, 0
         if held:
             yield self._row(first + seq, held, size)
 
-    @staticmethod
-    def _row(batch: int, held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
+    def _row(self, batch: int, held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.schema) as w:
             w.write_table(t)
-        return pa.RecordBatch.from_pydict({"batch": pa.array([batch], pa.int64()), "n_rows": pa.array([t.num_rows], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        row = {"batch": pa.array([batch], pa.int64()), "n_rows": pa.array([t.num_rows], pa.int64()), "n_bytes": pa.array([size], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
+        if self.derive:
+            row["keys"] = pa.array([self.derive(t)], pa.binary())
+        return pa.RecordBatch.from_pydict(row)
 
 
 def unpack(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all().combine_chunks()
 
 
+def release(trim: bool = False) -> None:
+    """Gives back what this worker does not use: it outlives its tasks, and the next stage's need the memory. trim: the C heap too."""
+    pa.default_memory_pool().release_unused()
+    if trim:
+        _POWERS.clear()
+        gc.collect()
+        if hasattr(_LIBC, "malloc_trim"):
+            _LIBC.malloc_trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """The staged batches of a task, one at a time."""
-    for rb in it:
-        for b, data in zip(rb.column("batch"), rb.column("data"), strict=True):
-            yield b.as_py(), unpack(data.as_buffer())
-        pa.default_memory_pool().release_unused()  # a worker outlives its tasks
+    try:
+        for rb in it:
+            for k in range(rb.num_rows):
+                t = unpack(rb.column("data")[k].as_buffer()) if "data" in rb.schema.names else pa.table({})
+                if "keys" in rb.schema.names:
+                    t = t.replace_schema_metadata({b"keys": rb.column("keys")[k].as_py()})
+                yield rb.column("batch")[k].as_py(), t
+            release()
+    finally:
+        release(trim=True)
 
 
 def column_bytes(t: pa.Table, name: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,19 +169,19 @@ def int_column(t: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 def parts_for(spark: SparkSession, n_bytes: float) -> int:
     """Exchange partitions for so many bytes of requests: by size, and enough for all of this session's tasks."""
-    return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(60_000, -(-int(n_bytes) // PART_BYTES)), 4))
+    return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // PART_BYTES), 4))
 
 
 def exchange(staged: DataFrame, emit: Callable, resolve: Callable, parts: int, path: str) -> str:
     """Each batch asks, each partition answers all that was asked there, each batch can read its answers.
 
     emit(batch, table) yields (part, request bytes) with 0 <= part < parts; resolve(part, [request bytes]) returns as
-    many reply bytes. A batch sends at most one row to a part, whatever number of its rows hold a key, so one key that
+    many reply bytes. Columns that emit does not need may be dropped from staged. A batch sends at most one row to a part, whatever number of its rows hold a key, so one key that
     is in a third of all documents costs a part no more than one entry a batch. Replies are written to ``path`` by
     batch; see replies().
     """
     spark = staged.sparkSession
-    asked = staged.select("batch", "data").mapInArrow(_Emit(emit), "p int, batch long, request binary")
+    asked = staged.drop("n_rows", "n_bytes").mapInArrow(_Emit(emit), "p int, batch long, request binary")
     told = asked.groupBy("p").applyInArrow(_resolver(resolve), "batch long, p int, reply binary")
     told.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "batch").write.mode("overwrite").option("compression", "zstd").partitionBy("batch").parquet(path)
     return path
@@ -173,7 +202,7 @@ def _resolver(resolve: Callable) -> Callable:
         t = t.sort_by("batch")
         p = t.column("p")[0].as_py()
         out = resolve(p, [x.as_buffer() for x in t.column("request")])
-        pa.default_memory_pool().release_unused()
+        release(trim=True)
         return pa.table({"batch": t.column("batch"), "p": t.column("p"), "reply": pa.array(out, pa.binary())})
 
     return answer
@@ -212,7 +241,7 @@ def powers(base: int, n: int) -> np.ndarray:
         p = np.full(max(n, 1 << 16), base, np.uint64)
         p[0] = 1
         np.multiply.accumulate(p, out=p)
-        if n > 64 << 20:
+        if n > 8 << 20:  # not kept: a very long text must not stay in every worker
             return p[:n]
         _POWERS[base] = have = p
     return have[:n]

@@ -28,7 +28,7 @@ BLOCK_SETS = 2000
 #: Sets of a leaf of the signature tree.
 LEAF = 32
 BATCH_BYTES = 2 << 20
-SEQ = 18  # bits of a row in its batch
+SEQ = 18  # bits of a row in its batch, which holds S.BATCH_ROWS at most
 TOKEN, LOW = np.uint64(46), np.uint64((1 << 46) - 1)
 #: Share of a set, in percent, that its longer prefix has beyond the shortest one that must meet a partner's.
 BEYOND = 15
@@ -444,7 +444,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     their texts are the same; other columns are ignored; an empty table gives none.
     """
     spark, root = docs.sparkSession, S.shared_root(docs.sparkSession)
-    staged = S.stage(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), f"{root}/docs", BATCH_BYTES)
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    staged = S.stage(texts, f"{root}/docs", S.batch_bytes(texts, BATCH_BYTES))
     total = staged.agg(F.sum("n_bytes")).first()[0] or 0
     base = _Base(n, S.parts_for(spark, total / 100))
     rows = S.materialised(staged.select("batch", "data").mapInArrow(_Rows(base), "doc_id long, k1 long, k2 long, node long, n_shingles long"), f"{root}/rows")

@@ -176,7 +176,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     spark, root = docs.sparkSession, S.shared_root(docs.sparkSession)
     block = (window + 1) // 2
-    staged = S.stage(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), f"{root}/docs")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    staged = S.stage(rows, f"{root}/docs", S.batch_bytes(rows))
     total = staged.agg(F.sum("n_bytes")).first()[0] or 0
     probe = _Probe(block, S.parts_for(spark, total))
     hits = S.exchange(staged, probe, _answer_probes, probe.parts, f"{root}/hits")

@@ -142,17 +142,30 @@ class _Segments:
         h2 = (S.span_hash(q, a, b + length, S.BASES[1]) >> np.uint64(32)).astype(np.uint32)
         return raw, off, p, a, b, S.mix(g[anchor[a]]), h1, h2
 
-    def keys(self, t):
-        raw, off, p, a, b, anchor, h1, h2 = self.find(t)
+    def derive(self, t) -> bytes:
+        """What later passes need of a batch's segments, made once: where each is, and the distinct ones with their hashes."""
+        *_, a, b, anchor, h1, h2 = self.find(t)
         order = np.lexsort((h2, h1, anchor))
         x, y, z = anchor[order], h1[order], h2[order]
         new = np.ones(len(order), bool)
         new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])
         first = np.flatnonzero(new)
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.cumsum(new) - 1
         multi = np.diff(np.append(first, len(order))) > 1
-        return raw, off, p, a, b, order, first, place, multi, x[first], y[first], z[first]
+        return b"".join((np.array([len(a), len(first)], np.int64).tobytes(), x[first].tobytes(), y[first].tobytes(), z[first].tobytes(), order[first].astype(np.int32).tobytes(), a.astype(np.int64).tobytes(), (b - a).astype(np.int32).tobytes(), place.tobytes(), S.bits(multi)))
+
+    @staticmethod
+    def keys(t):
+        """First and last string start of each segment, its number among the distinct ones, and of these a segment, whether there are several, and the hashes."""
+        data = t.schema.metadata[b"keys"]
+        n, m = np.frombuffer(data, np.int64, 2).tolist()
+        at, out = 16, []
+        for kind, k in ((np.uint64, m), (np.uint64, m), (np.uint32, m), (np.int32, m), (np.int64, n), (np.int32, n), (np.int32, n)):
+            out.append(np.frombuffer(data, kind, k, at))
+            at += out[-1].nbytes
+        x, y, z, one, a, wide, place = out
+        return a, a + wide, place, one, S.unbits(data[at:], m), x, y, z
 
     def __call__(self, batch, t):
         *_, multi, x, y, z = self.keys(t)
@@ -198,7 +211,8 @@ class _Strings:
         self.segments, self.told, self.parts = segments, told, parts
 
     def keys(self, batch, t):
-        raw, off, p, a, b, order, first, place, multi, x, y, z = self.segments.keys(t)
+        a, b, place, one, _, x, _, _ = self.segments.keys(t)
+        raw, off, _ = S.column_bytes(t)
         flags, told = np.zeros((3, len(x)), bool), S.replies(self.told, batch)
         for q, i, j in S.slices(x, self.segments.parts):
             k = (j - i + 7) // 8
@@ -207,12 +221,12 @@ class _Strings:
         twice, mixed, here = flags
         # one segment of each kind that is to be looked at further, by its first place in the batch
         look = np.flatnonzero(mixed & (~twice | here))
-        seg = order[first[look]]
+        seg = one[look]
         n = b[seg] - a[seg] + 1
         of = np.repeat(np.arange(len(seg)), n)
         start = a[seg][of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        h = S.span_hash(p, start, start + self.segments.length, S.BASES[0])
-        return raw, off, a, b, place, twice, look, seg, of, start, h
+        h = S.span_hash(S.prefix_hash(S.BYTE_VALUES[raw], S.BASES[0]), start, start + self.segments.length, S.BASES[0])
+        return raw, off, a, b, place, twice, look, x[look], of, start, h
 
     def __call__(self, batch, t):
         *_, twice, look, _, of, _, h = self.keys(batch, t)
@@ -255,7 +269,7 @@ class _Stretches:
         self.strings, self.told, self.parts = strings, told, parts
 
     def keys(self, batch, t):
-        raw, off, a, b, place, twice, look, seg, of, start, h = self.strings.keys(batch, t)
+        raw, off, a, b, place, twice, look, anchors, of, start, h = self.strings.keys(batch, t)
         order = np.argsort(h)
         s = h[order]
         first = S.runs(s)
@@ -269,19 +283,18 @@ class _Stretches:
         last = maybe.copy()
         last[:-1] &= ~(maybe[1:] & (of[1:] == of[:-1]))
         i, j = np.flatnonzero(new), np.flatnonzero(last)
-        return raw, off, a, b, place, twice, look, of, start, i, j
+        return raw, off, a, b, place, twice, look, anchors, of, start, i, j
 
     def entries(self, batch, t):
         """By part: [(text, whether its strings are known to be repeated, the stretches that have it)]."""
-        raw, off, a, b, place, twice, look, of, start, i, j = self.keys(batch, t)
-        *_, anchors, _, _ = self.strings.segments.keys(t)
-        part = S.part_of(S.mix(anchors[look][of[i]] ^ np.uint64(0x9E3779B97F4A7C15)), self.parts) if len(i) else i
+        raw, off, a, b, place, twice, look, anchors, of, start, i, j = self.keys(batch, t)
+        part = S.part_of(S.mix(anchors[of[i]] ^ np.uint64(0x9E3779B97F4A7C15)), self.parts) if len(i) else i
         data, out = raw.tobytes(), {}
         for k in range(len(i)):
             text = data[start[i[k]] : start[j[k]] + self.strings.segments.length]
             known = bool(twice[look[of[i[k]]]])
             mine = out.setdefault(int(part[k]), {})
-            had = mine.setdefault((int(anchors[look[of[i[k]]]]), text), [known, []])
+            had = mine.setdefault((int(anchors[of[i[k]]]), text), [known, []])
             had[0] |= known or bool(had[1])
             had[1].append(k)
         return out, (raw, off, a, b, place, twice, look, of, start, i, j)
@@ -362,7 +375,7 @@ class _Cut:
         cols = {"doc_id": t.column(self.key).combine_chunks(), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(lost[off]).astype(np.int64)), "n_spans": pa.array(np.diff(spans[off]).astype(np.int64)), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())}
         if self.text:
             cols["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string())
-            cols |= {c: t.column(c).combine_chunks() for c in t.column_names if c not in (self.key, "text")}
+            cols |= {c: t.column(c).combine_chunks() for c in t.column_names if c not in ("doc_id", "text")}
         return pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in cols.values()], names=list(cols))
 
 
@@ -378,17 +391,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         raise ValueError(f"strings of at least {GRAM} bytes")
     spark, root = docs.sparkSession, S.shared_root(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in keep or []))
-    staged = S.stage(rows, f"{root}/docs", BATCH_BYTES)
+    staged = S.stage(rows, f"{root}/docs", S.batch_bytes(rows, BATCH_BYTES), derive=_Segments(length, 0).derive)
     total = staged.agg(F.sum("n_bytes")).first()[0] or 0
     segments = _Segments(length, S.parts_for(spark, total / 4))
-    one = S.exchange(staged, segments, _answer_segments, segments.parts, f"{root}/segments")
+    one = S.exchange(staged.drop("data"), segments, _answer_segments, segments.parts, f"{root}/segments")
     strings = _Strings(segments, one, S.parts_for(spark, total / 2))
     two = S.exchange(staged, strings, _answer_strings, strings.parts, f"{root}/strings")
     stretches = _Stretches(strings, two, S.parts_for(spark, total / 2))
     three = S.exchange(staged, stretches, _sorter(length), stretches.parts, f"{root}/suffixes")
     kinds = dict(rows.dtypes)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" + "".join(f", `_{c}` {kinds[f'_{c}']}" for c in keep) if keep is not None else "")
-    out = S.materialised(staged.select("batch", "data").mapInArrow(_Cut(stretches, three, "doc_id", keep is not None), schema), f"{root}/result")
+    out = S.materialised(staged.select("batch", "data", "keys").mapInArrow(_Cut(stretches, three, "doc_id", keep is not None), schema), f"{root}/result")
     for x in ("docs", "segments", "strings", "suffixes"):
         S.remove(f"{root}/{x}")
     out = out.withColumnRenamed("doc_id", key)
