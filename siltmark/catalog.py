@@ -28,6 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from .plans import corpus, fixtures, records  # noqa: F401
+    from .plans import corpus, fixtures, records, sources  # noqa: F401
 
 load()

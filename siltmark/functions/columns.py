@@ -38,17 +38,6 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def loc(text: Column, comment: str = "#") -> Column:
-    """Lines that are neither blank nor comments."""
-    return F.size(F.filter(lines(text), lambda x: (F.trim(x) != "") & ~F.startswith(F.ltrim(x), F.lit(comment))))
-
-
-def nesting(text: Column, width: int = 4) -> Column:
-    """Deepest indent of a line that is not blank, in steps of width."""
-    indents = F.transform(F.filter(lines(text), lambda x: F.trim(x) != ""), lambda x: F.length(x) - F.length(F.ltrim(x)))
-    return F.coalesce(F.floor(F.array_max(indents) / width), F.lit(0)).cast("int")
-
-
 def flags(text: Column, patterns) -> Column:
     """Names of the patterns that a text matches, in their order."""
     return F.array_compact(F.array(*[F.when(text.rlike(p[1]), F.lit(p[0])) for p in patterns]))
@@ -63,29 +52,6 @@ def external_calls(text: Column) -> Column:
     return flags(text, fixed.EXTERNAL_CALLS)
 
 
-def strip_python(text: Column) -> Column:
-    """Without triple-quoted and quoted strings and comments."""
-    for pattern in (r'(?s)""".*?"""', r"(?s)'''.*?'''", r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'", r"#[^\n]*"):
-        text = F.regexp_replace(text, pattern, "")
-    return text
-
-
-def strip_script(text: Column) -> Column:
-    """Without comments and quoted or template strings."""
-    for pattern in (r"(?s)/\*.*?\*/", r"//[^\n]*", r"(?s)`(?:[^`\\]|\\.)*`", r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'"):
-        text = F.regexp_replace(text, pattern, "")
-    return text
-
-
-def python_complexity(text: Column) -> Column:
-    """Mean over def blocks of 1 + branches + half of the and/or operators; 0 without a def."""
-    blocks = F.slice(F.split(strip_python(text), r"(?m)^(?=\s*(?:async\s+)?def\s)"), 2, 1 << 20)
-    count = lambda x, p: F.size(F.regexp_extract_all(x, F.lit(p), F.lit(0)))
-    each = F.transform(blocks, lambda b: 1.0 + count(b, r"\b(?:if|elif|for|while|except|with|case)\b") + 0.5 * count(b, r"\b(?:and|or)\b"))
-    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(blocks) > 0, total / F.size(blocks)).otherwise(0.0)
-
-
 def truncated(text: Column, limit: int = 150_000) -> Column:
     return F.struct(F.substring(text, 1, limit).alias("text"), (F.length(text) > limit).alias("truncated"))
 
@@ -127,8 +93,9 @@ def failure_class(message: Column) -> Column:
 
 
 def route_params(path: Column) -> Column:
-    """Names in {braces} or after colons, braces first."""
-    return F.concat(F.regexp_extract_all(path, F.lit(r"\{(\w+)\}"), F.lit(1)), F.regexp_extract_all(path, F.lit(r":(\w+)"), F.lit(1)))
+    """Names in {braces} or after colons, in the order of the path."""
+    both = lambda g: F.regexp_extract_all(path, F.lit(r"\{(\w+)\}|:(\w+)"), F.lit(g))
+    return F.zip_with(both(1), both(2), lambda a, b: F.when(a != "", a).otherwise(b))
 
 
 # ---- paths

@@ -4,27 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import fixed
 from ..functions import columns as C
 
-PYTHON_FROM = r"(?m)^\s*from\s+([.\w]+)\s+import\s+\(?([^)\n#]+)"
-PYTHON_IMPORT = r"(?m)^\s*import\s+([^\n#]+)"
-SCRIPT_IMPORT = r"""(?:import|export)\s+(?:[\w*{}\s,$]+\s+from\s+)?["']([^"']+)["']|require\(\s*["']([^"']+)["']\s*\)"""
-
-
-def python_imports(text: Column) -> Column:
-    """Imported modules and, for lower-case members, module.member, in order and each once."""
-    heads, tails = F.regexp_extract_all(text, F.lit(PYTHON_FROM), F.lit(1)), F.regexp_extract_all(text, F.lit(PYTHON_FROM), F.lit(2))
-    names = lambda x: F.filter(F.transform(F.split(x, ","), lambda n: F.regexp_extract(F.trim(n), r"^(\w+)", 1)), lambda n: n.rlike("^[a-z_]"))
-    from_ = F.flatten(F.zip_with(heads, tails, lambda h, t: F.concat(F.array(h), F.transform(names(t), lambda n: F.concat(h, F.when(h.endswith("."), F.lit("")).otherwise(F.lit(".")), n)))))
-    plain = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PYTHON_IMPORT), F.lit(1)), lambda x: F.transform(F.split(x, ","), lambda n: F.regexp_extract(F.trim(n), r"^([\w.]+)", 1))))
-    return F.filter(F.array_distinct(F.concat(from_, plain)), lambda x: x != "")
-
-
-def script_imports(text: Column) -> Column:
-    both = F.concat(F.regexp_extract_all(text, F.lit(SCRIPT_IMPORT), F.lit(1)), F.regexp_extract_all(text, F.lit(SCRIPT_IMPORT), F.lit(2)))
-    return F.filter(F.array_distinct(both), lambda x: x != "")
-
-
 def module_keys(files: DataFrame, repo: str = "repo_id") -> DataFrame:
     """(repo, key, path): every name a file can be imported by. A whole key beats a suffix; of equal claims the first path wins.
 
@@ -64,7 +46,20 @@ def candidates(imports: DataFrame, aliases: dict[str, str]) -> DataFrame:
     return imports.select("*", F.posexplode(keys).alias("rank", "key"))
 
 
-def resolve(imports: DataFrame, index: DataFrame, external: DataFrame, aliases: dict[str, str] | None = None, repo: str = "repo_id") -> DataFrame:
+def unresolved_reason(raw: Column, language: Column, aliases: list[str]) -> Column:
+    """Why an import names no file: built dynamically, by an alias unknown here, a package's folder, or a file not scanned."""
+    dynamic = raw.rlike("|".join(_literal(m) for m in fixed.DYNAMIC_MARKS))
+    known = raw.rlike("^(?:" + "|".join(_literal(a.rstrip("*")) for a in aliases) + ")") if aliases else F.lit(False)
+    dotted = F.split(F.regexp_replace(raw, r"^\.+", ""), r"\.")
+    folder = (language == "python") & (F.size(dotted) >= 2) & F.lower(F.element_at(dotted, -1)).isin(*fixed.PACKAGE_FOLDERS)
+    return F.when(dynamic, "dynamic_import").when((language != "python") & ~known & F.startswith(raw, F.lit("@")), "alias_unknown").when(folder, "ambiguous_package_import").otherwise("file_not_scanned")
+
+
+def _literal(x: str) -> str:
+    return "\\Q" + x + "\\E"
+
+
+def resolve(imports: DataFrame, index: DataFrame, external=tuple(fixed.EXTERNAL_ROOTS), aliases: dict[str, str] | None = None, repo: str = "repo_id") -> DataFrame:
     """Edges (repo, source, raw, target, confidence, reason): the best key that the index has wins.
 
     A member import whose module resolves too is left out; what no file answers is external where its root is a known
@@ -81,9 +76,9 @@ def resolve(imports: DataFrame, index: DataFrame, external: DataFrame, aliases:
     rows = rows.filter("target is not null").unionByName(rows.filter("target is null").join(found, [repo, "source", "_parent"], "left_anti").select(rows.columns)).drop("_parent")
     own = F.col("target") == F.col("source")
     rows = rows.withColumn("target", F.when(own, None).otherwise(F.col("target")))
-    root = F.regexp_extract("raw", r"^(@[^/]+/[^/]+|[^./]+)", 1)
-    inside = rows.filter("target is not null").unionByName(rows.filter("target is null").withColumn("root", root).join(F.broadcast(external), "root", "left_anti").select(rows.columns))
-    reason = F.when(F.col("target").isNotNull(), None).when(F.col("raw").rlike(r"[$`{]"), "dynamic_import").when(F.col("raw").rlike(r"^[@~]"), "alias_unknown").when(F.startswith(F.col("raw"), F.lit(".")), "file_not_scanned").otherwise("package_import")
+    root = F.lower(F.regexp_extract(F.regexp_replace("raw", r"^\.+", ""), r"^(@[^/]*|[^./]*)", 1))
+    inside = rows.filter("target is not null").unionByName(rows.filter(F.col("target").isNull() & ~root.isin(*external)))
+    reason = F.when(F.col("target").isNull(), unresolved_reason(F.col("raw"), F.col("language"), list(aliases)))
     return inside.select(repo, "source", "raw", "target", F.when(F.col("target").isNotNull(), "confirmed").otherwise("unresolved").alias("confidence"), reason.alias("reason"))
 
 

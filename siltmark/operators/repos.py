@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import fixed
-from ..functions import columns as C
+from ..functions import columns as C, parse
 
 
 def package_json_dependencies(text: Column) -> Column:
@@ -16,6 +18,7 @@ def package_json_dependencies(text: Column) -> Column:
 
 
 def package_json_scripts(text: Column) -> Column:
+    """Names of a manifest's scripts."""
     return F.coalesce(F.json_object_keys(F.get_json_object(text, "$.scripts")), F.array().cast("array<string>"))
 
 
@@ -87,34 +90,60 @@ def stack(repos: DataFrame, key: str = "repo_id") -> DataFrame:
     return repos.select(key, F.explode(F.filter(items, lambda x: F.size(x["evidence"]) > 0)).alias("s")).select(key, "s.*")
 
 
+def framework_key(name: Column) -> Column:
+    """A framework's key among the route patterns; generic for others."""
+    known = {k: v for k, v in fixed.FRAMEWORK_ALIASES.items() if any(p[0] == v for p in fixed.ROUTE_PATTERNS)}
+    return C.lookup(F.lower(F.trim(name)), known, "generic")
+
+
 def routes(files: DataFrame, framework: str, key: str = "path", text: str = "content") -> DataFrame:
-    """(file, line, method, route, params): the first pattern of a framework that a line matches, each (method, route) of a file once."""
-    patterns = [p for p in fixed.ROUTE_PATTERNS if p[0] == framework] or [p for p in fixed.ROUTE_PATTERNS if p[0] == "fastapi"]
-    rows = files.select(F.col(key).alias("file"), F.posexplode(C.lines(F.col(text))).alias("pos", "x"))
-    hit = F.coalesce(*[F.when(F.col("x").rlike(p), F.struct(F.upper(F.regexp_extract("x", p, m) if m else F.lit("ANY")).alias("method"), F.regexp_extract("x", p, g).alias("route"))) for _, p, m, g in patterns])
-    rows = rows.withColumn("h", hit).filter("h is not null")
-    first = rows.groupBy("file", "h.method", "h.route").agg(F.min("pos").alias("pos"))
-    return first.select("file", (F.col("pos") + 1).alias("line"), "method", "route", C.route_params(F.col("route")).alias("params"))
+    """(file, line, method, route, params) of a framework's patterns, generic ones for an unknown framework.
+
+    A pattern gives the first match of a line, and each method of a list of methods; each (method, route) of a file
+    counts once, by the first pattern and line that has it. Routes over 200 characters and empty ones do not count.
+    """
+    patterns = [p for p in fixed.ROUTE_PATTERNS if p[0] == framework] or [p for p in fixed.ROUTE_PATTERNS if p[0] == "generic"]
+    patterns = [p for p in patterns if p[3]]
+    any_hit = reduce(lambda a, b: a | b, [F.col("x").rlike(p[1]) for p in patterns]) if patterns else F.lit(False)
+    rows = files.select(F.col(key).alias("file"), F.posexplode(parse.text_lines(F.col(text))).alias("pos", "x")).filter(any_hit)
+
+    def of(k, pattern, method, path, several):
+        one = F.upper(F.regexp_extract("x", pattern, method)) if method else F.lit("ANY")
+        found = F.array(F.when(one == "", "ANY").otherwise(one))
+        if several:
+            listed = F.transform(F.regexp_extract_all(F.regexp_extract("x", pattern, several), F.lit(r"""['"](\w+)['"]"""), F.lit(1)), lambda m: F.upper(m))
+            found = F.when(F.regexp_extract("x", pattern, several) != "", listed).otherwise(found)
+        route = F.regexp_extract("x", pattern, path)
+        hits = F.transform(found, lambda m: F.struct(F.lit(k).alias("k"), m.alias("method"), route.alias("route")))
+        return F.when(F.col("x").rlike(pattern) & F.length(route).between(1, 200), hits)
+
+    none = "array<struct<k:int, method:string, route:string>>"
+    hits = [F.coalesce(of(k, *p[1:]), F.array().cast(none)) for k, p in enumerate(patterns)] or [F.array().cast(none)]
+    rows = rows.select("file", "pos", F.explode(F.concat(*hits)).alias("h"))
+    first = rows.groupBy("file", "h.method", "h.route").agg(F.min(F.struct("h.k", "pos")).alias("f"))
+    return first.select("file", (F.col("f.pos") + 1).alias("line"), "method", "route", C.route_params(F.col("route")).alias("params"))
 
 
 def facts(files: DataFrame, repo: str = "repo_id") -> DataFrame:
     """One row of facts a repository, from files (repo, path, content), for the rules. Tool issues and frameworks are added by joins."""
-    name, low = F.lower(C.basename(F.col("path"))), F.lower("path")
+    base, where, path = C.basename(F.col("path")), F.lower(C.directory(F.col("path"))), F.col("path")
+    stem, name = F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), F.lower(base)
     n_lines = F.size(C.lines(F.col("content")))
-    rows = files.filter(~F.arrays_overlap(C.parts(F.col("path")), C.strings(fixed.SKIP_DIRS)))
-    source = C.extension(F.col("path")).isin(".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java") & ~F.arrays_overlap(C.parts(F.col("path")), C.strings(("test",)))
-    test = name.rlike(r"^test_|_test\.|\.test\.|\.spec\.") | F.arrays_overlap(C.parts(F.col("path")), C.strings(("test",)))
+    rows = files.filter(~F.arrays_overlap(C.parts(path), C.strings(fixed.SKIP_DIRS)))
+    part = lambda *xs: F.arrays_overlap(C.parts(path), C.strings(xs))
+    source = F.regexp_extract(base, r".(\.[^.]+)$", 1).isin(".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs") & ~part("test", "vendor")
+    test = part("test") | stem.rlike(r"^test_|_test$")
     flag = lambda c, n: F.bool_or(c).alias(f"has_{n}")
-    tool = lambda pattern: (name == "pyproject.toml") & F.col("content").rlike(pattern)
-    languages = F.array_sort(F.collect_set(F.when(C.extension(F.col("path")) == ".py", "Python").when(C.extension(F.col("path")).isin(".ts", ".tsx"), "TypeScript").when(C.extension(F.col("path")).isin(".js", ".jsx"), "JavaScript")))
+    tool = lambda *words: (path == "pyproject.toml") & F.col("content").rlike("|".join(words))
+    languages = F.array_sort(F.collect_set(F.when(C.extension(path) == ".py", "Python").when(C.extension(path).isin(".ts", ".tsx"), "TypeScript").when(C.extension(path).isin(".js", ".jsx"), "JavaScript")))
     return rows.groupBy(repo).agg(
-        flag(name.rlike(r"^readme(\.|$)"), "readme"), flag(name.rlike(r"^licen[sc]e(\.|$)"), "license"), flag(low.rlike(r"\.github/workflows/|\.gitlab-ci|(^|/)jenkinsfile$|\.circleci/"), "ci"), flag(low.rlike(r"\.github/workflows/"), "github_actions"),
-        flag(test | F.arrays_overlap(C.parts(F.col("path")), C.strings(("tests", "spec"))), "tests"), flag(name.isin("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "pipfile.lock", "uv.lock"), "lockfile"), flag(name.isin(".env.example", ".env.sample"), "env_example"),
-        flag(name.rlike(r"^\.prettierrc|^\.editorconfig$") | tool(r"\[tool\.(black|ruff\.format)"), "formatter"), flag(name.rlike(r"^\.eslintrc|^eslint\.config|^\.flake8$|^ruff\.toml$") | tool(r"\[tool\.(ruff|pylint|flake8)"), "linter"),
-        flag(name.isin("mypy.ini", "pyrightconfig.json", "tsconfig.json") | tool(r"\[tool\.(mypy|pyright)"), "type_checker"), flag(name.isin("pytest.ini", "conftest.py") | tool(r"\[tool\.pytest"), "pytest_config"), flag(F.col("content").rlike(r"(?m)^\s*(structlog|loguru|python-json-logger)"), "logging_dependency"),
+        flag(base.isin("README.md", "README.rst", "README.txt", "README"), "readme"), flag(base.isin("LICENSE", "LICENSE.md", "LICENSE.txt", "LICENCE"), "license"), flag(path.rlike(r"^\.github/workflows/|^\.circleci/") | base.isin(".gitlab-ci.yml", "Jenkinsfile"), "ci"), flag(path.rlike(r"^\.github/workflows/"), "github_actions"),
+        flag(where.rlike("test|spec") | path.rlike("^tests?/"), "tests"), flag(base.isin("requirements.txt", "poetry.lock", "Pipfile.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml"), "lockfile"), flag(base.isin(".env.example", ".env.sample", ".env.template"), "env_example"), flag(base == "Dockerfile", "dockerfile"),
+        flag(base.isin(".prettierrc", ".prettierrc.json", "prettier.config.js") | tool("black"), "formatter"), flag(base.isin("ruff.toml", ".ruff.toml", ".eslintrc", ".eslintrc.js", ".eslintrc.json") | tool("ruff"), "linter"),
+        flag(base.isin("mypy.ini", ".mypy.ini", "pyrightconfig.json") | tool("mypy", "pyright"), "type_checker"), flag(name.isin("pytest.ini", "conftest.py") | tool(r"\[tool\.pytest"), "pytest_config"), flag(F.col("content").rlike(r"(?m)^\s*(structlog|loguru|python-json-logger)"), "logging_dependency"),
         languages.alias("languages"), F.array_sort(F.collect_set(F.when(name.isin("package.json", "requirements.txt", "pyproject.toml", "pipfile", "go.mod", "cargo.toml"), name))).alias("manifests"),
-        F.array_sort(F.collect_list("path")).alias("files"), F.array_sort(F.collect_set(C.directory(F.col("path")))).alias("directories"), F.array_sort(F.collect_list(F.when(source | test, F.struct("path", n_lines.alias("lines"))))).alias("file_lines"),
-        F.count_if(source).alias("sources"), F.count_if(test).alias("tests"), F.count_if(name.rlike("route|router|views|endpoints") & source).alias("routers"), F.count(F.lit(1)).alias("total"),
+        F.array_sort(F.collect_list("path")).alias("files"), F.array_sort(F.collect_set(C.directory(path))).alias("directories"), F.array_sort(F.collect_list(F.when(source | test, F.struct("path", n_lines.alias("lines"))))).alias("file_lines"),
+        F.count_if(source).alias("sources"), F.count_if(test).alias("tests"), F.count_if(F.lower(stem).rlike("route")).alias("routers"), F.count(F.lit(1)).alias("total"),
         F.max(F.when(name == "dockerfile", F.col("content"))).alias("docker_user"),
     )
 
@@ -156,14 +185,49 @@ def change_risk(ci: Column, test_gate: Column, tests: Column, untested_migration
     return F.struct(score.alias("score"), risk_level(score, 55, 25).alias("level"), section_confidence(found, failed).alias("confidence"))
 
 
-def detectors(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """What the risk sections ask of sources: logging framework, error handling, health routes, tracing, gates, migrations, hotspots."""
-    text, low = F.col("content"), F.lower("path")
-    frameworks = F.coalesce(F.when(text.rlike(r"\bstructlog\b"), F.struct(F.lit(0).alias("o"), F.lit("structlog").alias("n"))), F.when(text.rlike(r"\bloguru\b"), F.struct(F.lit(1).alias("o"), F.lit("loguru").alias("n"))), F.when(text.rlike(r"\blogging\.getLogger|import logging"), F.struct(F.lit(2).alias("o"), F.lit("logging").alias("n"))), F.when(text.rlike(r"\bwinston\b|\bpino\b"), F.struct(F.lit(3).alias("o"), F.lit("winston/pino").alias("n"))), F.when(text.rlike(r"\bprint\(|console\.log"), F.struct(F.lit(9).alias("o"), F.lit("print").alias("n"))))
-    migration = low.rlike(r"(^|/)(migrations|alembic|migrate)/")
-    hot = low.rlike(r"(^|/)(auth|security|permissions)[^/]*|(^|/)(settings|config)\.py$") | (F.size(F.regexp_extract_all(text, F.lit(r"include_router\(|app\.use\("), F.lit(0))) >= 2)
-    return files.groupBy(repo).agg(
-        F.min(frameworks)["n"].alias("logging"), F.bool_or(text.rlike(r"exception_handler|@app\.errorhandler|app\.use\(\s*\(err")).alias("error_handling"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.regexp_extract_all(text, F.lit(r"""["'](/(?:health|healthz|ready|readiness|ping|status))["']"""), F.lit(1)))))).alias("health_routes"),
-        F.bool_or(text.rlike(r"sentry_sdk|@sentry/|opentelemetry")).alias("tracing"), F.bool_or(low.rlike(r"\.github/workflows/") & text.rlike(r"run:.*\b(pytest|npm test|npm run test|jest|vitest|go test)\b")).alias("test_gate"),
-        F.bool_or(migration).alias("migrations"), F.bool_or(low.rlike(r"test.*migration")).alias("migration_tests"), F.count_if(hot).alias("hotspots"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(env_vars(text))))).alias("env_vars"),
-    )
+def merged_dependencies(files: DataFrame, repo: str = "repo_id") -> DataFrame:
+    """(repo, npm, python): dependencies of all manifests of a repository by path, each once."""
+    text, name = F.col("content"), C.basename(F.col("path"))
+    of = lambda test, deps: F.collect_list(F.when(test, F.struct("path", deps.alias("d"))))
+    flat = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(c), lambda x: x["d"])))
+    manifests = files.filter(name.isin("package.json", "requirements.txt", "pyproject.toml"))
+    python = F.when(name == "requirements.txt", requirements(text)).otherwise(pyproject_dependencies(text))
+    rows = manifests.groupBy(repo).agg(of(name == "package.json", package_json_dependencies(text)).alias("npm"), of(name != "package.json", python).alias("python"))
+    return rows.select(repo, flat(F.col("npm")).alias("npm"), flat(F.col("python")).alias("python"))
+
+
+def stack_languages(names: Column) -> Column:
+    """Languages of a stack's names, in order and each once; python for none."""
+    found = F.array_distinct(F.array_compact(F.transform(names, lambda n: C.lookup(n, fixed.STACK_LANGUAGE))))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("python")))
+
+
+def chosen_framework(backend: Column, frontend: Column) -> Column:
+    """struct(framework, confidence): the first name of the backend, else of the frontend, that has route patterns."""
+    keys = ("fastapi", "flask", "django", "express")
+    first = lambda names: F.try_element_at(F.array_compact(F.transform(names, lambda n: F.when(F.lower(n).isin(*keys), F.lower(n)).when(F.lower(n) == "next.js", "nextjs"))), F.lit(1))
+    key = F.coalesce(first(backend), first(frontend))
+    return F.struct(F.coalesce(key, F.lit("unknown")).alias("framework"), F.when(key.isNotNull(), "high").otherwise("speculative").alias("confidence"))
+
+
+def start_commands(files: DataFrame, repo: str = "repo_id") -> DataFrame:
+    """(repo, commands): what most likely starts the application, of the manifests at a repository's root, each once.
+
+    Scripts start, dev and serve; the first recipe line of a Makefile's run, start, dev, serve and up; a uvicorn call in
+    pyproject.toml; and, unless there is one, uvicorn where the requirements name it.
+    """
+    text, path = F.col("content"), F.col("path")
+    scripts = package_json_scripts(text)
+    npm = F.transform(F.filter(C.strings(("start", "dev", "serve")), lambda k: F.array_contains(scripts, k)), lambda k: F.concat(F.lit("npm run "), k))
+    target = r"(?m)^(run|start|dev|serve|up)[ \t]*:[^\n]*(?:\n(?: [^\n]*\S[^\n]*\n)*\t([^\n]*))?"
+    make = F.zip_with(parse.groups(text, target, 1), parse.groups(text, target, 2), lambda t, r: F.when(F.trim(r) != "", F.trim(r)).otherwise(F.concat(F.lit("make "), t)))
+    call = F.regexp_extract(text, r"uvicorn\s+[\w.]+:\w+", 0)
+    project = F.when(call != "", F.array(call))
+    hint = F.when(F.contains(F.lower(text), F.lit("uvicorn")), F.array(F.lit("uvicorn main:app --reload")))
+    ranked = [("package.json", npm), ("Makefile", make), ("pyproject.toml", project), ("requirements.txt", hint)]
+    rows = files.filter(path.isin(*[p for p, _ in ranked]))
+    found = F.coalesce(*[F.when(path == p, F.struct(F.lit(k).alias("k"), F.coalesce(c, F.array().cast("array<string>")).alias("c"))) for k, (p, c) in enumerate(ranked)])
+    lists = F.array_sort(F.collect_list(found))
+    early = F.flatten(F.transform(F.filter(lists, lambda x: x["k"] < 3), lambda x: x["c"]))
+    late = F.flatten(F.transform(F.filter(lists, lambda x: x["k"] == 3), lambda x: x["c"]))
+    return rows.groupBy(repo).agg(early.alias("early"), late.alias("late")).select(repo, F.array_distinct(F.when(F.exists("early", lambda c: F.contains(c, F.lit("uvicorn"))), F.col("early")).otherwise(F.concat("early", "late"))).alias("commands"))

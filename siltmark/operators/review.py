@@ -74,10 +74,47 @@ def confidence_badge(*shares: Column) -> Column:
 
 def depth_of(tools: Column) -> Column:
     """Analysis depth by the kinds of tools that ran."""
-    lint = F.arrays_overlap(tools, C.strings(("ruff", "eslint", "hadolint")))
-    security = F.arrays_overlap(tools, C.strings(("bandit", "gitleaks")))
-    deps = F.arrays_overlap(tools, C.strings(("pip-audit", "npm-audit")))
-    return F.when(lint & security & deps, "full_toolchain").when(security, "security_augmented").when(lint, "lint_augmented").otherwise("structural_only")
+    any_of = lambda *names: F.arrays_overlap(tools, C.strings(names))
+    lint, safe, deps = any_of("ruff", "eslint"), any_of("bandit", "semgrep", "gitleaks", "secret_patterns"), any_of("pip_audit", "npm_audit", "pip-audit", "npm-audit")
+    return F.when((lint | safe) & deps, "full_toolchain").when(safe, "security_augmented").when(lint, "lint_augmented").otherwise("structural_only")
+
+
+def coverage(source: Column, total: Column, languages: Column, dockerfile: Column, actions: Column, timed_out: Column, missing: Column) -> Column:
+    """struct(repo_files_scanned_pct, language_support_pct, limits): what a review could see, and what not."""
+    low = F.array_distinct(F.transform(languages, lambda x: F.lower(x)))
+    known = C.strings(fixed.RULE_LANGUAGES)
+    share = lambda a, b: F.bround(F.least(a / F.greatest(b, F.lit(1)), F.lit(1.0)), 2)
+    others = F.array_sort(F.array_except(low, known))
+    named = lambda xs, before, after: F.when(F.size(xs) > 0, F.concat(F.lit(before), F.array_join(xs, ", "), F.lit(after)))
+    limits = F.array(
+        F.lit("Runtime execution not performed"), F.when(~dockerfile, F.lit("No Dockerfile found — container security checks skipped")), F.when(~actions, F.lit("No GitHub Actions workflows found — CI hygiene checks limited")),
+        named(others, "Unsupported language(s) detected: ", " — no rule pack available"), named(timed_out, "Tool(s) timed out: ", " — findings may be incomplete"), named(missing, "Tool(s) not installed: ", " — relevant checks skipped"),
+        F.lit("Dependency vulnerabilities reflect available lockfiles only"), F.lit("Generated files and vendor directories excluded from analysis"),
+    )
+    return F.struct(share(source, total).alias("repo_files_scanned_pct"), share(F.size(F.array_intersect(low, known)), F.size(low)).alias("language_support_pct"), F.array_compact(limits).alias("limits"))
+
+
+def anti_gaming(findings: DataFrame, group: list[str]) -> DataFrame:
+    """(group, gaming, hard, verdict, signals) of findings (group, rule_id, severity): presentation against substance."""
+    gaming = F.col("rule_id").isin(*fixed.GAMING_SIGNALS)
+    hard = F.col("severity").isin("critical", "high") & ~gaming
+    signals = F.array_sort(F.collect_set(C.lookup(F.col("rule_id"), fixed.GAMING_SIGNALS)))
+    rows = findings.groupBy(*group).agg(F.count_if(gaming).alias("gaming"), F.count_if(hard).alias("hard"), signals.alias("signals"))
+    verdict = F.when((F.col("gaming") == 0) & (F.col("hard") <= 1), "likely_honest").when(F.col("gaming") >= 2, "surface_polish").otherwise("inconclusive")
+    return rows.withColumn("verdict", verdict)
+
+
+def readiness(security: Column, testing: Column, rules: Column, worst_security: Column, critical: Column) -> Column:
+    """At most three reasons why a repository is not fit for production.
+
+    rules: ids of its findings; worst_security: title of its worst finding that costs security; critical: titles of
+    critical findings, in order.
+    """
+    safe = F.when(security < 65, F.concat(F.lit("Security score is "), security.cast("string"), F.lit("/100"), F.coalesce(F.concat(F.lit(": "), worst_security), F.lit(""))))
+    has = lambda r: F.array_contains(rules, r)
+    why = F.when(has("TESTING-001"), F.lit("No test files detected — regressions cannot be validated")).when(has("TEST-CI-001"), F.lit("Tests exist but are not executed in CI — manual-only validation")).otherwise(F.concat(F.lit("Testing score is "), testing.cast("string"), F.lit("/100 — coverage is insufficient")))
+    grave = F.transform(F.slice(critical, 1, 2), lambda t: F.concat(F.lit("Critical finding: "), t))
+    return F.slice(F.array_distinct(F.array_compact(F.concat(F.array(safe, F.when(testing < 50, why)), grave))), 1, 3)
 
 
 def top_concern(findings: DataFrame, group: list[str], order: str) -> DataFrame:

@@ -71,18 +71,6 @@ def severity_counts(spark, sf):
     return _findings(spark, sf).groupBy("category").pivot("severity", ["critical", "high", "medium", "low"]).count().fillna(0)
 
 
-@query(
-    f"""WITH l AS ({LINES_SQL}), k AS (SELECT * FROM l WHERE NOT (line = '' AND line_no = n))
-SELECT d.doc_id, count(*) FILTER (trim(line, ' ') <> '' AND NOT starts_with(ltrim(line, ' '), '#'))::INT AS loc, count(line)::INT AS n_lines,
-  coalesce(max(CASE WHEN trim(line, ' ') <> '' THEN length(line) - length(ltrim(line, ' ')) END) // 4, 0)::INT AS nesting
-FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
-)
-def line_statistics(spark, sf):
-    """Lines of code, lines and nesting of every document."""
-    t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", C.loc(t).alias("loc"), F.size(C.lines(t)).alias("n_lines"), C.nesting(t).alias("nesting"))
-
-
 @query("SELECT doc_id, length(text) > 5000 AS truncated, length(substring(text, 1, 5000))::INT AS kept, length(CASE WHEN length(text) <= 2000 THEN text ELSE concat(left(text, 1000), chr(10) || '... [truncated] ...' || chr(10), right(text, 1000)) END)::INT AS elided FROM documents")
 def truncation(spark, sf):
     """Cut texts with their flag, and elided ones."""

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import fixed
 from ..functions import columns as C
 
 #: JSON that each tool prints, by its schema.
@@ -11,6 +15,9 @@ TOOL_SCHEMAS = {
     "ruff": "array<struct<code:string, message:string, filename:string, location:struct<row:int>>>",
     "bandit": "struct<results:array<struct<test_id:string, issue_text:string, filename:string, line_number:int, issue_severity:string, issue_confidence:string>>>",
     "gitleaks": "array<struct<RuleID:string, Description:string, File:string, StartLine:int>>",
+    "eslint": "array<struct<filePath:string, messages:array<struct<ruleId:string, message:string, line:int, severity:int>>>>",
+    "hadolint": "array<struct<code:string, message:string, file:string, line:int, level:string>>",
+    "npm-audit": "struct<vulnerabilities:map<string, struct<severity:string>>>",
     "pip-audit": "struct<dependencies:array<struct<name:string, version:string, vulns:array<struct<id:string, description:string>>>>>",
 }
 
@@ -18,7 +25,7 @@ TOOL_SCHEMAS = {
 def checkout(spark: SparkSession, path: str) -> DataFrame:
     """Files of a checkout (path, size, content), without pruned directories."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + path.rstrip("/") + "/", "")
+    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(path.rstrip("/")) + "/", "")
     rows = raw.select(rel.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
     return rows.filter(~C.should_skip(F.col("path")))
 
@@ -44,22 +51,58 @@ def candidates(github: DataFrame, gitlab: DataFrame) -> DataFrame:
     return github.withColumn("platform", F.lit("github")).unionByName(gitlab.select(F.col("path_with_namespace").alias("full_name"), F.col("star_count").alias("stars"), F.col("forks_count").alias("forks"), F.col("last_activity_at").alias("updated_at"), F.col("readme_url").isNotNull().alias("readme_verified"), "description", "topics").withColumn("platform", F.lit("gitlab")), allowMissingColumns=True)
 
 
+def _severity(tool: str) -> Column:
+    """An issue's severity by its tool's fixed tables, from code, message and what the tool says (said)."""
+    code, said = F.col("code"), F.col("said")
+    return {
+        "ruff": C.lookup(code, fixed.RUFF_SEVERITY, "low"),
+        "bandit": C.lookup(F.upper(said), fixed.BANDIT_SEVERITY, "medium"),
+        "eslint": F.coalesce(C.lookup(code, fixed.ESLINT_RULES), C.lookup(said.cast("int"), fixed.ESLINT_LEVELS, "medium")),
+        "gitleaks": F.when(code.isin(*fixed.GITLEAKS_HIGH), "high").otherwise("critical"),
+        "hadolint": C.lookup(F.lower(said), fixed.HADOLINT_SEVERITY, "medium"),
+        "pip-audit": F.when(F.lower("message").rlike("|".join(fixed.CVE_HIGH)), "high").otherwise("medium"),
+        "npm-audit": F.lower(said),
+    }[tool]
+
+
+#: By tool: the path of its issues, and expressions for code, message, file, line and what it says of severity.
+TOOL_FIELDS = {
+    "ruff": ("j", "code", "message", "filename", "location.row", "cast(null as string)"),
+    "bandit": ("j.results", "test_id", "issue_text", "filename", "line_number", "concat_ws('/', issue_severity, issue_confidence)"),
+    "eslint": ("flatten(transform(j, f -> transform(f.messages, m -> struct(m.ruleId, m.message, f.filePath, m.line, m.severity))))", "ruleId", "message", "filePath", "line", "cast(severity as string)"),
+    "gitleaks": ("j", "RuleID", "Description", "File", "StartLine", "cast(null as string)"),
+    "hadolint": ("j", "code", "message", "file", "line", "level"),
+    "pip-audit": ("flatten(transform(j.dependencies, d -> transform(d.vulns, v -> struct(v.id, v.description, d.name))))", "id", "description", "name", "cast(null as int)", "cast(null as string)"),
+    "npm-audit": ("transform(map_entries(j.vulnerabilities), e -> struct(e.key as name, e.value.severity as severity))", "name", "name", "'package.json'", "cast(null as int)", "severity"),
+}
+
+
 def tool_issues(raw: DataFrame, tool: str, key: str = "repo_id", text: str = "raw_json") -> DataFrame:
     """(key, tool, code, message, file, line, severity) of a tool's JSON; malformed JSON has none."""
-    x = raw.select(key, F.from_json(text, TOOL_SCHEMAS[tool]).alias("j"))
-    if tool == "ruff":
-        x = x.select(key, F.explode("j").alias("i")).select(key, F.col("i.code").alias("code"), F.col("i.message").alias("message"), F.col("i.filename").alias("file"), F.col("i.location.row").alias("line"))
-        severity = F.when(F.col("code").rlike("^S"), "high").when(F.col("code").rlike("^(F|E9|B)"), "medium").otherwise("low")
-    elif tool == "bandit":
-        x = x.select(key, F.explode("j.results").alias("i")).select(key, F.col("i.test_id").alias("code"), F.col("i.issue_text").alias("message"), F.col("i.filename").alias("file"), F.col("i.line_number").alias("line"), F.concat_ws("/", "i.issue_severity", "i.issue_confidence").alias("_s"))
-        severity = C.lookup(F.upper("_s"), {"HIGH/HIGH": "critical", "HIGH/MEDIUM": "high", "HIGH/LOW": "medium", "MEDIUM/HIGH": "high", "MEDIUM/MEDIUM": "medium"}, "low")
-    elif tool == "gitleaks":
-        x = x.select(key, F.explode("j").alias("i")).select(key, F.col("i.RuleID").alias("code"), F.col("i.Description").alias("message"), F.col("i.File").alias("file"), F.col("i.StartLine").alias("line"))
-        severity = F.when(F.lower("code").rlike("private|aws|api|token|password"), "critical").otherwise("high")
-    else:
-        x = x.select(key, F.explode("j.dependencies").alias("d")).select(key, "d.name", F.explode("d.vulns").alias("i")).select(key, F.col("i.id").alias("code"), F.col("i.description").alias("message"), F.col("name").alias("file"), F.lit(None).cast("int").alias("line"))
-        severity = F.when(F.lower("message").rlike("remote code|arbitrary code|rce"), "critical").when(F.lower("message").rlike("injection|bypass|traversal|denial"), "high").otherwise("medium")
-    return x.select(key, F.lit(tool).alias("tool"), "code", "message", "file", "line", severity.alias("severity"))
+    path, *fields = TOOL_FIELDS[tool]
+    x = raw.select(key, F.from_json(text, TOOL_SCHEMAS[tool]).alias("j")).select(key, F.explode(F.expr(path)).alias("i")).select(key, "i.*")
+    x = x.select(key, *(F.expr(e).alias(n) for e, n in zip(fields, ("code", "message", "file", "line", "said"), strict=True)))
+    return x.select(key, F.lit(tool).alias("tool"), "code", "message", "file", "line", _severity(tool).alias("severity"))
+
+
+def all_issues(raw: DataFrame, key: str = "repo_id", text: str = "raw_json", tool: str = "tool") -> DataFrame:
+    """Issues of rows (key, tool, text) of any known tool, each by its own adapter."""
+    out = [tool_issues(raw.filter(F.col(tool) == name), name, key, text) for name in TOOL_FIELDS]
+    return reduce(DataFrame.unionByName, out)
+
+
+def adapters_for(languages: Column) -> Column:
+    """Tools that apply to a repository's languages, in the order of the registry."""
+    of = (("ruff", "python"), ("bandit", "python"), ("pip-audit", "python"), ("eslint", "typescript javascript"), ("npm-audit", "typescript javascript"), ("hadolint", "docker"))
+    low = F.transform(languages, lambda x: F.lower(x))
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(low, C.strings(ls.split())), F.lit(t)) for t, ls in of], F.lit("gitleaks")))
+
+
+def ruff_tags(code: Column) -> Column:
+    """Tags by a code's prefix of letters, at most three, then by its first letter, each once."""
+    table = {k: F.array(*map(F.lit, v)) for k, v in fixed.RUFF_TAGS.items()}
+    of = lambda k: F.coalesce(*[F.when(k == name, tags) for name, tags in table.items()], F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(of(F.regexp_replace(F.left(code, F.lit(3)), r"[0-9]+$", "")), of(F.left(code, F.lit(1)))))
 
 
 def save(tables: dict[str, DataFrame], root: str, key: str) -> None:

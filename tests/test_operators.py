@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark.functions import columns as C
+from siltmark.functions import columns as C, parse
 from siltmark.operators import findings, graph, ops, ranking, review, search
 from siltmark.sources import readers
 from siltmark.streaming import metrics
@@ -16,7 +16,7 @@ def one(spark, col):
 
 def test_empty_and_null_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "\n"), (4, "a\n\n# c\n    b")], "doc_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in df.select("doc_id", C.loc(F.col("text")), C.nesting(F.col("text")), F.size(C.lines(F.col("text")))).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in df.select("doc_id", parse.loc(F.col("text")), parse.nesting(F.col("text")), F.size(C.lines(F.col("text")))).collect()}
     assert got == {1: (0, 0, 0), 2: (0, 0, 0), 3: (0, 0, 1), 4: (2, 1, 4)}
     assert findings.line_findings(df).count() == 0
 
