@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed
 from ..functions import columns as C
@@ -14,7 +16,7 @@ def line_findings(texts: DataFrame, key: str = "doc_id", text: str = "text", pat
     Patterns are few and fixed, so each is an expression over a line and no join; texts that match none of them are
     dropped before they are cut into lines.
     """
-    rows = texts.filter(F.size(C.flags(F.col(text), patterns)) > 0)
+    rows = texts.filter(reduce(lambda a, b: a | b, [F.col(text).rlike(p[1]) for p in patterns]))
     rows = rows.select(F.col(key), F.posexplode(C.lines(F.col(text))).alias("pos", "snippet"))
     hit = lambda p: F.when(F.col("snippet").rlike(p[1]), F.struct(*[F.lit(v).alias(n) for n, v in zip(("pattern", "category", "severity", "points"), (p[0], *p[2:]), strict=True)]))
     found = rows.withColumn("hits", F.array_compact(F.array(*map(hit, patterns)))).filter(F.size("hits") > 0)
@@ -69,7 +71,7 @@ def scan_confidence(scanned: Column, total: Column, mean_confidence: Column, tes
     coverage = F.least(F.coalesce(F.try_divide(scanned, total), F.lit(0.0)), F.lit(1.0))
     bonus = F.when(tests, 0.04).otherwise(0.0) + F.when(entrypoints, 0.04).otherwise(0.0) + F.when(config, 0.02).otherwise(0.0)
     whole = coverage * 0.45 + F.coalesce(mean_confidence, F.lit(0.0)) * 0.40 + bonus
-    return F.when(total == 0, 0.0).otherwise(F.least(F.lit(0.97), F.bround(whole, 3)))
+    return F.when(total == 0, 0.0).otherwise(F.least(F.lit(0.97), F.bround(F.bround(whole, 9), 3)))
 
 
 def scorecard(items: DataFrame, findings: DataFrame, key: str, confidence: Column) -> DataFrame:
@@ -117,7 +119,15 @@ def valid_findings(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return findings.filter(good), findings.filter(~good)
 
 
-def drop_known_ranges(new: DataFrame, known: DataFrame) -> DataFrame:
-    """New findings whose exact (file, start, end) is not known yet, the first of each."""
+def drop_known_ranges(new: DataFrame, known: DataFrame, order: str = "ordinal") -> DataFrame:
+    """New findings whose exact (file, start, end) is not known yet, the first of each in order."""
     on = ["file", "line", "line_end"]
-    return new.join(known.select(*on).distinct(), on, "left_anti").dropDuplicates(on)
+    fresh = new.join(known.select(*on).distinct(), on, "left_anti")
+    return fresh.withColumn("_r", F.row_number().over(Window.partitionBy(*on).orderBy(order))).filter("_r = 1").drop("_r")
+
+
+def mean_confidences(files: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+    """(key, extraction, finding): mean confidences of a result's files, 0 without any, and of its findings, 1 without any."""
+    f = files.groupBy(key).agg(F.avg("confidence").alias("extraction"))
+    g = findings.groupBy(key).agg(F.avg("confidence").alias("finding"))
+    return f.join(g, key, "full").select(key, F.coalesce("extraction", F.lit(0.0)).alias("extraction"), F.coalesce("finding", F.lit(1.0)).alias("finding"))

@@ -95,3 +95,35 @@ def gate(before: DataFrame, after: DataFrame, query: str, critical: DataFrame, f
     new = failed_after.join(failed_before, query, "left_anti").agg(F.count(F.lit(1)).alias("new_failures"))
     rows = means.crossJoin(falls).crossJoin(new)
     return rows.select((F.col("a") >= F.col("b") - 0.001).alias("mean_held"), (F.col("falls") == 0).alias("critical_held"), (F.col("new_failures") == 0).alias("noise_held"))
+
+
+def term_relevance(query: Column, description: Column, full_name: Column, topics: Column, stars: Column) -> Column:
+    """Share of a query's words of over two letters that a candidate's texts hold, of 90, and up to 10 for stars."""
+    words = F.filter(F.array_distinct(F.split(F.lower(F.trim(query)), r"\s+")), lambda w: F.length(w) > 2)
+    text = F.lower(F.concat_ws(" ", F.coalesce(description, F.lit("")), F.coalesce(full_name, F.lit("")), F.array_join(topics, " ")))
+    hits = F.size(F.filter(words, lambda w: F.contains(text, w)))
+    share = (hits / F.greatest(F.size(words), F.lit(1)) * 90).cast("int")
+    return F.least(share + F.least(F.lit(10), F.floor(F.coalesce(stars, F.lit(0)) / 5000)), F.lit(100)).cast("int")
+
+
+def score_pool(candidates: DataFrame, queries: list[tuple[str, str]], weight: float = 0.4) -> DataFrame:
+    """Every candidate under every query of a pack (id, text), best first; excluded ones score -1 and come last.
+
+    candidates: (id, quality, excluded, description, full_name, topics, stars). A pack is a parameter, so each
+    candidate's row is repeated for it without a join.
+    """
+    pack = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(t).alias("query_text")) for q, t in queries])
+    rows = candidates.select("*", F.explode(pack).alias("p")).select("*", "p.*").drop("p")
+    relevance = term_relevance(F.col("query_text"), F.col("description"), F.col("full_name"), F.col("topics"), F.col("stars"))
+    score = F.when(F.col("excluded"), -1).otherwise(blend(F.col("quality"), relevance, weight))
+    return ranked(rows.withColumn("relevance", F.when(F.col("excluded"), 0).otherwise(relevance)).withColumn("overall", score), "query", "overall", "id")
+
+
+def with_model_scores(candidates: DataFrame, scores: DataFrame, fallback: Column) -> DataFrame:
+    """Candidates with a model's relevance by id, the fallback where it gave none."""
+    return candidates.join(scores.select("id", F.col("relevance").alias("_m")), "id", "left").withColumn("relevance", F.coalesce("_m", fallback)).drop("_m")
+
+
+def class_means(results: DataFrame) -> DataFrame:
+    """(cls, ndcg, precision, n) over queries that have an ideal set, by class and for all (null)."""
+    return results.filter("n_ideal > 0").rollup("cls").agg(F.avg("ndcg").alias("ndcg"), F.avg("precision").alias("precision"), F.count(F.lit(1)).alias("n"))
