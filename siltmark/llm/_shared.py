@@ -67,9 +67,9 @@ def materialised(df: DataFrame, path: str) -> DataFrame:
 
 
 def batch_bytes(df: DataFrame, least: int = BATCH_BYTES) -> int:
-    """Bytes of a batch for so much input as the plan's statistics tell: 4 MB at 0.5 GB, 60 MB at 100 GB, 512 MB from 8 TB."""
+    """Bytes of a batch for so much input as the plan's statistics tell: 4 MB up to 2 GB, 28 MB at 100 GB, 512 MB from 36 TB."""
     known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, min(MOST_BYTES, int(180 * min(known, 1 << 50) ** 0.5))) if known < 1 << 60 else least
+    return max(least, min(MOST_BYTES, int(90 * min(known, 1 << 50) ** 0.5))) if known < 1 << 60 else least
 
 
 def stage(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, weight: str = "text", derive: Callable[[pa.Table], bytes] | None = None) -> DataFrame:

@@ -20,9 +20,11 @@ DEGREE, REVERSE = 20, 40
 #: Random directions of the first graph, and how far along each a row looks.
 DIRECTIONS, REACH = 3, 12
 #: Rounds of descent at most; they end when fewer than this share of edges is new.
-ROUNDS, STILL = 6, 0.01
+ROUNDS, STILL = 12, 0.01
 #: Candidates that a query holds at least.
 BEAM = 80
+#: Nodes of a partition at most, on average.
+NODES_PER_PART = 20_000
 
 
 def matrix(col: pa.Array) -> np.ndarray:
@@ -183,7 +185,16 @@ def _meeting(degree: int):
     return meet
 
 
-GRAPH = "id long, v array<float>, far double, w array<long>, d array<double>, old array<boolean>, fresh int"
+def graph_schema(kind: str) -> str:
+    return f"id long, v {kind}, far double, w array<long>, d array<double>, old array<boolean>, fresh int"
+
+
+GRAPH = graph_schema("array<float>")
+
+
+def kind_of(rows: DataFrame, column: str = "v") -> str:
+    """The SQL type of a vector column: floats stay floats, anything wider is double."""
+    return rows.schema[column].dataType.simpleString()
 
 
 def _merging(degree: int):
@@ -227,26 +238,27 @@ def _dealt(df: DataFrame, column: str, parts: int) -> DataFrame:
 
 def _merged(graph: DataFrame, found: DataFrame, degree: int, parts: int, path: str) -> DataFrame:
     both = _dealt(graph, "id", parts).groupBy("p").cogroup(_dealt(found.select(F.col("u").alias("u"), F.col("w").alias("w"), F.col("d").alias("d")), "u", parts).groupBy("p"))
-    return S.materialised(both.applyInArrow(_merging(degree), GRAPH), path)
+    return S.materialised(both.applyInArrow(_merging(degree), graph_schema(kind_of(graph))), path)
 
 
 def descend(graph: DataFrame, degree: int, seed: int, parts: int, path: str) -> DataFrame:
     """A round: at each node, it, all that it lists and REVERSE of those that list it meet."""
     listed = _placed(graph.select(F.explode(F.arrays_zip("w", "old")).alias("c"), F.col("id").alias("by")).select(F.col("c.w").alias("of"), "by", F.col("c.old").alias("old")), "of", parts)
     nodes = _placed(graph.select("id", "v", "far", "w", "old", F.lit(parts).alias("parts")), "id", parts)
-    both = nodes.groupBy("p").cogroup(listed.groupBy("p")).applyInArrow(_members(seed), "id long, v array<float>, far double, p int, w array<long>, old array<boolean>, to array<int>")
-    met = both.mapInArrow(_messages, "p int, id long, v array<float>, far double, w array<long>, old array<boolean>")
+    kind = kind_of(graph)
+    both = nodes.groupBy("p").cogroup(listed.groupBy("p")).applyInArrow(_members(seed), f"id long, v {kind}, far double, p int, w array<long>, old array<boolean>, to array<int>")
+    met = both.mapInArrow(_messages, f"p int, id long, v {kind}, far double, w array<long>, old array<boolean>")
     return _merged(graph, met.groupBy("p").applyInArrow(_meeting(degree), "u long, w long, d double"), degree, parts, path)
 
 
 def build_graph(nodes: DataFrame, root: str, dim: int, degree: int = DEGREE, seed: int = 7) -> DataFrame:
     """nodes (id, v) to rows (id, v, far, w, d, old, fresh): each node's nearest neighbours w found, at distances d."""
     spark = nodes.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(spark, nodes)
     lines = min(parts, 1 + nodes.count() // 512)  # a short line is not cut: rows at a cut see one side only
     first = None
     for k in range(DIRECTIONS):
-        lined = nodes.mapInArrow(_along(k, seed, dim), "id long, v array<float>, at double").repartitionByRange(lines, "at").sortWithinPartitions("at", "id")
+        lined = nodes.mapInArrow(_along(k, seed, dim), f"id long, v {kind_of(nodes)}, at double").repartitionByRange(lines, "at").sortWithinPartitions("at", "id")
         found = lined.select("id", "v").mapInArrow(_side_by_side(REACH, degree), "u long, w long, d double")
         first = found if first is None else first.unionByName(found)
     none = nodes.select("id", "v", F.lit(float("inf")).alias("far"), F.array().cast("array<long>").alias("w"), F.array().cast("array<double>").alias("d"), F.array().cast("array<boolean>").alias("old"), F.lit(0).alias("fresh"))
@@ -260,6 +272,11 @@ def build_graph(nodes: DataFrame, root: str, dim: int, degree: int = DEGREE, see
     return graph
 
 
+def parts_for(spark, nodes: DataFrame) -> int:
+    """Partitions that the nodes are dealt to: enough for the session's tasks, and for some tens of thousands of nodes each."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // NODES_PER_PART))
+
+
 def _place(ids: np.ndarray, parts: int) -> np.ndarray:
     """The partition that a node's row is dealt to."""
     return (S.mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
@@ -314,7 +331,7 @@ def _asking(parts: int):
 
 
 def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Of the nodes asked for, those nearer than the query's farthest candidate, with their neighbours: (q, id, d, w)."""
+    """Of the nodes asked for, those nearer than the query's farthest candidate, with their neighbours: (q, id, d, n, w), lists."""
     ids, v = np.asarray(left.column("id").combine_chunks()), matrix(left.column("v"))
     q, qv, far = np.asarray(right.column("q").combine_chunks()), matrix(right.column("qv")), np.asarray(right.column("far").combine_chunks())
     nodes, off = _rows_of(right.column("ask"))
@@ -325,23 +342,31 @@ def _answer(left: pa.Table, right: pa.Table) -> pa.Table:
         z = slice(a, a + (1 << 16))
         d[z] = np.sqrt(((qv[of[z]] - v[at[z]]) ** 2).sum(1))
     ok = np.flatnonzero(d < far[of])
-    w = left.column("w").combine_chunks()
-    w = pa.concat_arrays(w.chunks) if isinstance(w, pa.ChunkedArray) else w
-    return pa.table([pa.array(q[of[ok]], pa.int64()), pa.array(ids[at[ok]], pa.int64()), pa.array(d[ok]), w.take(pa.array(at[ok]))], names=["q", "id", "d", "w"])
+    w, woff = _rows_of(left.column("w"))
+    size = np.diff(woff)[at[ok]]
+    near = w[np.arange(int(size.sum())) + np.repeat(woff[:-1][at[ok]] - np.cumsum(size) + size, size)].astype(np.int64)
+    # one row a query: its nodes and distances, and their neighbours one after the other
+    asked = np.unique(of[ok])
+    cut = np.concatenate((np.searchsorted(of[ok], asked), [len(ok)])).astype(np.int32)
+    ends = np.concatenate(([0], np.cumsum(size)))[cut].astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(o), pa.array(x)) for o, x in ((cut, ids[at[ok]].astype(np.int64)), (cut, d[ok]), (cut, size.astype(np.int32)), (ends, near))]
+    return pa.table([pa.array(q[asked], pa.int64()), *lists], names=["q", "id", "d", "n", "w"])
 
 
 def _walking(beam: int):
     def walk(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Queries (q, qv, far, ids, d, ask) and the answers (q, id, d, w): the beam's nearest, and the neighbours of the new ones to ask for."""
+        """Queries (q, qv, far, ids, d, ask) and the answers (q, id, d, n, w): the beam's nearest, and the neighbours of the new ones to ask for."""
         qs = np.asarray(left.column("q").combine_chunks())
         row = {k: n for n, k in enumerate(qs.tolist())}
         ids, off = _rows_of(left.column("ids"))
         d, _ = _rows_of(left.column("d"))
-        at2 = np.fromiter((row[k] for k in np.asarray(right.column("q").combine_chunks()).tolist()), np.int64, right.num_rows)
+        told = np.fromiter((row[k] for k in np.asarray(right.column("q").combine_chunks()).tolist()), np.int64, right.num_rows)
+        ids2, off2 = _rows_of(right.column("id"))
+        at2 = np.repeat(told, np.diff(off2))
         at = np.concatenate((np.repeat(np.arange(len(qs)), np.diff(off)), at2))
         had = len(at) - len(at2)
-        ids = np.concatenate((ids, np.asarray(right.column("id").combine_chunks()))).astype(np.int64)
-        d = np.concatenate((d, np.asarray(right.column("d").combine_chunks()))).astype(np.float64)
+        ids = np.concatenate((ids, ids2)).astype(np.int64)
+        d = np.concatenate((d, _rows_of(right.column("d"))[0])).astype(np.float64)
         keep = np.lexsort((ids, d, at))
         first = S.runs(at[keep])
         rank = np.arange(len(keep)) - np.repeat(first, np.diff(np.append(first, len(keep))))
@@ -351,9 +376,10 @@ def _walking(beam: int):
         far[n >= beam] = d[keep][ends[n >= beam] - 1]
         # neighbours of what is new in the beam, each once, that are not in it
         new = keep[keep >= had] - had
-        w, woff = _rows_of(right.column("w"))
-        size = np.diff(woff)[new] if len(new) else np.zeros(0, np.int64)
-        start = np.repeat(woff[:-1][new] if len(new) else size, size)
+        w, each = _rows_of(right.column("w"))[0], _rows_of(right.column("n"))[0].astype(np.int64)
+        woff = np.cumsum(each) - each
+        size = each[new] if len(new) else np.zeros(0, np.int64)
+        start = np.repeat(woff[new] if len(new) else size, size)
         ask = w[start + np.arange(len(start)) - np.repeat(np.cumsum(size) - size, size)].astype(np.int64) if len(start) else np.zeros(0, np.int64)
         of = np.concatenate((at[keep], np.repeat(at[new + had], size)))
         ask = np.concatenate((ids[keep], ask))
@@ -369,17 +395,17 @@ def _walking(beam: int):
 
 def search(graph: DataFrame, queries: DataFrame, root: str, beam: int) -> DataFrame:
     """queries (q, qv, start) to (q, id, d): the beam's nodes nearest to qv by a greedy walk from start, until none is open."""
-    parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, kind = parts_for(graph.sparkSession, graph), kind_of(queries, "qv")
     listed = _placed(graph.select(F.explode(F.arrays_zip("w", "d")).alias("c"), F.col("id").alias("by")).select(F.col("c.w").alias("of"), "by", F.col("c.d").alias("d")), "of", parts)
-    nodes = _placed(graph.select("id", "v", "w"), "id", parts).groupBy("p").cogroup(listed.groupBy("p")).applyInArrow(_both_ways, "id long, v array<float>, w array<long>, p int")
+    nodes = _placed(graph.select("id", "v", "w"), "id", parts).groupBy("p").cogroup(listed.groupBy("p")).applyInArrow(_both_ways, f"id long, v {kind_of(graph)}, w array<long>, p int")
     nodes = S.materialised(nodes, f"{root}/both")
     held = queries.select("q", "qv", F.lit(float("inf")).alias("far"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("d"), F.array("start").alias("ask"))
     k = 0
     while not held.filter(F.size("ask") > 0).isEmpty():
-        asked = held.mapInArrow(_asking(parts), "p int, q long, qv array<float>, far double, ask array<long>")
-        told = nodes.groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(_answer, "q long, id long, d double, w array<long>")
+        asked = held.mapInArrow(_asking(parts), f"p int, q long, qv {kind}, far double, ask array<long>")
+        told = nodes.groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(_answer, "q long, id array<long>, d array<double>, n array<int>, w array<long>")
         both = _placed(held, "q", parts).groupBy("p").cogroup(_placed(told, "q", parts).groupBy("p"))
-        held = S.materialised(both.applyInArrow(_walking(beam), "q long, qv array<float>, far double, ids array<long>, d array<double>, ask array<long>"), f"{root}/beam{k}")
+        held = S.materialised(both.applyInArrow(_walking(beam), f"q long, qv {kind}, far double, ids array<long>, d array<double>, ask array<long>"), f"{root}/beam{k}")
         if k:
             S.remove(f"{root}/beam{k - 1}")
         k += 1
@@ -400,14 +426,15 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", top
     table gives none.
     """
     spark, root = rows.sparkSession, S.shared_root(rows.sparkSession)
-    good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v")).filter(usable(F.col("v")) & F.col("id").isNotNull())
+    kind = kind_of(rows, vector) if kind_of(rows, vector) in ("array<float>", "array<double>") else "array<double>"
+    good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).filter(usable(F.col("v")) & F.col("id").isNotNull())
     lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     out = "query_id long, rank int, vec_id long, score double"
     if not lengths:
         return spark.createDataFrame([], out)
     dim = lengths[0].n
     # equal vectors are one node, named by the smallest key; x + 0 makes -0 and 0 alike
-    good = good.filter(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast("float"))).withColumn("h", F.concat(F.hex(F.xxhash64("v")), F.hash("v").cast("string")))
+    good = good.filter(F.size("v") == dim).withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast(kind[6:-1]))).withColumn("h", F.concat(F.hex(F.xxhash64("v")), F.hash("v").cast("string")))
     good = S.materialised(good, f"{root}/rows")
     nodes = S.materialised(good.groupBy("h").agg(F.min(F.struct("id", "v")).alias("f"), F.count(F.lit(1)).alias("n")).select("h", F.col("f.id").alias("id"), F.col("f.v").alias("v"), "n"), f"{root}/nodes")
     graph = build_graph(nodes.select("id", "v"), root, dim, seed=seed)

@@ -15,8 +15,8 @@ from . import _shared as S
 
 #: Cells of the fingerprint itself.
 CELLS = 18
-#: Paragraphs longer than this are divided at sentence ends.
-LONG_PARAGRAPH = 600
+#: A paragraph ends with its line, or at the first sentence end after so many characters of it.
+PARAGRAPH = 120
 #: Digests that a block should hold on a retry, and cells of a block's sketch on each attempt.
 BLOCK_DIGESTS, BLOCK_CELLS = 12, (36, 90, 240)
 #: Peeling rounds; each at least halves what is left, or nothing more can be peeled.
@@ -26,8 +26,8 @@ LEAST = -(1 << 63)
 
 def digests(text: str) -> str:
     """SQL for the distinct paragraph digests of a text column."""
-    long_ = rf"if(length(p) > {LONG_PARAGRAPH}, split(p, '(?<=[.!?])[ ]'), array(p))"
-    return rf"array_distinct(transform(filter(flatten(transform(split({text}, '\\n'), p -> {long_})), p -> length(trim(p)) > 0), p -> xxhash64(trim(p))))"
+    pieces = f"regexp_extract_all(p, '(?s).{{{PARAGRAPH},}}?[.!?](?=[ ])|.+', 0)"
+    return rf"array_distinct(transform(filter(flatten(transform(split({text}, '\\n'), p -> {pieces})), p -> length(trim(p)) > 0), p -> xxhash64(trim(p))))"
 
 
 def sketch(units: str, cells: int, salt: int) -> str:

@@ -3,7 +3,7 @@
 Documents are aggregated by membership pattern (the set of sources that hold them). A flow routes words from patterns,
 which offer their words once at cost 0, again at cost 1, a third time at cost 2 and so on, to the sources' quotas.
 What a pattern gives in all becomes whole repeats of all its documents and a rest, which documents fill in a seeded
-order: whole hash buckets below the rest's border, and in the border bucket each next document that still fits.
+order: whole hash buckets below the rest's border, and in the border bucket each next document that still fits, and then one change that brings the bucket nearest to the rest.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from . import _shared as S
 MAX_PATTERNS = 100_000
 #: Documents a bucket of the seeded order has at least, where there are enough.
 BUCKET_ROWS = 4096
-#: Border buckets of at most so many documents and words are filled by the nearest subset sum if the seeded order leaves a gap.
-NEAREST_ROWS, NEAREST_WORDS = 200, 1 << 20
 INF = 1 << 62
 
 
@@ -154,9 +152,9 @@ def _with_order(docs: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame, root: str, key: str, weights, total_share: float = 1.0, most: int = 3, seed: int = 17) -> Plan:
-    """Plans a mix of sized rows (key, size, sources array). weights: {source: weight}, or a function of the sorted sources."""
+    """Plans a mix of sized rows (key of any type, size, sources array); no rows give an empty plan. weights: {source: weight}, or a function of the sorted sources."""
     spark = sized.sparkSession
-    rows = sized.withColumn("_pattern", F.to_json(F.struct(F.array_sort(F.array_distinct("sources")).alias("s")), {"ignoreNullFields": "false"}))
+    rows = sized.select(F.col(key).alias("_doc"), "size", "sources").withColumn("_pattern", F.to_json(F.struct(F.array_sort(F.array_distinct("sources")).alias("s")), {"ignoreNullFields": "false"}))
     found = rows.groupBy("_pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns: name fewer, broader sources")
@@ -180,48 +178,58 @@ def plan_mix(sized: DataFrame, root: str, key: str, weights, total_share: float
     if not len(patterns):
         return plan
     table = F.broadcast(spark.createDataFrame(patterns))
-    dealt = _bucketed(_with_order(rows, key, seed), table)
+    dealt = _bucketed(_with_order(rows, "_doc", seed), table)
     sums = dealt.filter("rest > 0").groupBy("_pattern", "_bucket", "rest").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends = sums.withColumn("before", before).filter("before <= rest and before + words > rest").select("_pattern", F.col("_bucket").alias("border"), F.expr("rest - before").alias("room"))
     ends = pd.DataFrame([r.asDict() for r in ends.collect()], columns=["_pattern", "border", "room"])  # one row a pattern
-    plan.patterns = patterns.merge(ends, "left", "_pattern").fillna({"border": -1, "room": 0}).astype({"border": "int64", "room": "int64"})
+    plan.patterns = patterns.merge(ends, "left", "_pattern")
+    for c, none in (("border", -1), ("room", 0)):
+        plan.patterns[c] = pd.to_numeric(plan.patterns[c]).fillna(none).astype("int64")
     table = F.broadcast(spark.createDataFrame(plan.patterns))
-    inside = _bucketed(_with_order(rows, key, seed), table).filter("rest > 0 and _bucket = border")
-    inside = inside.groupBy("_pattern", "_h", F.col(key).alias("_key"), "size", "room").agg(F.count(F.lit(1)).alias("n"))
-    plan.border = S.materialised(inside.groupBy("_pattern").applyInPandas(_fill_border, "_pattern string, _h long, _key long, size long, extra int"), f"{root}/border")
+    inside = _bucketed(_with_order(rows, "_doc", seed), table).filter("rest > 0 and _bucket = border")
+    inside = inside.groupBy("_pattern", "_h", F.col("_doc").alias("_key"), "size", "room").agg(F.count(F.lit(1)).alias("n"))
+    plan.border = S.materialised(inside.groupBy("_pattern").applyInPandas(_fill_border, f"_pattern string, _h long, _key {sized.schema[key].dataType.simpleString()}, size long, extra int"), f"{root}/border")
     return plan
 
 
 def _fill_border(rows: pd.DataFrame) -> pd.DataFrame:
-    """The border bucket's documents in seeded order: each that still fits the room.
+    """The border bucket's documents in seeded order: each that still fits the room, then one change that brings them nearest to it."""
+    rows = rows.sort_values(["_h", "_key", "size"], na_position="first")
+    words = (rows["size"] * rows.n).to_numpy(np.int64)
+    return rows.assign(extra=fill_room(words, int(rows.room.iloc[0]) if len(rows) else 0))[["_pattern", "_h", "_key", "size", "extra"]]
+
+
+def fill_room(words: np.ndarray, room: int) -> np.ndarray:
+    """0 or 1 for each, in order: what still fits is taken.
 
-    Where few documents leave a gap that way, the subset whose words come nearest to the room.
+    Then, if that brings the sum nearer to the room, one more is taken, or one goes or gives way to another; of equally
+    near changes the first.
     """
-    rows = rows.sort_values(["_h", "_key", "size"], na_position="first")
-    words = (rows["size"] * rows.n).tolist()
-    room, extra = int(rows.room.iloc[0]) if len(rows) else 0, []
-    left = room
-    for w in words:
-        extra.append(int(w <= left))
-        left -= w * extra[-1]
-    if left and len(words) <= NEAREST_ROWS and sum(words) <= NEAREST_WORDS:
-        extra = _nearest_subset(words, room)
-    return rows.assign(extra=extra)[["_pattern", "_h", "_key", "size", "extra"]]
-
-
-def _nearest_subset(words: list[int], room: int) -> list[int]:
-    """0 or 1 for each, their sum as near to room as can be; of equally near sums the smaller."""
-    reach = [1]  # bit n: the first k words can sum up to n
-    for w in words:
-        reach.append(reach[-1] | reach[-1] << w)
-    off = next(d for d in range(sum(words) + room + 1) if (d <= room and reach[-1] >> (room - d) & 1) or reach[-1] >> (room + d) & 1)
-    n = room - off if off <= room and reach[-1] >> (room - off) & 1 else room + off
-    extra = [0] * len(words)
-    for k in range(len(words), 0, -1):
-        if not reach[k - 1] >> n & 1:
-            extra[k - 1] = 1
-            n -= words[k - 1]
+    extra, left = np.zeros(len(words), np.int64), room
+    for k, w in enumerate(words.tolist()):
+        if w <= left:
+            extra[k], left = 1, left - w
+    if not left or not len(words):
+        return extra
+    out, taken = np.flatnonzero(extra == 0), np.flatnonzero(extra)
+    changes = [(left, 0, -1, -1)]  # what is then left or over, order, one to add, one to drop
+    if len(out):
+        k = int(np.argmin(np.abs(words[out] - left)))
+        changes.append((abs(int(words[out[k]]) - left), 1, int(out[k]), -1))
+    if len(out) and len(taken):
+        by = taken[np.argsort(words[taken], kind="stable")]
+        want = words[out] - left
+        at = np.searchsorted(words[by], want)
+        for near in (np.clip(at - 1, 0, len(by) - 1), np.clip(at, 0, len(by) - 1)):
+            off = np.abs(want - words[by[near]])
+            k = int(np.argmin(off))
+            changes.append((int(off[k]), 2, int(out[k]), int(by[near[k]])))
+    _, _, add, drop = min(changes)
+    if add >= 0:
+        extra[add] = 1
+    if drop >= 0:
+        extra[drop] = 0
     return extra
 
 
@@ -230,18 +238,26 @@ def _bucketed(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, plan: Plan, key: str = "doc_id") -> DataFrame:
-    """docs (with size and sources) and how often the mix takes each: copies int. Only border buckets are shuffled."""
+    """docs (with size and sources) and how often the mix takes each: copies int. Only border buckets are shuffled.
+
+    Other columns may have any names, and pass; one named copies is replaced. Rows that share key, size and sources are
+    taken alike; null keys, and null or empty sources, are ordinary values. No rows of docs are lost.
+    """
     spark = docs.sparkSession
+    names = [c for c in docs.columns if c != "copies"]
+    docs = docs.select(*names)
     if plan.border is None:
         return docs.withColumn("copies", F.lit(0))
-    rows = docs.withColumn("_pattern", F.to_json(F.struct(F.array_sort(F.array_distinct("sources")).alias("s")), {"ignoreNullFields": "false"}))
-    rows = _bucketed(_with_order(rows, key, plan.seed), F.broadcast(spark.createDataFrame(plan.patterns)))
+    # columns of the plan must not meet those of docs
+    rows = docs.toDF(*(f"_c{k}" for k in range(len(names)))).withColumns({n: F.col(f"_c{names.index(c)}") for n, c in (("_doc", key), ("size", "size"), ("sources", "sources"))})
+    rows = rows.withColumn("_pattern", F.to_json(F.struct(F.array_sort(F.array_distinct("sources")).alias("s")), {"ignoreNullFields": "false"}))
+    rows = _bucketed(_with_order(rows, "_doc", plan.seed), F.broadcast(spark.createDataFrame(plan.patterns)))
     at_border = (F.col("rest") > 0) & (F.col("_bucket") == F.col("border"))
     plain = rows.filter(~at_border).withColumn("extra", F.expr("int(rest > 0 and (border < 0 or _bucket < border))"))
     b = plan.border.select("_pattern", "_h", F.col("_key").alias("_k"), F.col("size").alias("_s"), "extra")
-    inside = rows.filter(at_border).alias("r").join(b.alias("b"), (F.col("r._pattern") == F.col("b._pattern")) & (F.col("r._h") == F.col("b._h")) & F.col(f"r.{key}").eqNullSafe(F.col("b._k")) & (F.col("r.size") == F.col("b._s")), "left").select("r.*", "b.extra")
+    inside = rows.filter(at_border).alias("r").join(b.alias("b"), (F.col("r._pattern") == F.col("b._pattern")) & (F.col("r._h") == F.col("b._h")) & F.col("r._doc").eqNullSafe(F.col("b._k")) & (F.col("r.size") == F.col("b._s")), "left").select("r.*", "b.extra")
     both = plain.unionByName(inside).withColumn("copies", (F.col("epochs") + F.coalesce("extra", F.lit(0))).cast("int"))
-    return both.select(*docs.columns, "copies")
+    return both.select(*(F.col(f"_c{k}").alias(c) for k, c in enumerate(names)), "copies")
 
 
 def repeating_weights(names: list) -> list[float]:
@@ -257,7 +273,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     For documents with several sources use plan_mix() and apply_mix().
     """
     spark, root = docs.sparkSession, S.shared_root(docs.sparkSession)
-    sized = docs.select(F.col(key).cast("long").alias("doc_id"), word_count(F.col(text)).alias("size"), F.array(F.col(source).cast("string")).alias("sources"))
+    sized = docs.select(F.col(key).alias("doc_id"), word_count(F.col(text)).alias("size"), F.array(F.col(source).cast("string")).alias("sources"))
     sized = S.materialised(sized, f"{root}/sized")
     plan = plan_mix(sized, root, "doc_id", weights, most=most, seed=seed)
     taken = apply_mix(sized, plan, "doc_id")

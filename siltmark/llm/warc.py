@@ -97,7 +97,7 @@ def write_archives(pages: DataFrame, root: str, min_bytes: int = 0, date: str =
 
     Of rows with equal payloads of at least min_bytes, those with the largest page_id are responses, others revisit it;
     smaller payloads are all responses. A null html is an empty payload; a null page_id counts as smallest; repeated
-    rows that share the largest page_id are all responses; other columns are ignored.
+    rows that share the largest page_id are all responses; other columns are ignored; an empty table writes no archive.
     """
     html = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.encode(F.lit(""), "UTF-8"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
@@ -208,7 +208,7 @@ def _plain_record(src: Source, at: int) -> Record:
     if src.get(at, 5) != b"WARC/":
         raise Damaged("no version line")
     end = src.find(b"\r\n\r\n", at)
-    if end < 0 or end - at > 1 << 20:
+    if end < 0:
         raise Damaged("no end of headers")
     headers = _headers(src.get(at, end - at))
     n = int(headers["content-length"])
@@ -222,6 +222,7 @@ def _plain_record(src: Source, at: int) -> Record:
 def salvage(src: Source) -> Iterator[Record | tuple[int, int, str]]:
     """The records of an archive that pass all checks, and (start, end, reason) of each gap between them."""
     at, gap, reason = 0, None, ""
+    marks = {MEMBER: -1, b"WARC/1.": -1}  # where each was last found, so that no stretch is sought through twice
     while at < src.size:
         gzip = src.get(at, 3) == MEMBER
         try:
@@ -229,8 +230,11 @@ def salvage(src: Source) -> Iterator[Record | tuple[int, int, str]]:
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
-            found = [k for k in (src.find(MEMBER, at + 1), src.find(b"WARC/1.", at + 1)) if k >= 0]
-            at = min(found, default=src.size)
+            for mark, found in marks.items():
+                if found <= at:
+                    found = src.find(mark, at + 1)
+                    marks[mark] = found if found >= 0 else src.size
+            at = min(marks.values())
             continue
         if gap is not None:
             yield gap, at, reason

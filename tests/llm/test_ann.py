@@ -82,3 +82,9 @@ def test_neighbours_that_a_node_lists_meet_each_other_and_those_that_list_it(spa
     got = {r.id: r.w for r in ann.descend(spark.createDataFrame(rows, ann.GRAPH), 4, 7, 4, f"{S.shared_root(spark)}/round").collect()}
     assert 2 in got[1] and 1 in got[2]
     assert {1, 2} <= set(got[5]) and 5 in got[1]
+
+
+def test_doubles_keep_their_precision(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0, 1.0 + 1e-9]), (2, [1.0, 3.0])]
+    got = sorted(map(tuple, ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert [r[:3] for r in got] == [(0, 1, 1), (0, 2, 2)] and got[0][3] == pytest.approx(1e-9, rel=1e-6)

@@ -14,7 +14,7 @@ from siltmark.llm.queries import QUERIES
 def units(t):
     out = []
     for p in t.split("\n"):
-        out += re.split(r"(?<=[.!?])[ ]", p) if len(p) > fingerprint.LONG_PARAGRAPH else [p]
+        out += re.findall(r"(?s).{%d,}?[.!?](?=[ ])|.+" % fingerprint.PARAGRAPH, p)
     return {p.strip(" ") for p in out if p.strip(" ")}
 
 
