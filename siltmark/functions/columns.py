@@ -82,7 +82,16 @@ def intent(query: Column) -> Column:
 
 
 def short_number(n: Column) -> Column:
-    return F.when(n >= 1000, F.format_string("%.1fk", n / 1000.0)).otherwise(n.cast("string"))
+    """From 1000 on in thousands with one decimal, rounded as the binary fraction n / 1000.0 is: 1950 is 1.9k, as 1.95 lies below itself."""
+    n = n.cast("long")
+    x, down = n / F.lit(1000.0), F.floor(n / 100)
+    scale = F.when(x < 1024, F.lit(float(1 << 52))).otherwise(F.lit(float(1 << 42)))
+    wide = lambda c: c.cast("long").cast("decimal(20,0)")
+    # the sign of what the fraction is off by, in whole numbers
+    off = F.sign(wide(x * scale) * F.lit(1000).cast("decimal(5,0)") - n.cast("decimal(16,0)") * wide(scale)).cast("int")
+    half = F.when(off > 0, down + 1).when(off < 0, down).otherwise(down + down % 2)
+    tenths = F.when(n % 100 == 50, half).otherwise(F.floor((n + 50) / 100))
+    return F.when(n >= 1000, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def failure_class(message: Column) -> Column:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltmark.functions import columns as C, parse
-from siltmark.operators import findings, graph, ops, ranking, review, search
+from siltmark.operators import access, findings, graph, ops, ranking, review, search
 from siltmark.sources import readers
 from siltmark.streaming import metrics
 
@@ -21,6 +21,23 @@ def test_empty_and_null_texts(spark):
     assert findings.line_findings(df).count() == 0
 
 
+def test_short_numbers_round_as_floats_do(spark):
+    numbers = [*range(950, 12_000, 10), 999_950, 1_024_050, 1_500_250, 123_456_750]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", C.short_number(F.col("n")).alias("s")).collect()
+    assert [r.s for r in got] == [f"{r.n / 1000:.1f}k" if r.n >= 1000 else str(r.n) for r in got]
+
+
+def test_accessors(spark):
+    files = spark.createDataFrame([(1, "a/main.py", "entrypoint", True, ["eval_exec"]), (1, "b.py", "module", False, [])], "repo_id int, path string, role string, is_entrypoint boolean, sensitive_ops array<string>")
+    contexts = spark.createDataFrame([(1, "b.py", True), (1, "a/main.py", False)], "repo_id int, path string, is_on_critical_path boolean")
+    paths = lambda df: [r.path for r in df.collect()]
+    assert paths(access.by_role(files, "module")) == ["b.py"] and paths(access.entrypoints(files)) == ["a/main.py"] and paths(access.high_risk(files)) == ["a/main.py"]
+    assert paths(access.critical(files, contexts, ["repo_id", "path"])) == ["b.py"]
+    assert access.unsuppressed(spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, is_suppressed boolean")).count() == 2
+    tree = spark.createDataFrame([("x/util.py", "blob", 10), ("main.py", "blob", 99_000), ("d", "tree", None), ("node_modules/a.js", "blob", 1)], "path string, kind string, size long")
+    assert paths(access.first_to_scan(tree, 2)) == ["main.py", "x/util.py"]
+
+
 def test_role_order(spark):
     for path, role in {"tests/config.py": "test", "k8s/main.py": "infra", "a/b/user_model.py": "schema", "x/routes/a.py": "service", "lib/z.rs": "utility", "LICENSE": "unknown"}.items():
         assert one(spark, C.role(F.lit(path))) == role
