@@ -383,7 +383,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """Removes each byte in a string of ``length`` bytes that also starts anywhere else, in the same document or another.
 
     Returns (key, n_bytes, n_removed, n_spans, kept_sha256), one row per input row; with keep (column names, maybe
-    none) also kept_text and these columns. In kept_text, bytes of a character that was cut in two are dropped.
+    none) also kept_text and these columns, with _in after a name that the result has too. In kept_text, bytes of a character that was cut in two are dropped.
     Strings are judged on the input and never cross rows. A null text is empty; null and repeated keys are ordinary
     rows; other columns are ignored; an empty table gives none. ``length`` is at least 32.
     """
@@ -405,6 +405,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     for x in ("docs", "segments", "strings", "suffixes"):
         S.remove(f"{root}/{x}")
     out = out.withColumnRenamed("doc_id", key)
+    taken = {key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"}
     for c in keep or []:
-        out = out.withColumnRenamed(f"_{c}", c)
+        out = out.withColumnRenamed(f"_{c}", f"{c}_in" if c in taken else c)
     return out

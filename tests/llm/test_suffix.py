@@ -65,5 +65,5 @@ def test_overlaps_and_edges(spark, monkeypatch, batch):
     got = sorted(tuple(x)[1:5] for x in suffix.remove_repeats(df, length=40).collect())
     assert got == sorted(brute(texts, 40))
     kept = suffix.remove_repeats(df, length=40, keep=["batch", "n_bytes"])
-    assert kept.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "batch", "n_bytes"]
+    assert kept.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "batch", "n_bytes_in"]
     assert suffix.remove_repeats(spark.createDataFrame([], schema)).count() == 0
