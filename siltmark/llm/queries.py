@@ -78,6 +78,23 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Base32 of a SHA-1: 160 bits, five at a time.
+ORACLE_SQL["op8_warc_round_trip"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, payload, octet_length(payload) AS payload_bytes, sha1(payload) AS h FROM p),
+bits AS (SELECT page_id, payload, payload_bytes, array_to_string(list_transform(range(1, 41), lambda i:
+    list_extract(['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'],
+                 strpos('0123456789abcdef', substr(h, i, 1)))), '') AS b FROM hashed),
+named AS (SELECT page_id, payload, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * (substr(b, 5 * i + 1, 1) = '1')::INT + 8 * (substr(b, 5 * i + 2, 1) = '1')::INT
+        + 4 * (substr(b, 5 * i + 3, 1) = '1')::INT + 2 * (substr(b, 5 * i + 4, 1) = '1')::INT + (substr(b, 5 * i + 5, 1) = '1')::INT), 1)), '') AS payload_digest FROM bits),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS first_id FROM named)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM last
+"""
+
+
 @query
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sketch, its edited text's, and the likeness to the edit and to the next document."""
@@ -90,12 +107,49 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL["op7_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS s FROM d WHERE len(ws) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS k FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_sets AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM sh a JOIN sh b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT x, y FROM both_sets JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * m >= 75 * (a.n + b.n - m)),
+edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach(doc_id, other) AS (SELECT x, y FROM edges UNION SELECT r.doc_id, e.y FROM reach r JOIN edges e ON r.other = e.x),
+least_id AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least_id ON least_id.doc_id = d.doc_id
+"""
+
+
 @query
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each byte in a 200-byte string that also starts elsewhere goes."""
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+#: Strings are told apart by their MD5, which keeps 200-byte strings of every position out of the grouping.
+ORACLE_SQL["op4_suffix_array_dedup"] = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+sized AS (SELECT doc_id, t, octet_length(t) AS n FROM d),
+starts AS (SELECT doc_id, t, unnest(range(1, n - 198)) AS s FROM sized WHERE n >= 200),
+keyed AS (SELECT doc_id, s, md5(t[s:s + 199]) AS k FROM starts),
+twice AS (SELECT k FROM keyed GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, s FROM keyed WHERE k IN (SELECT k FROM twice)),
+gaps AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 200 AS joined FROM hit),
+numbered AS (SELECT doc_id, s, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM gaps),
+runs AS (SELECT doc_id, run, min(s) AS a, max(s) + 199 AS b FROM numbered GROUP BY doc_id, run),
+totals AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id),
+edges AS (SELECT doc_id, 1 + coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a - 1 AS b FROM runs
+          UNION ALL SELECT r.doc_id, max(r.b) + 1, any_value(n) FROM runs r JOIN sized ON sized.doc_id = r.doc_id GROUP BY r.doc_id
+          UNION ALL SELECT doc_id, 1, n FROM sized WHERE doc_id NOT IN (SELECT doc_id FROM runs)),
+kept AS (SELECT e.doc_id, string_agg(CASE WHEN e.b >= e.a THEN hex(t[e.a:e.b]) ELSE '' END, '' ORDER BY e.a) AS h FROM edges e JOIN sized ON sized.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT sized.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM sized JOIN kept ON kept.doc_id = sized.doc_id LEFT JOIN totals ON totals.doc_id = sized.doc_id
+"""
+
+
 @query
 def op10_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows found of each embedding whose vec_id is divisible by 100."""
