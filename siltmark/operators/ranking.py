@@ -45,6 +45,27 @@ def quality(stars: Column, activity: Column, license_name: Column, readme_on_git
     return F.least(s, F.lit(70))
 
 
+def signals(stars: Column, updated_days: Column, created_days: Column, license_name: Column, gitlab: Column, readme_verified: Column, forks: Column, open_issues: Column, flags: Column) -> Column:
+    """What speaks for and against a candidate, in order, as (label, type, verified); type is good, warn or bad."""
+    sign = lambda label, kind, verified=True: F.struct(label.alias("label"), (F.lit(kind) if isinstance(kind, str) else kind).alias("type"), F.lit(verified).alias("verified"))
+    days, age = updated_days, F.coalesce(created_days, F.lit(0))
+    kept_up = ((age > 365) & (days <= 90)) | ((age > 180) & (days <= 30))
+    ago = F.concat(days.cast("string"), F.lit("d ago"))
+    licensed = license_name.isNotNull() & (license_name != "") & ~F.upper(license_name).isin("NOASSERTION", "OTHER")
+    ratio = open_issues / F.greatest(stars, F.lit(1))
+    flag = lambda name, label, kind: F.when(F.array_contains(flags, name), sign(F.lit(label), kind))
+    return F.array_compact(F.array(
+        sign(F.concat(F.lit("★ "), C.short_number(stars), F.lit(" stars")), F.when(stars >= 100, "good").when(stars >= 10, "warn").otherwise("bad")),
+        F.when(days.isNull(), None).when(kept_up, sign(F.concat(F.lit("Active "), ago, F.lit(" ("), F.floor(age / 30).cast("string"), F.lit("mo track record)")), "good"))
+        .when(days <= 365, sign(F.concat(F.lit("Updated "), ago), F.when(days <= 90, "good").otherwise("warn"))).otherwise(sign(F.concat(F.lit("Stale: ~"), F.floor(days / 365).cast("string"), F.lit("yr ago")), "bad")),
+        F.when(licensed, sign(license_name, "good")).otherwise(sign(F.lit("No license"), "warn")),
+        F.when(~gitlab, sign(F.lit("README (unverified)"), "warn", False)).when(readme_verified, sign(F.lit("README confirmed"), "good")).otherwise(sign(F.lit("No README found"), "warn")),
+        F.when(forks >= 500, sign(F.concat(F.lit("⑂ "), C.short_number(forks), F.lit(" forks")), "good")),
+        F.when((ratio > 0.5) & (stars >= 50), sign(F.concat(F.lit("High open issue ratio ("), open_issues.cast("string"), F.lit(" issues / "), stars.cast("string"), F.lit(" stars)")), "warn")).when((ratio < 0.05) & (stars >= 100), sign(F.lit("Low issue backlog"), "good")),
+        flag("fork", "Is a fork", "bad"), flag("possible mirror", "Possible mirror/clone", "warn"), flag("no description", "No description", "bad"), flag("template", "Template repo", "warn"),
+    ))
+
+
 def keep_best(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
     """The first row of each key in an order that has no ties."""
     w = Window.partitionBy("_key").orderBy(*order)

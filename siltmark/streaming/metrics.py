@@ -28,14 +28,18 @@ def stale_jobs(events: DataFrame, seconds: int) -> DataFrame:
             yield pd.DataFrame({"id": [key[0]], "failed_at": [started + seconds]})
             return
         for f in frames:
-            for ts, status in sorted(zip(f.at, f.status, strict=True)):
-                started = ts if status == "started" else None
+            for ts, status in sorted(zip(f["sec"], f["status"], strict=True)):
+                started = int(ts) if status == "started" else None
         if started is None:
             if state.exists:
                 state.remove()
+        elif (started + seconds) * 1000 <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"id": [key[0]], "failed_at": [started + seconds]})
         else:
             state.update((started,))
             state.setTimeoutTimestamp(int((started + seconds) * 1000))
 
-    rows = events.withWatermark("ts", "0 seconds").select("id", "status", "ts", F.unix_timestamp("ts").alias("at"))
+    rows = events.withWatermark("ts", "0 seconds").select("id", "status", "ts", F.unix_timestamp("ts").alias("sec"))
     return rows.groupBy("id").applyInPandasWithState(watch, "id long, failed_at long", "started long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -138,3 +138,51 @@ def test_without_the_llm_folder(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') and n[2].isdigit() for n in q), 'pipeline' in q)"
     said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert said.stdout.split()[1:] == ["False", "False"], said.stderr
+
+
+def test_usage_is_appended_and_failures_swallowed(spark, sf, tmp_path):
+    from siltmark.sources import sinks
+
+    calls = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "stage string, tokens int")
+    path = str(tmp_path / "usage")
+    assert sinks.append_usage(calls, path) and sinks.append_usage(calls.limit(1), path)
+    assert spark.read.parquet(path).count() == 4
+    (tmp_path / "file").write_text("x")
+    assert not sinks.append_usage(calls, str(tmp_path / "file" / "below"))
+    calls.write.parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema(calls.schema).parquet(str(tmp_path / "src"))
+    sinks.stream_usage(stream, path, str(tmp_path / "check")).awaitTermination(120)
+    assert spark.read.parquet(path).count() == 7
+
+
+def test_job_layout_prunes(spark, tmp_path):
+    from siltmark.sources import sinks
+
+    jobs = spark.range(500).selectExpr("id", "if(id % 3 = 0, 'queued', 'running') status", "timestamp_seconds(id * 977 % 500) created_at")
+    sinks.write_jobs(jobs, str(tmp_path / "jobs"))
+    got = spark.read.parquet(str(tmp_path / "jobs")).filter("status = 'queued' and created_at > timestamp_seconds(100)")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status" in plan and "GreaterThan(created_at" in plan
+    assert got.count() == jobs.filter("status = 'queued' and created_at > timestamp_seconds(100)").count()
+    assert ops.claim(spark.read.parquet(str(tmp_path / "jobs")), 4).count() == 4
+
+
+def test_stale_jobs_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "started", 5), (2, "started", 10), (2, "ended", 20), (3, "started", 900)], "id long, status string, t long").selectExpr("id", "status", "timestamp_seconds(t) ts")
+    rows.filter("t < 100").coalesce(1).write.parquet(str(tmp_path / "src"))
+    rows.filter("t >= 100").coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    spark.createDataFrame([(4, "ended", 2000)], "id long, status string, t long").selectExpr("id", "status", "timestamp_seconds(t) ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+    stream = spark.readStream.schema(rows.drop("t").schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "src"))
+    got = run_stream(spark, metrics.stale_jobs(stream, 600), tmp_path, "stale", "append")
+    assert sorted((r.id, r.failed_at) for r in got.collect()) == [(1, 605), (3, 1500)]
+
+
+def test_devcontainer_json(spark):
+    import json
+
+    from siltmark.sources import sinks
+
+    rows = spark.createDataFrame([(1, ["python"], ["Django", "flask"], ["Postgres"], [])], "id int, languages array<string>, frameworks array<string>, services array<string>, custom array<string>")
+    got = json.loads(sinks.devcontainer(rows, "id").first().json)
+    assert got["name"] == "dev-python" and len(got["features"]) == 3 and got["services"] == {"postgres": {"image": "postgres:15", "ports": {"5432": 5432}}}
+    assert got["customizations"]["vscode"]["settings"]["[python]"] == {"editor.defaultFormatter": "ms-python.python"} and got["postCreateCommand"].startswith("python -m pip")
