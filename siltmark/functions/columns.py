@@ -81,6 +81,21 @@ def intent(query: Column) -> Column:
     return F.coalesce(*found, F.lit("general"))
 
 
+def share_text(x: Column, digits: int) -> Column:
+    """A number from 0 to 1 with so many decimals, rounded as its binary fraction is: 0.1625 is 0.163, as that double lies above itself."""
+    unit = 10**digits
+    down = F.floor(x * unit)
+
+    def beyond(power):  # the sign of what x is above the middle, in whole numbers
+        of = F.floor(x * float(1 << power)).cast("long").cast("decimal(19,0)") * F.lit(2 * unit).cast("decimal(6,0)")
+        return F.sign(of - (2 * down + 1).cast("decimal(5,0)") * F.lit(str(1 << power)).cast("decimal(22,0)")).cast("int")
+
+    # all bits of x are in so many binary places; smaller numbers than 2**-17 are far from any middle
+    off = F.when(x < 2.0**-7, beyond(70)).otherwise(beyond(60))
+    near = F.when(off > 0, down + 1).when(off < 0, down).otherwise(down + down % 2)
+    return F.format_string(f"%.{digits}f", near / F.lit(float(unit)))
+
+
 def short_number(n: Column) -> Column:
     """From 1000 on in thousands with one decimal, rounded as the binary fraction n / 1000.0 is: 1950 is 1.9k, as 1.95 lies below itself."""
     n = n.cast("long")

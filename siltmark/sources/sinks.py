@@ -113,16 +113,16 @@ def report_lines(results: DataFrame, quality: float, relevance: float, generated
     total = results.agg(means[0].alias("ndcg"), means[1].alias("p"), F.count_if(~F.col("passed")).alias("failed"))
     head = F.array(
         F.lit(f"# {title}"), F.lit(""), F.concat(F.lit(f"**Weights:** quality={quality}  relevance={relevance} &nbsp;|&nbsp; **Generated:** "), generated), F.lit(""), F.lit("## Overall"), F.lit(""), F.lit("| Metric | Value |"), F.lit("|--------|-------|"),
-        F.format_string("| Mean NDCG@3 | %.3f |", F.bround("ndcg", 3)), F.format_string("| Mean P@3 | %.3f |", F.bround("p", 3)), F.format_string("| Noise gate failures | %d |", "failed"), F.lit(""), F.lit("## Subset Breakdown"), F.lit(""), F.lit("| Class | NDCG@3 | P@3 |"), F.lit("|-------|--------|-----|"),
+        F.format_string("| Mean NDCG@3 | %s |", C.share_text(F.col("ndcg"), 3)), F.format_string("| Mean P@3 | %s |", C.share_text(F.col("p"), 3)), F.format_string("| Noise gate failures | %d |", "failed"), F.lit(""), F.lit("## Subset Breakdown"), F.lit(""), F.lit("| Class | NDCG@3 | P@3 |"), F.lit("|-------|--------|-----|"),
     )
     at = lambda n: F.lit(n).alias("section")
     key = F.lpad(F.col("k").cast("string"), 8, "0").alias("ordinal")
     out = total.select(at(0), F.posexplode(head).alias("k", "line")).select("section", key, "line")
     classes = results.groupBy("cls").agg(means[0].alias("ndcg"), means[1].alias("p"), F.count_if("has_ideal").alias("n")).filter("n > 0")
-    out = out.unionByName(classes.select(at(1), F.col("cls").alias("ordinal"), F.format_string("| %s | %.3f | %.3f |", "cls", F.bround("ndcg", 3), F.bround("p", 3)).alias("line")))
+    out = out.unionByName(classes.select(at(1), F.col("cls").alias("ordinal"), F.format_string("| %s | %s | %s |", "cls", C.share_text(F.col("ndcg"), 3), C.share_text(F.col("p"), 3)).alias("line")))
     table = F.array(*map(F.lit, ("", "## Per-Query Results", "", "| ID | Query | Class | NDCG@3 | P@3 | Top Result | Gate |", "|----|-------|-------|--------|-----|-----------|------|")))
     out = out.unionByName(total.select(at(2), F.posexplode(table).alias("k", "line")).select("section", key, "line"))
-    shown = lambda c: F.when(F.col("has_ideal"), F.format_string("%.2f", F.bround(c, 2))).otherwise("n/a")
+    shown = lambda c: F.when(F.col("has_ideal"), C.share_text(F.col(c), 2)).otherwise("n/a")
     line = F.concat_ws(" | ", F.concat(F.lit("| "), "id"), F.left("query", F.lit(40)), "cls", shown("ndcg"), shown("p"), F.concat(F.lit("`"), F.left(F.coalesce("top", F.lit("—")), F.lit(35)), F.lit("`")), F.concat(F.when(F.col("passed"), "✓").otherwise("**✗**"), F.lit(" |")))
     out = out.unionByName(results.select(at(3), F.col("id").alias("ordinal"), line.alias("line")))
     some = total.filter("failed > 0").select(at(4), F.posexplode(F.array(*map(F.lit, ("", "## ⚠ Noise Gate Failures", "")))).alias("k", "line")).select("section", key, "line")

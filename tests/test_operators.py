@@ -186,3 +186,11 @@ def test_devcontainer_json(spark):
     got = json.loads(sinks.devcontainer(rows, "id").first().json)
     assert got["name"] == "dev-python" and len(got["features"]) == 3 and got["services"] == {"postgres": {"image": "postgres:15", "ports": {"5432": 5432}}}
     assert got["customizations"]["vscode"]["settings"]["[python]"] == {"editor.defaultFormatter": "ms-python.python"} and got["postCreateCommand"].startswith("python -m pip")
+
+
+def test_shares_round_as_floats_do(spark):
+    from siltmark.functions import columns as C
+
+    values = [0.1625, 0.0625, 0.125, 0.375, 0.0005, 0.9995, 1.0, 0.0, 0.2345, 0.005] + [k / 2000 for k in range(2001)] + [k / 97 for k in range(98)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", C.share_text(F.col("x"), 3).alias("a"), C.share_text(F.col("x"), 2).alias("b")).collect()
+    assert [r for r in got if (r.a, r.b) != (f"{r.x:.3f}", f"{r.x:.2f}")] == []
