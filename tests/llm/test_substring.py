@@ -1,13 +1,11 @@
-"""Substring deduplication against its SQL and a plain loop."""
+"""Substring deduplication against a plain loop."""
 
 import hashlib
 import random
 
 import pytest
-from oracle import compare
 
 from siltmark.llm import substring
-from siltmark.llm.queries import ORACLE_SQL, QUERIES
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -47,11 +45,6 @@ def order(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
-def test_queries_equal_their_sql(spark, sf, name):
-    assert compare(spark, sf, [name], QUERIES, ORACLE_SQL)[name] == ""
-
-
 @pytest.mark.parametrize("batch", [400, 4 << 20])
 def test_edges(spark, monkeypatch, batch):
     """Nulls, empty and very long texts, ties, repeated rows, overlaps, windows at either end, columns with clashing names."""
