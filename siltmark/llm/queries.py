@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _shared as S
-from . import ann, fingerprint, idplanes, jaccard, mixing, packing, substring, suffix, toxicity, warc
+from . import ann, fingerprint, idplanes, jaccard, mixing, packing, resample, substring, suffix, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -160,3 +160,38 @@ def op10_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probabilities of every document's categories and whether it is rejected as toxic."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("rejected", "toxic")
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn toward the distribution of words in the benchmark."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), orders=1)
+
+
+#: CRC-32 of a column of byte lists, with its table of 256 entries made from the polynomial.
+CRC_SQL = r"""
+crc_steps(b, k, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS tab FROM crc_steps WHERE k = 8),
+"""
+CRC_OF = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c // 256, tab[(xor(c, b) % 256) + 1])), 4294967295::BIGINT)"
+
+ORACLE_SQL["op13_importance_resampling"] = (
+    "WITH RECURSIVE "
+    + CRC_SQL
+    + r"""
+cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+aim AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+w AS (SELECT doc_id, unnest(ws) AS w FROM cut),
+named AS (SELECT w, """
+    + CRC_OF.format("w")
+    + r""" % 10000 AS b FROM (SELECT DISTINCT w FROM w UNION SELECT w FROM aim), crc_table),
+s AS (SELECT b, count(*) AS s FROM w JOIN named USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM aim JOIN named USING (w) GROUP BY b),
+gain AS (SELECT s.b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT sum(s) FROM s)::DOUBLE + 10000) / ((s::DOUBLE + 1) * (coalesce((SELECT sum(t) FROM t), 0)::DOUBLE + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (b)),
+weighed AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS weight FROM w JOIN named USING (w) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (SELECT c.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || c.doc_id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296)))::BIGINT AS score FROM cut c LEFT JOIN weighed ON weighed.doc_id = c.doc_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored)
+SELECT doc_id, n_features AS n_words, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * fit // 100 THEN r END AS rank FROM placed
+"""
+)
