@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _shared as S
-from . import ann, fingerprint, idplanes, jaccard, mixing, packing, resample, substring, suffix, toxicity, warc
+from . import ann, fingerprint, idplanes, jaccard, mixing, packing, periodic, resample, substring, suffix, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -195,3 +195,38 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY s
 SELECT doc_id, n_features AS n_words, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * fit // 100 THEN r END AS rank FROM placed
 """
 )
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words of every document, a tenth of which get one planted."""
+    docs = periodic.with_planted_runs(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.find_runs(docs, keep=["doc_id"]))
+
+
+#: A stretch of six or more equal pairs is a row of equal six-word strings, so pairs are joined by those.
+ORACLE_SQL["op12_periodic_runs"] = (
+    "WITH RECURSIVE "
+    + CRC_SQL
+    + r"""
+raw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, """
+    + CRC_OF.format("doc_id::VARCHAR")
+    + r""" AS h FROM documents, crc_table),
+place AS (SELECT doc_id, ws, len(ws) AS n, h, h // 10 AS g FROM raw),
+period AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM place),
+edited AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE ws END AS ws FROM period),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM edited),
+six AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 6], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 5)) AS i FROM edited)),
+pairs AS (SELECT a.doc_id, b.i - a.i AS p, a.i FROM six a JOIN six b ON a.doc_id = b.doc_id AND a.k = b.k AND a.i < b.i),
+numbered AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS isle FROM pairs),
+stretch AS (SELECT doc_id, p, min(i) AS s, min(i) + count(*) + 5 + p AS e FROM numbered GROUP BY doc_id, p, isle),
+runs AS (SELECT doc_id, s, e, min(p) AS p FROM stretch WHERE e - s >= greatest(12, 2 * p) GROUP BY doc_id, s, e),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, e)) AS i FROM runs),
+kept AS (SELECT w.doc_id, string_agg(w, ' ' ORDER BY w.i) AS kept FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i WHERE gone.i IS NULL GROUP BY w.doc_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, s, p) AS r FROM runs),
+agg AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || p || chr(10), '' ORDER BY s, p) AS lines FROM runs GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, (e - s)::BIGINT AS length, p::BIGINT AS period, (1000 * (e - s) // p)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM edited x LEFT JOIN agg ON agg.doc_id = x.doc_id LEFT JOIN best ON best.doc_id = x.doc_id AND r = 1 LEFT JOIN kept ON kept.doc_id = x.doc_id
+"""
+)
