@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _shared as S
-from . import ann, fingerprint, idplanes, jaccard, mixing, packing, periodic, resample, substring, suffix, toxicity, warc
+from . import ann, fingerprint, idplanes, jaccard, mixing, packing, periodic, pstable, resample, substring, suffix, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -230,3 +230,21 @@ SELECT x.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, (e -
 FROM edited x LEFT JOIN agg ON agg.doc_id = x.doc_id LEFT JOIN best ON best.doc_id = x.doc_id AND r = 1 LEFT JOIN kept ON kept.doc_id = x.doc_id
 """
 )
+
+
+@query
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each embedding to others of its label with a cosine of 0.93 or more, and its component."""
+    return pstable.similar(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op11_embedding_near_dedup"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+linked AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(vec_id, other) AS (SELECT x, y FROM linked UNION SELECT r.vec_id, l.y FROM reach r JOIN linked l ON r.other = l.x),
+low AS (SELECT vec_id, min(other) AS m FROM reach GROUP BY vec_id),
+deg AS (SELECT x AS vec_id, count(*) AS n FROM linked GROUP BY x)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN deg ON deg.vec_id = e.vec_id LEFT JOIN low ON low.vec_id = e.vec_id
+"""
