@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed
@@ -70,33 +69,6 @@ def sliding_counts(requests: DataFrame, key: str, ts: str, span: int) -> DataFra
     return requests.withColumn("in_window", F.count(F.lit(1)).over(w))
 
 
-def rate_limited(requests: DataFrame, key: str, ts: str, burst: int, burst_seconds: int, daily: int) -> DataFrame:
-    """(key, ts, allowed, retry_after), replayed in order: rejected requests do not count. Sequential by nature, so by key in pandas."""
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-
-        rows = rows.sort_values("t", kind="stable")
-        kept, allowed, retry = deque(), [], []
-        for t in rows.t.tolist():
-            while kept and kept[0] <= t - 86400:
-                kept.popleft()
-            if len(kept) >= burst and kept[-burst] > t - burst_seconds:
-                allowed.append(False)
-                retry.append(max(1, int(kept[-burst] + burst_seconds - t)))
-            elif len(kept) >= daily:
-                allowed.append(False)
-                retry.append(max(1, int(kept[0] + 86400 - t)))
-            else:
-                kept.append(t)
-                allowed.append(True)
-                retry.append(0)
-        return pd.DataFrame({"key": rows.key, "t": rows.t, "allowed": allowed, "retry_after": retry})
-
-    rows = requests.select(F.col(key).cast("string").alias("key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"))
-    return rows.groupBy("key").applyInPandas(replay, "key string, t double, allowed boolean, retry_after int")
-
-
 def daily_quota(requests: DataFrame, key: str, ts: str, limit: int) -> DataFrame:
     """Used and left of each key's day, days cut at midnight UTC."""
     rows = requests.groupBy(key, F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("used"))

@@ -58,13 +58,6 @@ def test_penalty_decay_of_one_hot_rule(spark):
     assert review.domain_penalties(rows.limit(0), ["repo"]).count() == 0
 
 
-def test_rate_limit_equals_a_loop(spark):
-    ts = [0, 1, 2, 3, 12, 13, 14, 30, 86405]
-    df = spark.createDataFrame([("a", pd.Timestamp(t, unit="s").to_pydatetime()) for t in ts], "k string, ts timestamp")
-    got = [(r.t, r.allowed, r.retry_after) for r in ops.rate_limited(df, "k", "ts", 3, 10, 5).orderBy("t").collect()]
-    assert got == [(0, True, 0), (1, True, 0), (2, True, 0), (3, False, 7), (12, True, 0), (13, True, 0), (14, False, 86386), (30, False, 86370), (86405, True, 0)]
-
-
 def test_resolution_is_stable_and_ignores_row_order(spark):
     files = [(1, p, "python") for p in ("a/util.py", "b/util.py", "c/__init__.py", "c/d.py")]
     index = graph.module_keys(spark.createDataFrame(files, "repo_id int, path string, language string"))
