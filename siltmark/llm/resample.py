@@ -98,17 +98,18 @@ def ranked(rows: DataFrame, order: list[Column], root: str, name: str = "rank")
     return at.join(F.broadcast(first), "_part").select(*rows.columns, (F.col("_first") + F.col("_at") + 1).alias(name))
 
 
-def weights(docs: DataFrame, target: DataFrame, orders: int = 2, buckets: int = 10_000, key: str = "doc_id", text: str = "text") -> DataFrame:
+def weights(docs: DataFrame, target: DataFrame, root: str, orders: int = 2, buckets: int = 10_000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_features, weight), a row for each row of docs: the sum of gains over its n-grams, repeats counted.
 
-    Passes over the texts twice, for the counts and for the sums, and shuffles no text: a document's n-grams are made in
+    Passes over the texts twice, for the counts (written to root) and for the sums, and shuffles no text: a document's n-grams are made in
     one task and are summed there. The gains have at most ``buckets`` rows, a parameter, and are broadcast. A null
     text, or one without words, has 0 of each; rows of equal keys are rows of their own; other columns are ignored;
     an empty target makes all gains those of absent buckets; an empty table gives none.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     aim = target.select(F.monotonically_increasing_id().alias("_row"), F.col(text).cast("string").alias("_text"))
-    gain = gains(bucket_counts(rows, orders, buckets, "_row", "_text"), bucket_counts(aim, orders, buckets, "_row", "_text"), buckets)
+    counts = [S.materialised(bucket_counts(d, orders, buckets, "_row", "_text"), f"{root}/counts{k}") for k, d in enumerate((rows, aim))]
+    gain = gains(*counts, buckets)
     grams = ngrams(rows, orders, "_row", "_text").withColumn("bucket", bucket_of(F.col("gram"), buckets))
     found = grams.join(F.broadcast(gain), "bucket", "left").groupBy("_row", "_key")
     single = F.when(F.col("gram").isNotNull() & ~F.col("gram").contains(" "), 1)  # words hold no blanks
@@ -123,7 +124,7 @@ def resample(docs: DataFrame, target: DataFrame, share: tuple[int, int] = (10, 1
     repeated keys and empty tables: see weights().
     """
     root = S.shared_root(docs.sparkSession)
-    scored = weights(docs, target, orders, buckets, key, text)
+    scored = weights(docs, target, root, orders, buckets, key, text)
     scored = scored.withColumn("score", F.col("weight") + noise(F.col(key), seed)).withColumn("_fit", F.col("n_words") >= least_words)
     scored = S.materialised(scored, f"{root}/scored")
     draw = scored.filter("_fit").count() * share[0] // share[1]

@@ -72,9 +72,9 @@ def test_edges(spark):
     assert plain(resample.resample(df, target.limit(0), share=(1, 2), orders=1)) == sorted(brute(docs, [], share=(1, 2)), key=str)
 
 
-def test_no_text_is_shuffled(spark, sf):
+def test_no_text_is_shuffled(spark, sf, tmp_path):
     docs, aim = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
-    plan = resample.weights(docs, aim, orders=1)._jdf.queryExecution().executedPlan().toString()
+    plan = resample.weights(docs, aim, f"file://{tmp_path}", orders=1)._jdf.queryExecution().executedPlan().toString()
     import re as r
 
     assert not any("text" in line for line in plan.split("\n") if r.search(r"Exchange (hash|range)", line))
