@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,3 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
             top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         sc.setCheckpointDir(top)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's address below the session's checkpoint folder, for tables that several plans read."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return f"{top.rstrip('/')}/siltmark-{uuid.uuid4().hex}"
