@@ -7,18 +7,33 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import fixed
 from ..functions import columns as C
 
+#: Languages whose files can be imported; all share one index.
+IMPORTED = ("python", "typescript", "javascript")
+
+
+def without_suffix(path: Column) -> Column:
+    """A path without the last suffix of its name; a dot that begins or ends the name is none."""
+    return F.regexp_replace(path, r"([^/])\.[^./]+$", "$1")
+
+
 def module_keys(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """(repo, key, path): every name a file can be imported by. A whole key beats a suffix; of equal claims the first path wins.
+    """(repo, key, path): every name a file can be imported by.
 
-    files: (repo, path, language). Python files have all dotted suffixes; scripts their path, and that without extension.
+    files: (repo, path, language). A Python file is known by its dotted path and, weakly, by each suffix of that; a
+    script by its path without suffix, bare and after ./ and /, and weakly by its name. Of files with one whole name
+    the last path holds it; what no file has as a whole name, the first path that claims it weakly. Keys that begin
+    with "file:" name the files that hold any key, by their whole path.
     """
-    stem = F.regexp_replace("path", r"(/__init__)?\.py$", "")
+    claim = lambda key, whole: F.struct(key.alias("key"), F.lit(whole).alias("whole"))
+    stem = without_suffix(F.col("path"))
     dotted = F.split(stem, "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(dotted)), lambda k: F.struct(F.array_join(F.slice(dotted, k, F.size(dotted)), ".").alias("key"), k.alias("rank")))
-    bare = F.regexp_replace("path", r"\.[^./]+$", "")
-    script = F.array(*[F.struct(k.alias("key"), F.lit(r).alias("rank")) for r, k in enumerate((F.col("path"), bare, F.regexp_replace(bare, r"/index$", "")), 1)])
-    rows = files.select(repo, "path", F.explode(F.when(F.col("language") == "python", suffixes).otherwise(script)).alias("k")).select(repo, "path", "k.key", "k.rank")
-    return rows.groupBy(repo, "key").agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(dotted)), lambda k: F.struct(F.array_join(F.slice(dotted, k, F.size(dotted)), ".").alias("key"), (k == 1).alias("whole")))
+    script = F.array(claim(stem, True), claim(F.concat(F.lit("./"), stem), True), claim(F.concat(F.lit("/"), stem), True), claim(F.element_at(dotted, -1), False))
+    rows = files.filter(F.col("language").isin(*IMPORTED)).select(repo, "path", F.explode(F.when(F.col("language") == "python", suffixes).otherwise(script)).alias("k"))
+    index = rows.groupBy(repo, "k.key").agg(F.coalesce(F.max(F.when(F.col("k.whole"), F.col("path"))), F.min("path")).alias("path"))
+    # each key's row also says that its path holds one
+    both = index.select(repo, F.explode(F.array("key", F.concat(F.lit("file:"), "path"))).alias("key"), "path")
+    return both.groupBy(repo, "key").agg(F.first("path").alias("path"))
 
 
 def _folded(path: Column) -> Column:
@@ -27,23 +42,40 @@ def _folded(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def candidates(imports: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """imports (repo, source, language, raw) with the keys each may stand for, best first: adds key, rank.
+def _python_keys(raw: Column, source: Column) -> Column:
+    """Keys to look up for a Python import, best first: files beside the importer for a relative one, else all its suffixes."""
+    dots = F.length(F.regexp_extract(raw, r"^(\.*)", 1))
+    rest = F.regexp_replace(raw, r"^\.+", "")
+    own = F.filter(F.split(C.directory(source), "/"), lambda x: x != "")
+    base = F.slice(own, 1, F.greatest(F.size(own) - dots + 1, F.lit(0)))
+    at = F.array_join(F.concat(base, F.when(rest != "", F.split(rest, r"\.")).otherwise(F.array().cast("array<string>"))), "/")
+    beside = F.transform(C.strings((".py", ".ts", ".js", ".tsx", ".jsx", "/__init__.py")), lambda e: F.concat(F.lit("file:"), at, e))
+    relative = F.when(at == "", F.array(F.lit("file:__init__.py"))).otherwise(beside)
+    parts = F.split(raw, r"\.")
+    absolute = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    return F.when(dots > 0, relative).otherwise(absolute)
+
+
+def _script_keys(raw: Column, source: Column, aliases: dict[str, str]) -> Column:
+    """Keys to look up for a script's import. Aliases lose * and / at their end before they are compared, in their order, and the first that fits replaces."""
+    bare = {a.rstrip("*").rstrip("/"): to.rstrip("*").rstrip("/") for a, to in aliases.items()}
+    begins = lambda a: F.startswith(raw, F.lit(a))
+    path = F.coalesce(*[F.when(begins(a), F.concat(F.lit(to), F.substr(raw, F.lit(len(a) + 1)))) for a, to in bare.items()], raw)
+    at = _folded(F.concat_ws("/", C.directory(source), path))
+    stem = without_suffix(at)
+    with_extension = lambda x: F.concat(F.array(x), F.transform(C.strings((".ts", ".tsx", ".js", ".jsx")), lambda e: F.concat(x, e)))
+    inside = F.when(at == "", F.lit("index")).otherwise(F.concat(at, F.lit("/index")))
+    return F.when(F.startswith(path, F.lit(".")), F.concat(with_extension(stem), with_extension(inside))).otherwise(F.array(path, F.regexp_replace(path, "^/+", "")))
 
-    Relative Python imports climb by their dots; absolute ones try the whole name, then suffixes, longest first. Script
-    imports try aliases and relative paths as they are, then with each extension, then as a folder's index.
-    """
-    dots = F.length(F.regexp_extract("raw", r"^(\.*)", 1))
-    own = F.split(C.directory(F.col("source")), "/")
-    base = F.filter(F.slice(own, 1, F.greatest(F.size(own) - dots + 1, F.lit(0))), lambda x: x != "")
-    rest = F.filter(F.split(F.regexp_replace("raw", r"^\.+", ""), r"\."), lambda x: x != "")
-    relative = F.array(F.array_join(F.concat(base, rest), "."))
-    absolute = F.transform(F.sequence(F.lit(1), F.greatest(F.size(rest), F.lit(1))), lambda k: F.array_join(F.slice(rest, k, F.size(rest)), "."))
-    aliased = F.coalesce(*[F.when(F.startswith(F.col("raw"), F.lit(a)), F.concat(F.lit(to), F.substr(F.col("raw"), F.lit(len(a) + 1)))) for a, to in aliases.items()], F.when(F.startswith(F.col("raw"), F.lit(".")), F.concat_ws("/", C.directory(F.col("source")), "raw")), F.col("raw"))
-    path = _folded(aliased)
-    script = F.concat(F.array(path), F.transform(C.strings((".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js")), lambda e: F.concat(path, e)))
-    keys = F.when(F.col("language") == "python", F.when(dots > 0, relative).otherwise(absolute)).otherwise(script)
-    return imports.select("*", F.posexplode(keys).alias("rank", "key"))
+
+def candidates(imports: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """imports with (own, rank, key): what to look up for the import, and (own false) for the module that a Python import may name a member of."""
+    raw, source, python = F.col("raw"), F.col("source"), F.col("language") == "python"
+    parent = F.when(python & ~F.startswith(raw, F.lit(".")), F.regexp_extract(raw, r"^(.+)\.[^.]*$", 1))
+    rows = imports.withColumn("_try", F.explode(F.array_compact(F.array(F.struct(F.lit(True).alias("own"), raw.alias("name")), F.when(F.coalesce(parent, F.lit("")) != "", F.struct(F.lit(False).alias("own"), parent.alias("name")))))))
+    name = F.col("_try.name")
+    keys = F.when(python, _python_keys(name, source)).when(F.col("language").isin(*IMPORTED), _script_keys(name, source, aliases))
+    return rows.select(*imports.columns, F.col("_try.own").alias("own"), F.posexplode(keys).alias("rank", "key"))
 
 
 def unresolved_reason(raw: Column, language: Column, aliases: list[str]) -> Column:
@@ -59,27 +91,22 @@ def _literal(x: str) -> str:
     return "\\Q" + x + "\\E"
 
 
-def resolve(imports: DataFrame, index: DataFrame, external=tuple(fixed.EXTERNAL_ROOTS), aliases: dict[str, str] | None = None, repo: str = "repo_id") -> DataFrame:
-    """Edges (repo, source, raw, target, confidence, reason): the best key that the index has wins.
+def resolve(imports: DataFrame, index: DataFrame, external: tuple[str, ...] = fixed.EXTERNAL_ROOTS, aliases: dict[str, str] | None = None, repo: str = "repo_id") -> DataFrame:
+    """Edges (repo, source, raw, target, confidence, reason): the first key that the index has wins.
 
-    A member import whose module resolves too is left out; what no file answers is external where its root is a known
-    package (no edge), else unresolved with a reason. A file importing itself counts as unresolved.
+    imports: distinct (repo, source, language, raw). A Python import that no file answers, of a module that one does,
+    names a member and is left out. What no file but the importer answers is external where its root is a known
+    package (no edge), else unresolved with a reason. One join looks up all keys of an import and of its module.
     """
-    aliases = aliases or {"@/": "src/", "~/": ""}
-    tried = candidates(imports, aliases).join(index.withColumnRenamed("path", "hit"), [repo, "key"])
-    best = tried.groupBy(repo, "source", "raw").agg(F.min_by("hit", "rank").alias("target"))
-    rows = imports.join(best, [repo, "source", "raw"], "left")
-    # member imports whose module is an edge of the same file
-    found = rows.filter("target is not null").select(repo, "source", F.col("raw").alias("_parent")).distinct()
-    parent = F.when((F.col("language") == "python") & ~F.startswith(F.col("raw"), F.lit(".")), F.regexp_extract("raw", r"^(.*)\.[^.]+$", 1))
-    rows = rows.withColumn("_parent", F.coalesce(parent, F.lit("")))
-    rows = rows.filter("target is not null").unionByName(rows.filter("target is null").join(found, [repo, "source", "_parent"], "left_anti").select(rows.columns)).drop("_parent")
-    own = F.col("target") == F.col("source")
-    rows = rows.withColumn("target", F.when(own, None).otherwise(F.col("target")))
+    aliases = fixed.SCRIPT_ALIASES if aliases is None else aliases
+    hits = candidates(imports, aliases).join(index.withColumnRenamed("path", "hit"), [repo, "key"])
+    found = hits.groupBy(repo, "source", "raw").agg(F.min_by(F.when(F.col("own"), F.col("hit")), F.when(F.col("own"), F.col("rank"))).alias("target"), F.bool_or(~F.col("own")).alias("member"))
+    rows = imports.join(found, [repo, "source", "raw"], "left").filter("target is not null or not coalesce(member, false)")
+    rows = rows.withColumn("target", F.when(F.col("target") != F.col("source"), F.col("target")))
     root = F.lower(F.regexp_extract(F.regexp_replace("raw", r"^\.+", ""), r"^(@[^/]*|[^./]*)", 1))
-    inside = rows.filter("target is not null").unionByName(rows.filter(F.col("target").isNull() & ~root.isin(*external)))
+    rows = rows.filter(F.col("target").isNotNull() | ~root.isin(*external))
     reason = F.when(F.col("target").isNull(), unresolved_reason(F.col("raw"), F.col("language"), list(aliases)))
-    return inside.select(repo, "source", "raw", "target", F.when(F.col("target").isNotNull(), "confirmed").otherwise("unresolved").alias("confidence"), reason.alias("reason"))
+    return rows.select(repo, "source", "raw", "target", F.when(F.col("target").isNotNull(), "confirmed").otherwise("unresolved").alias("confidence"), reason.alias("reason"))
 
 
 def degrees(edges: DataFrame, repo: list[str]) -> DataFrame:
@@ -115,10 +142,10 @@ def reach(edges: DataFrame, starts: DataFrame, repo: list[str], depth: int = 2)
 
 
 def confidence(edges: DataFrame, repo: list[str]) -> DataFrame:
-    """Confirmed share of internal edges by repo, dynamic imports not counted, 0.5 for none."""
+    """Confirmed share of internal edges by repo to three places, dynamic imports not counted, 0.5 for none."""
     counted = F.coalesce(F.col("reason") != "dynamic_import", F.lit(True))
     share = F.try_divide(F.count_if(F.col("confidence") == "confirmed"), F.count_if(counted))
-    return edges.groupBy(*repo).agg(F.coalesce(share, F.lit(0.5)).alias("graph_confidence"), F.count_if(F.col("confidence") == "confirmed").alias("confirmed"), F.count_if(F.col("confidence") != "confirmed").alias("unresolved"))
+    return edges.groupBy(*repo).agg(F.coalesce(F.bround(share, 3), F.lit(0.5)).alias("graph_confidence"), F.count_if(F.col("confidence") == "confirmed").alias("confirmed"), F.count_if(F.col("confidence") != "confirmed").alias("unresolved"))
 
 
 def unresolved_by_reason(edges: DataFrame, repo: list[str]) -> DataFrame:

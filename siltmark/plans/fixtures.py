@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import query
 from ..functions import columns as C, parse
-from ..operators import findings, graph, ops, ranking, repos, review, rules, search
+from ..operators import findings, ops, ranking, repos, review, rules, search
 from ..sources import readers
 
 FILES = (
@@ -46,42 +46,6 @@ def file_roles(spark, sf):
     return files(spark).select("path", C.role(p).alias("role"), C.language(p, F.col("content")).alias("language"), C.should_skip(p).alias("skip"))
 
 
-def edges(spark: SparkSession) -> DataFrame:
-    f = files(spark).filter(~C.should_skip(F.col("path"))).withColumn("language", C.language(F.col("path"), F.col("content")))
-    index = graph.module_keys(f.filter(F.col("language").isin("python", "typescript")))
-    raw = F.when(F.col("language") == "python", parse.python_imports(F.col("content"))).when(F.col("language") == "typescript", parse.script_imports(F.col("content")))
-    imports = f.select("repo_id", F.col("path").alias("source"), "language", F.explode(raw).alias("raw"))
-    return graph.resolve(imports.distinct(), index)
-
-
-@query(
-    values(
-        "source, raw, target, reason",
-        "('shop/main.py','shop.api','shop/api/__init__.py',NULL)", "('shop/main.py','shop.api.orders','shop/api/orders.py',NULL)", "('shop/main.py','shop.settings','shop/settings.py',NULL)", "('shop/main.py','shop.missing',NULL,'file_not_scanned')",
-        "('shop/api/orders.py','.','shop/api/__init__.py',NULL)", "('shop/api/orders.py','..helpers',NULL,'file_not_scanned')", "('shop/api/orders.py','..db','shop/db.py',NULL)", "('shop/api/orders.py','..db.session',NULL,'file_not_scanned')",
-        "('shop/api/helpers.py','shop.models',NULL,'ambiguous_package_import')", "('shop/api/helpers.py','shop.models.order','shop/models/order.py',NULL)",
-        "('web/app/page.tsx','@/cart/list','src/cart/list.ts',NULL)", "('web/app/page.tsx','./gone',NULL,'file_not_scanned')", "('src/cart/list.ts','../money','src/money/index.ts',NULL)", "('src/money/index.ts','../cart/list','src/cart/list.ts',NULL)",
-        "('tests/test_orders.py','shop.api','shop/api/__init__.py',NULL)", "('tests/test_orders.py','shop.api.orders','shop/api/orders.py',NULL)",
-    )
-)
-def import_edges(spark, sf):
-    """Imports resolved to files, or why not."""
-    return edges(spark).select("source", "raw", "target", "reason")
-
-
-@query(values("path, depth", "('shop/main.py',0)", "('web/app/page.tsx',0)", "('src/money/index.ts',0)", "('shop/api/__init__.py',1)", "('shop/api/orders.py',1)", "('shop/settings.py',1)", "('shop/db.py',2)", "('src/cart/list.ts',1)"))
-def critical_path(spark, sf):
-    """Files within two imports of an entrypoint."""
-    starts = files(spark).filter(~C.should_skip(F.col("path")) & (C.role(F.col("path")) == "entrypoint"))
-    return graph.reach(edges(spark), starts, ["repo_id"]).select("path", "depth")
-
-
-@query(values("repo_id, graph_confidence, confirmed, unresolved", "(1, 0.6875, 11, 5)"))
-def graph_confidence(spark, sf):
-    """Confirmed share of imports."""
-    return graph.confidence(edges(spark), ["repo_id"])
-
-
 @query(values("file, line, method, route, n_params", "('shop/api/orders.py',6,'POST','/orders/{order_id}/lines',1)", "('shop/api/orders.py',12,'GET','/orders/{order_id}/lines',1)", "('shop/main.py',10,'GET','/health',0)"))
 def route_table(spark, sf):
     """Routes of a framework's sources."""
