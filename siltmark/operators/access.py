@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as C, parse
+from . import prefix
+from .cut import cut
 
 
 def scannable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -15,10 +17,32 @@ def scannable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.filter((F.col("kind") == "blob") & ~skipped & ~made), counts
 
 
-def first_to_scan(files: DataFrame, n: int = 800) -> DataFrame:
-    """The first n files in scan order: by rank of the role, then size, then path."""
+def first_to_scan(files: DataFrame, n: int = 800, repo: list[str] | None = None) -> DataFrame:
+    """The first n files of each repository in scan order: by rank of the role, then size, then path.
+
+    Tasks leave out what is not among a repository's first n before anything is exchanged. Without repo, all rows are
+    one repository's.
+    """
     order = C.scan_priority(F.col("path"), F.col("kind"), F.col("size"))
-    return files.withColumn("_o", order).orderBy("_o.rank", "_o.step", "path").limit(n).drop("_o")
+    rows = files.withColumn("_o", order)
+    if not repo:
+        return rows.orderBy("_o.rank", "_o.step", "path").limit(n).drop("_o")
+    place = F.row_number().over(Window.partitionBy(*repo).orderBy("_o.rank", "_o.step", "path"))
+    return rows.withColumn("_n", place).filter(F.col("_n") <= n).drop("_o", "_n")
+
+
+def within_budget(files: DataFrame, repo: list[str], order: list[str], size: str, budget: int, batch: int = 30) -> DataFrame:
+    """files of the batches that are read before a repository's budget is spent, with their batch (from 0).
+
+    Files are taken ``batch`` at a time in order, which has to tell a repository's files apart; reading stops after the
+    batch whose bytes take the total above the budget. Two running sums, of files and then of batches, neither of which
+    needs a repository in one task.
+    """
+    placed = prefix.before(files, repo, order, F.lit(1), "_at").withColumn("batch", F.floor(F.col("_at") / batch).cast("long")).drop("_at")
+    placed = cut(placed)
+    spent = placed.groupBy(*repo, "batch").agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("_bytes"))
+    spent = prefix.before(spent, repo, ["batch"], F.col("_bytes"), "_spent").filter(F.col("_spent") <= budget)
+    return placed.join(spent.select(*repo, "batch"), [*repo, "batch"], "left_semi")
 
 
 def with_flags(files: DataFrame) -> DataFrame:

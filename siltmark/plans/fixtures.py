@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..catalog import query
 from ..functions import columns as C, parse
-from ..operators import findings, ops, ranking, repos, review, rules, search
+from ..operators import findings, ops, ranking, repos, review, rules
 from ..sources import readers
 
 FILES = (
@@ -146,13 +146,6 @@ def score_comparison(spark, sf):
     return findings.compare_scores(card(60, 5), card(70, 3), "id").select("id", "composite_delta", "n_findings_resolved")
 
 
-@query(values("sentence", "('nothing backs this')"))
-def untraced_sentences(spark, sf):
-    """Sentences without a source."""
-    s = spark.createDataFrame([("The score is 70 overall",), ("nothing backs this",)], "sentence string")
-    return search.untraced(s, spark.createDataFrame([("score is 70",)], "trace string"), "sentence", "trace")
-
-
 @query(values("status, n", "('watch', 1)", "('active', 1)", "('steady', 1)"))
 def overall_status(spark, sf):
     """Status of the service."""

@@ -69,7 +69,6 @@ def test_resolution_is_stable_and_ignores_row_order(spark):
 def test_chunks_and_scores(spark):
     d = spark.createDataFrame([(1, "a b c a"), (2, "b b"), (3, None)], "id long, text string")
     assert [r.id for r in search.contains(d, "text", "C A").collect()] == [1]
-    assert [(r.id, r.score) for r in search.term_score(d, "text", "a c").collect()] == [(1, 0.75)]
 
 
 def test_checkout_and_sinks(spark, tmp_path):
