@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed
 from ..functions import columns as C
+from . import prefix
 
 MIRROR = r"(?i)\b(mirror|clone|copy|backup|archived?)\b"
 
@@ -81,8 +84,9 @@ def blend(quality_: Column, relevance: Column, weight: float = 0.4) -> Column:
 
 
 def ranked(scored: DataFrame, query: str, score: str, tie: str) -> DataFrame:
-    w = Window.partitionBy(query).orderBy(F.desc(score), tie)
-    return scored.withColumn("rank", F.row_number().over(w))
+    """scored with each row's rank among its query's, by falling score (a number), then tie; a pool of any size is ranked by ranges."""
+    placed = prefix.before(scored.withColumn("_falling", -F.col(score)), [query], ["_falling", tie], F.lit(1), "_before")
+    return placed.select(*scored.columns, (F.col("_before") + 1).cast("int").alias("rank"))
 
 
 def evaluate(ranks: DataFrame, ideal: DataFrame, queries: DataFrame, query: str, item: str, k: int = 3) -> DataFrame:
@@ -127,17 +131,52 @@ def term_relevance(query: Column, description: Column, full_name: Column, topics
     return F.least(share + F.least(F.lit(10), F.floor(F.coalesce(stars, F.lit(0)) / 5000)), F.lit(100)).cast("int")
 
 
-def score_pool(candidates: DataFrame, queries: list[tuple[str, str]], weight: float = 0.4) -> DataFrame:
-    """Every candidate under every query of a pack (id, text), best first; excluded ones score -1 and come last.
+def by_terms(rows: DataFrame) -> DataFrame:
+    """The plain relevance of a candidate under a query: overlap of terms."""
+    return rows.withColumn("relevance", term_relevance(F.col("query_text"), F.col("description"), F.col("full_name"), F.col("topics"), F.col("stars")))
 
-    candidates: (id, quality, excluded, description, full_name, topics, stars). A pack is a parameter, so each
-    candidate's row is repeated for it without a join.
-    """
+
+#: What gives candidates under queries (query, query_text and the candidate's columns) their relevance, 0 to 100.
+Relevance = Callable[[DataFrame], DataFrame]
+
+
+def under_queries(candidates: DataFrame, queries: list[tuple[str, str]]) -> DataFrame:
+    """Every candidate under every query of a pack (id, text). A pack is a parameter, so each row is repeated for it without a join."""
     pack = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(t).alias("query_text")) for q, t in queries])
-    rows = candidates.select("*", F.explode(pack).alias("p")).select("*", "p.*").drop("p")
-    relevance = term_relevance(F.col("query_text"), F.col("description"), F.col("full_name"), F.col("topics"), F.col("stars"))
-    score = F.when(F.col("excluded"), -1).otherwise(blend(F.col("quality"), relevance, weight))
-    return ranked(rows.withColumn("relevance", F.when(F.col("excluded"), 0).otherwise(relevance)).withColumn("overall", score), "query", "overall", "id")
+    return candidates.select("*", F.explode(pack).alias("_p")).select("*", "_p.query", "_p.query_text").drop("_p")
+
+
+def score_pool(candidates: DataFrame, queries: list[tuple[str, str]], weight: float = 0.4, relevance: Relevance = by_terms) -> DataFrame:
+    """Every candidate under every query, best first; excluded ones score -1 and come last, with no relevance.
+
+    candidates: (id, quality, excluded) and what the relevance hook reads (by_terms: description, full_name, topics, stars).
+    """
+    rows = relevance(under_queries(candidates, queries))
+    score = F.when(F.col("excluded"), -1).otherwise(blend(F.col("quality"), F.col("relevance"), weight))
+    return ranked(rows.withColumn("overall", score).withColumn("relevance", F.when(F.col("excluded"), 0).otherwise(F.col("relevance"))), "query", "overall", "id")
+
+
+def scout(candidates: DataFrame, queries: list[tuple[str, str]], name: Column, relevance: Relevance = by_terms, model: DataFrame | None = None, weight: float = 0.4) -> DataFrame:
+    """Candidates of a search from end to end: flagged, excluded, one of each name, scored, and ranked under every query.
+
+    candidates: (id, full_name, description, stars, forks, is_fork, is_archived, is_template, license_name, n_topics,
+    open_issues, updated_days, created_days) and what the hook reads. Of equal names the one with most stars stays, then
+    the smallest id. model: (query, id, relevance) of a model; where it has none, the hook's relevance counts. Returns
+    the rows with query, flags, quality, relevance, verdict, overall and rank.
+    """
+    c = F.col
+    flags = noise_flags(c("is_fork"), c("is_archived"), c("is_template"), c("description"), c("full_name"), c("stars"), c("forks"))
+    rows = candidates.withColumn("flags", flags).filter(~excluded(c("is_archived"), c("flags"), c("stars")))
+    # by an aggregate, so that a name that many candidates have is thinned within tasks
+    best = F.min_by(F.struct(*rows.columns), F.struct(-c("stars"), c("id")))
+    rows = rows.groupBy(name.alias("_name")).agg(best.alias("_c")).select("_c.*")
+    points = quality(c("stars"), activity_points(c("updated_days"), c("created_days")), c("license_name"), F.lit(False), c("description"), c("n_topics"), c("forks"), c("open_issues"), c("flags"))
+    rows = relevance(under_queries(rows.withColumn("quality", points.cast("int")), queries))
+    rows = rows.withColumn("verdict", F.lit("worth_checking"))
+    if model is not None:
+        said = model.select("query", "id", c("relevance").alias("_said"))
+        rows = rows.join(said, ["query", "id"], "left").withColumn("relevance", F.coalesce("_said", "relevance")).withColumn("verdict", F.when(c("_said").isNull(), c("verdict")).otherwise("scored")).drop("_said")
+    return ranked(rows.withColumn("overall", blend(c("quality"), c("relevance"), weight)), "query", "overall", "id")
 
 
 def with_model_scores(candidates: DataFrame, scores: DataFrame, fallback: Column) -> DataFrame:

@@ -53,12 +53,6 @@ def workflow_runs(text: Column) -> Column:
     return F.concat(one, block)
 
 
-def compose_services(text: Column) -> Column:
-    """Names below a compose file's services key."""
-    body = F.regexp_extract(text, r"(?ms)^services:[^\n]*\n((?:[ \t]+[^\n]*\n?|\s*\n)*)", 1)
-    return F.regexp_extract_all(body, F.lit(r"(?m)^  ([A-Za-z0-9_.-]+):"), F.lit(1))
-
-
 def stack(repos: DataFrame, key: str = "repo_id") -> DataFrame:
     """(key, category, name, evidence, confidence) of repos (key, paths, npm, python: arrays)."""
     has = lambda side, *names: F.arrays_overlap(side, C.strings(names))
@@ -148,12 +142,6 @@ def facts(files: DataFrame, repo: str = "repo_id") -> DataFrame:
     )
 
 
-def env_vars(text: Column) -> Column:
-    """Names of environment variables that a source refers to, each once."""
-    pats = (r"""os\.getenv\(\s*["']([A-Z][A-Z0-9_]*)["']""", r"""os\.environ(?:\.get\(\s*|\[)["']([A-Z][A-Z0-9_]*)["']""", r"process\.env\.([A-Z][A-Z0-9_]*)")
-    return F.array_sort(F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in pats])))
-
-
 def section_confidence(found: Column, failed: Column) -> Column:
     return F.greatest(F.lit(0.0), F.bround(F.least(found * 0.2 + 0.2, F.lit(1.0)) - failed * 0.1, 2))
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions import columns as C, parse
+from ..functions import columns as C, parse, syntax
 from . import repos
 
 SCRIPTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -100,12 +100,15 @@ def ci_gates(files: DataFrame, repo: str = "repo_id") -> DataFrame:
     """(repo, platforms, has_test_gate, has_lint_gate): by commands of workflows and of another platform's scripts."""
     path, text = F.col("path"), F.col("content")
     actions, other = path.rlike(r"^\.github/workflows/[^/]+\.yml$"), path.isin(".gitlab-ci.yml", ".gitlab-ci.yaml")
-    runs = repos.workflow_runs(text)
-    script = parse.groups(text, r"(?m)^\s+-\s+([^\n]+)$")
+    # only such files reach the reader of YAML
+    runs = syntax.workflow_commands(F.when(actions, text)) if syntax.HAS_YAML else repos.workflow_runs(text)
+    script = syntax.script_commands(F.when(other, text)) if syntax.HAS_YAML else parse.groups(text, r"(?m)^\s+-\s+([^\n]+)$")
     matches = lambda commands, pattern: F.exists(commands, lambda c: c.rlike(pattern))
-    test = (actions & matches(runs, fixed.TEST_COMMANDS)) | (other & matches(script, fixed.TEST_COMMANDS))
     platform = F.when(actions, "github_actions").when(other, "gitlab_ci")
-    return files.groupBy(repo).agg(F.array_sort(F.collect_set(platform)).alias("platforms"), F.bool_or(test).alias("has_test_gate"), F.bool_or(actions & matches(runs, fixed.LINT_COMMANDS)).alias("has_lint_gate"))
+    read = files.select(repo, "path", runs.alias("runs"), script.alias("script"))
+    runs, script = F.col("runs"), F.col("script")
+    test = (actions & matches(runs, fixed.TEST_COMMANDS)) | (other & matches(script, fixed.TEST_COMMANDS))
+    return read.groupBy(repo).agg(F.array_sort(F.collect_set(platform)).alias("platforms"), F.bool_or(test).alias("has_test_gate"), F.bool_or(actions & matches(runs, fixed.LINT_COMMANDS)).alias("has_lint_gate"))
 
 
 def migrations(files: DataFrame, repo: str = "repo_id") -> DataFrame:

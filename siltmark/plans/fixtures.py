@@ -69,14 +69,6 @@ def stack_items(spark, sf):
     return repos.stack(r).select("category", "name", F.col("confidence").cast("double").alias("confidence"), F.col("evidence")[0].alias("first_evidence"))
 
 
-@query(values("kind, name", "('run','pytest -q')", "('run','ruff check .')", "('service','db')", "('service','cache')", "('env','SHOP_DEBUG')", "('env','SHOP_URL')"))
-def configuration(spark, sf):
-    """Workflow commands, compose services and environment variables."""
-    t, p = F.col("content"), F.col("path")
-    each = lambda kind, test, names: files(spark).filter(test).select(F.lit(kind).alias("kind"), F.explode(F.transform(names, lambda x: F.trim(F.regexp_replace(x, "\n", "")))).alias("name"))
-    return each("run", F.contains(p, F.lit("workflows")), repos.workflow_runs(t)).unionByName(each("service", p == "docker-compose.yml", repos.compose_services(t))).unionByName(each("env", C.extension(p) == ".py", repos.env_vars(t)))
-
-
 @query(values("rule_id, severity", "('HYGIENE-LICENSE-001','medium')", "('DX-FORMAT-001','low')", "('DX-LINT-001','medium')", "('PY-TYPING-001','medium')", "('PY-TYPECFG-001','medium')", "('SEC-SECRETS-001','critical')", "('SEC-BANDIT-GROUPED-001','high')", "('OPS-HEALTH-001','medium')", "('OPS-LOGGING-001','low')", "('TESTING-RATIO-001','medium')"))
 def rule_findings(spark, sf):
     """Static review of the repository's facts (2.8)."""
