@@ -199,6 +199,36 @@ def scan_priority(path: Column, kind: Column, size: Column) -> Column:
 # ---- names and URLs
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double to so many places (at most 6) by its exact binary value, halves to even; rounding functions go by the shortest decimal instead."""
+    scale = float(10**places)
+    # x times the scale is product + lost, exactly: x is split so that neither part's product is rounded
+    part = lambda x: 134217729.0 * x - (134217729.0 * x - x)
+    one = lambda x: F.struct((x * scale).alias("product"), ((part(x) * scale - x * scale) + (x - part(x)) * scale).alias("lost"), F.floor(x * scale).cast("double").alias("whole"))
+
+    def settle(v: Column) -> Column:
+        over = ((v["product"] - v["whole"]) - 0.5) + v["lost"]
+        up = (over > 0) | ((over == 0) & (v["whole"] % 2 != 0))
+        return (v["whole"] + F.when(up, 1.0).otherwise(0.0)) / scale
+
+    return F.transform(F.array(one(x.cast("double"))), settle)[0]
+
+
+def exact_repo(query: Column) -> Column:
+    """The one repository that a search names, as struct(owner, repo), or null: by address, repo:owner/name, owner/name or "owner name"."""
+    clean = F.regexp_replace(F.regexp_replace(query, r"^\s+|\s+$", ""), "^/+|/+$", "")
+    clean = F.when(F.lower(clean).startswith("repo:"), F.regexp_replace(F.substr(clean, F.lit(6)), r"^\s+|\s+$", "")).otherwise(clean)
+    address = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)([^?#]*)"
+    hosted = F.lower(F.regexp_extract(clean, address, 1)).isin(*fixed.REPO_HOSTS)
+    path = F.filter(F.split(F.regexp_replace(F.regexp_extract(clean, address, 2), ";[^/]*$", ""), "/"), lambda x: x != "")
+    pair = lambda p: F.when(clean.rlike(p), F.array(F.regexp_extract(clean, p, 1), F.regexp_extract(clean, p, 2)))
+    spoken = F.coalesce(pair(r"^([A-Za-z0-9-]+)/([A-Za-z0-9_.-]+)$"), pair(r"^([A-Za-z0-9-]+)\s+([A-Za-z0-9_.-]+)$"))
+    found = F.when(hosted & (F.size(path) >= 2), path).otherwise(spoken)
+    owner, repo = F.get(found, F.lit(0)), F.regexp_replace(F.get(found, F.lit(1)), r"\.git$", "")
+    valid = owner.rlike(r"^[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?$") & repo.rlike(r"^[A-Za-z0-9_.-]{1,100}$")
+    return F.when(valid, F.struct(owner.alias("owner"), repo.alias("repo")))
+
+
 def repo_of_url(url: Column) -> Column:
     """struct(owner, repo) of a repository address in any of its spellings; nulls if it is none."""
     pattern = r"^(?:https?://|git@|ssh://git@)?(?:www\.)?[A-Za-z0-9.-]+[/:]([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?(?:[?#].*)?$"

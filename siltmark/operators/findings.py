@@ -52,6 +52,17 @@ def dimension_of(category: Column) -> Column:
     return F.coalesce(C.lookup(category, fixed.DIMENSION_OF), F.when(category.isin(*fixed.DIMENSION_WEIGHTS), category))
 
 
+def precise_sum(terms: list[Column]) -> Column:
+    """Sum of doubles in their order with what each step loses added at the end, so that it rounds as the true sum does."""
+
+    def step(a: Column, x: Column) -> Column:
+        t = a["s"] + x
+        lost = F.when(F.abs(a["s"]) >= F.abs(x), (a["s"] - t) + x).otherwise((x - t) + a["s"])
+        return F.struct(t.alias("s"), (a["c"] + lost).alias("c"))
+
+    return F.aggregate(F.array(*terms), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), step, lambda a: a["s"] + a["c"])
+
+
 def shrunk(raw: Column, confidence: Column, neutral: int = 50) -> Column:
     """A score drawn to neutral by what is not known, whole numbers toward zero."""
     return F.when(confidence >= 1.0, raw).otherwise(F.greatest(F.lit(0), (raw * confidence + neutral * (1.0 - confidence)).cast("int")))
@@ -71,7 +82,7 @@ def scan_confidence(scanned: Column, total: Column, mean_confidence: Column, tes
     coverage = F.least(F.coalesce(F.try_divide(scanned, total), F.lit(0.0)), F.lit(1.0))
     bonus = F.when(tests, 0.04).otherwise(0.0) + F.when(entrypoints, 0.04).otherwise(0.0) + F.when(config, 0.02).otherwise(0.0)
     whole = coverage * 0.45 + F.coalesce(mean_confidence, F.lit(0.0)) * 0.40 + bonus
-    return F.when(total == 0, 0.0).otherwise(F.least(F.lit(0.97), F.bround(F.bround(whole, 9), 3)))
+    return F.when(total == 0, 0.0).otherwise(F.least(F.lit(0.97), C.rounded(whole, 3)))
 
 
 def scorecard(items: DataFrame, findings: DataFrame, key: str, confidence: Column) -> DataFrame:
@@ -91,8 +102,8 @@ def scorecard(items: DataFrame, findings: DataFrame, key: str, confidence: Colum
     for d in ("test_coverage", "documentation"):
         source = "test_score" if d == "test_coverage" else "documentation_score"
         rows = rows.withColumn(d, shrunk(F.col(source), F.col("confidence")).cast("int"))
-    composite = sum((F.col(d) * w for d, w in fixed.DIMENSION_WEIGHTS.items()), F.lit(0.0))
-    rows = rows.withColumn("composite", F.bround(F.bround(composite, 6), 0).cast("int"))
+    composite = precise_sum([F.col(d) * F.lit(w) for d, w in fixed.DIMENSION_WEIGHTS.items()])
+    rows = rows.withColumn("composite", F.bround(composite, 0).cast("int"))
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_findings", "n_critical", "n_high", "n_medium", "n_low")]
     return rows.select(key, *fixed.DIMENSION_WEIGHTS, "composite", C.band(F.col("composite"), fixed.COMPOSITE_BANDS).alias("label"), "confidence", *counts)
 
@@ -107,7 +118,7 @@ def compare_scores(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 def blended_confidence(extraction: Column, graph: Column, finding: Column) -> Column:
     """struct(overall, label) of three confidences."""
-    overall = F.least(F.lit(0.97), F.bround(0.40 * extraction + 0.35 * graph + 0.25 * finding, 3))
+    overall = F.least(F.lit(0.97), C.rounded(0.40 * extraction + 0.35 * graph + 0.25 * finding, 3))
     return F.struct(overall.alias("overall"), F.when(overall >= 0.85, "High").when(overall >= 0.65, "Moderate").otherwise("Low").alias("label"))
 
 

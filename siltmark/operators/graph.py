@@ -145,7 +145,7 @@ def confidence(edges: DataFrame, repo: list[str]) -> DataFrame:
     """Confirmed share of internal edges by repo to three places, dynamic imports not counted, 0.5 for none."""
     counted = F.coalesce(F.col("reason") != "dynamic_import", F.lit(True))
     share = F.try_divide(F.count_if(F.col("confidence") == "confirmed"), F.count_if(counted))
-    return edges.groupBy(*repo).agg(F.coalesce(F.bround(share, 3), F.lit(0.5)).alias("graph_confidence"), F.count_if(F.col("confidence") == "confirmed").alias("confirmed"), F.count_if(F.col("confidence") != "confirmed").alias("unresolved"))
+    return edges.groupBy(*repo).agg(F.coalesce(C.rounded(share, 3), F.lit(0.5)).alias("graph_confidence"), F.count_if(F.col("confidence") == "confirmed").alias("confirmed"), F.count_if(F.col("confidence") != "confirmed").alias("unresolved"))
 
 
 def unresolved_by_reason(edges: DataFrame, repo: list[str]) -> DataFrame:

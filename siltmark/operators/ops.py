@@ -44,8 +44,31 @@ def worker_status(beats: DataFrame, now: Column, stale_after: int = 60) -> DataF
     return rows.select("worker_id", queues.alias("queues"), "status", age.alias("age_seconds"), ((F.col("status") == "running") & (age < stale_after)).alias("fresh"))
 
 
-def overall_status(failed: Column, attention: Column, running: Column, queued: Column) -> Column:
-    return F.when((failed >= 3) | attention, "watch").when((running > 0) | (queued > 0), "active").otherwise("steady")
+def worker_summary(workers: DataFrame) -> DataFrame:
+    """One row of worker_status' rows: status (ok, stale or missing), fresh_count, stale_count, active_queues."""
+    fresh = F.count_if("fresh")
+    queues = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("fresh"), F.col("queues"))))))
+    rows = workers.agg(fresh.alias("fresh_count"), (F.count(F.lit(1)) - fresh).alias("stale_count"), queues.alias("active_queues"))
+    return rows.select(F.when(F.col("fresh_count") > 0, "ok").when(F.col("stale_count") > 0, "stale").otherwise("missing").alias("status"), "*")
+
+
+def attention(queues: Column, active: Column, queued_for: int, running_for: int) -> Column:
+    """What needs attention, or null.
+
+    queues: array of (name, queue, queued, running, oldest_queued, oldest_running: seconds), in order; active: queues
+    that a fresh worker serves. A queue that waits with nothing running comes before a job that runs too long.
+    """
+    stuck = F.filter(queues, lambda q: (q["queued"] > 0) & (q["running"] == 0) & (F.coalesce(q["oldest_queued"], F.lit(0)) >= queued_for))
+    unserved = F.filter(stuck, lambda q: ~F.array_contains(active, q["queue"]))
+    slow = F.filter(queues, lambda q: F.coalesce(q["oldest_running"], F.lit(0)) >= running_for)
+    say = lambda text, qs: F.replace(F.lit(text), F.lit("{}"), F.array_join(F.transform(qs, lambda q: q["name"]), " and "))
+    return F.when(F.size(unserved) > 0, say(fixed.NO_WORKER, unserved)).when(F.size(stuck) > 0, say(fixed.IDLE_WORKER, stuck)).when(F.size(slow) > 0, say(fixed.SLOW_WORKER, slow))
+
+
+def overall_status(queues: Column, attention_: Column, service_ok: Column) -> Column:
+    """watch, active or steady, of queues as attention takes them, with their failed_recent."""
+    total = lambda f: F.aggregate(F.transform(queues, lambda q: q[f].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.when(~service_ok | (total("failed_recent") >= 3) | attention_.isNotNull(), "watch").when((total("running") > 0) | (total("queued") > 0), "active").otherwise("steady")
 
 
 def claim(jobs: DataFrame, slots: int) -> DataFrame:

@@ -66,10 +66,25 @@ def production_suitable() -> Column:
     return F.col("recommendation").isin("strong", "solid") & (F.col("security") >= 65) & (F.col("testing") >= 50)
 
 
-def confidence_badge(*shares: Column) -> Column:
-    """struct(score, label) of equally weighted shares."""
-    score = F.bround(sum(shares[1:], shares[0]) / len(shares), 3)
-    return F.struct(score.alias("score"), F.when(score >= 0.75, "High").when(score >= 0.50, "Medium").otherwise("Low").alias("label"))
+def confidence_badge(sources: Column, files: Column, languages: Column, tools: Column, framework: Column) -> Column:
+    """How sure a review is of itself, of a repository's facts.
+
+    languages: those detected; tools: (name, status) of each tool; framework: confidence of its detection. A quarter
+    each: the share of files that are sources, of languages that have rules (0.3 if none was detected), of tools that
+    ran (0.6 if there is none), and framework. The label goes by the sum before it is rounded.
+    """
+    low = F.array_distinct(F.transform(F.coalesce(languages, F.array().cast("array<string>")), lambda x: F.lower(x)))
+    supported = F.size(F.array_intersect(low, C.strings(fixed.RULE_PACKS)))
+    ran = F.filter(tools, lambda t: t["status"] == "success")
+    covered = F.least(sources / F.greatest(files, F.lit(1)), F.lit(1.0))
+    spoken = F.when(F.size(low) > 0, supported / F.size(low)).otherwise(0.3)
+    worked = F.when(F.size(tools) > 0, F.size(ran) / F.greatest(F.size(tools), F.lit(1)) * 0.25).otherwise(0.15)
+    score = covered * 0.25 + spoken * 0.25 + worked + framework * 0.25
+    label = F.when(score >= 0.75, "High").when(score >= 0.50, "Medium").otherwise("Low")
+    return F.struct(
+        label.alias("label"), C.rounded(score, 2).alias("score"), (supported + 1).alias("rule_packs_applied"), F.size(ran).alias("tools_succeeded"), (F.size(tools) - F.size(ran)).alias("tools_failed"),
+        C.rounded(covered, 2).alias("coverage_pct"), C.rounded(framework, 2).alias("framework_confidence"), F.transform(ran, lambda t: t["tool"]).alias("succeeded_tools"),
+    )
 
 
 def depth_of(tools: Column) -> Column:
@@ -117,6 +132,33 @@ def readiness(security: Column, testing: Column, rules: Column, worst_security:
     return F.slice(F.array_distinct(F.array_compact(F.concat(F.array(safe, F.when(testing < 50, why)), grave))), 1, 3)
 
 
+def flip_actions(findings: DataFrame, scores: DataFrame, group: list[str], order: str) -> DataFrame:
+    """(group, actions): at most three fixes that would move a repository toward production.
+
+    findings: (group, rule_id, severity, fix, security_impact: null or points, order); scores: (group, security,
+    testing). First the fix of the critical finding whose rule sorts first; where security is below 65, that of the
+    high finding that costs it most; where testing is below 50, that of the rule of no tests, else of tests that are
+    not run; then high findings' fixes in order, without those named. A repository's high findings are thinned to three
+    within tasks.
+    """
+    c = F.col
+    first = lambda when, fix, by: F.min_by(F.when(when, fix), F.when(when, by))
+    last = lambda rule: F.max_by(F.when(c("rule_id") == rule, c("fix")), F.when(c("rule_id") == rule, c(order)))
+    high = c("severity") == "high"
+    named = findings.groupBy(*group).agg(
+        first(c("severity") == "critical", c("fix"), F.struct("rule_id", order)).alias("_critical"), first(high & (c("security_impact") < 0), c("fix"), F.struct("security_impact", order)).alias("_security"),
+        last("TESTING-001").alias("_none"), last("TEST-CI-001").alias("_unrun"),
+    )
+    rows = scores.join(named, group, "left")
+    chosen = F.array_compact(F.array(c("_critical"), F.when(c("security") < 65, c("_security")), F.when(c("testing") < 50, F.coalesce("_none", "_unrun"))))
+    rows = rows.select(*group, chosen.alias("_named"))
+    others = findings.filter(high).join(rows, group).filter(~F.array_contains("_named", c("fix")))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(order))
+    others = others.select(*group, "fix", place.alias("_n")).filter(c("_n") <= 3).groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "fix"))), lambda x: x["fix"]).alias("_more"))
+    more = F.coalesce("_more", F.array().cast("array<string>"))
+    return rows.join(others, group, "left").select(*group, F.slice(F.concat("_named", more), 1, 3).alias("actions"))
+
+
 def top_concern(findings: DataFrame, group: list[str], order: str) -> DataFrame:
     """The first critical, else the first high finding's title."""
     rank = C.lookup(F.col("severity"), fixed.SEVERITY_RANK, 9)

@@ -301,13 +301,6 @@ def fresh_cache(spark, sf):
     return readers.fresh_cache(table(spark, sf, "events").withColumn("written_at", F.col("ts")), F.lit(NOW).cast("timestamp")).select("event_id")
 
 
-@query("SELECT l_orderkey AS id, string_agg('- **' || upper(l_returnflag) || '** part ' || l_partkey || ' (R' || l_suppkey || ')', chr(10) ORDER BY l_linenumber, l_returnflag, l_partkey, l_suppkey) AS markdown FROM lineitem GROUP BY 1")
-def markdown_reports(spark, sf):
-    """Findings of every order as markdown."""
-    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("severity"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"), F.concat(F.lit("R"), F.col("l_suppkey").cast("string")).alias("rule_id"), F.struct("l_linenumber", "l_returnflag", "l_partkey", "l_suppkey").alias("ordinal"))
-    return readers.markdown(rows, "id")
-
-
 @query(f"WITH f AS {FILES_SQL} SELECT repo_id, path FROM f WHERE path IN ('README.md', 'package.json')")
 def priority_files(spark, sf):
     """Files of given names near the root."""

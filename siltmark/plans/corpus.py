@@ -35,6 +35,8 @@ def line_findings(spark, sf):
 
 _RAW = {d: f"greatest(0, 100 + coalesce(sum(points) FILTER (category = '{d}'), 0))" for d in ("security", "performance", "reliability", "maintainability")}
 _SHRINK = lambda x: f"trunc({x} * c + 50 * (1.0 - c))::INT"
+_LOST = "CASE WHEN abs(a.s) >= abs(b.s) THEN (a.s - (a.s + b.s)) + b.s ELSE (b.s - (a.s + b.s)) + a.s END"
+_PRECISE = lambda terms: f"list_transform([list_reduce([{', '.join(f'{{{chr(39)}s{chr(39)}: {t}, {chr(39)}c{chr(39)}: 0.0::DOUBLE}}' for t in terms)}], lambda a, b: {{'s': a.s + b.s, 'c': a.c + {_LOST}}})], lambda a: a.s + a.c)[1]"
 _BAND = lambda x, bands: "CASE " + " ".join(f"WHEN {x} BETWEEN {a} AND {b} THEN '{n}'" for a, b, n in bands) + " END"
 
 
@@ -45,7 +47,7 @@ base AS (SELECT d.doc_id, CASE WHEN any_value(d.n_chars) > 2000 THEN 0.75 ELSE 0
   count(f.pattern) AS n_findings, count(*) FILTER (severity = 'critical') AS n_critical, count(*) FILTER (severity = 'high') AS n_high
   FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY d.doc_id),
 s AS (SELECT doc_id, c, n_findings, n_critical, n_high, {", ".join(f"{_SHRINK(f'r_{d}')} AS {d}" for d in _RAW)}, {_SHRINK("50")} AS test_coverage, {_SHRINK("(CASE WHEN n_chars > 500 THEN 100 ELSE 80 END)")} AS documentation FROM base),
-t AS (SELECT *, round_even(round_even({" + ".join(f"{d} * {w}::DOUBLE" for d, w in fixed.DIMENSION_WEIGHTS.items())}, 6), 0)::INT AS composite FROM s)
+t AS (SELECT *, round_even({_PRECISE([f"{d} * {w}::DOUBLE" for d, w in fixed.DIMENSION_WEIGHTS.items()])}, 0)::INT AS composite FROM s)
 SELECT doc_id, security, performance, reliability, maintainability, test_coverage, documentation, composite, {_BAND("composite", fixed.COMPOSITE_BANDS)} AS label, n_findings, n_critical, n_high FROM t"""
 )
 def findings_scorecard(spark, sf):

@@ -108,13 +108,6 @@ def source_findings(spark, sf):
     return findings.line_findings(files(spark), key="path", text="content").select(F.col("path").alias("file"), F.col("line").cast("int").alias("line"), "pattern")
 
 
-@query(values("url, owner, repo", "('https://github.com/a/b','a','b')", "('git@host.org:a/b.git','a','b')", "('https://gitlab.com/x/y.git/','x','y')", "('nothing',NULL,NULL)"))
-def repo_urls(spark, sf):
-    """Owner and repository of addresses."""
-    urls = ("https://github.com/a/b", "git@host.org:a/b.git", "https://gitlab.com/x/y.git/", "nothing")
-    return spark.createDataFrame([(u,) for u in urls], "url string").select("url", C.repo_of_url(F.col("url")).alias("r")).select("url", "r.owner", "r.repo")
-
-
 @query(values("mean_held, critical_held, noise_held", "(true, false, false)"))
 def ranking_gate(spark, sf):
     """Regression gate of two runs."""
@@ -123,23 +116,8 @@ def ranking_gate(spark, sf):
     return ranking.gate(run(("a", 0.5, 0.3), ("b", 0.9, 0.6)), run(("a", 0.9, 0.6), ("b", 0.7, 0.6)), "query", name("b"), name("a"), name("a", "b"))
 
 
-@query(values("overall, label, badge, depth", "(0.835, 'Moderate', 'High', 'security_augmented')"))
-def confidences(spark, sf):
-    """Blended confidence, badge and depth (S-A11, S-A23, S-A25)."""
-    b = findings.blended_confidence(F.lit(0.9), F.lit(0.7), F.lit(0.92))
-    badge = review.confidence_badge(F.lit(1.0), F.lit(0.5), F.lit(0.75), F.lit(0.8))
-    return spark.range(1).select(b["overall"].alias("overall"), b["label"].alias("label"), badge["label"].alias("badge"), review.depth_of(F.array(F.lit("ruff"), F.lit("bandit"))).alias("depth"))
-
-
 @query(values("id, composite_delta, n_findings_resolved", "(1, 10, 2)"))
 def score_comparison(spark, sf):
     """Deltas of two scorecards (S-A10)."""
     card = lambda v, n: spark.createDataFrame([(1, v, v, v, v, v, v, v, n, 0, 0)], "id int, security int, performance int, reliability int, maintainability int, test_coverage int, documentation int, composite int, n_findings int, n_critical int, n_high int")
     return findings.compare_scores(card(60, 5), card(70, 3), "id").select("id", "composite_delta", "n_findings_resolved")
-
-
-@query(values("status, n", "('watch', 1)", "('active', 1)", "('steady', 1)"))
-def overall_status(spark, sf):
-    """Status of the service."""
-    rows = spark.createDataFrame([(3, False, 0, 0), (0, False, 1, 0), (1, False, 0, 0)], "failed int, attention boolean, running int, queued int")
-    return rows.groupBy(ops.overall_status(*map(F.col, rows.columns)).alias("status")).agg(F.count(F.lit(1)).alias("n"))

@@ -123,10 +123,30 @@ def decrypted(text: Column, secret: Column) -> Column:
     return F.decode(F.aes_decrypt(F.unbase64(text), secret), "UTF-8")
 
 
-def markdown(findings: DataFrame, key: str) -> DataFrame:
-    """A report's findings as one markdown text each."""
-    line = F.format_string("- **%s** %s (%s)", F.upper("severity"), F.col("title"), F.col("rule_id"))
-    return findings.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("l")))), lambda x: x["l"]), "\n").alias("markdown"))
+def report_markdown(reports: DataFrame, key: str) -> DataFrame:
+    """(key, markdown): each review as a document: head, scorecard, findings by severity with evidence, priority actions.
+
+    reports: (key, url, commit, ruleset, a column of each category, findings: array of (id, severity, title, summary,
+    why, fix, evidence: array of texts), actions: array of texts).
+    """
+    head = F.concat(F.lit("# Codebase Review: "), F.col("url"), F.lit("\n> Commit: `"), F.col("commit"), F.lit("` · Ruleset: `"), F.col("ruleset"), F.lit("`\n\n## Scorecard\n| Category | Score |\n|---|---|"))
+    scores = F.array(*(F.concat(F.lit(f"| {label} | "), F.col(c).cast("string"), F.lit(" |")) for label, c in fixed.REPORT_CATEGORIES))
+    proof = lambda f: F.when(F.size(f["evidence"]) > 0, F.concat(F.lit("\n**Evidence:**"), F.array_join(F.transform(f["evidence"], lambda e: F.concat(F.lit("\n- `"), e, F.lit("`"))), ""))).otherwise("")
+    one = lambda f: F.concat(F.lit("\n**"), f["title"], F.lit("** `"), f["id"], F.lit("`\n_"), f["summary"], F.lit("_\n**Why it matters:** "), f["why"], F.lit("\n**Fix:** "), f["fix"], proof(f))
+
+    def group(severity: str) -> Column:
+        rows = F.filter("findings", lambda f: f["severity"] == severity)
+        return F.when(F.size(rows) > 0, F.concat(F.lit(f"\n### {severity.capitalize()}\n"), F.array_join(F.transform(rows, one), "\n")))
+
+    groups = F.array_compact(F.array(*(group(s) for s in ("critical", "high", "medium", "low"))))
+    actions = F.transform("actions", lambda a, i: F.concat((i + 1).cast("string"), F.lit(". "), a))
+    parts = F.concat(F.array(head), scores, F.array(F.lit(""), F.lit("## Findings")), groups, F.array(F.lit(""), F.lit("## Priority Actions"), F.lit("")), actions)
+    return reports.select(key, F.array_join(parts, "\n").alias("markdown"))
+
+
+def report_json(reports: DataFrame, key: str) -> DataFrame:
+    """(key, json): each review as an indented JSON text of all its columns, nulls written."""
+    return reports.select(key, F.to_json(F.struct(*reports.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("json"))
 
 
 def fresh_cache(cache: DataFrame, now: Column, days: int = 7) -> DataFrame:
