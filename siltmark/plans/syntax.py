@@ -27,7 +27,8 @@ def _variant(rows, column: str, number: str):
 
 
 def _stated(rows, column: str, number: str) -> str:
-    return f"list_transform([{', '.join('[' + ', '.join(map(repr, r)) + ']::VARCHAR[]' for _, r in rows)}][({column} % {len(rows)} + 1)::INT], lambda x: replace(x, '~', 'V' || {number}))"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"list_transform([{', '.join('[' + ', '.join(map(quoted, r)) + ']::VARCHAR[]' for _, r in rows)}][({column} % {len(rows)} + 1)::INT], lambda x: replace(x, '~', 'V' || {number}))"
 
 
 @query(
@@ -62,7 +63,7 @@ COMPOSE = (
 
 @query(
     f"""SELECT id, 'run' AS kind, unnest({_stated(WORKFLOWS, 'id', 'id')}) AS item FROM (SELECT o_orderkey AS id FROM orders)
-UNION ALL SELECT id, 'service', unnest({_stated(COMPOSE, 'id', 'id')}) FROM (SELECT o_orderkey AS id FROM orders)""".replace("\\n", "' || chr(10) || '")
+UNION ALL SELECT id, 'service', unnest({_stated(COMPOSE, 'id', 'id')}) FROM (SELECT o_orderkey AS id FROM orders)"""
 )
 def yaml_structures(spark, sf):
     """Commands of workflows and services of compose files, by their structure."""
