@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import fixed
 from ..functions import columns as C, parse
 from . import prefix
 from .cut import cut
@@ -103,13 +104,41 @@ def reading_path(entries: DataFrame, folders: DataFrame, allowed: DataFrame, gro
     return once.withColumn("rank", rank).filter(F.col("rank") <= n).select(*on, F.col("f.confidence").alias("confidence"), "rank")
 
 
-def allowed_claims(rows: DataFrame, policy: DataFrame, denied: list[str], tier: str = "tier") -> DataFrame:
-    """rows with each claim that their tier allows and no deny list holds; policy: (tier, claim), a fixed table."""
-    return rows.join(policy.filter(~F.col("claim").isin(*denied)), tier)
+def claim_allowed(claim: Column, tier: Column) -> Column:
+    """Whether an analysis of a tier may make a claim: some are open to all, some to verified ones, some to none; unknown ones to none."""
+    return F.coalesce(claim.isin(*fixed.STATIC_CLAIMS) | ((tier == "verified") & claim.isin(*fixed.VERIFIED_CLAIMS)), F.lit(False))
 
 
-def scope_of(plan: Column, scopes: dict[str, str], default: str) -> Column:
-    return C.lookup(F.lower(plan), scopes, default)
+def scope_for_plan(plan: Column, asked: Column) -> Column:
+    """struct(scope, error): the scope that a plan gives a request, with the reason where it is not the one asked for."""
+    may = lambda what: F.coalesce(C.lookup(F.lower(plan), {p: limits[what] for p, limits in fixed.PLAN_LIMITS.items()}), F.lit(False))
+    error = F.when((asked == "private") & ~may("private"), "private_repos_not_allowed_on_free_plan").when((asked == "verified") & ~may("verified"), "verified_checks_not_allowed_on_plan")
+    return F.struct(F.when(error.isNotNull(), "public").otherwise(asked).alias("scope"), error.alias("error"))
+
+
+def daily_limit(plan: Column, kind: str) -> Column:
+    """Analyses of a kind (public, private or checks) that a plan gives a day; -1 is no limit."""
+    return C.lookup(F.lower(plan), {p: limits[f"daily_{kind}"] for p, limits in fixed.PLAN_LIMITS.items()}, 0)
+
+
+def size_guard(files: DataFrame, repo: list[str], most_files: int = 50_000, most_bytes: int = 500 << 20) -> DataFrame:
+    """(repo, problem) of repositories that are too large to review; version control's own folder does not count."""
+    rows = files.filter(~F.array_contains(C.parts(F.col("path")), ".git"))
+    held = rows.groupBy(*repo).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    many = F.lit(f"Repository has more than {most_files:,} files — too large to review")
+    heavy = F.lit(f"Repository exceeds {most_bytes >> 20}MB size limit")
+    return held.select(*repo, F.when(F.col("n") > most_files, many).when(F.col("bytes") > most_bytes, heavy).alias("problem")).filter("problem is not null")
+
+
+def below(rows: DataFrame, prefix_: str | None, path: str = "path") -> DataFrame:
+    """rows whose path begins so; all without a beginning."""
+    return rows.filter(F.startswith(F.col(path), F.lit(prefix_))) if prefix_ else rows
+
+
+def files_in_order(files: DataFrame) -> DataFrame:
+    """Entry points, then files on a critical path, then the rest; each by callers, most first, then path."""
+    group = F.when(F.col("is_entrypoint"), 0).when(F.col("is_on_critical_path"), 1).otherwise(2)
+    return files.orderBy(group, F.desc("caller_count"), "path")
 
 
 def of_org(rows: DataFrame, org) -> DataFrame:

@@ -90,7 +90,7 @@ def ranked(scored: DataFrame, query: str, score: str, tie: str) -> DataFrame:
 
 
 def evaluate(ranks: DataFrame, ideal: DataFrame, queries: DataFrame, query: str, item: str, k: int = 3) -> DataFrame:
-    """(query, ndcg, precision) at k, by binary gain; a query with no ideal items has NDCG 1. Divides by k throughout.
+    """(query, ndcg, precision) at k, by binary gain; a query with no ideal items has 1 of both. Divides by k throughout.
 
     ranks: (query, item, rank); ideal: (query, item).
     """
@@ -101,7 +101,7 @@ def evaluate(ranks: DataFrame, ideal: DataFrame, queries: DataFrame, query: str,
     best = F.aggregate(F.sequence(F.lit(1), F.col("n_ideal").cast("int")), F.lit(0.0), lambda a, r: a + 1.0 / F.log2(r + 1.0))
     rows = queries.select(query).join(got, query, "left").join(n_ideal, query, "left")
     ndcg = F.when(F.col("n_ideal").isNull(), 1.0).otherwise(F.coalesce("dcg", F.lit(0.0)) / best)
-    return rows.select(query, ndcg.alias("ndcg"), (F.coalesce("n_hits", F.lit(0)) / F.lit(float(k))).alias("precision"))
+    return rows.select(query, ndcg.alias("ndcg"), F.when(F.col("n_ideal").isNull(), 1.0).otherwise(F.coalesce("n_hits", F.lit(0)) / F.lit(float(k))).alias("precision"))
 
 
 def noise_failures(ranks: DataFrame, forbidden: DataFrame, query: str, item: str, k: int = 3) -> DataFrame:

@@ -94,11 +94,20 @@ def depth_of(tools: Column) -> Column:
     return F.when((lint | safe) & deps, "full_toolchain").when(safe, "security_augmented").when(lint, "lint_augmented").otherwise("structural_only")
 
 
-def coverage(source: Column, total: Column, languages: Column, dockerfile: Column, actions: Column, timed_out: Column, missing: Column) -> Column:
-    """struct(repo_files_scanned_pct, language_support_pct, limits): what a review could see, and what not."""
+def _of_status(tools: Column, status: str) -> Column:
+    return F.filter(tools, lambda t: t["status"] == status)
+
+
+def coverage(source: Column, total: Column, languages: Column, dockerfile: Column, actions: Column, tools: Column) -> Column:
+    """struct(repo_files_scanned_pct, language_support_pct, tools, limits): what a review could see, and what not.
+
+    tools: array of (tool, status, issues, seconds, error), in their order; errors are cut to 120 characters, empty ones null.
+    """
+    timed_out, missing = (F.transform(_of_status(tools, status), lambda t: t["tool"]) for status in ("timeout", "tool_not_found"))
+    records = F.transform(tools, lambda t: F.struct(t["tool"].alias("tool"), t["status"].alias("status"), t["issues"].alias("issues_found"), t["seconds"].alias("duration_seconds"), F.nullif(F.left(F.coalesce(t["error"], F.lit("")), F.lit(120)), F.lit("")).alias("error_summary")))
     low = F.array_distinct(F.transform(languages, lambda x: F.lower(x)))
     known = C.strings(fixed.RULE_LANGUAGES)
-    share = lambda a, b: F.bround(F.least(a / F.greatest(b, F.lit(1)), F.lit(1.0)), 2)
+    share = lambda a, b: C.rounded(F.least(a / F.greatest(b, F.lit(1)), F.lit(1.0)), 2)
     others = F.array_sort(F.array_except(low, known))
     named = lambda xs, before, after: F.when(F.size(xs) > 0, F.concat(F.lit(before), F.array_join(xs, ", "), F.lit(after)))
     limits = F.array(
@@ -106,7 +115,7 @@ def coverage(source: Column, total: Column, languages: Column, dockerfile: Colum
         named(others, "Unsupported language(s) detected: ", " — no rule pack available"), named(timed_out, "Tool(s) timed out: ", " — findings may be incomplete"), named(missing, "Tool(s) not installed: ", " — relevant checks skipped"),
         F.lit("Dependency vulnerabilities reflect available lockfiles only"), F.lit("Generated files and vendor directories excluded from analysis"),
     )
-    return F.struct(share(source, total).alias("repo_files_scanned_pct"), share(F.size(F.array_intersect(low, known)), F.size(low)).alias("language_support_pct"), F.array_compact(limits).alias("limits"))
+    return F.struct(share(source, total).alias("repo_files_scanned_pct"), share(F.size(F.array_intersect(low, known)), F.size(low)).alias("language_support_pct"), records.alias("tools"), F.array_compact(limits).alias("limits"))
 
 
 def anti_gaming(findings: DataFrame, group: list[str]) -> DataFrame:

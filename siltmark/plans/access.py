@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .. import fixed
 from ..catalog import query, table
@@ -79,19 +79,25 @@ def visible_edges(spark, sf):
     return graph.visible(e, table(spark, sf, "part").filter("p_size > 10").select(F.col("p_partkey").alias("path")), [])
 
 
-_POLICY = (("free", "structure"), ("free", "stack"), ("pro", "structure"), ("pro", "stack"), ("pro", "security"), ("pro", "certified"))
-_SCOPES = {"building": "public", "machinery": "private", "furniture": "private"}
+_CLAIMS = (*fixed.STATIC_CLAIMS, *fixed.VERIFIED_CLAIMS, "runtime_works", "safe_to_deploy", "other")
+_ASKED = ("public", "private", "verified")
 
 
 @query(
-    """WITH c AS (SELECT c_custkey AS id, CASE lower(c_mktsegment) WHEN 'building' THEN 'public' WHEN 'machinery' THEN 'private' WHEN 'furniture' THEN 'private' ELSE 'none' END AS scope, CASE WHEN c_custkey % 3 = 0 THEN 'pro' ELSE 'free' END AS tier FROM customer WHERE c_nationkey = 7)
-SELECT id, scope, tier, claim FROM c JOIN (VALUES ('free', 'structure'), ('free', 'stack'), ('pro', 'structure'), ('pro', 'stack'), ('pro', 'security')) p(t, claim) ON tier = t"""
+    f"""WITH c AS (SELECT c_custkey AS id, {_pick_sql(("free", "Pro", "TEAM", "odd"), "c_custkey")} AS plan, {_pick_sql(_ASKED, "c_custkey * 7")} AS asked, {_pick_sql(_CLAIMS, "c_custkey")} AS claim, CASE WHEN c_custkey % 3 = 0 THEN 'verified' ELSE 'static' END AS tier FROM customer WHERE c_nationkey = 7),
+d AS (SELECT *, lower(plan) IN ('pro', 'team') AS paid FROM c)
+SELECT id, claim IN ('stack_detected', 'architecture_shape', 'api_surface', 'setup_risk', 'debug_readiness', 'change_risk', 'tests_found', 'ci_found', 'config_found') OR (tier = 'verified' AND claim IN ('tests_pass', 'build_succeeds', 'lint_clean', 'type_safe')) AS allowed,
+  CASE WHEN paid THEN asked ELSE 'public' END AS scope, CASE WHEN paid OR asked = 'public' THEN NULL WHEN asked = 'private' THEN 'private_repos_not_allowed_on_free_plan' ELSE 'verified_checks_not_allowed_on_plan' END AS error,
+  CASE lower(plan) WHEN 'free' THEN 10 WHEN 'pro' THEN 100 WHEN 'team' THEN -1 ELSE 0 END AS daily_limit FROM d"""
 )
 def allowed_claims(spark, sf):
-    """Claims that each account of one organisation may be shown."""
+    """What each account of one organisation may claim and ask for."""
+    k = F.col("c_custkey")
     c = access.of_org(table(spark, sf, "customer").withColumn("org_id", F.col("c_nationkey")), 7)
-    c = c.select(F.col("c_custkey").alias("id"), access.scope_of(F.col("c_mktsegment"), _SCOPES, "none").alias("scope"), F.when(F.col("c_custkey") % 3 == 0, "pro").otherwise("free").alias("tier"))
-    return access.allowed_claims(c, spark.createDataFrame(_POLICY, "tier string, claim string"), ["certified"]).select("id", "scope", "tier", "claim")
+    plan = _pick(("free", "Pro", "TEAM", "odd"), "c_custkey")
+    scope = access.scope_for_plan(plan, F.element_at(C.strings(_ASKED), (k * 7 % len(_ASKED) + 1).cast("int")))
+    claim = access.claim_allowed(_pick(_CLAIMS, "c_custkey"), F.when(k % 3 == 0, "verified").otherwise("static"))
+    return c.select(k.alias("id"), claim.alias("allowed"), scope["scope"].alias("scope"), scope["error"].alias("error"), access.daily_limit(plan, "public").alias("daily_limit"))
 
 
 @query("""SELECT '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS response FROM region""")
@@ -248,19 +254,47 @@ def model_replies(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", access.stripped_json(text, "score long")["score"].alias("score"))
 
 
-@query("SELECT doc_id, length(left(text, 60)) > 20 AND NOT list_has_any(regexp_split_to_array(lower(left(text, 60)), '[ \\t\\n\\v\\f\\r]+'), ['the', 'data', 'safety', 'words']) AS ungrounded FROM documents".replace("\\\\", "\\"))
+@query("SELECT doc_id, length(text) > 20 AND NOT list_has_any(regexp_split_to_array(lower(text), '[ \\t\\n\\v\\f\\r]+'), ['the', 'data', 'safety', 'words']) AS ungrounded FROM documents".replace("\\\\", "\\"))
 def ungrounded_risks(spark, sf):
     """Statements that share no word with what was found."""
-    return table(spark, sf, "documents").select("doc_id", access.ungrounded(F.left("text", F.lit(60)), F.array(F.lit("the-data")), F.array(F.lit("Safety of words"))).alias("ungrounded"))
+    return table(spark, sf, "documents").select("doc_id", access.ungrounded(F.col("text"), F.array(F.lit("the-data")), F.array(F.lit("Safety of words"))).alias("ungrounded"))
 
 
 @query(
-    f"""WITH f AS {FILES_SQL} SELECT repo_id, CASE WHEN bool_or(path = 'package.json') THEN '' ELSE '' END AS npm, CASE WHEN bool_or(path = 'requirements.txt') THEN 'uvicorn' ELSE '' END AS python FROM (SELECT * FROM f WHERE path IN ('requirements.txt')) GROUP BY repo_id"""
+    """WITH f AS (SELECT DISTINCT o_custkey AS repo_id, o_orderkey % 4 AS kind FROM orders), g AS (SELECT repo_id, bool_or(kind = 0) AS a, bool_or(kind = 1) AS b, bool_or(kind = 2) AS c, bool_or(kind = 3) AS d FROM f GROUP BY repo_id)
+SELECT repo_id, CASE WHEN a THEN 'react,next' ELSE '' END AS npm, array_to_string(list_distinct(list_concat(list_concat(CASE WHEN b THEN ['httpx', 'uvicorn'] ELSE [] END, CASE WHEN c AND NOT b THEN ['fastapi', 'httpx'] WHEN c THEN ['fastapi'] ELSE [] END), CASE WHEN d AND NOT b AND NOT c THEN ['zlib', 'httpx'] WHEN d THEN ['zlib'] ELSE [] END)).list_sort(), ',') AS python FROM g"""
 )
 def merged_dependencies(spark, sf):
-    """Dependencies of all requirement files of a repository."""
-    d = repos.merged_dependencies(repo_files(spark, sf).filter("path = 'requirements.txt'"))
-    return d.select("repo_id", F.array_join("npm", ",").alias("npm"), F.array_join("python", ",").alias("python"))
+    """Dependencies of all manifests of a repository, of three kinds, each once."""
+    texts = (("package.json", '{"dependencies": {"react": "1"}, "devDependencies": {"next": "2", "react": "1"}}'), ("a/pyproject.toml", '[project]\ndependencies = ["httpx>=1", "uvicorn[standard]"]\n'), ("b/requirements.txt", "FastAPI==1\nhttpx\n"), ("c/requirements.txt", "zlib\nhttpx>=2\n"))
+    kinds = F.element_at(F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("content")) for p, t in texts)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    files = table(spark, sf, "orders").select(F.col("o_custkey").alias("repo_id"), kinds.alias("f")).select("repo_id", "f.*").distinct()
+    d = repos.merged_dependencies(files)
+    return d.select("repo_id", F.array_join("npm", ",").alias("npm"), F.array_join(F.array_sort("python"), ",").alias("python"))
+
+
+_GUARDED = "(SELECT l_suppkey AS repo_id, CASE WHEN l_linenumber = 3 THEN 'a/.git/x' ELSE 'a/b' END AS path, (l_quantity * 1000)::BIGINT AS size FROM lineitem)"
+
+
+@query(
+    f"""WITH g AS (SELECT repo_id, count(*) AS n, sum(size) AS bytes, repo_id % 3 AS v FROM {_GUARDED} WHERE path = 'a/b' GROUP BY repo_id)
+SELECT repo_id, CASE WHEN v = 0 THEN 'Repository has more than 40 files — too large to review' ELSE 'Repository exceeds 1MB size limit' END AS problem FROM g WHERE (v = 0 AND n > 40) OR (v > 0 AND bytes > 1048576)"""
+)
+def too_large(spark, sf):
+    """Repositories that a review refuses for their size (S-A17)."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("repo_id"), F.when(F.col("l_linenumber") == 3, "a/.git/x").otherwise("a/b").alias("path"), (F.col("l_quantity") * 1000).cast("long").alias("size"))
+    third = F.col("repo_id") % 3 == 0
+    return access.size_guard(rows.filter(third), ["repo_id"], 40, 1 << 40).unionByName(access.size_guard(rows.filter(~third), ["repo_id"], 1 << 40, 1 << 20))
+
+
+@query("""SELECT l_suppkey AS repo_id, l_partkey AS path, l_linenumber AS callers, row_number() OVER (ORDER BY CASE WHEN l_returnflag = 'R' THEN 0 WHEN l_linestatus = 'O' THEN 1 ELSE 2 END, l_linenumber DESC, 'p' || l_partkey || '/' || l_orderkey || '/' || l_suppkey || '/' || l_quantity)::INT AS place FROM lineitem WHERE starts_with('p' || l_partkey, 'p1') QUALIFY place <= 100""")
+def files_order(spark, sf):
+    """The first files below a path, in the order that they are shown (B8, 2.12)."""
+    path = F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string"), F.lit("/"), F.col("l_quantity").cast("string"))
+    rows = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("repo_id"), F.col("l_partkey").alias("part"), path.alias("path"), F.col("l_linenumber").alias("caller_count"), (F.col("l_returnflag") == "R").alias("is_entrypoint"), (F.col("l_linestatus") == "O").alias("is_on_critical_path"))
+    shown = access.files_in_order(access.below(rows, "p1")).limit(100)
+    order = Window.orderBy(F.when(F.col("is_entrypoint"), 0).when(F.col("is_on_critical_path"), 1).otherwise(2), F.desc("caller_count"), "path")  # of at most 100 rows
+    return shown.select("repo_id", F.col("part").alias("path"), F.col("caller_count").alias("callers"), F.row_number().over(order).alias("place"))
 
 
 _NAMES = ("FastAPI", "React", "Go", "Elixir", "Express", "Next.js")

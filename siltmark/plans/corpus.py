@@ -183,7 +183,7 @@ def latest_turn(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n_chars DESC, doc_id) AS rank FROM c),
 i AS (SELECT query, least(count(*), 3) AS n_ideal FROM c WHERE quality = 1 AND toxic = 0 GROUP BY query),
 h AS (SELECT query, sum(1.0 / log2(rank + 1.0)) AS dcg, count(*) AS n_hits FROM r WHERE rank <= 3 AND quality = 1 AND toxic = 0 GROUP BY query)
-SELECT q.query, CASE WHEN n_ideal IS NULL THEN 1.0 ELSE round_even(coalesce(dcg, 0) / list_sum(list_transform(range(1, n_ideal + 1), lambda x: 1.0 / log2(x + 1.0))), 6) END::DOUBLE AS ndcg, round_even(coalesce(n_hits, 0) / 3.0::DOUBLE, 6) AS precision,
+SELECT q.query, CASE WHEN n_ideal IS NULL THEN 1.0 ELSE round_even(coalesce(dcg, 0) / list_sum(list_transform(range(1, n_ideal + 1), lambda x: 1.0 / log2(x + 1.0))), 6) END::DOUBLE AS ndcg, CASE WHEN n_ideal IS NULL THEN 1.0 ELSE round_even(coalesce(n_hits, 0) / 3.0::DOUBLE, 6) END::DOUBLE AS precision,
   EXISTS (SELECT 1 FROM r WHERE r.query = q.query AND rank <= 3 AND toxic = 1) AS noise_failure
 FROM q LEFT JOIN i ON q.query = i.query LEFT JOIN h ON q.query = h.query"""
 )

@@ -363,14 +363,23 @@ def readiness_reasons(spark, sf):
     return g.select("id", F.array_join(why, "; ").alias("reasons"))
 
 
+#: Tools by the number of a repository: what they said, as a record (tool|status|issues|error).
+_RUNS = (("ruff", "success", 3, None), ("bandit", "timeout", 0, "e" * 200), ("mypy", "tool_not_found", 0, ""))
+
+
 @query(
-    f"""WITH f AS {FILES_SQL}, g AS (SELECT repo_id, count(*) FILTER (ends_with(path, '.py')) AS source, count(*) AS total, bool_or(path = 'Dockerfile') AS d, bool_or(path = '.github/workflows/ci.yml') AS a, bool_or(ends_with(path, '.py')) AS p, bool_or(path = 'vendor/c.go') AS g FROM f GROUP BY repo_id)
-SELECT repo_id, round_even(source / total, 2)::DOUBLE AS scanned, round_even((CASE WHEN p THEN 1 ELSE 0 END) / greatest(1, (CASE WHEN p THEN 1 ELSE 0 END) + (CASE WHEN g THEN 1 ELSE 0 END)), 2)::DOUBLE AS supported,
-  (4 + CASE WHEN d THEN 0 ELSE 1 END + CASE WHEN a THEN 0 ELSE 1 END + CASE WHEN g THEN 1 ELSE 0 END)::INT AS n_limits FROM g"""
+    f"""WITH f AS {FILES_SQL}, g AS (SELECT repo_id, count(*) FILTER (ends_with(path, '.py')) AS source, count(*) AS total, bool_or(path = 'Dockerfile') AS d, bool_or(path = '.github/workflows/ci.yml') AS a, bool_or(ends_with(path, '.py')) AS p, bool_or(path = 'vendor/c.go') AS g, repo_id % 4 AS n FROM f GROUP BY repo_id)
+SELECT repo_id, round_even(source / total, 2)::DOUBLE AS scanned, round_even(p::INT / greatest(1, p::INT + g::INT), 2)::DOUBLE AS supported,
+  array_to_string(['ruff|success|3|', 'bandit|timeout|0|' || repeat('e', 120), 'mypy|tool_not_found|0|'][1:n], ' ') AS tools,
+  array_to_string(list_filter(['Runtime execution not performed', CASE WHEN NOT d THEN 'No Dockerfile found — container security checks skipped' END, CASE WHEN NOT a THEN 'No GitHub Actions workflows found — CI hygiene checks limited' END,
+    CASE WHEN g THEN 'Unsupported language(s) detected: go — no rule pack available' END, CASE WHEN n >= 2 THEN 'Tool(s) timed out: bandit — findings may be incomplete' END, CASE WHEN n >= 3 THEN 'Tool(s) not installed: mypy — relevant checks skipped' END,
+    'Dependency vulnerabilities reflect available lockfiles only', 'Generated files and vendor directories excluded from analysis'], lambda x: x IS NOT NULL), '; ') AS limits FROM g"""
 )
 def review_coverage(spark, sf):
-    """What a review of each repository could see (S-A24)."""
+    """What a review of each repository could see, what each tool said, and the limits (S-A24)."""
     path, ext = F.col("path"), C.extension(F.col("path"))
     g = repo_files(spark, sf).groupBy("repo_id").agg(F.count_if(ext == ".py").alias("source"), F.count(F.lit(1)).alias("total"), F.collect_set(F.when(ext == ".py", "Python").when(ext == ".go", "Go")).alias("langs"), F.bool_or(path == "Dockerfile").alias("d"), F.bool_or(path.rlike("^.github/workflows/")).alias("a"))
-    c = review.coverage(F.col("source"), F.col("total"), F.col("langs"), F.col("d"), F.col("a"), F.array().cast("array<string>"), F.array(F.lit("ruff")))
-    return g.select("repo_id", c["repo_files_scanned_pct"].alias("scanned"), c["language_support_pct"].alias("supported"), F.size(c["limits"]).alias("n_limits"))
+    tools = F.slice(F.array(*(F.struct(F.lit(t).alias("tool"), F.lit(s).alias("status"), F.lit(n).alias("issues"), F.lit(1.5).alias("seconds"), F.lit(e).cast("string").alias("error")) for t, s, n, e in _RUNS)), F.lit(1), (F.col("repo_id") % 4).cast("int"))
+    c = review.coverage(F.col("source"), F.col("total"), F.col("langs"), F.col("d"), F.col("a"), tools)
+    said = F.array_join(F.transform(c["tools"], lambda t: F.concat_ws("|", t["tool"], t["status"], t["issues_found"].cast("string"), F.coalesce(t["error_summary"], F.lit("")))), " ")
+    return g.select("repo_id", c["repo_files_scanned_pct"].alias("scanned"), c["language_support_pct"].alias("supported"), said.alias("tools"), F.array_join(c["limits"], "; ").alias("limits"))
