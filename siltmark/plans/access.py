@@ -193,7 +193,7 @@ def mean_confidences(spark, sf):
     """WITH s AS (SELECT p_partkey AS id, p_size % 13 AS src, p_size % 5 AS tst FROM part)
 SELECT id, CASE WHEN src = 0 THEN 50 WHEN tst / src >= 0.4 THEN 95 WHEN tst / src >= 0.25 THEN 80 WHEN tst / src >= 0.1 THEN 60 WHEN tst > 0 THEN 40 ELSE 10 END::INT AS test_score,
   CASE WHEN src = 0 THEN 50 ELSE least(100, trunc(tst / src * 80)::INT + CASE WHEN id % 2 = 0 THEN 20 ELSE 0 END) END::INT AS documentation_score,
-  CASE WHEN src = 0 THEN 0.0 ELSE least(0.97, round_even(round_even(least(tst / src, 1.0) * 0.45 + 0.9 * 0.40 + CASE WHEN id % 2 = 0 THEN 0.04 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.04 ELSE 0 END + CASE WHEN id % 5 = 0 THEN 0.02 ELSE 0 END, 9), 3)) END::DOUBLE AS scan_confidence FROM s"""
+  CASE WHEN src = 0 THEN 0.0 ELSE least(0.97, format('{:.3f}', least(tst / src, 1.0::DOUBLE) * 0.45::DOUBLE + 0.9::DOUBLE * 0.40::DOUBLE + (CASE WHEN id % 2 = 0 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN id % 5 = 0 THEN 0.02::DOUBLE ELSE 0 END))::DOUBLE) END::DOUBLE AS scan_confidence FROM s"""
 )
 def side_scores(spark, sf):
     """Test and documentation scores and the confidence of a scan (S-A3 to S-A5)."""

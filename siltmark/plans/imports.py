@@ -114,7 +114,7 @@ def critical_path(spark, sf):
 
 @query(
     f"""WITH {EDGES}, n AS (SELECT repo_id, count(*) FILTER (target IS NOT NULL) AS confirmed, count(*) FILTER (target IS NULL) AS unresolved, count(*) FILTER (reason IS DISTINCT FROM 'dynamic_import') AS counted FROM edges GROUP BY repo_id)
-SELECT repo_id, coalesce(round_even(confirmed / nullif(counted, 0), 3), 0.5) AS graph_confidence, confirmed, unresolved FROM n"""
+SELECT repo_id, coalesce(format('{{:.3f}}', confirmed / nullif(counted, 0))::DOUBLE, 0.5) AS graph_confidence, confirmed, unresolved FROM n"""
 )
 def graph_confidence(spark, sf):
     """Confirmed share of imports."""

@@ -77,7 +77,7 @@ _LANGUAGES = (("a", ("python", "TypeScript")), ("b", ("go",)), ("c", ()), ("d",
     """WITH p AS (SELECT p_partkey AS id, p_size % 40 AS src, p_size % 60 AS files, p_partkey % 4 AS n_tools, p_size % 3 AS n_ok, (p_partkey % 11 + 1) / 13 AS fw, [2, 0, 0, 2][(p_partkey % 4 + 1)::INT] AS sup, [2, 1, 0, 3][(p_partkey % 4 + 1)::INT] AS langs FROM part),
 c AS (SELECT *, least(src / greatest(files, 1), 1.0::DOUBLE) AS covered, least(n_ok, n_tools) AS ok FROM p),
 s AS (SELECT *, covered * 0.25::DOUBLE + CASE WHEN langs > 0 THEN sup / langs ELSE 0.3::DOUBLE END * 0.25::DOUBLE + CASE WHEN n_tools > 0 THEN ok / n_tools * 0.25::DOUBLE ELSE 0.15::DOUBLE END + fw * 0.25::DOUBLE AS score FROM c)
-SELECT id, CASE WHEN score >= 0.75 THEN 'High' WHEN score >= 0.5 THEN 'Medium' ELSE 'Low' END AS label, round_even(score, 2)::DOUBLE AS score, (sup + 1)::INT AS packs, ok::INT AS succeeded, (n_tools - ok)::INT AS failed, round_even(covered, 2)::DOUBLE AS coverage FROM s"""
+SELECT id, CASE WHEN score >= 0.75 THEN 'High' WHEN score >= 0.5 THEN 'Medium' ELSE 'Low' END AS label, format('{:.2f}', score)::DOUBLE AS score, (sup + 1)::INT AS packs, ok::INT AS succeeded, (n_tools - ok)::INT AS failed, format('{:.2f}', covered)::DOUBLE AS coverage FROM s"""
 )
 def confidence_badges(spark, sf):
     """How sure each review is, from the facts it had (S-A23)."""
@@ -146,7 +146,7 @@ def repo_urls(spark, sf):
     return found.select("id", F.concat("r.owner", F.lit("/"), "r.repo").alias("repo"))
 
 
-@query("SELECT o_orderkey AS id, least(0.97, round_even(0.4::DOUBLE * (o_orderkey % 11 / 11) + 0.35::DOUBLE * (o_custkey % 9 / 9) + 0.25::DOUBLE * (o_orderkey % 7 / 7), 3))::DOUBLE AS overall FROM orders")
+@query("SELECT o_orderkey AS id, least(0.97, format('{:.3f}', 0.4::DOUBLE * (o_orderkey % 11 / 11) + 0.35::DOUBLE * (o_custkey % 9 / 9) + 0.25::DOUBLE * (o_orderkey % 7 / 7))::DOUBLE)::DOUBLE AS overall FROM orders")
 def blended_confidences(spark, sf):
     """Blended confidence of every scan (S-A11)."""
     b = findings.blended_confidence(F.col("o_orderkey") % 11 / 11, F.col("o_custkey") % 9 / 9, F.col("o_orderkey") % 7 / 7)
