@@ -40,102 +40,76 @@ def _packages() -> Column:
     return F.when(F.col("path") == "package.json", F.concat(keys("dependencies"), keys("devDependencies")))
 
 
-def logging(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """(repo, framework, print_only): the logging framework of highest priority; else whether there is plain printing."""
-    text, python, script = F.col("content"), _suffix() == ".py", _suffix().isin(*SCRIPTS)
-    n = len(fixed.PYTHON_LOGGING)
-    place = F.when(python, _first(fixed.PYTHON_LOGGING, text)).when(script, _first(fixed.SCRIPT_LOGGING, text) + n)
-    rows = files.filter(walked()).groupBy(repo).agg(F.min(place).alias("place"), F.bool_or(python & text.rlike(r"\bprint\s*\(")).alias("printed"))
-    names = [x[0] for x in (*fixed.PYTHON_LOGGING, *fixed.SCRIPT_LOGGING)]
-    return rows.select(repo, _named(F.col("place"), names).alias("framework"), (F.col("place").isNull() & F.coalesce("printed", F.lit(False))).alias("print_only"))
-
-
-def error_handling(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """(repo, framework, handler_type) of the first kind of handler found; nulls for none."""
-    place = F.min(F.when(_suffix() == ".py", _first(fixed.ERROR_HANDLERS, F.col("content"))))
-    rows = files.filter(walked()).groupBy(repo).agg(place.alias("place"))
-    return rows.select(repo, *(_named(F.col("place"), [x[k] for x in fixed.ERROR_HANDLERS]).alias(n) for k, n in ((0, "framework"), (1, "handler_type"))))
-
-
-def health_checks(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """(repo, routes): health routes, sorted and each once."""
-    rows = files.filter(walked() & (_suffix() == ".py") | _suffix().isin(*SCRIPTS) & walked())
-    found = F.concat(*[parse.groups(F.col("content"), p) for p in fixed.HEALTH_ROUTES])
-    each = rows.select(repo, F.explode_outer(F.array_distinct(found)).alias("route"))
-    return each.groupBy(repo).agg(F.array_sort(F.collect_set("route")).alias("routes"))
-
-
-def tracing(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """(repo, sentry, otel)."""
-    text, python, script = F.col("content"), _suffix() == ".py", _suffix().isin(*SCRIPTS)
-    found = [F.coalesce(F.bool_or((python & text.rlike(py)) | (script & text.rlike(js))), F.lit(False)).alias(name) for name, (py, js) in fixed.TRACING.items()]
-    return files.filter(walked()).groupBy(repo).agg(*found)
-
-
 def _test_names() -> Column:
     return C.basename(F.col("path")).rlike(r"^test_.*\.py$|_test\.py$")
 
 
-def test_harness(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """(repo, frameworks): by configuration files at the root, imports, names of test files and packages; sorted."""
-    text, python = F.col("content"), (_suffix() == ".py") & walked()
-    hits = F.array(
-        F.when(F.col("path").isin(*fixed.PYTEST_FILES) | _test_names() | (python & text.rlike(fixed.TEST_IMPORTS["pytest"])), "pytest"), F.when(python & text.rlike(fixed.TEST_IMPORTS["unittest"]), "unittest"),
-        F.when(_suffix().isin(*SCRIPTS) & walked() & text.rlike(r"""from\s+['"]vitest['"]"""), "vitest"),
-    )
-    js = F.transform(F.filter(_packages(), lambda d: d.isin(*fixed.SCRIPT_TEST_PACKAGES)), lambda d: F.regexp_replace(d, "@playwright/test", "playwright"))
-    each = files.select(repo, F.explode_outer(F.array_compact(F.concat(hits, F.coalesce(js, F.array().cast("array<string>"))))).alias("f"))
-    return each.groupBy(repo).agg(F.array_sort(F.collect_set("f")).alias("frameworks"))
-
+def _migration_folders() -> Column:
+    """Folders of migrations above a file."""
+    parts = F.split(C.directory(F.col("path")), "/")
+    ends = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: F.lower(F.element_at(parts, k)).isin(*fixed.MIGRATION_DIRS))
+    return F.transform(ends, lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
 
-def test_gates(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """(repo, frameworks, has_coverage)."""
-    js = F.transform(F.filter(_packages(), lambda d: d.isin(*fixed.SCRIPT_TEST_PACKAGES[:5])), lambda d: F.regexp_replace(d, "@playwright/test", "playwright"))
-    hits = F.concat(F.array(F.when(F.col("path").isin(*fixed.PYTEST_FILES) | _test_names(), "pytest")), F.coalesce(js, F.array().cast("array<string>")))
-    each = files.select(repo, F.explode_outer(F.array_compact(hits)).alias("f"), F.col("path").isin(*fixed.COVERAGE_FILES).alias("c"))
-    return each.groupBy(repo).agg(F.array_sort(F.collect_set("f")).alias("frameworks"), F.bool_or("c").alias("has_coverage"))
 
+def signals(files: DataFrame, repo: str = "repo_id") -> DataFrame:
+    """What each file says to the detectors, a row a file, in one pass over the texts.
 
-def ci_gates(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """(repo, platforms, has_test_gate, has_lint_gate): by commands of workflows and of another platform's scripts."""
+    log_place, handler_place: places in the tables of logging frameworks and of error handlers; printed, sentry, otel;
+    routes of health checks; harness, gates: test frameworks by all marks and by those that gate changes; coverage;
+    platform, test_gate, lint_gate of a CI file's commands; migrations, migration_test; hot and config.
+    """
     path, text = F.col("path"), F.col("content")
+    python, script = walked() & (_suffix() == ".py"), walked() & _suffix().isin(*SCRIPTS)
     actions, other = path.rlike(r"^\.github/workflows/[^/]+\.yml$"), path.isin(".gitlab-ci.yml", ".gitlab-ci.yaml")
     # only such files reach the reader of YAML
     runs = syntax.workflow_commands(F.when(actions, text)) if syntax.HAS_YAML else repos.workflow_runs(text)
-    script = syntax.script_commands(F.when(other, text)) if syntax.HAS_YAML else parse.groups(text, r"(?m)^\s+-\s+([^\n]+)$")
-    matches = lambda commands, pattern: F.exists(commands, lambda c: c.rlike(pattern))
-    platform = F.when(actions, "github_actions").when(other, "gitlab_ci")
-    read = files.select(repo, "path", runs.alias("runs"), script.alias("script"))
-    runs, script = F.col("runs"), F.col("script")
-    test = (actions & matches(runs, fixed.TEST_COMMANDS)) | (other & matches(script, fixed.TEST_COMMANDS))
-    return read.groupBy(repo).agg(F.array_sort(F.collect_set(platform)).alias("platforms"), F.bool_or(test).alias("has_test_gate"), F.bool_or(actions & matches(runs, fixed.LINT_COMMANDS)).alias("has_lint_gate"))
-
-
-def migrations(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """(repo, migration_paths, has_migration_tests): folders of migrations, and whether a test file speaks of them."""
-    parts = F.split(C.directory(F.col("path")), "/")
-    ends = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda k: F.lower(F.element_at(parts, k)).isin(*fixed.MIGRATION_DIRS))
-    folders = F.transform(ends, lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    tested = _test_names() & F.col("content").rlike(fixed.MIGRATION_WORDS)
-    each = files.select(repo, F.explode_outer(folders).alias("m"), tested.alias("t"))
-    return each.groupBy(repo).agg(F.array_sort(F.collect_set("m")).alias("migration_paths"), F.bool_or("t").alias("has_migration_tests"))
+    jobs = syntax.script_commands(F.when(other, text)) if syntax.HAS_YAML else parse.groups(text, r"(?m)^\s+-\s+([^\n]+)$")
+    rows = files.select(repo, "path", "content", F.when(actions, runs).alias("_runs"), F.when(other, jobs).alias("_jobs"))
+
+    matches = lambda commands, pattern: F.coalesce(F.exists(commands, lambda c: c.rlike(pattern)), F.lit(False))
+    none = F.array().cast("array<string>")
+    packages = lambda names: F.coalesce(F.transform(F.filter(_packages(), lambda d: d.isin(*names)), lambda d: F.regexp_replace(d, "@playwright/test", "playwright")), none)
+    by_name = path.isin(*fixed.PYTEST_FILES) | _test_names()
+    marks = F.array(
+        F.when(by_name | (python & text.rlike(fixed.TEST_IMPORTS["pytest"])), "pytest"), F.when(python & text.rlike(fixed.TEST_IMPORTS["unittest"]), "unittest"), F.when(script & text.rlike(r"""from\s+['"]vitest['"]"""), "vitest")
+    )
+    traced = {name: (python & text.rlike(py)) | (script & text.rlike(js)) for name, (py, js) in fixed.TRACING.items()}
+    return rows.select(
+        repo, "path",
+        F.when(python, _first(fixed.PYTHON_LOGGING, text)).when(script, _first(fixed.SCRIPT_LOGGING, text) + len(fixed.PYTHON_LOGGING)).alias("log_place"), (python & text.rlike(r"\bprint\s*\(")).alias("printed"),
+        F.when(python, _first(fixed.ERROR_HANDLERS, text)).alias("handler_place"), F.when(python | script, F.array_distinct(F.concat(*[parse.groups(text, p) for p in fixed.HEALTH_ROUTES]))).alias("routes"),
+        *(hit.alias(name) for name, hit in traced.items()), F.array_compact(F.concat(marks, packages(fixed.SCRIPT_TEST_PACKAGES))).alias("harness"),
+        F.array_compact(F.concat(F.array(F.when(by_name, "pytest")), packages(fixed.SCRIPT_TEST_PACKAGES[:5]))).alias("gates"), path.isin(*fixed.COVERAGE_FILES).alias("coverage"),
+        F.when(actions, "github_actions").when(other, "gitlab_ci").alias("platform"), (matches(F.col("_runs"), fixed.TEST_COMMANDS) | matches(F.col("_jobs"), fixed.TEST_COMMANDS)).alias("test_gate"), matches(F.col("_runs"), fixed.LINT_COMMANDS).alias("lint_gate"),
+        _migration_folders().alias("migrations"), (_test_names() & text.rlike(fixed.MIGRATION_WORDS)).alias("migration_test"), _hot_category().isNotNull().alias("hot"), _config_rule().isNotNull().alias("config"),
+    )
 
 
-def config_files(files: DataFrame) -> DataFrame:
-    """Files that hold configuration, with the rule that says so: by name, else by a settings class or loading of the environment."""
+def _config_rule() -> Column:
+    """The rule that says that a file holds configuration: by name, else by a settings class or loading of the environment; null for none."""
     named = C.basename(F.col("path")).rlike(fixed.CONFIG_NAME)
     coded = (_suffix() == ".py") & (F.col("content").rlike(fixed.SETTINGS_CLASS) | F.col("content").rlike(fixed.ENV_LOAD))
     rule = F.when(named, "config_filename_pattern").when(coded, "settings_class_or_env_load")
-    return files.filter(walked() & _suffix().isin(".py", ".ts", ".js", ".toml", ".yaml", ".yml", ".json")).withColumn("rule", rule).filter("rule is not null")
+    return F.when(walked() & _suffix().isin(".py", ".ts", ".js", ".toml", ".yaml", ".yml", ".json"), rule)
 
 
-def hotspots(files: DataFrame) -> DataFrame:
-    """Files that much depends on, with category: code of authentication, else hubs of two routers or more."""
+def config_files(files: DataFrame) -> DataFrame:
+    """Files that hold configuration, with the rule that says so."""
+    return files.withColumn("rule", _config_rule()).filter("rule is not null")
+
+
+def _hot_category() -> Column:
+    """What makes much depend on a file: code of authentication, else a hub of two routers or more; null for neither."""
     text = F.col("content")
     auth = C.basename(F.col("path")).rlike(fixed.AUTH_NAME) | text.rlike(fixed.AUTH_CODE)
     hub = (parse.count(text, fixed.ROUTE_HUB) >= 2) & ~F.contains(F.lower("path"), F.lit("test"))
     category = F.when(auth, "auth").when(hub, "route_hub")
-    return files.filter(walked() & _suffix().isin(".py", ".ts", ".js")).withColumn("category", category).filter("category is not null")
+    return F.when(walked() & _suffix().isin(".py", ".ts", ".js"), category)
+
+
+def hotspots(files: DataFrame) -> DataFrame:
+    """Files that much depends on, with their category."""
+    return files.withColumn("category", _hot_category()).filter("category is not null")
 
 
 def merged_evidence(evidence: DataFrame, group: list[str], lists: list[str], flags: list[str]) -> DataFrame:
@@ -148,12 +122,14 @@ def merged_evidence(evidence: DataFrame, group: list[str], lists: list[str], fla
 
 
 def summary(files: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """One row a repository with what the debug and change sections ask of it."""
-    hot = hotspots(files).groupBy(repo).agg(F.count(F.lit(1)).alias("hotspots"))
-    config = config_files(files).groupBy(repo).agg(F.count(F.lit(1)).alias("config_files"))
-    tables = [
-        logging(files, repo), error_handling(files, repo).select(repo, "handler_type"), health_checks(files, repo), tracing(files, repo), test_harness(files, repo), test_gates(files, repo).select(repo, "has_coverage"),
-        ci_gates(files, repo), migrations(files, repo), hot, config,
-    ]
-    rows = reduce(lambda a, b: a.join(b, repo, "left"), tables, files.select(repo).distinct())
-    return rows.fillna(0, ["hotspots", "config_files"])
+    """One row a repository with what the debug and change sections ask of it: one pass over the files and one exchange."""
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
+    rows = signals(files, repo).groupBy(repo).agg(
+        F.min("log_place").alias("_log"), some("printed").alias("_printed"), F.min("handler_place").alias("_handler"), every("routes").alias("routes"), *(some(name).alias(name) for name in fixed.TRACING), every("harness").alias("frameworks"), some("coverage").alias("has_coverage"),
+        F.array_sort(F.collect_set("platform")).alias("platforms"), some("test_gate").alias("has_test_gate"), some("lint_gate").alias("has_lint_gate"), every("migrations").alias("migration_paths"), some("migration_test").alias("has_migration_tests"), F.count_if("hot").alias("hotspots"), F.count_if("config").alias("config_files"),
+        every("gates").alias("gate_frameworks"),
+    )
+    names = [x[0] for x in (*fixed.PYTHON_LOGGING, *fixed.SCRIPT_LOGGING)]
+    handler = lambda k: _named(F.col("_handler"), [x[k] for x in fixed.ERROR_HANDLERS])
+    return rows.select("*", _named(F.col("_log"), names).alias("framework"), (F.col("_log").isNull() & F.col("_printed")).alias("print_only"), handler(0).alias("handler_framework"), handler(1).alias("handler_type")).drop("_log", "_printed", "_handler")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -65,30 +64,35 @@ def _severity(tool: str) -> Column:
     }[tool]
 
 
-#: By tool: the path of its issues, and expressions for code, message, file, line and what it says of severity.
+#: By tool: the path of its issues in its JSON j, and expressions for code, message, file, line and what an issue i says of severity.
 TOOL_FIELDS = {
-    "ruff": ("j", "code", "message", "filename", "location.row", "cast(null as string)"),
-    "bandit": ("j.results", "test_id", "issue_text", "filename", "line_number", "concat_ws('/', issue_severity, issue_confidence)"),
-    "eslint": ("flatten(transform(j, f -> transform(f.messages, m -> struct(m.ruleId, m.message, f.filePath, m.line, m.severity))))", "ruleId", "message", "filePath", "line", "cast(severity as string)"),
-    "gitleaks": ("j", "RuleID", "Description", "File", "StartLine", "cast(null as string)"),
-    "hadolint": ("j", "code", "message", "file", "line", "level"),
-    "pip-audit": ("flatten(transform(j.dependencies, d -> transform(d.vulns, v -> struct(v.id, v.description, d.name))))", "id", "description", "name", "cast(null as int)", "cast(null as string)"),
-    "npm-audit": ("transform(map_entries(j.vulnerabilities), e -> struct(e.key as name, e.value.severity as severity))", "name", "name", "'package.json'", "cast(null as int)", "severity"),
+    "ruff": ("j", "i.code", "i.message", "i.filename", "i.location.row", "cast(null as string)"),
+    "bandit": ("j.results", "i.test_id", "i.issue_text", "i.filename", "i.line_number", "concat_ws('/', i.issue_severity, i.issue_confidence)"),
+    "eslint": ("flatten(transform(j, f -> transform(f.messages, m -> struct(m.ruleId, m.message, f.filePath, m.line, m.severity))))", "i.ruleId", "i.message", "i.filePath", "i.line", "cast(i.severity as string)"),
+    "gitleaks": ("j", "i.RuleID", "i.Description", "i.File", "i.StartLine", "cast(null as string)"),
+    "hadolint": ("j", "i.code", "i.message", "i.file", "i.line", "i.level"),
+    "pip-audit": ("flatten(transform(j.dependencies, d -> transform(d.vulns, v -> struct(v.id, v.description, d.name))))", "i.id", "i.description", "i.name", "null", "cast(null as string)"),
+    "npm-audit": ("transform(map_entries(j.vulnerabilities), e -> struct(e.key as name, e.value.severity as severity))", "i.name", "i.name", "'package.json'", "null", "i.severity"),
 }
 
 
-def tool_issues(raw: DataFrame, tool: str, key: str = "repo_id", text: str = "raw_json") -> DataFrame:
-    """(key, tool, code, message, file, line, severity) of a tool's JSON; malformed JSON has none."""
-    path, *fields = TOOL_FIELDS[tool]
-    x = raw.select(key, F.from_json(text, TOOL_SCHEMAS[tool]).alias("j")).select(key, F.explode(F.expr(path)).alias("i")).select(key, "i.*")
-    x = x.select(key, *(F.expr(e).alias(n) for e, n in zip(fields, ("code", "message", "file", "line", "said"), strict=True)))
-    return x.select(key, F.lit(tool).alias("tool"), "code", "message", "file", "line", _severity(tool).alias("severity"))
+def _issues_of(tool: str, j: str) -> Column:
+    """Issues in a tool's parsed JSON, a column named j, as structs that are alike for all tools."""
+    path, code, message, file, line, said = TOOL_FIELDS[tool]
+    return F.expr(f"transform({re.sub(r'\bj\b', j, path)}, i -> named_struct('code', {code}, 'message', {message}, 'file', {file}, 'line', cast({line} as int), 'said', {said}))")
 
 
 def all_issues(raw: DataFrame, key: str = "repo_id", text: str = "raw_json", tool: str = "tool") -> DataFrame:
-    """Issues of rows (key, tool, text) of any known tool, each by its own adapter."""
-    out = [tool_issues(raw.filter(F.col(tool) == name), name, key, text) for name in TOOL_FIELDS]
-    return reduce(DataFrame.unionByName, out)
+    """(key, tool, code, message, file, line, severity) of rows (key, tool, text), each read by its tool's adapter in one pass; malformed JSON and unknown tools have none."""
+    parsed = [F.when(F.col(tool) == name, F.from_json(text, TOOL_SCHEMAS[name])).alias(f"j{k}") for k, name in enumerate(TOOL_FIELDS)]
+    issues = raw.select(key, F.col(tool).alias("tool"), *parsed).select(key, "tool", F.explode(F.coalesce(*(_issues_of(name, f"j{k}") for k, name in enumerate(TOOL_FIELDS)))).alias("i")).select(key, "tool", "i.*")
+    severity = F.coalesce(*(F.when(F.col("tool") == name, _severity(name)) for name in TOOL_FIELDS))
+    return issues.select(key, "tool", "code", "message", "file", "line", severity.alias("severity"))
+
+
+def tool_issues(raw: DataFrame, tool: str, key: str = "repo_id", text: str = "raw_json") -> DataFrame:
+    """The same of rows that are all of one tool."""
+    return all_issues(raw.withColumn("tool", F.lit(tool)), key, text)
 
 
 def adapters_for(languages: Column) -> Column:

@@ -1,7 +1,6 @@
 """Import resolution: queries against SQL, odd cases against rows stated by hand."""
 
 import pytest
-from oracle import compare
 from pyspark.sql import functions as F
 
 from siltmark import catalog
@@ -10,11 +9,6 @@ from siltmark.operators import graph
 from siltmark.plans import imports
 
 
-@pytest.mark.parametrize("name", ["import_edges", "critical_path", "graph_confidence"])
-def test_query_equals_sql(spark, sf, name):
-    assert compare(spark, sf, [name], catalog.QUERIES, catalog.ORACLE_SQL)[name] == ""
-
-
 def test_texts_hold_the_imports_that_sql_states(spark):
     rows = spark.createDataFrame([(p, language, text) for p, language, text, _ in imports.POOL if language != "markdown"], "path string, language string, content string")
     raw = F.when(F.col("language") == "python", parse.python_imports(F.col("content"))).otherwise(parse.script_imports(F.col("content")))

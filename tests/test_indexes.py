@@ -4,18 +4,11 @@ import re
 
 import numpy as np
 import pytest
-from oracle import compare
 
 from siltmark import catalog
 from siltmark.operators import candidates, fulltext, vectors
 
 
-@pytest.mark.parametrize("name", ["full_text_search", "exact_list_neighbours", "route_candidates"])
-def test_query_equals_sql(spark, sf, name):
-    assert compare(spark, sf, [name], catalog.QUERIES, catalog.ORACLE_SQL)[name] == ""
-    assert catalog.QUERIES[name](spark, sf).count() > 0
-
-
 def test_websearch():
     show = lambda q: [[("-" if u.without else "") + " ".join(u.words) for u in g] for g in fulltext.websearch(q)]
     assert show('fat "Big Rat" -cat or dog') == [["fat", "big rat", "-cat"], ["dog"]]

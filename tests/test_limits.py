@@ -5,7 +5,6 @@ import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from oracle import compare
 from pyspark.sql import functions as F
 
 from siltmark import catalog
@@ -56,10 +55,6 @@ def test_edges(spark):
     assert limits.rate_limited(frame(spark, []), "k", "ts", limit).count() == 0
 
 
-def test_query_equals_sql(spark, sf):
-    assert compare(spark, sf, ["rate_limit_replay"], catalog.QUERIES, catalog.ORACLE_SQL) == {"rate_limit_replay": ""}
-
-
 @pytest.mark.parametrize("late", ["30 minutes", None])
 def test_stream_equals_batch(spark, tmp_path, late):
     rng = random.Random(7)

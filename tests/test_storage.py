@@ -5,18 +5,12 @@ import re
 import uuid
 
 import pytest
-from oracle import compare
 from pyspark.sql import functions as F
 
 from siltmark import catalog
 from siltmark.operators import access, prefix, scans, search
 
 
-@pytest.mark.parametrize("name", ["rebuilt_scans", "batched_budget", "untraced_sentences"])
-def test_query_equals_sql(spark, sf, name):
-    assert compare(spark, sf, [name], catalog.QUERIES, catalog.ORACLE_SQL)[name] == ""
-
-
 def test_scan_is_rebuilt_without_an_exchange(spark):
     none = {k: spark.createDataFrame([], "result_id long") for k in scans.TABLES}
     files = spark.createDataFrame([(1, "b.py", "a,,b", 0.5), (1, "a.py", None, 1.0), (2, "c.py", "", 1.0)], "result_id long, path string, sensitive_operations string, confidence double")

@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from oracle import compare
 from pyspark.sql import functions as F
 
 from siltmark import catalog
@@ -11,11 +10,6 @@ from siltmark.functions import syntax
 from siltmark.operators import ranking
 
 
-@pytest.mark.parametrize("name", ["env_references", "yaml_structures", "scout_results", "scored_pool", "risk_signals"])
-def test_query_equals_sql(spark, sf, name):
-    assert compare(spark, sf, [name], catalog.QUERIES, catalog.ORACLE_SQL)[name] == ""
-
-
 def test_texts_without_structure(spark):
     df = spark.createDataFrame([(None,), ("",), ("\x00",), ("a: [",), ("services: 3",), ("jobs: []",)], "t string")
     got = df.select(syntax.workflow_commands("t").alias("w"), syntax.script_commands("t").alias("c"), syntax.compose_services("t").alias("s"), syntax.python_env_references("t").alias("p")).collect()
