@@ -1,6 +1,5 @@
 """Rules and facts against SQL; every rule is seen to fire and not to."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from siltmark import catalog

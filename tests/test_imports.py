@@ -1,9 +1,7 @@
 """Import resolution: queries against SQL, odd cases against rows stated by hand."""
 
-import pytest
 from pyspark.sql import functions as F
 
-from siltmark import catalog
 from siltmark.functions import parse
 from siltmark.operators import graph
 from siltmark.plans import imports

@@ -7,7 +7,6 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark import catalog
 from siltmark.operators import limits
 from siltmark.streaming import limits as stream
 

@@ -1,6 +1,5 @@
 """Operators that have no query: readers, sinks, streams, state, and edge cases."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

@@ -2,10 +2,8 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
-from siltmark import catalog
 from siltmark.functions import columns as C
 from siltmark.operators import findings, review
 from siltmark.sources import readers

@@ -4,10 +4,8 @@ import random
 import re
 import uuid
 
-import pytest
 from pyspark.sql import functions as F
 
-from siltmark import catalog
 from siltmark.operators import access, prefix, scans, search
 
 

@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltmark import catalog
 from siltmark.functions import syntax
 from siltmark.operators import ranking
 
