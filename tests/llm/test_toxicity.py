@@ -56,3 +56,70 @@ def test_fit_separates():
     w = toxicity.fit_logistic(x, y, np.ones(40))
     assert ((toxicity.sigmoid(x.times(w[:-1]) + w[-1]) > 0.5) == (y > 0)).all()
     assert w[0] == pytest.approx(max(w))
+
+
+def plain_chain(texts, marks):
+    """{key: probabilities of the marks in turn} of all texts, from whole matrices and plain counting; marks: {key: (mark, ...)} of some."""
+    keys = sorted(k for k in marks if k in texts)
+    words = {k: toxicity.WORD.findall((t or "").lower()) for k, t in texts.items()}
+    held = {k: {f for w in set(ws) for f in toxicity.word_features(w)} for k, ws in words.items()}
+    y = np.array([marks[k] for k in keys], float)
+    with_f = {}
+    for i, k in enumerate(keys):
+        for f in held[k]:
+            with_f.setdefault(f, []).append(i)
+    chosen = {}
+    for c in range(y.shape[1]):
+        pos, neg, found = y[:, c].sum(), (1 - y[:, c]).sum(), []
+        for f, rows in with_f.items():
+            n, a = len(rows), y[rows, c].sum()
+            if n >= toxicity.LEAST_TEXTS and pos and neg:
+                det = a * (neg - (n - a)) - (n - a) * (pos - a)
+                chi = det * det * (pos + neg) / (n * (pos + neg - n + 1e-9) * pos * neg)
+                if chi > toxicity.LEAST_CHI:
+                    found.append((-chi, f))
+        for _, f in sorted(found)[: toxicity.FEATURES]:
+            chosen.setdefault(f, len(chosen))
+
+    def matrix(some):
+        x = np.zeros((len(some), len(chosen) + len(toxicity.DENSE)))
+        for i, k in enumerate(some):
+            x[i, [chosen[f] for f in held[k] if f in chosen]] = 1
+            x[i, len(chosen) :] = toxicity.dense(texts[k] or "", words[k])
+        return x
+
+    x, every = matrix(keys), matrix(list(texts))
+    own = slice(len(chosen), None)
+    center, scale = x[:, own].mean(0), (x[:, own].std(0) + 1e-9) / toxicity.FIGURES
+    for m in (x, every):
+        m[:, own] = (m[:, own] - center) / scale
+
+    def fit(x, y, use):
+        x1 = np.hstack((x, np.ones((len(x), 1))))
+        w, m, v = np.zeros(x1.shape[1]), 0.0, 0.0
+        weight = use * np.where(y > 0, ((use * (1 - y)).sum() / (use * y).sum()) ** toxicity.BALANCE, 1.0)
+        weight /= weight.sum()
+        for step in range(1, toxicity.STEPS + 1):
+            g = x1.T @ ((1 / (1 + np.exp(-x1 @ w)) - y) * weight) + toxicity.RIDGE * np.append(w[:-1], 0)
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w = w - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        return lambda z: 1 / (1 + np.exp(-(z @ w[:-1] + w[-1])))
+
+    fold, out = toxicity.folds_of(np.array(keys)), []
+    for c in range(y.shape[1]):
+        out.append(fit(x, y[:, c], np.ones(len(keys)))(every))
+        away = np.zeros(len(keys))
+        for f in range(toxicity.FOLDS):
+            away[fold == f] = fit(x, y[:, c], (fold != f).astype(float))(x)[fold == f]
+        x, every = np.column_stack((x, away)), np.column_stack((every, out[-1]))
+    return dict(zip(texts, zip(*out, strict=True), strict=True))
+
+
+def test_op9_equals_a_plain_chain(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    marks = {r.doc_id: (1 - r.quality, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    want = plain_chain(texts, marks)
+    got = QUERIES["op9_toxicity_chain"](spark, sf).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (r.p_low_quality, r.p_toxic) == pytest.approx(want[r.doc_id], abs=1e-4)
