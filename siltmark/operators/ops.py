@@ -105,3 +105,21 @@ def reusable(requests: DataFrame, results: DataFrame, on: list[str]) -> tuple[Da
 
 def next_version(versions: DataFrame, key: str) -> DataFrame:
     return versions.groupBy(key).agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("next_version"))
+
+
+def audit(log: DataFrame, limit: int = 50, offset: int = 0, most: int = 500, **equal) -> DataFrame:
+    """A page of a log's rows with the given values, newest first, each with the number of all such rows (total)."""
+    for name, value in equal.items():
+        if value is not None:
+            log = log.filter(F.col(name) == value)
+    page = log.orderBy(F.desc("ts"), "id").offset(offset).limit(min(limit, most))
+    return page.crossJoin(F.broadcast(log.agg(F.count(F.lit(1)).alias("total"))))  # one row
+
+
+def newest(kinds: dict[str, DataFrame], n: int, ts: str = "completed_at") -> DataFrame:
+    """The newest n rows (id, ts, message) of several kinds together, with their kind; each kind sends no more than n."""
+    out = None
+    for name, rows in kinds.items():
+        mine = rows.orderBy(F.desc(ts), "id").limit(n).select(F.lit(name).alias("kind"), "id", ts, "message")
+        out = mine if out is None else out.unionByName(mine)
+    return out.orderBy(F.desc(ts), "kind", "id").limit(n)
