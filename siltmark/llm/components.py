@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from . import _shared as S
 
 
-def components(edges: DataFrame, root: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, root: str) -> DataFrame:
     """edges (a long, b long) to (node, root): the smallest node reachable, for every node that an edge names.
 
     Each round joins every node with its smallest neighbour, so a hub's links are a skewed join and not one task's
@@ -16,7 +18,7 @@ def components(edges: DataFrame, root: str, rounds: int = 60) -> DataFrame:
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = S.materialised(e, f"{root}/cc0")
     state = None
-    for k in range(1, rounds + 1):
+    for k in count(1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: each larger neighbour to the smallest of all
@@ -30,6 +32,4 @@ def components(edges: DataFrame, root: str, rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -9,7 +9,9 @@ each further failure.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _shared as S
 
@@ -17,7 +19,7 @@ from . import _shared as S
 CELLS = 18
 #: A paragraph ends with its line, or at the first sentence end after so many characters of it.
 PARAGRAPH = 120
-#: Digests that a block should hold on a retry, and cells of a block's sketch on each attempt.
+#: Digests that a block should hold on a retry, and cells of a block's sketch on each attempt; twice as many on the next, until all is peeled.
 BLOCK_DIGESTS, BLOCK_CELLS = 12, (36, 90, 240)
 #: Peeling rounds; each at least halves what is left, or nothing more can be peeled.
 ROUNDS = 12
@@ -74,6 +76,17 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fingerpri
     return docs.withColumn(name, F.expr(hexed(sketch(signed(d, 1), CELLS, 100))))
 
 
+def _peel_blocks(pairs: DataFrame, sizes: tuple[int, ...], salt: int) -> DataFrame:
+    """(row, pair, pos2, neg2, ok) of pairs (row, pair, na, nb, ab): differences by blocks of digests, each tried with these sizes in turn; not ok where a block still cannot be peeled."""
+    units = pairs.withColumn("u", F.explode(F.expr("transform(ab, (d, i) -> named_struct('s', if(i < na, 1, -1), 'd', d))")))
+    units = units.withColumn("block", F.expr(f"pmod(xxhash64(u.d, 55), cast(ceil((na + nb) / {BLOCK_DIGESTS}.0) as int))"))
+    blocks = units.groupBy("row", "pair", "block").agg(F.collect_list("u").alias("us"))
+    for k, cells in enumerate(sizes):
+        tried = peel(sketch("us", cells, salt + 10 * k), cells, salt + 10 * k)
+        blocks = blocks.withColumn("r", F.expr(tried if not k else f"if(r.done, r, {tried})"))
+    return blocks.groupBy("row", "pair").agg(F.sum("r.pos").alias("pos2"), F.sum("r.neg").alias("neg2"), F.bool_and("r.done").alias("ok"))
+
+
 def likeness(pairs: DataFrame, root: str) -> DataFrame:
     """Likeness of sketches: pairs (row, pair, a, b: digest arrays, sa, sb: their cells) to (row, pair, near).
 
@@ -84,15 +97,15 @@ def likeness(pairs: DataFrame, root: str) -> DataFrame:
     first = first.select("row", "pair", F.size("a").alias("na"), F.size("b").alias("nb"), F.expr("r.pos").alias("pos"), F.expr("r.neg").alias("neg"), F.expr("r.done").alias("done"), F.expr("if(r.done, null, concat(a, b))").alias("ab"))
     first = S.materialised(first, f"{root}/first")
     # larger: a sketch a block, each tried with more cells and another salt until it can be peeled
-    open_ = first.filter("not done").withColumn("u", F.explode(F.expr("transform(ab, (d, i) -> named_struct('s', if(i < na, 1, -1), 'd', d))")))
-    open_ = open_.withColumn("block", F.expr(f"pmod(xxhash64(u.d, 55), cast(ceil((na + nb) / {BLOCK_DIGESTS}.0) as int))"))
-    blocks = open_.groupBy("row", "pair", "block").agg(F.collect_list("u").alias("us"))
-    exact = "named_struct('pos', size(array_except(transform(filter(us, u -> u.s = 1), u -> u.d), transform(filter(us, u -> u.s = -1), u -> u.d))), 'neg', size(array_except(transform(filter(us, u -> u.s = -1), u -> u.d), transform(filter(us, u -> u.s = 1), u -> u.d))), 'done', true)"
-    for k, cells in enumerate(BLOCK_CELLS):
-        tried = peel(sketch("us", cells, 200 + 10 * k), cells, 200 + 10 * k)
-        blocks = blocks.withColumn("r", F.expr(tried if not k else f"if(r.done, r, {tried})"))
-    blocks = blocks.withColumn("r", F.expr(f"if(r.done, r, {exact})"))
-    again = blocks.groupBy("row", "pair").agg(F.sum("r.pos").alias("pos2"), F.sum("r.neg").alias("neg2"))
+    cells, open_, solved = BLOCK_CELLS, first.filter("not done"), []
+    while True:
+        tried = S.materialised(_peel_blocks(open_, cells, 200 + 100 * len(solved)), f"{root}/blocks{len(solved)}")
+        solved.append(tried.filter("ok"))
+        left = tried.filter("not ok")
+        if left.isEmpty():
+            break
+        open_, cells = open_.join(left.select("row", "pair"), ["row", "pair"], "left_semi"), tuple(2 * c for c in cells)
+    again = reduce(DataFrame.unionByName, solved).select("row", "pair", "pos2", "neg2")
     both = first.select("row", "pair", "na", "nb", "pos", "neg", "done").join(again, ["row", "pair"], "left")
     pos, neg = F.expr("if(done, pos, pos2)"), F.expr("if(done, neg, neg2)")
     whole = F.col("na") + neg

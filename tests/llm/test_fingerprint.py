@@ -67,3 +67,9 @@ def test_edges(spark):
     assert [(r.near_next, r.n_chars) for r in one] == [(1.0, 8)]
     prints = fingerprint.with_fingerprint(df).select(F.countDistinct("fingerprint")).first()[0]
     assert prints == 8
+
+
+def test_sketches_that_fail_are_doubled_until_they_peel(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BLOCK_CELLS", (3, 6))
+    rows = [(k, "\n".join(f"p{(k * j) % 97}" for j in range(60))) for k in range(1, 6)]
+    check(fingerprint.compare_versions(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
