@@ -28,6 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from .plans import access, corpus, facts, imports, indexes, records, reviews, sinks, sources, storage, stores, syntax  # noqa: F401
+    from .plans import access, corpus, facts, imports, indexes, lookups, records, reviews, sinks, sources, storage, stores, syntax  # noqa: F401
 
 load()

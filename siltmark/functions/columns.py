@@ -229,6 +229,30 @@ def exact_repo(query: Column) -> Column:
     return F.when(valid, F.struct(owner.alias("owner"), repo.alias("repo")))
 
 
+def canonical_repo(url: Column) -> Column:
+    """struct(owner, name, clone_url, canonical_url) of an address at the known host, with or without its scheme; null for others and for its pages that are no repository."""
+    whole = F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), "/+$", "")
+    whole = F.when(whole.rlike("^https?://"), whole).otherwise(F.concat(F.lit("https://"), whole))
+    owner, name = F.regexp_extract(whole, fixed.REPO_ADDRESS, 1), F.regexp_replace(F.regexp_extract(whole, fixed.REPO_ADDRESS, 2), r"\.git$", "")
+    at = F.concat(F.lit(f"https://{fixed.REPO_HOSTS[0]}/"), owner, F.lit("/"), name)
+    known = whole.rlike(fixed.REPO_ADDRESS) & ~owner.isin(*fixed.HOST_PAGES) & (name != "")
+    return F.when(known, F.struct(owner.alias("owner"), name.alias("name"), F.concat(at, F.lit(".git")).alias("clone_url"), at.alias("canonical_url")))
+
+
+def https_repo(url: Column) -> Column:
+    """struct(owner, repo) of a full https address at the known host, whatever follows the repository; null for others."""
+    clean = F.regexp_replace(url, r"^\s+|\s+$", "")
+    part = lambda k: F.regexp_extract(clean, fixed.HTTPS_REPO, k)
+    return F.when(clean.rlike(fixed.HTTPS_REPO), F.struct(part(1).alias("owner"), part(2).alias("repo")))
+
+
+def loose_repo(url: Column) -> Column:
+    """struct(owner, repo): the first two parts of a path, after the known host if it is there; null for fewer parts."""
+    clean = F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), "/+$", "")
+    parts = F.split(F.regexp_replace(clean, r"^(?:https?://)?github\.com/", ""), "/")
+    return F.when(F.size(parts) >= 2, F.struct(parts[0].alias("owner"), parts[1].alias("repo")))
+
+
 def repo_of_url(url: Column) -> Column:
     """struct(owner, repo) of a repository address in any of its spellings; nulls if it is none."""
     pattern = r"^(?:https?://|git@|ssh://git@)?(?:www\.)?[A-Za-z0-9.-]+[/:]([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?(?:[?#].*)?$"

@@ -193,3 +193,28 @@ def first_of(tables: list[DataFrame], key: str) -> DataFrame:
         rows = t if rows is None else rows.unionByName(t)
     best = Window.partitionBy(key).orderBy("_t")
     return rows.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r", "_t")
+
+
+def repo_summary(files: DataFrame, repo: str = "repo_id", signals: int = 10, entries: int = 5, risky: int = 10) -> DataFrame:
+    """(repo, primary_language, framework_signals, entrypoints, high_risk_files, total_files) of each repository.
+
+    files: (repo, path, language, framework_signals, is_entrypoint, sensitive_ops), in order of their paths. The
+    language is that of most files, "unknown" left out; signals come by how often they occur; equal counts by who
+    appears first. Lists are cut within tasks, so a repository's files never meet in one.
+    """
+    on = [repo]
+    by_count = lambda rows, c: rows.groupBy(repo, c).agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"))
+    language = by_count(files.filter("language <> 'unknown'").withColumn("o", F.struct("path")), "language").groupBy(repo).agg(F.min_by("language", F.struct(-F.col("n"), F.col("o"))).alias("primary_language"))
+    named = files.select(repo, "path", F.posexplode("framework_signals").alias("pos", "item")).withColumn("o", F.struct("path", "pos"))
+    tops = {
+        "framework_signals": (by_count(named, "item"), [F.desc("n"), F.col("o")], signals),
+        "entrypoints": (files.filter("is_entrypoint").select(repo, F.col("path").alias("item")), [F.col("item")], entries),
+        "high_risk_files": (files.filter(F.size("sensitive_ops") > 0).select(repo, F.col("path").alias("item")), [F.col("item")], risky),
+    }
+    out = files.groupBy(repo).agg(F.count(F.lit(1)).alias("total_files")).join(language, on, "left")
+    out = out.withColumn("primary_language", F.coalesce("primary_language", F.lit("unknown")))
+    for name, (rows, order, n) in tops.items():
+        first = rows.withColumn("r", F.row_number().over(Window.partitionBy(repo).orderBy(*order))).filter(F.col("r") <= n)
+        lists = first.groupBy(repo).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "item"))), lambda x: x["item"]).alias(name))
+        out = out.join(lists, on, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out

@@ -123,3 +123,9 @@ def newest(kinds: dict[str, DataFrame], n: int, ts: str = "completed_at") -> Dat
         mine = rows.orderBy(F.desc(ts), "id").limit(n).select(F.lit(name).alias("kind"), "id", ts, "message")
         out = mine if out is None else out.unionByName(mine)
     return out.orderBy(F.desc(ts), "kind", "id").limit(n)
+
+
+def root_cause(queues: Column) -> Column:
+    """Why queued jobs expired, of array of (name, cleared, running) in order: the first queue that lost jobs and runs none has no worker, else there are too few."""
+    idle = F.filter(queues, lambda q: (q["cleared"] > 0) & (q["running"] == 0))
+    return F.when(F.size(idle) > 0, F.concat(F.get(idle, F.lit(0))["name"], F.lit("_worker_inactive"))).otherwise("worker_capacity_saturated")

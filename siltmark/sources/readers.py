@@ -155,3 +155,8 @@ def report_json(reports: DataFrame, key: str) -> DataFrame:
 
 def fresh_cache(cache: DataFrame, now: Column, days: int = 7) -> DataFrame:
     return cache.filter(F.col("written_at") > now - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def expired_cache(cache: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Entries that pruning deletes."""
+    return cache.filter(F.col("written_at") <= now - F.expr(f"INTERVAL {days} DAYS"))
