@@ -218,3 +218,39 @@ def repo_summary(files: DataFrame, repo: str = "repo_id", signals: int = 10, ent
         lists = first.groupBy(repo).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "item"))), lambda x: x["item"]).alias(name))
         out = out.join(lists, on, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     return out
+
+
+def unfenced(text: Column) -> Column:
+    """A reply without the fence that it begins with: its first line goes, and its last if that is a bare fence."""
+    clean = F.regexp_replace(text, r"^\s+|\s+$", "")
+    lines = F.split(clean, "\n")
+    ends = F.trim(F.element_at(lines, -1)) == "```"
+    inner = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - F.when(ends & (F.size(lines) > 1), 2).otherwise(1), F.lit(0)))
+    return F.when(F.startswith(clean, F.lit("```")), F.array_join(inner, "\n")).otherwise(clean)
+
+
+#: A model's finding as its JSON says it: numbers may be given as texts of digits.
+_SAID = "struct<category:string, severity:string, line_start:string, line_end:string, evidence_snippet:string, title:string, explanation:string, remediation:string>"
+
+
+def model_findings(replies: DataFrame, text: str, file: str) -> DataFrame:
+    """The valid findings of replies, with replies' other columns, pos, and the finding's fields.
+
+    A reply has to be a JSON array once its fence is gone; what is not an object, or lacks a field, has an unknown
+    category or severity, lines out of order or below 1, or blank evidence, goes. The file is the one that was asked
+    about; points are looked up, -2 where the table has none; confidence is 0.75 and the source llm_assisted. A number
+    where a text belongs is read as its digits.
+    """
+    c = F.col
+    bare = unfenced(c(text))
+    rows = replies.withColumn("_said", F.when(F.startswith(F.trim(bare), F.lit("[")), F.transform(F.from_json(bare, "array<string>"), lambda x: F.from_json(x, _SAID))))
+    rows = rows.select(*replies.columns, F.posexplode("_said").alias("pos", "_f")).filter("_f is not null")
+    line = lambda n: F.when(c(f"_f.{n}").rlike(r"^\s*\+?[0-9]+(\.0+)?\s*$"), F.trim(c(f"_f.{n}")).cast("double").cast("int"))
+    known = c("_f.category").isin(*fixed.POINTS) & c("_f.severity").isin("low", "medium", "high", "critical")
+    whole = c("_f.title").isNotNull() & c("_f.explanation").isNotNull() & (F.length(F.trim(c("_f.evidence_snippet"))) > 0)
+    valid = known & whole & (line("line_start") >= 1) & (line("line_end") >= line("line_start"))
+    points = F.coalesce(*(F.when(c("_f.category") == k, C.lookup(c("_f.severity"), by)) for k, by in fixed.POINTS.items()), F.lit(-2))
+    return rows.filter(F.coalesce(valid, F.lit(False))).select(
+        *(x for x in replies.columns if x != text), "pos", c(file).alias("file_path"), c("_f.category").alias("category"), c("_f.severity").alias("severity"), line("line_start").alias("line_start"), line("line_end").alias("line_end"),
+        c("_f.evidence_snippet").alias("evidence_snippet"), c("_f.title").alias("title"), c("_f.explanation").alias("explanation"), c("_f.remediation").alias("remediation"), points.alias("score_impact"), F.lit(0.75).alias("confidence"), F.lit("llm_assisted").alias("source"),
+    )

@@ -64,3 +64,21 @@ def pruned_cache(spark, sf):
     """How many cached entries pruning deletes."""
     rows = table(spark, sf, "events").withColumn("written_at", F.col("ts"))
     return readers.expired_cache(rows, F.lit("2024-01-31 00:00:00").cast("timestamp")).agg(F.count(F.lit(1)).alias("pruned"))
+
+
+_GOOD = '{"category": "security", "severity": "high", "line_start": 3, "line_end": 4, "evidence_snippet": "x~", "title": "t~", "explanation": "e"}'
+#: Replies, and the findings in them that are valid: position, category, severity, lines, title, points.
+REPLIES = (
+    (f"[{_GOOD}]", ("0 security high 3-4 t~ -15",)), (f"```json\n[{_GOOD}]\n```", ("0 security high 3-4 t~ -15",)), (f"```\n[{_GOOD}]", ("0 security high 3-4 t~ -15",)), (f"{_GOOD}", ()), ("sorry ~", ()), ("[1, null, \"x\"]", ()), (f'[7, "x", {_GOOD}]', ("2 security high 3-4 t~ -15",)),
+    ('[' + _GOOD.replace('"line_end": 4', '"line_end": 2') + ', ' + _GOOD.replace('"line_start": 3', '"line_start": 0') + ', ' + _GOOD.replace("security", "dead_code").replace("high", "low") + ']', ("2 dead_code low 3-4 t~ -1",)),
+    ('[' + _GOOD.replace('"x~"', '"  "') + ', ' + _GOOD.replace("high", "info") + ', ' + _GOOD.replace("security", "style") + ', ' + _GOOD.replace(', "explanation": "e"', "") + ', ' + _GOOD.replace("3,", '"3",') + ']', ("4 security high 3-4 t~ -15",)),
+)
+
+
+@query(f"SELECT id, unnest({_stated(REPLIES, 'id', 'id')}) AS finding FROM (SELECT p_partkey AS id FROM part)")
+def model_findings(spark, sf):
+    """Valid findings of a model's replies, each reply fenced, malformed or right."""
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file"))
+    f = access.model_findings(rows.withColumn("reply", _variant(REPLIES, "id", "id")), "reply", "file")
+    lines = F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))
+    return f.select("id", F.concat_ws(" ", F.col("pos").cast("string"), "category", "severity", lines, "title", F.col("score_impact").cast("string")).alias("finding"))
