@@ -77,6 +77,20 @@ def claim(jobs: DataFrame, slots: int) -> DataFrame:
     return first.withColumn("slot", F.row_number().over(Window.orderBy("created_at", "id")))  # at most slots rows
 
 
+def apply_claims(jobs: DataFrame, claims: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(jobs, claims with held): claims (id, worker) against the jobs as they are now.
+
+    A claim holds only if its job is still queued, and of several claims of one job that of the smallest worker; a claim
+    that does not hold is to be tried on another job. A job that is claimed runs, from now.
+    """
+    still = jobs.filter("status = 'queued'").select("id")
+    winners = claims.join(still, "id", "left_semi").groupBy("id").agg(F.min("worker").alias("_winner"))
+    done = claims.join(winners, "id", "left").withColumn("held", F.coalesce(F.col("worker") == F.col("_winner"), F.lit(False))).drop("_winner")
+    rows = jobs.join(winners, "id", "left")
+    won = F.col("_winner").isNotNull()
+    return rows.withColumn("status", F.when(won, "running").otherwise(F.col("status"))).withColumn("started_at", F.when(won, now).otherwise(F.col("started_at"))).withColumnRenamed("_winner", "worker"), done
+
+
 def expire(jobs: DataFrame, now: Column, stale: int = fixed.STALE_SECONDS, expired: int = fixed.EXPIRED_SECONDS) -> DataFrame:
     """Running jobs that are stale and queued ones that expired as failed, with the reason; others as they are."""
     late = (F.col("status") == "running") & (seconds(F.coalesce("started_at", "created_at"), now) > stale)

@@ -128,3 +128,22 @@ def newest_failures(spark, sf):
     said = lambda head, c: F.concat(F.lit(head), F.col(c).cast("string")).alias("message")
     kinds = {"analysis": failed.filter("id % 2 = 0").select("id", "completed_at", said("job ", "id")), "review": failed.filter("id % 2 = 1").select("id", "completed_at", said("customer ", "repo_id"))}
     return ops.newest(kinds, 12)
+
+
+@query(
+    f"""WITH {JOBS}, c AS (SELECT id, id % 3 AS worker FROM jobs WHERE id % 4 < 2 UNION ALL SELECT id, 1 + id % 3 FROM jobs WHERE id % 8 = 0)
+SELECT c.id, worker, status = 'queued' AND worker = min(worker) OVER (PARTITION BY c.id) AS held FROM c JOIN jobs ON jobs.id = c.id"""
+)
+def claim_results(spark, sf):
+    """Claims made on an older view of the queue, and whether they hold against the jobs as they are."""
+    jobs = _jobs(spark, sf)
+    claims = jobs.filter("id % 4 < 2").select("id", (F.col("id") % 3).alias("worker")).unionByName(jobs.filter("id % 8 = 0").select("id", (1 + F.col("id") % 3).alias("worker")))
+    return ops.apply_claims(jobs, claims, F.lit("1998-08-02 00:00:00").cast("timestamp"))[1].select("id", "worker", "held")
+
+
+@query(f"WITH {JOBS}, c AS (SELECT DISTINCT id FROM jobs WHERE id % 4 < 2) SELECT jobs.id, CASE WHEN c.id IS NOT NULL AND status = 'queued' THEN 'running' ELSE status END AS status FROM jobs LEFT JOIN c ON c.id = jobs.id")
+def claimed_jobs(spark, sf):
+    """The jobs after the claims that hold."""
+    jobs = _jobs(spark, sf)
+    claims = jobs.filter("id % 4 < 2").select("id", (F.col("id") % 3).alias("worker"))
+    return ops.apply_claims(jobs, claims, F.lit("1998-08-02 00:00:00").cast("timestamp"))[0].select("id", "status")
