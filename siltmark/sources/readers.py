@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed
-from ..functions import columns as C
+from ..functions import columns as C, parse
 
 #: JSON that each tool prints, by its schema.
 TOOL_SCHEMAS = {
@@ -22,11 +22,11 @@ TOOL_SCHEMAS = {
 
 
 def checkout(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a checkout (path, size, content), without pruned directories."""
+    """Files of a checkout (path, size, content, lines), without pruned directories."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + re.escape(path.rstrip("/")) + "/", "")
     rows = raw.select(rel.alias("path"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
-    return rows.filter(~C.should_skip(F.col("path")))
+    return rows.filter(~C.should_skip(F.col("path"))).withColumn("lines", F.size(parse.text_lines(F.col("content"))))
 
 
 def decoded(content: Column) -> Column:

@@ -77,7 +77,7 @@ def test_checkout_and_sinks(spark, tmp_path):
     (root / "pkg" / "a.py").write_text("x = 1\n")
     (root / "node_modules" / "b.js").write_text("1")
     got = readers.checkout(spark, str(root)).collect()
-    assert [(r.path, r.content) for r in got] == [("pkg/a.py", "x = 1\n")]
+    assert [(r.path, r.content, r.lines) for r in got] == [("pkg/a.py", "x = 1\n", 1)]
     df = spark.createDataFrame([(7, "a"), (8, "b")], "result_id int, path string")
     readers.save({"files": df}, str(tmp_path / "store"), "result_id")
     assert [r.path for r in readers.load(spark, str(tmp_path / "store"), "files", "result_id", 8).collect()] == ["b"]
