@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES, MOST_BYTES, BATCH_ROWS = 4 << 20, 512 << 20, 1 << 18
 #: Bytes of requests that one exchange partition should hold.
 PART_BYTES = 12 << 20
+#: Bytes of requests that a worker hands over at once.
+SENT_BYTES = 1 << 20
 
 M64 = (1 << 64) - 1
 _LIBC = ctypes.CDLL(None)
@@ -81,7 +83,9 @@ def stage(df: DataFrame, path: str, batch_bytes: int = BATCH_BYTES, weight: str
     """
     schema = "batch long, n_rows long, n_bytes long, data binary" + ", keys binary" * bool(derive)
     out = df.mapInArrow(_Pack(batch_bytes, weight, derive), schema)
-    out.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
+    # sizes are looked at after each row, by default after 100, which are 100 batches in a task's memory; a reader takes a row group at once
+    write = out.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 32 << 20).option("parquet.block.row.count.limit", max(1, (32 << 20) // batch_bytes))
+    write.option("parquet.page.size.row.check.min", 1).option("parquet.page.size.row.check.max", 8).parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -193,8 +197,18 @@ class _Emit:
 
     def __call__(self, it):
         for b, t in batches(it):
+            held, size = [], 0
             for p, data in self.emit(b, t):
-                yield pa.RecordBatch.from_pydict({"p": pa.array([p], pa.int32()), "batch": pa.array([b], pa.int64()), "request": pa.array([data], pa.binary())})
+                held.append((p, data))
+                size += len(data)
+                if size >= SENT_BYTES:
+                    yield self._rows(b, held)
+                    held, size = [], 0
+            if held:
+                yield self._rows(b, held)
+
+    def _rows(self, b: int, held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"p": pa.array([p for p, _ in held], pa.int32()), "batch": pa.array([b] * len(held), pa.int64()), "request": pa.array([data for _, data in held], pa.binary())})
 
 
 def _resolver(resolve: Callable) -> Callable:

@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 from . import _shared as S
 
 GRAM = 32
+#: Bytes of text in a batch at any size of the input: a worker takes about 100 bytes of memory for each.
 BATCH_BYTES = 2 << 20
+#: Anchors of a part are dealt to so many slots; a suffix array takes slots of at least so many bytes of text.
+SLOTS, ARRAY_BYTES = 64, 2 << 20
 
 
 # ---------------------------------------------------------------- the difference-cover algorithm
@@ -286,15 +289,17 @@ class _Stretches:
         return raw, off, a, b, place, twice, look, anchors, of, start, i, j
 
     def entries(self, batch, t):
-        """By part: [(text, whether its strings are known to be repeated, the stretches that have it)]."""
+        """By part: {(anchor, text): [whether its strings are known to be repeated, the stretches that have it, the anchor's slot]}."""
         raw, off, a, b, place, twice, look, anchors, of, start, i, j = self.keys(batch, t)
-        part = S.part_of(S.mix(anchors[of[i]] ^ np.uint64(0x9E3779B97F4A7C15)), self.parts) if len(i) else i
+        spread = S.mix(anchors[of[i]] ^ np.uint64(0x9E3779B97F4A7C15))
+        part = S.part_of(spread, self.parts) if len(i) else i
+        slot = (spread % np.uint64(SLOTS)).tolist()
         data, out = raw.tobytes(), {}
         for k in range(len(i)):
             text = data[start[i[k]] : start[j[k]] + self.strings.segments.length]
             known = bool(twice[look[of[i[k]]]])
             mine = out.setdefault(int(part[k]), {})
-            had = mine.setdefault((int(anchors[of[i[k]]]), text), [known, []])
+            had = mine.setdefault((int(anchors[of[i[k]]]), text), [known, [], slot[k]])
             had[0] |= known or bool(had[1])
             had[1].append(k)
         return out, (raw, off, a, b, place, twice, look, of, start, i, j)
@@ -302,33 +307,53 @@ class _Stretches:
     def __call__(self, batch, t):
         for p, mine in self.entries(batch, t)[0].items():
             texts = [x for _, x in mine]
-            head = np.array([len(texts), *(len(x) << 1 | known for x, (known, _) in zip(texts, mine.values(), strict=True))], np.int64)
+            head = np.array([len(texts), *((len(x) * SLOTS + slot) << 1 | known for x, (known, _, slot) in zip(texts, mine.values(), strict=True))], np.int64)
             yield p, head.tobytes() + b"".join(texts)
 
 
+def _cuts(sizes: np.ndarray) -> list[int]:
+    """Where a new array begins, so that each but the last takes slots of at least ARRAY_BYTES."""
+    out, size = [], 0
+    for k, x in enumerate(sizes):
+        if size >= ARRAY_BYTES:
+            out.append(k)
+            size = 0
+        size += x
+    return out
+
+
 def _sorter(length: int):
     def answer(p, asked):
         """For each string of each stretch, whether the suffix array has another equal to it."""
-        texts, known, owners = [], [], []
+        texts, known, slots, owners = [], [], [], []
         for k, r in enumerate(asked):
             r = bytes(r)
             n = int(np.frombuffer(r, np.int64, 1)[0])
             head, at = np.frombuffer(r, np.int64, n, 8), 8 * (n + 1)
             for x in head.tolist():
-                texts.append(r[at : at + (x >> 1)])
+                size = (x >> 1) // SLOTS
+                texts.append(r[at : at + size])
                 known.append(x & 1)
+                slots.append((x >> 1) % SLOTS)
                 owners.append(k)
-                at += x >> 1
-        lens = np.array([len(x) for x in texts])
-        base = np.cumsum(lens) - lens
-        n = lens - length + 1
-        of = np.repeat(np.arange(len(texts)), n)
-        starts = base[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        number = equal_prefixes(np.frombuffer(b"".join(texts), np.uint8), starts, length)
-        weight = np.bincount(number, 1 + np.array(known)[of])
-        twice = weight[number] > 1
-        ends, out = np.cumsum(n), []
-        owners = np.array(owners)
+                at += size
+        # equal strings have equal anchors, so slots are apart
+        n = np.array([len(x) for x in texts]) - length + 1
+        ends = np.cumsum(n)
+        twice = np.empty(int(n.sum()), bool)
+        slots, known = np.array(slots), np.array(known)
+        sizes = np.bincount(slots, n + length - 1, SLOTS)
+        array = np.searchsorted(_cuts(sizes), np.arange(SLOTS), "right")[slots]
+        for x in np.unique(array):
+            mine = np.flatnonzero(array == x)
+            lens = n[mine] + length - 1
+            base = np.cumsum(lens) - lens
+            of = np.repeat(np.arange(len(mine)), n[mine])
+            place = np.arange(len(of)) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
+            number = equal_prefixes(np.frombuffer(b"".join([texts[k] for k in mine]), np.uint8), base[of] + place, length)
+            weight = np.bincount(number, 1 + known[mine][of])
+            twice[(ends - n)[mine][of] + place] = weight[number] > 1
+        out, owners = [], np.array(owners)
         for k in range(len(asked)):
             mine = np.flatnonzero(owners == k)
             out.append(S.bits(twice[ends[mine[0]] - n[mine[0]] : ends[mine[-1]]]) if len(mine) else b"")
@@ -353,7 +378,7 @@ class _Cut:
             for p, mine in entries.items():
                 n = [len(x) - length + 1 for _, x in mine]
                 got, at = S.unbits(told[p], sum(n)), 0
-                for k, (_, own) in zip(n, mine.values(), strict=True):
+                for k, (_, own, _) in zip(n, mine.values(), strict=True):
                     hit = np.flatnonzero(got[at : at + k])
                     at += k
                     for e in own:
@@ -391,7 +416,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         raise ValueError(f"strings of at least {GRAM} bytes")
     spark, root = docs.sparkSession, S.shared_root(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in keep or []))
-    staged = S.stage(rows, f"{root}/docs", S.batch_bytes(rows, BATCH_BYTES), derive=_Segments(length, 0).derive)
+    staged = S.stage(rows, f"{root}/docs", BATCH_BYTES, derive=_Segments(length, 0).derive)
     total = staged.agg(F.sum("n_bytes")).first()[0] or 0
     segments = _Segments(length, S.parts_for(spark, total / 4))
     one = S.exchange(staged.drop("data"), segments, _answer_segments, segments.parts, f"{root}/segments")

@@ -1,5 +1,6 @@
 """The suffix array against sorting, and the operator against all windows."""
 
+import glob
 import hashlib
 import random
 from collections import Counter
@@ -9,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from siltmark.llm import suffix
+from siltmark.llm import _shared as S, suffix
 from siltmark.llm.queries import QUERIES
 
 
@@ -67,3 +68,25 @@ def test_overlaps_and_edges(spark, monkeypatch, batch):
     kept = suffix.remove_repeats(df, length=40, keep=["batch", "n_bytes"])
     assert kept.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "batch", "n_bytes_in"]
     assert suffix.remove_repeats(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_memory_is_bounded(spark, monkeypatch, tmp_path):
+    """A row group holds a few batches, batches do not grow with the input, and a part is sorted in arrays by slots of anchors."""
+    r = random.Random(7)
+    rows = [(k, r.randbytes(500_000).hex()) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    S.stage(docs, f"file://{tmp_path}/staged", 900_000)
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/staged/*.parquet")]
+    assert max(m.row_group(k).total_byte_size for m in groups for k in range(m.num_row_groups)) < 40 << 20
+    monkeypatch.setattr(S, "batch_bytes", lambda *_: 1 / 0)  # by the plan's size
+    taken, plain = [], suffix.equal_prefixes
+    monkeypatch.setattr(suffix, "equal_prefixes", lambda text, *a: taken.append(len(text)) or plain(text, *a))
+    monkeypatch.setattr(suffix, "ARRAY_BYTES", 1)
+    texts = [b"a%d" % (k % 50) * 40 for k in range(100)]
+    known = [k % 7 == 0 for k in range(100)]
+    head = np.array([100, *((len(x) * suffix.SLOTS + k % 50) << 1 | m for k, (x, m) in enumerate(zip(texts, known)))], np.int64)
+    (said,) = suffix._sorter(60)(0, [head.tobytes() + b"".join(texts)])
+    assert len(taken) == 50 and max(taken) <= 240 and S.unbits(said, sum(len(x) - 59 for x in texts)).all()
+    repeated = [(k, str(k % 20) + "xy" * 90 + "z" * (k % 3)) for k in range(60)]
+    got = sorted(tuple(x)[1:5] for x in suffix.remove_repeats(spark.createDataFrame(repeated, "doc_id long, text string"), length=40).collect())
+    assert got == sorted(brute([t for _, t in repeated], 40))
