@@ -181,21 +181,37 @@ def tool_issues(spark, sf):
     return out.select(F.col("repo_id").alias("id"), F.concat_ws(" ", "code", "file", F.col("line").cast("string"), "severity", "message").alias("issue"))
 
 
-#: npm | python | paths of a repository, and its stack with the first evidence.
+#: Files of a repository (path, content; of paths alone the content is empty), and its stack: category, name, confidence, evidence.
 STACKS = (
-    ("next,react|fastapi,psycopg2|web~.tsx;docker-compose.yml", ("frontend:Next.js:'next' in package.json", "frontend:React:'react' in package.json", "frontend:TypeScript:web~.tsx", "backend:FastAPI:'fastapi' in python deps", "database:PostgreSQL:'psycopg2' in python deps", "infra:Docker Compose:docker-compose.yml")),
-    ("vitest|sqlalchemy,django|.github/workflows/c~.yml;a/Dockerfile", ("backend:Django:'django' in python deps", "database:SQLAlchemy:'sqlalchemy' in python deps", "infra:Docker:a/Dockerfile", "infra:GitHub Actions:.github/workflows/c~.yml", "testing:JS Testing:'vitest' in package.json")),
-    ("||notes~.txt", ()),
+    ((("package.json", '{"dependencies": {"react": "1", "next": "2"}, "devDependencies": {"react": "1"}}'), ("requirements.txt", "# web\nFastAPI==0.1\npsycopg2==2.9\n-r other.txt\n"), "web~.tsx", "x/b.ts", "next.config.js", "main.py", "docker-compose.yml", "node_modules/z~/a.ts", "node_modules/z/Dockerfile"),
+     ("frontend|Next.js|0.95|'next' in package.json,next.config.js", "frontend|React|0.95|'react' in package.json", "frontend|TypeScript|0.9|web~.tsx,x/b.ts", "backend|FastAPI|0.95|'fastapi' in python deps,main.py", "database|PostgreSQL|0.9|'psycopg2' in python deps", "infra|Docker Compose|0.95|docker-compose.yml")),
+    ((("package.json", '{"devDependencies": {"vitest": "~"}}'), ("requirements.txt", "sqlalchemy>=2\nDjango\n"), ".github/workflows/c~.yml", ".github/workflows/d.yml", "a/Dockerfile", "manage.py"),
+     ("backend|Django|0.95|'django' in python deps,manage.py", "database|SQLAlchemy|0.95|'sqlalchemy' in python deps", "infra|Docker|0.95|a/Dockerfile", "infra|GitHub Actions|0.95|.github/workflows/c~.yml,.github/workflows/d.yml", "testing|JS Testing|0.9|'vitest' in package.json")),
+    ((("package.json", "{broken"), "notes~.txt", "node_modules/z/vercel.json"), ()),
 )
 
 
-@query(f"SELECT id, unnest({_stated(STACKS, 'id', 'id')}) AS item FROM (SELECT p_partkey AS id FROM part)")
+def _stack_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo_id, path, content) of the repositories of STACKS, one a part."""
+    file = lambda f: F.struct(*(F.lit(x).alias(c) for x, c in zip((f, "") if isinstance(f, str) else f, ("path", "content"))))
+    k = F.col("repo_id")
+    some = F.element_at(F.array(*(F.array(*map(file, files)) for files, _ in STACKS)), (k % len(STACKS) + 1).cast("int"))
+    said = lambda c: F.replace(F.col(f"f.{c}"), F.lit("~"), F.concat(F.lit("V"), k.cast("string"))).alias(c)
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("repo_id")).select("repo_id", F.explode(some).alias("f")).select("repo_id", said("path"), said("content"))
+
+
+@query(
+    f"""WITH s AS (SELECT id, string_split(unnest({_stated(STACKS, 'id', 'id')}), '|') AS t FROM (SELECT p_partkey AS id FROM part))
+SELECT id, t[1] || ':' || t[2] || ':' || string_split(t[4], ',')[1] AS item, t[3]::DOUBLE AS confidence, t[4] AS evidence FROM s"""
+)
 def stack_items(spark, sf):
-    """Stack by dependencies and paths."""
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("repo_id")).withColumn("t", F.split(_variant(STACKS, "repo_id", "repo_id"), r"\|"))
-    listed = lambda k, by: F.filter(F.split(F.col("t")[k], by), lambda x: x != "")
-    r = rows.select("repo_id", listed(2, ";").alias("paths"), listed(0, ",").alias("npm"), listed(1, ",").alias("python"))
-    return repos.stack(r).select(F.col("repo_id").alias("id"), F.concat_ws(":", "category", "name", F.col("evidence")[0]).alias("item"))
+    """Stack by dependencies, read off manifests, and by paths that are not skipped, with confidence and all evidence."""
+    f = _stack_files(spark, sf).filter(~C.should_skip(F.col("path")))
+    t, p = F.col("content"), F.col("path")
+    listed = lambda name, read: F.flatten(F.collect_list(F.when(p == name, read(t))))
+    r = f.groupBy("repo_id").agg(F.array_sort(F.collect_list("path")).alias("paths"), listed("package.json", repos.package_json_dependencies).alias("npm"), listed("requirements.txt", repos.requirements).alias("python"))
+    found = repos.stack(r)
+    return found.select(F.col("repo_id").alias("id"), F.concat_ws(":", "category", "name", F.col("evidence")[0]).alias("item"), F.col("confidence").cast("double").alias("confidence"), F.array_join("evidence", ",").alias("evidence"))
 
 
 SOURCES = (("import logging\npassword = \"correct horse~\"\ndef save(x):\n    return eval(\"x\")\n", ("2 hardcoded_secret", "4 eval_exec")), ("x = ~\n", ()))

@@ -33,3 +33,11 @@ def test_detectors_and_tools_read_their_input_once(spark, sf):
     plan = readers.all_issues(raw)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Exchange" not in plan
     assert risk.hotspots(repo_files(spark, sf)).count() > 0 and risk.config_files(repo_files(spark, sf)).count() > 0
+
+
+def test_stack_items_is_whole(spark, sf):
+    """Manifests are read, skipped folders are not, and each item has its confidence and all evidence."""
+    got = {r.item.split(":")[1]: r for r in catalog.QUERIES["stack_items"](spark, sf).filter("id in (3, 4)").collect()}
+    assert (got["Next.js"].confidence, got["Next.js"].evidence) == (0.95, "'next' in package.json,next.config.js")
+    assert (got["TypeScript"].confidence, got["TypeScript"].evidence) == (0.9, "webV3.tsx,x/b.ts")
+    assert got["Docker"].evidence == "a/Dockerfile" and got["GitHub Actions"].evidence == ".github/workflows/cV4.yml,.github/workflows/d.yml"
