@@ -84,3 +84,17 @@ def test_stream_equals_batch(spark, tmp_path, late):
 def test_stream_needs_its_state_store(spark):
     with pytest.raises(ValueError, match="RocksDB"):
         stream.rate_limited(frame(spark, []), "k", "ts", limits.Limit(1, 1, 1), "id")
+
+
+def test_blocks_stream_through_tasks(spark):
+    """A block goes on over Arrow batches, and no call is made for each group."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "x", None]), rng.randrange(2 * 86_400), i) for i in range(600)]
+    limit = limits.Limit(4, 600, 25, 20_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = limits.rate_limited(frame(spark, rows), "k", "ts", limit, "id", 30_000)
+        assert {r.id: (r.allowed, r.retry_after) for r in df.collect()} == loop(rows, limit)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "CoGroup" not in df._jdf.queryExecution().toString()
