@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to the session's shuffle partitions: a small file is one task, whatever is then made of each of its rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def load() -> None:
     """Imports the modules that register queries."""
     from .plans import access, corpus, facts, imports, indexes, lookups, records, reviews, sinks, sources, storage, stores, syntax  # noqa: F401

@@ -13,6 +13,8 @@ from .. import fixed
 
 REFERENCES = T.ArrayType(T.StructType([T.StructField("rule", T.StringType()), T.StructField("name", T.StringType())]))
 SERVICES = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("image", T.StringType())]))
+#: What nests in a line's beginning.
+INDENT = re.compile("(?:^|[\r\n\x85\u2028\u2029])[ ?-]*")
 #: Without a YAML library no file has structure; callers fall back to patterns.
 HAS_YAML = find_spec("yaml") is not None
 
@@ -53,15 +55,32 @@ def env_references(extension: Column, text: Column) -> Column:
     return F.coalesce(F.when(extension == ".py", python_env_references(F.when(extension == ".py", text))), scripts, F.array().cast("array<struct<rule:string,name:string>>"))
 
 
+def _shallow(text: str) -> bool:
+    """Whether no part of a YAML text can lie deep. A deep one ends the parser in C, and with it the worker; the one in Python only raises."""
+    return 2 * max(map(len, INDENT.findall(text))) + text.count("[") + text.count("{") <= 150
+
+
 def _document(text: str | None):
     import yaml
 
     try:
-        return yaml.safe_load(text or "")
+        return yaml.load(text or "", getattr(yaml, "CSafeLoader", yaml.SafeLoader) if _shallow(text or "") else yaml.SafeLoader)
     except (yaml.YAMLError, ValueError, RecursionError):
         return None
 
 
+def _each(texts: pd.Series, read) -> pd.Series:
+    """What is read of each text's structure; equal texts of a batch are read once."""
+    known: dict = {}
+
+    def of(x):
+        if x not in known:
+            known[x] = read(_document(x))
+        return known[x]
+
+    return texts.map(of)
+
+
 def _steps(data) -> list[str]:
     jobs = data.get("jobs") if isinstance(data, dict) else None
     out = []
@@ -86,16 +105,16 @@ def _services(data) -> list[dict]:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def workflow_commands(text: pd.Series) -> pd.Series:
     """Commands of all steps of a workflow's jobs, in order; a malformed text has none."""
-    return text.map(lambda x: _steps(_document(x)))
+    return _each(text, _steps)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def script_commands(text: pd.Series) -> pd.Series:
     """Commands of all jobs of the other platform's file: entries of each script list, or the characters of a script that is one text."""
-    return text.map(lambda x: _scripts(_document(x)))
+    return _each(text, _scripts)
 
 
 @F.pandas_udf(SERVICES)
 def compose_services(text: pd.Series) -> pd.Series:
     """(name, image) of a compose file's services, in order; a malformed text has none."""
-    return text.map(lambda x: _services(_document(x)))
+    return _each(text, _services)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import ORACLE_SQL, query, table
+from ..catalog import ORACLE_SQL, query, spread, table
 from ..functions import syntax
 from ..operators import ranking
 from .records import _candidates
@@ -37,7 +37,7 @@ UNION ALL SELECT p_partkey, 'b.ts', {_stated(SCRIPT, 'p_partkey', 'p_partkey')}
 )
 def env_references(spark, sf):
     """References to environment variables, Python's calls by the syntax tree."""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    p = spread(table(spark, sf, "part").select(F.col("p_partkey").alias("id")))
     files = p.select("id", F.lit("a.py").alias("path"), _variant(PYTHON, "id", "id").alias("content")).unionByName(p.select("id", F.lit("b.ts").alias("path"), _variant(SCRIPT, "id", "id").alias("content")))
     found = files.select("id", "path", F.explode(syntax.env_references(F.regexp_extract("path", r"\.[a-z]+$", 0), F.col("content"))).alias("r"))
     return found.select("id", "path", F.concat("r.rule", F.lit(":"), "r.name").alias("reference"))
@@ -67,7 +67,7 @@ UNION ALL SELECT id, 'service', unnest({_stated(COMPOSE, 'id', 'id')}) FROM (SEL
 )
 def yaml_structures(spark, sf):
     """Commands of workflows and services of compose files, by their structure."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    o = spread(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")))
     runs = o.select("id", F.lit("run").alias("kind"), F.explode(syntax.workflow_commands(_variant(WORKFLOWS, "id", "id"))).alias("item"))
     services = o.select("id", F.lit("service").alias("kind"), F.explode(syntax.compose_services(_variant(COMPOSE, "id", "id"))).alias("s"))
     return runs.unionByName(services.select("id", "kind", F.concat("s.name", F.lit("="), "s.image").alias("item")))
