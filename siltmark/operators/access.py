@@ -244,7 +244,8 @@ def model_findings(replies: DataFrame, text: str, file: str) -> DataFrame:
     c = F.col
     bare = unfenced(c(text))
     rows = replies.withColumn("_said", F.when(F.startswith(F.trim(bare), F.lit("[")), F.transform(F.from_json(bare, "array<string>"), lambda x: F.from_json(x, _SAID))))
-    rows = rows.select(*replies.columns, F.posexplode("_said").alias("pos", "_f")).filter("_f is not null")
+    # outer: else a filter on the whole parse is pushed down to the scan, and the parse is done there too
+    rows = rows.select(*replies.columns, F.posexplode_outer("_said").alias("pos", "_f")).filter("_f is not null")
     line = lambda n: F.when(c(f"_f.{n}").rlike(r"^\s*\+?[0-9]+(\.0+)?\s*$"), F.trim(c(f"_f.{n}")).cast("double").cast("int"))
     known = c("_f.category").isin(*fixed.POINTS) & c("_f.severity").isin("low", "medium", "high", "critical")
     whole = c("_f.title").isNotNull() & c("_f.explanation").isNotNull() & (F.length(F.trim(c("_f.evidence_snippet"))) > 0)

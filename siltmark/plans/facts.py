@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
-from ..catalog import query, table
+from ..catalog import query, spread, table
 from ..functions import columns as C
 from ..operators import findings, ranking, repos, rules
 from ..sources import readers
@@ -41,7 +41,7 @@ RULES = (
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts as the rules take them."""
-    table(spark, sf, "part").createOrReplaceTempView("_fact_parts")
+    spread(table(spark, sf, "part").select("p_partkey", "p_size")).createOrReplaceTempView("_fact_parts")
     n = spark.sql(_BASE.replace("FROM part", "FROM _fact_parts"))
     c, none = F.col, F.array().cast("array<string>")
     pick = lambda xs, i: F.element_at(F.array(*(F.array(*(F.lit(v) for v in x)) if x else none for x in xs)), (i + 1).cast("int"))
@@ -197,7 +197,7 @@ def _stack_files(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("repo_id")
     some = F.element_at(F.array(*(F.array(*map(file, files)) for files, _ in STACKS)), (k % len(STACKS) + 1).cast("int"))
     said = lambda c: F.replace(F.col(f"f.{c}"), F.lit("~"), F.concat(F.lit("V"), k.cast("string"))).alias(c)
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("repo_id")).select("repo_id", F.explode(some).alias("f")).select("repo_id", said("path"), said("content"))
+    return spread(table(spark, sf, "part").select(F.col("p_partkey").alias("repo_id"))).select("repo_id", F.explode(some).alias("f")).select("repo_id", said("path"), said("content"))
 
 
 @query(

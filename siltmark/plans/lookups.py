@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import query, table
+from ..catalog import query, spread, table
 from ..functions import columns as C
 from ..operators import access, ops
 from ..sources import readers
@@ -78,7 +78,7 @@ REPLIES = (
 @query(f"SELECT id, unnest({_stated(REPLIES, 'id', 'id')}) AS finding FROM (SELECT p_partkey AS id FROM part)")
 def model_findings(spark, sf):
     """Valid findings of a model's replies, each reply fenced, malformed or right."""
-    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file"))
+    rows = spread(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file")))
     f = access.model_findings(rows.withColumn("reply", _variant(REPLIES, "id", "id")), "reply", "file")
     lines = F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))
     return f.select("id", F.concat_ws(" ", F.col("pos").cast("string"), "category", "severity", lines, "title", F.col("score_impact").cast("string")).alias("finding"))

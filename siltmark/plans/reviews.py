@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..catalog import query, table
+from ..catalog import query, spread, table
 from ..functions import columns as C
 from ..operators import findings, ops, review
 from ..sources import readers
@@ -86,7 +86,7 @@ def confidence_badges(spark, sf):
     names = F.slice(C.strings(("ruff", "bandit", "mypy")), F.lit(1), (k % 4).cast("int"))
     tools = F.transform(names, lambda n, i: F.struct(n.alias("tool"), F.when(i < size % 3, "success").otherwise("failed").alias("status")))
     b = review.confidence_badge(size % 40, size % 60, langs, tools, (k % 11 + 1) / 13)
-    return table(spark, sf, "part").select(k.alias("id"), b.alias("b")).select("id", "b.label", "b.score", F.col("b.rule_packs_applied").alias("packs"), F.col("b.tools_succeeded").alias("succeeded"), F.col("b.tools_failed").alias("failed"), F.col("b.coverage_pct").alias("coverage"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size")).select(k.alias("id"), b.alias("b")).select("id", "b.label", "b.score", F.col("b.rule_packs_applied").alias("packs"), F.col("b.tools_succeeded").alias("succeeded"), F.col("b.tools_failed").alias("failed"), F.col("b.coverage_pct").alias("coverage"))
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
-from ..catalog import query, table
+from ..catalog import query, spread, table
 from ..functions import columns as C, parse
 from ..operators import graph, repos, review, risk
 from ..sources import readers
@@ -97,11 +97,11 @@ SCRIPTS = f"(SELECT c_custkey AS id, {SCRIPT_TEXT} AS content FROM (SELECT c_cus
 
 
 def python_files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.expr(PYTHON_TEXT).alias("content"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("id"), F.expr(PYTHON_TEXT).alias("content"))
 
 
 def script_files(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").withColumn("s", F.col("c_custkey") % 97).select(F.col("c_custkey").alias("id"), F.expr(SCRIPT_TEXT).alias("content"))
+    return spread(table(spark, sf, "customer").select("c_custkey")).withColumn("s", F.col("c_custkey") % 97).select(F.col("c_custkey").alias("id"), F.expr(SCRIPT_TEXT).alias("content"))
 
 
 def csv(c: str):
