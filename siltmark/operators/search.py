@@ -64,7 +64,10 @@ def untraced(claims: DataFrame, traces: DataFrame, claim: str, trace: str, head:
     posting = held.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*(_anchors(F.col("_t"), n) for n in ANCHORS))))).alias("_a"))
     common = posting.groupBy("_a").agg(F.count(F.lit(1)).alias("_n"))
     size = F.greatest(*(F.when(F.length("_f") >= n, F.lit(n)).otherwise(0) for n in ANCHORS))
-    rarest = asked.filter("_f <> ''").select("_f", F.explode(_anchors(F.col("_f"), size)).alias("_a")).join(common, "_a", "left")
+    # most fragments go by one of their strings, so that only the rest are looked up by all
+    whole = asked.filter("_f <> ''").withColumn("_a", F.right("_f", size))
+    likely = whole.join(common, "_a", "left_semi").select("_f")
+    rarest = likely.select("_f", F.explode(_anchors(F.col("_f"), size)).alias("_a")).join(common, "_a", "left")
     # a string that no trace holds settles it
     rarest = rarest.groupBy("_f").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_a").alias("a"))).alias("_r")).filter("_r.n > 0").select("_f", F.col("_r.a").alias("_a"))
     found = rarest.join(posting, "_a").join(held, "_id").filter(F.contains(F.col("_t"), F.col("_f"))).select("_f").distinct()

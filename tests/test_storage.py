@@ -69,3 +69,26 @@ def test_untraced_equals_a_plain_check(spark):
     got = search.untraced(claims, spark.createDataFrame([(x,) for x in traces], "trace string"), "sentence", "trace")
     assert sorted((r.id, r.sentence) for r in got.collect()) == sorted(want) and want
     assert search.untraced(claims, spark.createDataFrame([], "trace string"), "sentence", "trace").count() == claims.count()
+
+
+def test_untraced_looks_few_fragments_up_by_all_their_strings(spark):
+    claims = spark.createDataFrame([("A fragment that is long enough.",), ("long enough",), ("x",)], "sentence string")
+    df = search.untraced(claims, spark.createDataFrame([("such a fragment that is long enough. so",)], "trace string"), "sentence", "trace")
+    assert [r.sentence for r in df.collect()] == ["x"] and "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scans_are_saved_by_one_exchange_each(spark, sf):
+    from siltmark.operators import scans
+    from siltmark.plans import storage
+
+    tables = storage._tables(spark, sf)
+    assert all("Exchange" not in t._jdf.queryExecution().executedPlan().toString() for k, t in tables.items() if k in storage._SETS)
+    scans.save({k: t.unionByName(t) for k, t in tables.items()}, "twice", distinct=storage._SETS)
+    assert all(spark.table(f"twice_{k}").count() == t.distinct().count() for k, t in tables.items() if k in storage._SETS)
+
+
+def test_result_reuse_has_no_distinct_over_all(spark, sf):
+    from siltmark import catalog
+
+    plan = catalog.QUERIES["result_reuse"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.lstrip().startswith("Aggregate")
