@@ -176,8 +176,8 @@ def next_versions(spark, sf):
 def result_reuse(spark, sf):
     """Requests that a stored result answers, and the rest."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    hit, miss = ops.reusable(o, table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")), ["id"])
-    return hit.select("id", F.lit(True).alias("reused")).unionByName(miss.select("id", F.lit(False).alias("reused"))).distinct()
+    hit, miss = ops.reusable(o, table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id")).distinct(), ["id"])
+    return hit.select("id", F.lit(True).alias("reused")).unionByName(miss.select("id", F.lit(False).alias("reused")))
 
 
 @query("WITH f AS (SELECT l_orderkey AS id, avg(l_discount) AS e FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), g AS (SELECT o_orderkey AS id, avg(o_totalprice / 1000000) AS c FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) SELECT coalesce(f.id, g.id) AS id, round_even(coalesce(e, 0.0), 6) AS extraction, round_even(coalesce(c, 1.0), 6) AS finding FROM f FULL JOIN g ON f.id = g.id")
