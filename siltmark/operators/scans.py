@@ -15,13 +15,18 @@ TABLES = {
 ORDER = {"files": "path", "edges": "source_path", "findings": "id", "dimensions": "dimension"}
 
 
-def save(tables: dict[str, DataFrame], name: str, buckets: int = 16) -> None:
-    """Writes tables (result_id and some of TABLES' columns; absent ones are null) as name_files and so on, bucketed and sorted by result_id."""
+def save(tables: dict[str, DataFrame], name: str, buckets: int = 16, distinct: tuple[str, ...] = ()) -> None:
+    """Writes tables (result_id and some of TABLES' columns; absent ones are null) as name_files and so on, bucketed and sorted by result_id.
+
+    distinct: tables whose equal rows are stored once; they meet in the exchange to the buckets, so that this takes no other.
+    """
     for kind, columns in TABLES.items():
         df = tables[kind]
         typed = [(c.split(" ")[0], c.split(" ")[1]) for c in columns.split(", ")]
         rows = df.select(F.col("result_id").cast("long").alias("result_id"), *((F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in typed))
-        rows.repartition(buckets, "result_id").write.mode("overwrite").bucketBy(buckets, "result_id").sortBy("result_id").saveAsTable(f"{name}_{kind}")
+        rows = rows.repartition(buckets, "result_id")
+        rows = rows.distinct() if kind in distinct else rows
+        rows.write.mode("overwrite").bucketBy(buckets, "result_id").sortBy("result_id").saveAsTable(f"{name}_{kind}")
 
 
 def load(spark: SparkSession, name: str) -> DataFrame:

@@ -15,15 +15,20 @@ _LINES = """(SELECT DISTINCT l_orderkey AS result_id, 'f' || l_linenumber || '_'
 _DIMS = "(SELECT o_orderkey AS result_id, o_custkey, dimension, (o_custkey % 101)::INT AS adjusted_score, CASE WHEN dimension = 'security' THEN 'a' || chr(10) || chr(10) || 'b' END AS deductions_text FROM orders, (VALUES ('security'), ('testing')) AS t(dimension) WHERE o_custkey % 3 > 0)"
 
 
+#: Tables that lines are made into.
+_SETS = ("files", "edges", "findings")
+
+
 def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Rows of the stored tables; equal ones of _SETS are to be stored once."""
     for t in ("lineitem", "orders"):
         table(spark, sf, t).createOrReplaceTempView(f"_scan_{t}")
-    sql = lambda q: spark.sql("SELECT * FROM " + q.replace("::INT", "").replace("FROM lineitem", "FROM _scan_lineitem").replace("FROM orders", "FROM _scan_orders"))
+    sql = lambda q: spark.sql("SELECT * FROM " + q.replace("::INT", "").replace("SELECT DISTINCT", "SELECT").replace("FROM lineitem", "FROM _scan_lineitem").replace("FROM orders", "FROM _scan_orders"))
     lines, dims = sql(_LINES), sql(_DIMS)
     return {
-        "files": lines.select("result_id", "path", "loc", "confidence", "sensitive_operations").distinct(),
-        "edges": lines.select("result_id", F.col("path").alias("source_path"), "target_path", F.col("path").alias("raw_import")).distinct(),
-        "findings": lines.filter("id is not null").select("result_id", "id", F.col("path").alias("file_path"), F.lit("high").alias("severity")).distinct(),
+        "files": lines.select("result_id", "path", "loc", "confidence", "sensitive_operations"),
+        "edges": lines.select("result_id", F.col("path").alias("source_path"), "target_path", F.col("path").alias("raw_import")),
+        "findings": lines.filter("id is not null").select("result_id", "id", F.col("path").alias("file_path"), F.lit("high").alias("severity")),
         "scores": dims.filter("dimension = 'testing'").select("result_id", F.col("adjusted_score").alias("composite_score"), F.concat(F.lit("u"), "o_custkey").alias("repo_url")),
         "dimensions": dims.select("result_id", "dimension", "adjusted_score", F.lit("Fair").alias("label"), "deductions_text"),
     }
@@ -42,7 +47,7 @@ FROM f LEFT JOIN e ON e.result_id = f.result_id LEFT JOIN g ON g.result_id = f.r
 def rebuilt_scans(spark, sf):
     """Stored scans, each rebuilt with its files, edges, findings and scorecard (A13, A14, the eager load of 2.11)."""
     name = f"scan_{uuid.uuid4().hex}"
-    scans.save(_tables(spark, sf), name)
+    scans.save(_tables(spark, sf), name, distinct=_SETS)
     s = scans.load(spark, name)
     each = lambda c, f: F.array_join(F.transform(c, f), " ")
     return s.select(
