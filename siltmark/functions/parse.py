@@ -73,16 +73,20 @@ def python_complexity(text: Column) -> Column:
 def python_imports(text: Column) -> Column:
     """Modules as written, in order; after a from-import also module.member for members whose name begins with a small letter."""
 
-    def of(line: Column) -> Column:
-        module, names = F.regexp_extract(line, FROM_IMPORT, 1), F.regexp_extract(line, FROM_IMPORT, 2)
-        members = F.filter(F.transform(F.split(names, ","), lambda n: F.trim(n)), lambda n: n.rlike(r"^\p{Ll}") & ~F.contains(n, F.lit(".")))
-        bare = F.filter(F.transform(F.split(F.regexp_extract(line, BARE_IMPORT, 1), ","), lambda m: F.trim(F.substring_index(F.trim(m), " as ", 1))), lambda m: m != "")
-        none = F.array().cast("array<string>")
+    # two steps, so that a line's module is matched once, however often it is used
+    def heads_of(line: Column) -> Column:
+        return F.struct(line.alias("line"), F.regexp_extract(line, FROM_IMPORT, 1).alias("module"), F.regexp_extract(line, FROM_IMPORT, 2).alias("names"))
+
+    def of(x: Column) -> Column:
+        module, none = x["module"], F.array().cast("array<string>")
+        members = F.filter(F.transform(F.split(x["names"], ","), lambda n: F.trim(n)), lambda n: n.rlike(r"^\p{Ll}") & ~F.contains(n, F.lit(".")))
+        bare = F.filter(F.transform(F.split(F.regexp_extract(x["line"], BARE_IMPORT, 1), ","), lambda m: F.trim(F.substring_index(F.trim(m), " as ", 1))), lambda m: m != "")
         return F.struct(F.when(module != "", F.array(module)).otherwise(bare).alias("heads"), F.when(module != "", F.transform(members, lambda n: F.concat(module, F.lit("."), n))).otherwise(none).alias("members"))
 
-    lines = F.filter(F.transform(text_lines(text), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.rlike("^(from|import)"))
+    split = F.split(F.coalesce(text, F.lit("")), LINE_END)
+    lines = F.filter(F.transform(split, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x.rlike("^(from|import)"))
     # a member that is there already is not listed again
-    return F.aggregate(F.transform(lines, of), F.array().cast("array<string>"), lambda a, x: F.concat(a, x["heads"], F.array_except(x["members"], F.concat(a, x["heads"]))))
+    return F.aggregate(F.transform(F.transform(lines, heads_of), of), F.array().cast("array<string>"), lambda a, x: F.concat(a, x["heads"], F.array_except(x["members"], F.concat(a, x["heads"]))))
 
 
 def script_imports(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed
@@ -9,6 +11,8 @@ from ..functions import columns as C
 
 #: Languages whose files can be imported; all share one index.
 IMPORTED = ("python", "typescript", "javascript")
+#: What a relative Python import may leave out of a file's path, and a script's of a key, best first.
+FILE_ENDS, SCRIPT_ENDS = (".py", ".ts", ".js", ".tsx", ".jsx", "/__init__.py"), ("", ".ts", ".tsx", ".js", ".jsx")
 
 
 def without_suffix(path: Column) -> Column:
@@ -16,13 +20,14 @@ def without_suffix(path: Column) -> Column:
     return F.regexp_replace(path, r"([^/])\.[^./]+$", "$1")
 
 
-def module_keys(files: DataFrame, repo: str = "repo_id") -> DataFrame:
+def module_keys(files: DataFrame, repo: str = "repo_id", once: bool = True) -> DataFrame:
     """(repo, key, path): every name a file can be imported by.
 
     files: (repo, path, language). A Python file is known by its dotted path and, weakly, by each suffix of that; a
     script by its path without suffix, bare and after ./ and /, and weakly by its name. Of files with one whole name
     the last path holds it; what no file has as a whole name, the first path that claims it weakly. Keys that begin
-    with "file:" name the files that hold any key, by their whole path.
+    with "file:" name the files that hold any key, by their whole path; unless ``once``, a row for each key that the file
+    holds, which saves a shuffle where equal rows do no harm.
     """
     claim = lambda key, whole: F.struct(key.alias("key"), F.lit(whole).alias("whole"))
     stem = without_suffix(F.col("path"))
@@ -33,7 +38,7 @@ def module_keys(files: DataFrame, repo: str = "repo_id") -> DataFrame:
     index = rows.groupBy(repo, "k.key").agg(F.coalesce(F.max(F.when(F.col("k.whole"), F.col("path"))), F.min("path")).alias("path"))
     # each key's row also says that its path holds one
     both = index.select(repo, F.explode(F.array("key", F.concat(F.lit("file:"), "path"))).alias("key"), "path")
-    return both.groupBy(repo, "key").agg(F.first("path").alias("path"))
+    return both.groupBy(repo, "key").agg(F.first("path").alias("path")) if once else both
 
 
 def _folded(path: Column) -> Column:
@@ -42,53 +47,68 @@ def _folded(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
-def _python_keys(raw: Column, source: Column) -> Column:
-    """Keys to look up for a Python import, best first: files beside the importer for a relative one, else all its suffixes."""
-    dots = F.length(F.regexp_extract(raw, r"^(\.*)", 1))
-    rest = F.regexp_replace(raw, r"^\.+", "")
-    own = F.filter(F.split(C.directory(source), "/"), lambda x: x != "")
-    base = F.slice(own, 1, F.greatest(F.size(own) - dots + 1, F.lit(0)))
-    at = F.array_join(F.concat(base, F.when(rest != "", F.split(rest, r"\.")).otherwise(F.array().cast("array<string>"))), "/")
-    beside = F.transform(C.strings((".py", ".ts", ".js", ".tsx", ".jsx", "/__init__.py")), lambda e: F.concat(F.lit("file:"), at, e))
-    relative = F.when(at == "", F.array(F.lit("file:__init__.py"))).otherwise(beside)
-    parts = F.split(raw, r"\.")
-    absolute = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    return F.when(dots > 0, relative).otherwise(absolute)
+def candidates(imports: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """imports with (own, rank, key, ends): what to look up for the import, best first, and (own false) for the module that a Python import may name a member of.
 
+    ``ends`` is the last place in the list of endings (``ended``) that the key may be found with, 0 for the first only.
 
-def _script_keys(raw: Column, source: Column, aliases: dict[str, str]) -> Column:
-    """Keys to look up for a script's import. Aliases lose * and / at their end before they are compared, in their order, and the first that fits replaces."""
+    For a Python import, files beside the importer for a relative one, else all its suffixes. For a script's, aliases
+    lose * and / at their end before they are compared, in their order, and the first that fits replaces. What several
+    keys are made of is a column, so that it is worked out once for all of them.
+    """
+    raw, python, script = F.col("raw"), F.col("language") == "python", F.col("language").isin(*IMPORTED) & (F.col("language") != "python")
     bare = {a.rstrip("*").rstrip("/"): to.rstrip("*").rstrip("/") for a, to in aliases.items()}
-    begins = lambda a: F.startswith(raw, F.lit(a))
-    path = F.coalesce(*[F.when(begins(a), F.concat(F.lit(to), F.substr(raw, F.lit(len(a) + 1)))) for a, to in bare.items()], raw)
-    at = _folded(F.concat_ws("/", C.directory(source), path))
-    stem = without_suffix(at)
-    with_extension = lambda x: F.concat(F.array(x), F.transform(C.strings((".ts", ".tsx", ".js", ".jsx")), lambda e: F.concat(x, e)))
-    inside = F.when(at == "", F.lit("index")).otherwise(F.concat(at, F.lit("/index")))
-    return F.when(F.startswith(path, F.lit(".")), F.concat(with_extension(stem), with_extension(inside))).otherwise(F.array(path, F.regexp_replace(path, "^/+", "")))
-
-
-def candidates(imports: DataFrame, aliases: dict[str, str]) -> DataFrame:
-    """imports with (own, rank, key): what to look up for the import, and (own false) for the module that a Python import may name a member of."""
-    raw, source, python = F.col("raw"), F.col("source"), F.col("language") == "python"
-    parent = F.when(python & ~F.startswith(raw, F.lit(".")), F.regexp_extract(raw, r"^(.+)\.[^.]*$", 1))
-    rows = imports.withColumn("_try", F.explode(F.array_compact(F.array(F.struct(F.lit(True).alias("own"), raw.alias("name")), F.when(F.coalesce(parent, F.lit("")) != "", F.struct(F.lit(False).alias("own"), parent.alias("name")))))))
-    name = F.col("_try.name")
-    keys = F.when(python, _python_keys(name, source)).when(F.col("language").isin(*IMPORTED), _script_keys(name, source, aliases))
-    return rows.select(*imports.columns, F.col("_try.own").alias("own"), F.posexplode(keys).alias("rank", "key"))
+    name, rest, at, stem, inside, path, parts = (F.col(c) for c in ("_name", "_rest", "_at", "_stem", "_inside", "_path", "_parts"))
+    rows = imports.withColumn("_parent", F.when(python & ~F.startswith(raw, F.lit(".")), F.regexp_extract(raw, r"^(.+)\.[^.]*$", 1)))
+    whole, module = F.struct(F.lit(True).alias("own"), raw.alias("name")), F.struct(F.lit(False).alias("own"), F.col("_parent").alias("name"))
+    rows = rows.withColumn("_try", F.explode(F.when(F.col("_parent") != "", F.array(whole, module)).otherwise(F.array(whole)))).select(*imports.columns, F.col("_try.own").alias("own"), F.col("_try.name").alias("_name"))
+    replaced = F.coalesce(*[F.when(F.startswith(name, F.lit(a)), F.concat(F.lit(to), F.substr(name, F.lit(len(a) + 1)))) for a, to in bare.items()], name)
+    rows = rows.withColumns({"_rest": F.when(python, F.ltrim(name, F.lit("."))), "_path": F.when(script, replaced)})
+    relative = F.length(name) > F.length(rest)
+    beside = F.left(F.col("source"), F.length("source") - F.length(F.substring_index("source", "/", -1)) - 1)
+    rows = rows.withColumns({"_dirs": F.when(relative, F.array_remove(F.split(beside, "/"), "")), "_parts": F.when(~relative, F.length(name) - F.length(F.translate(name, ".", "")) + 1)})
+    base = F.slice(F.col("_dirs"), 1, F.greatest(F.size("_dirs") - (F.length(name) - F.length(rest)) + 1, F.lit(0)))
+    below = F.concat_ws("/", base, F.when(rest != "", F.translate(rest, ".", "/")))
+    rows = rows.withColumn("_at", F.when(relative, below).when(F.startswith(path, F.lit(".")), _folded(F.concat_ws("/", beside, path))))
+    rows = rows.withColumns({"_stem": F.when(script, without_suffix(at)), "_inside": F.when(script, F.when(at == "", F.lit("index")).otherwise(F.concat(at, F.lit("/index"))))})
+    suffixes = F.transform(F.sequence(parts, F.lit(1), F.lit(-1)), lambda k: F.call_function("substring_index", name, F.lit("."), -k))
+    keys = (
+        F.when(relative, F.array(F.concat(F.lit("file:"), F.when(at == "", F.lit("__init__")).otherwise(at))))
+        .when(python, suffixes)
+        .when(script, F.when(at.isNotNull(), F.array(stem, inside)).otherwise(F.array(path, F.ltrim(path, F.lit("/")))))
+    )
+    ends = F.when(relative & (at != ""), len(FILE_ENDS) - 1).when(script & at.isNotNull(), len(SCRIPT_ENDS) - 1).otherwise(0)
+    return rows.select(*imports.columns, "own", ends.alias("ends"), F.posexplode(keys).alias("rank", "key"))
+
+
+def ended(index: DataFrame) -> DataFrame:
+    """The index by keys less an ending that an import may leave out, with the ending's place in its list: an import is then one lookup, not one for each ending."""
+    key = F.col("key")
+    without = lambda e, k: F.when(F.endswith(key, F.lit(e)), F.struct(F.left(key, F.length(key) - len(e)).alias("key"), F.lit(k).alias("end")))
+    of = lambda ends: F.array_compact(F.array(*[without(e, k) for k, e in enumerate(ends)]))
+    rows = index.withColumn("_k", F.explode(F.when(F.startswith(key, F.lit("file:")), of(FILE_ENDS)).otherwise(of(SCRIPT_ENDS))))
+    return rows.withColumn("key", F.col("_k.key")).withColumn("end", F.col("_k.end")).drop("_k")
 
 
 def unresolved_reason(raw: Column, language: Column, aliases: list[str]) -> Column:
     """Why an import names no file: built dynamically, by an alias unknown here, a package's folder, or a file not scanned."""
-    dynamic = raw.rlike("|".join(_literal(m) for m in fixed.DYNAMIC_MARKS))
-    known = raw.rlike("^(?:" + "|".join(_literal(a.rstrip("*")) for a in aliases) + ")") if aliases else F.lit(False)
-    dotted = F.split(F.regexp_replace(raw, r"^\.+", ""), r"\.")
-    folder = (language == "python") & (F.size(dotted) >= 2) & F.lower(F.element_at(dotted, -1)).isin(*fixed.PACKAGE_FOLDERS)
+    among = lambda found: functools.reduce(Column.__or__, found, F.lit(False))
+    dynamic = among(F.contains(raw, F.lit(m)) for m in fixed.DYNAMIC_MARKS)
+    known = among(F.startswith(raw, F.lit(a.rstrip("*"))) for a in aliases)
+    dotted = F.ltrim(raw, F.lit("."))
+    folder = (language == "python") & F.contains(dotted, F.lit(".")) & F.lower(F.substring_index(dotted, ".", -1)).isin(*fixed.PACKAGE_FOLDERS)
     return F.when(dynamic, "dynamic_import").when((language != "python") & ~known & F.startswith(raw, F.lit("@")), "alias_unknown").when(folder, "ambiguous_package_import").otherwise("file_not_scanned")
 
 
-def _literal(x: str) -> str:
-    return "\\Q" + x + "\\E"
+def hits(imports: DataFrame, index: DataFrame, aliases: dict[str, str] | None = None, repo: str = "repo_id") -> DataFrame:
+    """(repo, source, raw, target, member) of imports that any lookup finds: the file of the first key that the index has, be it the importer, and whether the module that the import may name a member of is one.
+
+    imports: distinct (repo, source, language, raw). One join looks up all keys of an import and of its module.
+    """
+    asked = candidates(imports, fixed.SCRIPT_ALIASES if aliases is None else aliases)
+    found = asked.join(ended(index).withColumnRenamed("path", "hit"), [repo, "key"]).filter("end <= ends")
+    place = F.col("rank") * max(len(FILE_ENDS), len(SCRIPT_ENDS)) + F.col("end")
+    return found.groupBy(repo, "source", "raw").agg(F.min_by(F.when(F.col("own"), F.col("hit")), F.when(F.col("own"), place)).alias("target"), F.bool_or(~F.col("own")).alias("member"))
 
 
 def resolve(imports: DataFrame, index: DataFrame, external: tuple[str, ...] = fixed.EXTERNAL_ROOTS, aliases: dict[str, str] | None = None, repo: str = "repo_id") -> DataFrame:
@@ -96,14 +116,15 @@ def resolve(imports: DataFrame, index: DataFrame, external: tuple[str, ...] = fi
 
     imports: distinct (repo, source, language, raw). A Python import that no file answers, of a module that one does,
     names a member and is left out. What no file but the importer answers is external where its root is a known
-    package (no edge), else unresolved with a reason. One join looks up all keys of an import and of its module.
+    package (no edge), else unresolved with a reason.
     """
     aliases = fixed.SCRIPT_ALIASES if aliases is None else aliases
-    hits = candidates(imports, aliases).join(index.withColumnRenamed("path", "hit"), [repo, "key"])
-    found = hits.groupBy(repo, "source", "raw").agg(F.min_by(F.when(F.col("own"), F.col("hit")), F.when(F.col("own"), F.col("rank"))).alias("target"), F.bool_or(~F.col("own")).alias("member"))
+    found = hits(imports, index, aliases, repo)
     rows = imports.join(found, [repo, "source", "raw"], "left").filter("target is not null or not coalesce(member, false)")
     rows = rows.withColumn("target", F.when(F.col("target") != F.col("source"), F.col("target")))
-    root = F.lower(F.regexp_extract(F.regexp_replace("raw", r"^\.+", ""), r"^(@[^/]*|[^./]*)", 1))
+    named = F.ltrim(F.col("raw"), F.lit("."))
+    first = F.substring_index(named, "/", 1)
+    root = F.lower(F.when(F.startswith(named, F.lit("@")), first).otherwise(F.substring_index(first, ".", 1)))
     rows = rows.filter(F.col("target").isNotNull() | ~root.isin(*external))
     reason = F.when(F.col("target").isNull(), unresolved_reason(F.col("raw"), F.col("language"), list(aliases)))
     return rows.select(repo, "source", "raw", "target", F.when(F.col("target").isNotNull(), "confirmed").otherwise("unresolved").alias("confidence"), reason.alias("reason"))

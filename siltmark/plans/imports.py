@@ -87,11 +87,17 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return orders.join(F.broadcast(pool), "n").drop("n")
 
 
+def imports_of(rows: DataFrame) -> DataFrame:
+    """(repo_id, source, language, raw), distinct as files are."""
+    raw = F.when(F.col("language") == "python", parse.python_imports(F.col("content"))).when(F.col("language") != "markdown", parse.script_imports(F.col("content")))
+    imports = rows.select("repo_id", F.col("path").alias("source"), "language", F.explode(F.array_distinct(raw)).alias("raw"))
+    # both readers of imports in resolve ask for rows without nulls: what they read is one exchange, and each file is parsed once
+    return imports.filter("repo_id is not null and source is not null and raw is not null").repartition("repo_id", "source", "raw")
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     rows = files(spark, sf)
-    raw = F.when(F.col("language") == "python", parse.python_imports(F.col("content"))).when(F.col("language") != "markdown", parse.script_imports(F.col("content")))
-    imports = rows.select("repo_id", F.col("path").alias("source"), "language", F.explode(raw).alias("raw"))
-    return graph.resolve(imports.distinct(), graph.module_keys(rows))
+    return graph.resolve(imports_of(rows), graph.module_keys(rows, once=False))
 
 
 @query(f"WITH {EDGES} SELECT repo_id, source, raw, target, reason FROM edges")
@@ -108,8 +114,11 @@ SELECT repo_id, path, min(depth)::INT AS depth FROM (SELECT * FROM d0 UNION ALL
 )
 def critical_path(spark, sf):
     """Files within two imports of an entrypoint."""
-    starts = files(spark, sf).filter(F.col("path").isin(*ENTRIES))
-    return graph.reach(edges(spark, sf), starts, ["repo_id"]).select("repo_id", "path", "depth")
+    rows = files(spark, sf)
+    # entries are joined, since a filter by them would be inferred for the first step's edges too, which the second would then not share
+    starts = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in ENTRIES], "path string")), "path", "left_semi")
+    found = graph.hits(imports_of(rows), graph.module_keys(rows, once=False)).filter("target <> source")
+    return graph.reach(found, starts, ["repo_id"]).select("repo_id", "path", "depth")
 
 
 @query(

@@ -59,3 +59,30 @@ def test_empty(spark):
     files = spark.createDataFrame([], "repo_id int, path string, language string")
     rows = spark.createDataFrame([(1, "x.py", "python", "y")], "repo_id int, source string, language string, raw string")
     assert [r.reason for r in graph.resolve(rows, graph.module_keys(files)).collect()] == ["file_not_scanned"]
+
+
+def parses(df):
+    """How often the plan that ran parsed the files."""
+    df.collect()
+    ran = str(df._jdf.queryExecution().executedPlan()).split("== Initial Plan ==")[0]
+    return sum("Generate explode(" in x and "export" in x for x in ran.splitlines())
+
+
+def test_critical_path_parses_each_file_once(spark, sf):
+    assert parses(imports.critical_path(spark, sf)) == 1
+
+
+def test_an_import_is_one_lookup_whatever_ending_it_leaves_out(spark):
+    rows = spark.createDataFrame([(1, "a/b.py", "python", ".c"), (1, "a/b.ts", "typescript", "./c"), (1, "a/b.py", "python", "x.y")], "repo_id int, source string, language string, raw string")
+    got = {(r.raw, r.own, r["rank"], r.key, r.ends) for r in graph.candidates(rows, {}).collect()}
+    assert got == {(".c", True, 0, "file:a/c", 5), ("./c", True, 0, "a/c", 4), ("./c", True, 1, "a/c/index", 4), ("x.y", True, 0, "x.y", 0), ("x.y", True, 1, "y", 0), ("x.y", False, 0, "x", 0)}
+
+
+def test_endings_keep_their_order(spark):
+    paths = ("m/__init__.py", "m/a.ts", "m/a.py", "m/b/__init__.py", "m/b.jsx", "m/c.py.ts", "s/x/ts.py", "s/d.ts", "s/d/index.js", "s/e/index.tsx", "__init__.ts")
+    want = {
+        ("m/__init__.py", ".a"): "m/a.py", ("m/a.py", ".b"): "m/b.jsx", ("m/a.py", ".c.py"): "file_not_scanned", ("m/a.py", ".b.__init__"): "m/b/__init__.py",
+        ("m/a.py", ".."): "file_not_scanned",  # only a folder's __init__.py is the folder
+        ("s/d.ts", "./e"): "s/e/index.tsx", ("s/e/index.tsx", "../d"): "s/d.ts", ("s/e/index.tsx", "../d/index"): "s/d/index.js", ("m/a.ts", "c.py"): "m/c.py.ts",
+    }
+    assert resolved(spark, paths, list(want)) == want
