@@ -76,6 +76,10 @@ def test_graph_confidence_parses_each_file_once(spark, sf):
     assert parses(imports.graph_confidence(spark, sf)) == 1
 
 
+def test_import_edges_parses_each_file_once(spark, sf):
+    assert parses(imports.import_edges(spark, sf)) == 1
+
+
 def test_an_import_is_one_lookup_whatever_ending_it_leaves_out(spark):
     rows = spark.createDataFrame([(1, "a/b.py", "python", ".c"), (1, "a/b.ts", "typescript", "./c"), (1, "a/b.py", "python", "x.y")], "repo_id int, source string, language string, raw string")
     got = {(r.raw, r.own, r["rank"], r.key, r.ends) for r in graph.candidates(rows, {}).collect()}
