@@ -89,6 +89,13 @@ def python_imports(text: Column) -> Column:
     return F.aggregate(F.transform(F.transform(lines, heads_of), of), F.array().cast("array<string>"), lambda a, x: F.concat(a, x["heads"], F.array_except(x["members"], F.concat(a, x["heads"]))))
 
 
+def python_import_lines(text: Column) -> Column:
+    """The lines that may import, bare of white space at both ends."""
+    # an empty line more, between the two signs of one end, imports nothing; white space other than these two ends a line
+    lines = F.split(F.coalesce(text, F.lit("")), LINE_END.removeprefix(r"\r\n|"))
+    return F.filter(F.transform(lines, lambda x: F.trim(x, F.lit(" \t"))), lambda x: F.startswith(x, F.lit("from")) | F.startswith(x, F.lit("import")))
+
+
 def script_imports(text: Column) -> Column:
     """Modules of imports and re-exports with from; wildcard re-exports are among them."""
     named, all_ = groups(text, SCRIPT_FROM), groups(text, SCRIPT_ALL)

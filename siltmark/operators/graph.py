@@ -20,6 +20,10 @@ def without_suffix(path: Column) -> Column:
     return F.regexp_replace(path, r"([^/])\.[^./]+$", "$1")
 
 
+def _count(text: Column, sign: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+
+
 def module_keys(files: DataFrame, repo: str = "repo_id", once: bool = True) -> DataFrame:
     """(repo, key, path): every name a file can be imported by.
 
@@ -29,13 +33,14 @@ def module_keys(files: DataFrame, repo: str = "repo_id", once: bool = True) -> D
     with "file:" name the files that hold any key, by their whole path; unless ``once``, a row for each key that the file
     holds, which saves a shuffle where equal rows do no harm.
     """
-    claim = lambda key, whole: F.struct(key.alias("key"), F.lit(whole).alias("whole"))
-    stem = without_suffix(F.col("path"))
-    dotted = F.split(stem, "/")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(dotted)), lambda k: F.struct(F.array_join(F.slice(dotted, k, F.size(dotted)), ".").alias("key"), (k == 1).alias("whole")))
-    script = F.array(claim(stem, True), claim(F.concat(F.lit("./"), stem), True), claim(F.concat(F.lit("/"), stem), True), claim(F.element_at(dotted, -1), False))
-    rows = files.filter(F.col("language").isin(*IMPORTED)).select(repo, "path", F.explode(F.when(F.col("language") == "python", suffixes).otherwise(script)).alias("k"))
-    index = rows.groupBy(repo, "k.key").agg(F.coalesce(F.max(F.when(F.col("k.whole"), F.col("path"))), F.min("path")).alias("path"))
+    rows = files.filter(F.col("language").isin(*IMPORTED)).select(repo, "path", (F.col("language") == "python").alias("_python"), without_suffix(F.col("path")).alias("_stem"))
+    stem, python, depth, k = F.col("_stem"), F.col("_python"), F.col("_depth"), F.col("_k")
+    # names are counted and each is then made in its own row, so that no list of them is built
+    rows = rows.withColumn("_depth", F.when(python, _count(stem, "/") + 1)).withColumn("_k", F.explode(F.sequence(F.lit(1), F.coalesce(depth, F.lit(4)))))
+    dotted = F.replace(F.call_function("substring_index", stem, F.lit("/"), k - depth - 1), F.lit("/"), F.lit("."))
+    key = F.when(python, dotted).when(k == 1, stem).when(k == 2, F.concat(F.lit("./"), stem)).when(k == 3, F.concat(F.lit("/"), stem)).otherwise(F.substring_index(stem, "/", -1))
+    rows = rows.select(repo, "path", key.alias("key"), F.when(python, k == 1).otherwise(k < 4).alias("_whole"))
+    index = rows.groupBy(repo, "key").agg(F.coalesce(F.max(F.when(F.col("_whole"), F.col("path"))), F.min("path")).alias("path"))
     # each key's row also says that its path holds one
     both = index.select(repo, F.explode(F.array("key", F.concat(F.lit("file:"), "path"))).alias("key"), "path")
     return both.groupBy(repo, "key").agg(F.first("path").alias("path")) if once else both
@@ -58,35 +63,40 @@ def candidates(imports: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """
     raw, python, script = F.col("raw"), F.col("language") == "python", F.col("language").isin(*IMPORTED) & (F.col("language") != "python")
     bare = {a.rstrip("*").rstrip("/"): to.rstrip("*").rstrip("/") for a, to in aliases.items()}
-    name, rest, at, stem, inside, path, parts = (F.col(c) for c in ("_name", "_rest", "_at", "_stem", "_inside", "_path", "_parts"))
-    rows = imports.withColumn("_parent", F.when(python & ~F.startswith(raw, F.lit(".")), F.regexp_extract(raw, r"^(.+)\.[^.]*$", 1)))
-    whole, module = F.struct(F.lit(True).alias("own"), raw.alias("name")), F.struct(F.lit(False).alias("own"), F.col("_parent").alias("name"))
-    rows = rows.withColumn("_try", F.explode(F.when(F.col("_parent") != "", F.array(whole, module)).otherwise(F.array(whole)))).select(*imports.columns, F.col("_try.own").alias("own"), F.col("_try.name").alias("_name"))
-    replaced = F.coalesce(*[F.when(F.startswith(name, F.lit(a)), F.concat(F.lit(to), F.substr(name, F.lit(len(a) + 1)))) for a, to in bare.items()], name)
-    rows = rows.withColumns({"_rest": F.when(python, F.ltrim(name, F.lit("."))), "_path": F.when(script, replaced)})
-    relative = F.length(name) > F.length(rest)
+    rest, at, stem, inside, path, parts, parent, k = (F.col(c) for c in ("_rest", "_at", "_stem", "_inside", "_path", "_parts", "_parent", "_k"))
+    relative = python & F.startswith(raw, F.lit("."))
+    replaced = F.coalesce(*[F.when(F.startswith(raw, F.lit(a)), F.concat(F.lit(to), F.substr(raw, F.lit(len(a) + 1)))) for a, to in bare.items()], raw)
+    module = F.left(raw, F.length(raw) - F.length(F.substring_index(raw, ".", -1)) - 1)
+    rows = imports.withColumns({"_rest": F.when(relative, F.ltrim(raw, F.lit("."))), "_path": F.when(script, replaced), "_parts": F.when(python & ~relative, _count(raw, ".") + 1), "_parent": F.when(python & ~relative, module)})
     beside = F.left(F.col("source"), F.length("source") - F.length(F.substring_index("source", "/", -1)) - 1)
-    rows = rows.withColumns({"_dirs": F.when(relative, F.array_remove(F.split(beside, "/"), "")), "_parts": F.when(~relative, F.length(name) - F.length(F.translate(name, ".", "")) + 1)})
-    base = F.slice(F.col("_dirs"), 1, F.greatest(F.size("_dirs") - (F.length(name) - F.length(rest)) + 1, F.lit(0)))
-    below = F.concat_ws("/", base, F.when(rest != "", F.translate(rest, ".", "/")))
+    dirs = F.array_remove(F.split(beside, "/"), "")
+    base = F.slice(dirs, 1, F.greatest(F.size(dirs) - (F.length(raw) - F.length(rest)) + 1, F.lit(0)))
+    below = F.concat_ws("/", base, F.when(rest != "", F.replace(rest, F.lit("."), F.lit("/"))))
     rows = rows.withColumn("_at", F.when(relative, below).when(F.startswith(path, F.lit(".")), _folded(F.concat_ws("/", beside, path))))
     rows = rows.withColumns({"_stem": F.when(script, without_suffix(at)), "_inside": F.when(script, F.when(at == "", F.lit("index")).otherwise(F.concat(at, F.lit("/index"))))})
-    suffixes = F.transform(F.sequence(parts, F.lit(1), F.lit(-1)), lambda k: F.call_function("substring_index", name, F.lit("."), -k))
-    keys = (
-        F.when(relative, F.array(F.concat(F.lit("file:"), F.when(at == "", F.lit("__init__")).otherwise(at))))
-        .when(python, suffixes)
-        .when(script, F.when(at.isNotNull(), F.array(stem, inside)).otherwise(F.array(path, F.ltrim(path, F.lit("/")))))
+    # the lookups are counted and each is then made in its own row: an absolute name has one for each part, its module one less
+    n = F.when(parts.isNotNull(), F.when(parent != "", 2 * parts - 1).otherwise(parts)).when(script, 2).otherwise(1)
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), n - 1)))
+    own = F.coalesce(k < parts, F.lit(True))
+    key = (
+        F.when(parts.isNotNull(), F.when(own, F.call_function("substring_index", raw, F.lit("."), k - parts)).otherwise(F.call_function("substring_index", parent, F.lit("."), k - 2 * parts + 1)))
+        .when(relative, F.concat(F.lit("file:"), F.when(at == "", F.lit("__init__")).otherwise(at)))
+        .when(script, F.when(at.isNotNull(), F.when(k == 0, stem).otherwise(inside)).otherwise(F.when(k == 0, path).otherwise(F.ltrim(path, F.lit("/")))))
     )
     ends = F.when(relative & (at != ""), len(FILE_ENDS) - 1).when(script & at.isNotNull(), len(SCRIPT_ENDS) - 1).otherwise(0)
-    return rows.select(*imports.columns, "own", ends.alias("ends"), F.posexplode(keys).alias("rank", "key"))
+    return rows.select(*imports.columns, own.alias("own"), ends.alias("ends"), F.when(own, k).otherwise(k - parts).alias("rank"), key.alias("key"))
 
 
 def ended(index: DataFrame) -> DataFrame:
     """The index by keys less an ending that an import may leave out, with the ending's place in its list: an import is then one lookup, not one for each ending."""
     key = F.col("key")
-    without = lambda e, k: F.when(F.endswith(key, F.lit(e)), F.struct(F.left(key, F.length(key) - len(e)).alias("key"), F.lit(k).alias("end")))
-    of = lambda ends: F.array_compact(F.array(*[without(e, k) for k, e in enumerate(ends)]))
-    rows = index.withColumn("_k", F.explode(F.when(F.startswith(key, F.lit("file:")), of(FILE_ENDS)).otherwise(of(SCRIPT_ENDS))))
+    without = lambda e, k: F.struct(F.left(key, F.length(key) - len(e)).alias("key"), F.lit(k).alias("end"))
+    # no key ends with two of the endings in one place here: /__init__.py with .py, and none with any other
+    one = lambda ends, at: functools.reduce(lambda a, k: a.when(F.endswith(key, F.lit(ends[k])), without(ends[k], k)), at[1:], F.when(F.endswith(key, F.lit(ends[at[0]])), without(ends[at[0]], at[0])))
+    file = F.startswith(key, F.lit("file:"))
+    first = F.when(file, one(FILE_ENDS, range(len(FILE_ENDS) - 1))).otherwise(without("", 0))
+    second = F.when(file, one(FILE_ENDS, [len(FILE_ENDS) - 1])).otherwise(one(SCRIPT_ENDS, range(1, len(SCRIPT_ENDS))))
+    rows = index.withColumn("_k", F.explode(F.array(first, second))).filter("_k is not null")
     return rows.withColumn("key", F.col("_k.key")).withColumn("end", F.col("_k.end")).drop("_k")
 
 
@@ -100,27 +110,31 @@ def unresolved_reason(raw: Column, language: Column, aliases: list[str]) -> Colu
     return F.when(dynamic, "dynamic_import").when((language != "python") & ~known & F.startswith(raw, F.lit("@")), "alias_unknown").when(folder, "ambiguous_package_import").otherwise("file_not_scanned")
 
 
-def hits(imports: DataFrame, index: DataFrame, aliases: dict[str, str] | None = None, repo: str = "repo_id") -> DataFrame:
-    """(repo, source, raw, target, member) of imports that any lookup finds: the file of the first key that the index has, be it the importer, and whether the module that the import may name a member of is one.
+def hits(imports: DataFrame, index: DataFrame, aliases: dict[str, str] | None = None, repo: str = "repo_id", how: str = "inner") -> DataFrame:
+    """imports that any lookup finds, or all of them (``how`` left), with (target, member): the file of the first key that the index has, be it the importer, and whether the module that the import may name a member of is one.
 
-    imports: distinct (repo, source, language, raw). One join looks up all keys of an import and of its module.
+    imports: (repo, source, language, raw); equal ones become one. One join looks up all keys of an import and of its module; what
+    was found is gathered by import, so that the imports themselves are not read again.
     """
     asked = candidates(imports, fixed.SCRIPT_ALIASES if aliases is None else aliases)
-    found = asked.join(ended(index).withColumnRenamed("path", "hit"), [repo, "key"]).filter("end <= ends")
-    place = F.col("rank") * max(len(FILE_ENDS), len(SCRIPT_ENDS)) + F.col("end")
-    return found.groupBy(repo, "source", "raw").agg(F.min_by(F.when(F.col("own"), F.col("hit")), F.when(F.col("own"), place)).alias("target"), F.bool_or(~F.col("own")).alias("member"))
+    answers = ended(index).select(F.col(repo).alias("_repo"), F.col("key").alias("_key"), "end", F.col("path").alias("hit"))
+    # an import's first lookup stands for it where none finds a file
+    found = asked.join(answers, (F.col(repo) == F.col("_repo")) & (F.col("key") == F.col("_key")) & (F.col("end") <= F.col("ends")), how).filter("hit is not null or (own and rank = 0)")
+    place = F.when(F.col("own"), F.col("rank") * max(len(FILE_ENDS), len(SCRIPT_ENDS)) + F.col("end"))
+    # dealt before they are gathered: an import has hardly more rows than one, which gathering them twice would only sort twice
+    found = found.select(*imports.columns, "hit", place.alias("place"), (~F.col("own") & F.col("hit").isNotNull()).alias("member")).repartition(repo, "source")
+    return found.groupBy(*imports.columns).agg(F.min_by("hit", "place").alias("target"), F.bool_or("member").alias("member"))
 
 
 def resolve(imports: DataFrame, index: DataFrame, external: tuple[str, ...] = fixed.EXTERNAL_ROOTS, aliases: dict[str, str] | None = None, repo: str = "repo_id") -> DataFrame:
     """Edges (repo, source, raw, target, confidence, reason): the first key that the index has wins.
 
-    imports: distinct (repo, source, language, raw). A Python import that no file answers, of a module that one does,
+    imports: (repo, source, language, raw); equal ones become one. A Python import that no file answers, of a module that one does,
     names a member and is left out. What no file but the importer answers is external where its root is a known
     package (no edge), else unresolved with a reason.
     """
     aliases = fixed.SCRIPT_ALIASES if aliases is None else aliases
-    found = hits(imports, index, aliases, repo)
-    rows = imports.join(found, [repo, "source", "raw"], "left").filter("target is not null or not coalesce(member, false)")
+    rows = hits(imports, index, aliases, repo, "left").filter("target is not null or not member")
     rows = rows.withColumn("target", F.when(F.col("target") != F.col("source"), F.col("target")))
     named = F.ltrim(F.col("raw"), F.lit("."))
     first = F.substring_index(named, "/", 1)

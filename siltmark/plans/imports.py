@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed
-from ..catalog import query, table
+from ..catalog import query, spread, table
 from ..functions import parse
 from ..operators import graph
 
@@ -81,18 +81,25 @@ edges AS (SELECT repo_id, source, raw, target, CASE WHEN target IS NULL THEN CAS
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
-    """(repo_id, path, language, content)."""
+    """(repo_id, path, language, content), dealt by repository: what a repository's files say of each other needs no other shuffle."""
     pool = spark.createDataFrame([(k, p, language, text) for k, (p, language, text, _) in enumerate(POOL)], "n int, path string, language string, content string")
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("repo_id"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % len(POOL)).cast("int").alias("n")).distinct()
-    return orders.join(F.broadcast(pool), "n").drop("n")
+    return spread(orders, "repo_id").join(F.broadcast(pool), "n").drop("n")
 
 
 def imports_of(rows: DataFrame) -> DataFrame:
-    """(repo_id, source, language, raw), distinct as files are."""
-    raw = F.when(F.col("language") == "python", parse.python_imports(F.col("content"))).when(F.col("language") != "markdown", parse.script_imports(F.col("content")))
-    imports = rows.select("repo_id", F.col("path").alias("source"), "language", F.explode(F.array_distinct(raw)).alias("raw"))
-    # both readers of imports in resolve ask for rows without nulls: what they read is one exchange, and each file is parsed once
-    return imports.filter("repo_id is not null and source is not null and raw is not null").repartition("repo_id", "source", "raw")
+    """(repo_id, source, language, raw) as python_imports and script_imports read them, one row for each; a file that names a module twice may give it twice."""
+    python, line, module, name = F.col("language") == "python", F.col("_line"), F.col("_module"), F.col("_name")
+    # a Python file's lines are rows before they are matched, instead of lists that are matched by functions of lists
+    found = F.when(python, parse.python_import_lines(F.col("content"))).when(F.col("language") != "markdown", F.array_distinct(parse.script_imports(F.col("content"))))
+    lines = rows.select("repo_id", F.col("path").alias("source"), "language", F.explode(found).alias("_line")).withColumn("_module", F.when(python, F.regexp_extract("_line", parse.FROM_IMPORT, 1)))
+    # the empty name before the first is the module itself
+    names = F.when(module != "", F.concat(F.lit(","), F.regexp_extract("_line", parse.FROM_IMPORT, 2))).when(python, F.regexp_extract("_line", parse.BARE_IMPORT, 1))
+    named = lines.withColumn("_name", F.explode(F.when(python, F.split(names, ",")).otherwise(F.array(line)))).withColumn("_name", F.when(python, F.trim("_name")).otherwise(name))
+    member = F.when(name == "", module).when(name.rlike(r"^\p{Ll}") & ~F.contains(name, F.lit(".")), F.concat(module, F.lit("."), name))
+    bare = F.trim(F.substring_index(name, " as ", 1))
+    raw = F.when(module != "", member).when(python, F.when(bare != "", bare)).otherwise(name)
+    return named.select("repo_id", "source", "language", raw.alias("raw")).filter("raw is not null")
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:

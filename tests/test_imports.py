@@ -94,3 +94,28 @@ def test_endings_keep_their_order(spark):
         ("s/d.ts", "./e"): "s/e/index.tsx", ("s/e/index.tsx", "../d"): "s/d.ts", ("s/e/index.tsx", "../d/index"): "s/d/index.js", ("m/a.ts", "c.py"): "m/c.py.ts",
     }
     assert resolved(spark, paths, list(want)) == want
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_imports_are_gathered_from_their_lookups_and_not_joined_again(spark):
+    files = spark.createDataFrame([(1, "a/b.py", "python")], "repo_id int, path string, language string")
+    rows = spark.createDataFrame([(1, "a/b.py", "python", "x.y"), (1, "a/b.py", "python", "x.y"), (1, "z.go", "go", "q")], "repo_id int, source string, language string, raw string")
+    edges = graph.resolve(rows, graph.module_keys(files))
+    assert joins(edges) == 1
+    assert sorted((r.source, r.raw, r.reason) for r in edges.collect()) == [("a/b.py", "x.y", "file_not_scanned"), ("z.go", "q", "file_not_scanned")]
+
+
+def test_index_of_files_dealt_by_repository_needs_no_shuffle(spark, sf):
+    files = imports.files(spark, sf)
+    shuffles = lambda df: str(df._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning")
+    assert shuffles(graph.module_keys(files, once=False)) == shuffles(files)
+
+
+def test_lines_as_rows_give_the_modules_of_lists(spark):
+    texts = ("from a.b import x, Y, z as w # c", "from x import  # c", "from x import # c", "\timport a, b.c as d,e  ", "import a as b # q\rimport os # c as d", "from . import (a\x0bfrom .. import *\x1cfrom x import a,,b,", "fromage\nimports x", "import é from é import b", None)
+    files = spark.createDataFrame([(1, str(k), "python", x) for k, x in enumerate(texts)], "repo_id int, path string, language string, content string")
+    want = files.select("path", F.explode(F.array_distinct(parse.python_imports(F.col("content")))).alias("raw"))
+    assert {tuple(r) for r in want.collect()} == {(r.source, r.raw) for r in imports.imports_of(files).collect()}
