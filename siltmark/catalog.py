@@ -26,9 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt evenly, or by keys, to the session's shuffle partitions: a small file is one task, whatever is then made of each of its rows."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
+    """df dealt evenly, or by keys, to the session's shuffle partitions, and ``least`` at least: a small file is one task, whatever is then made of each of its rows."""
+    return df.repartition(max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def load() -> None:

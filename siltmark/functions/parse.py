@@ -8,6 +8,7 @@ from .. import fixed
 from . import columns as C
 
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 FROM_IMPORT = r"^from\s+([\w.]+)\s+import\s+([\w\s,*]+?)(?:\s*#.*)?$"
 BARE_IMPORT = r"^import\s+([\w., ]+?)(?:\s*#.*)?(?:\s+as\s+\w+)?$"
 SCRIPT_FROM = r"""(?m)^(?:import|export)\s+.*?\s+from\s+['"]([^'"]+)['"]"""
@@ -89,11 +90,10 @@ def python_imports(text: Column) -> Column:
     return F.aggregate(F.transform(F.transform(lines, heads_of), of), F.array().cast("array<string>"), lambda a, x: F.concat(a, x["heads"], F.array_except(x["members"], F.concat(a, x["heads"]))))
 
 
-def python_import_lines(text: Column) -> Column:
-    """The lines that may import, bare of white space at both ends."""
-    # an empty line more, between the two signs of one end, imports nothing; white space other than these two ends a line
-    lines = F.split(F.coalesce(text, F.lit("")), LINE_END.removeprefix(r"\r\n|"))
-    return F.filter(F.transform(lines, lambda x: F.trim(x, F.lit(" \t"))), lambda x: F.startswith(x, F.lit("from")) | F.startswith(x, F.lit("import")))
+def python_lines(text: Column) -> Column:
+    """All lines by any line end, for use as rows; the two signs of one end have an empty line between them, and a last one that is empty is a line."""
+    # one sign splits without a pattern, which split would compile for each text
+    return F.split(F.translate(F.coalesce(text, F.lit("")), LINE_ENDS, "\n" * len(LINE_ENDS)), "\n")
 
 
 def script_imports(text: Column) -> Column:

@@ -110,31 +110,49 @@ def unresolved_reason(raw: Column, language: Column, aliases: list[str]) -> Colu
     return F.when(dynamic, "dynamic_import").when((language != "python") & ~known & F.startswith(raw, F.lit("@")), "alias_unknown").when(folder, "ambiguous_package_import").otherwise("file_not_scanned")
 
 
-def hits(imports: DataFrame, index: DataFrame, aliases: dict[str, str] | None = None, repo: str = "repo_id", how: str = "inner") -> DataFrame:
+def _met(asked: DataFrame, answers: DataFrame, repo: str) -> DataFrame:
+    """asked with the answer of least end to its key, if that is among its ends, from answers (repo, key, end, path)."""
+    rows = asked.withColumn("_asked", F.lit(True)).unionByName(answers.select(repo, "key", F.struct("end", "path").alias("_answer")), allowMissingColumns=True)
+    rows = rows.withColumn("_best", F.min("_answer").over(Window.partitionBy(repo, "key"))).filter("_asked")
+    # files of a null repository answer nothing, as in a join
+    fits = F.col(repo).isNotNull() & (F.col("_best.end") <= F.col("ends"))
+    return rows.select(*asked.columns, F.when(fits, F.col("_best.end")).alias("end"), F.when(fits, F.col("_best.path")).alias("hit"))
+
+
+def hits(imports: DataFrame, index: DataFrame, aliases: dict[str, str] | None = None, repo: str = "repo_id", how: str = "inner", dealt: bool = False) -> DataFrame:
     """imports that any lookup finds, or all of them (``how`` left), with (target, member): the file of the first key that the index has, be it the importer, and whether the module that the import may name a member of is one.
 
     imports: (repo, source, language, raw); equal ones become one. One join looks up all keys of an import and of its module; what
-    was found is gathered by import, so that the imports themselves are not read again.
+    was found is gathered by import, so that the imports themselves are not read again. Where both inputs are ``dealt`` by
+    ``repo`` to equally many partitions, keys meet and imports are gathered where they are: a join would shuffle both inputs by
+    its other key too, a union of them under a window does not.
     """
     asked = candidates(imports, fixed.SCRIPT_ALIASES if aliases is None else aliases)
-    answers = ended(index).select(F.col(repo).alias("_repo"), F.col("key").alias("_key"), "end", F.col("path").alias("hit"))
+    answers = ended(index)
+    if dealt:
+        found = _met(asked, answers, repo)
+        found = found if how == "left" else found.filter("hit is not null")
+    else:
+        answers = answers.select(F.col(repo).alias("_repo"), F.col("key").alias("_key"), "end", F.col("path").alias("hit"))
+        found = asked.join(answers, (F.col(repo) == F.col("_repo")) & (F.col("key") == F.col("_key")) & (F.col("end") <= F.col("ends")), how)
     # an import's first lookup stands for it where none finds a file
-    found = asked.join(answers, (F.col(repo) == F.col("_repo")) & (F.col("key") == F.col("_key")) & (F.col("end") <= F.col("ends")), how).filter("hit is not null or (own and rank = 0)")
+    found = found.filter("hit is not null or (own and rank = 0)")
     place = F.when(F.col("own"), F.col("rank") * max(len(FILE_ENDS), len(SCRIPT_ENDS)) + F.col("end"))
-    # dealt before they are gathered: an import has hardly more rows than one, which gathering them twice would only sort twice
-    found = found.select(*imports.columns, "hit", place.alias("place"), (~F.col("own") & F.col("hit").isNotNull()).alias("member")).repartition(repo, "source")
+    found = found.select(*imports.columns, "hit", place.alias("place"), (~F.col("own") & F.col("hit").isNotNull()).alias("member"))
+    # else dealt before they are gathered: an import has hardly more rows than one, which gathering them twice would only sort twice
+    found = found if dealt else found.repartition(repo, "source")
     return found.groupBy(*imports.columns).agg(F.min_by("hit", "place").alias("target"), F.bool_or("member").alias("member"))
 
 
-def resolve(imports: DataFrame, index: DataFrame, external: tuple[str, ...] = fixed.EXTERNAL_ROOTS, aliases: dict[str, str] | None = None, repo: str = "repo_id") -> DataFrame:
+def resolve(imports: DataFrame, index: DataFrame, external: tuple[str, ...] = fixed.EXTERNAL_ROOTS, aliases: dict[str, str] | None = None, repo: str = "repo_id", dealt: bool = False) -> DataFrame:
     """Edges (repo, source, raw, target, confidence, reason): the first key that the index has wins.
 
     imports: (repo, source, language, raw); equal ones become one. A Python import that no file answers, of a module that one does,
-    names a member and is left out. What no file but the importer answers is external where its root is a known
+    names a member and is left out. ``dealt`` as for hits. What no file but the importer answers is external where its root is a known
     package (no edge), else unresolved with a reason.
     """
     aliases = fixed.SCRIPT_ALIASES if aliases is None else aliases
-    rows = hits(imports, index, aliases, repo, "left").filter("target is not null or not member")
+    rows = hits(imports, index, aliases, repo, "left", dealt).filter("target is not null or not member")
     rows = rows.withColumn("target", F.when(F.col("target") != F.col("source"), F.col("target")))
     named = F.ltrim(F.col("raw"), F.lit("."))
     first = F.substring_index(named, "/", 1)

@@ -80,21 +80,30 @@ edges AS (SELECT repo_id, source, raw, target, CASE WHEN target IS NULL THEN CAS
   FROM placed WHERE NOT dropped AND (target IS NOT NULL OR NOT list_contains([{', '.join(map(repr, fixed.EXTERNAL_ROOTS))}], lower(root))))"""
 
 
+#: Orders whose files a task has at most, on average: some hundred MB of keys to sort, which fit its memory.
+TASK_ORDERS = 200_000
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """(repo_id, path, language, content), dealt by repository: what a repository's files say of each other needs no other shuffle."""
     pool = spark.createDataFrame([(k, p, language, text) for k, (p, language, text, _) in enumerate(POOL)], "n int, path string, language string, content string")
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("repo_id"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % len(POOL)).cast("int").alias("n")).distinct()
-    return spread(orders, "repo_id").join(F.broadcast(pool), "n").drop("n")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("repo_id"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % len(POOL)).cast("int").alias("n"))
+    # the count is in the file's footers
+    return spread(orders, "repo_id", least=orders.count() // TASK_ORDERS + 1).distinct().join(F.broadcast(pool), "n").drop("n")
 
 
 def imports_of(rows: DataFrame) -> DataFrame:
     """(repo_id, source, language, raw) as python_imports and script_imports read them, one row for each; a file that names a module twice may give it twice."""
     python, line, module, name = F.col("language") == "python", F.col("_line"), F.col("_module"), F.col("_name")
-    # a Python file's lines are rows before they are matched, instead of lists that are matched by functions of lists
-    found = F.when(python, parse.python_import_lines(F.col("content"))).when(F.col("language") != "markdown", F.array_distinct(parse.script_imports(F.col("content"))))
-    lines = rows.select("repo_id", F.col("path").alias("source"), "language", F.explode(found).alias("_line")).withColumn("_module", F.when(python, F.regexp_extract("_line", parse.FROM_IMPORT, 1)))
+    # a Python file's lines are rows before they are looked at, instead of lists that are filtered and matched by functions of lists
+    found = F.when(~python & (F.col("language") != "markdown"), F.array_distinct(parse.script_imports(F.col("content")))).when(python, parse.python_lines(F.col("content")))
+    lines = rows.select("repo_id", F.col("path").alias("source"), "language", F.explode(found).alias("_line")).withColumn("_line", F.when(python, F.trim(line, F.lit(" \t"))).otherwise(line))
+    lines = lines.filter(~python | F.startswith(line, F.lit("from")) | F.startswith(line, F.lit("import")))
+    # one match gives module and names: "," and both with a comma between them, which no line that is not matched begins with
+    lines = lines.withColumn("_from", F.when(python, F.regexp_replace(line, parse.FROM_IMPORT, ",$1,$2")))
+    lines = lines.withColumn("_module", F.when(python, F.when(F.startswith("_from", F.lit(",")), F.substring_index(F.substr("_from", F.lit(2)), ",", 1)).otherwise("")))
     # the empty name before the first is the module itself
-    names = F.when(module != "", F.concat(F.lit(","), F.regexp_extract("_line", parse.FROM_IMPORT, 2))).when(python, F.regexp_extract("_line", parse.BARE_IMPORT, 1))
+    names = F.when(module != "", F.substr("_from", F.length(module) + 2)).when(python, F.regexp_extract("_line", parse.BARE_IMPORT, 1))
     named = lines.withColumn("_name", F.explode(F.when(python, F.split(names, ",")).otherwise(F.array(line)))).withColumn("_name", F.when(python, F.trim("_name")).otherwise(name))
     member = F.when(name == "", module).when(name.rlike(r"^\p{Ll}") & ~F.contains(name, F.lit(".")), F.concat(module, F.lit("."), name))
     bare = F.trim(F.substring_index(name, " as ", 1))
@@ -104,7 +113,7 @@ def imports_of(rows: DataFrame) -> DataFrame:
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     rows = files(spark, sf)
-    return graph.resolve(imports_of(rows), graph.module_keys(rows, once=False))
+    return graph.resolve(imports_of(rows), graph.module_keys(rows, once=False), dealt=True)
 
 
 @query(f"WITH {EDGES} SELECT repo_id, source, raw, target, reason FROM edges")
@@ -124,7 +133,7 @@ def critical_path(spark, sf):
     rows = files(spark, sf)
     # entries are joined, since a filter by them would be inferred for the first step's edges too, which the second would then not share
     starts = rows.join(F.broadcast(spark.createDataFrame([(p,) for p in ENTRIES], "path string")), "path", "left_semi")
-    found = graph.hits(imports_of(rows), graph.module_keys(rows, once=False)).filter("target <> source")
+    found = graph.hits(imports_of(rows), graph.module_keys(rows, once=False), dealt=True).filter("target <> source")
     return graph.reach(found, starts, ["repo_id"]).select("repo_id", "path", "depth")
 
 
